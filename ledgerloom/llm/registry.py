@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import source_mixing
+from .jaccard_join import op4_ngram_jaccard_join
+from .source_mixing import op9_source_mixing
 from .substring_dedup import op1_substring_dedup
 
-_ALL = (op1_substring_dedup,)
+_ALL = (op1_substring_dedup, op4_ngram_jaccard_join, op9_source_mixing)
 
 
 def queries() -> dict:
@@ -12,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mixing": source_mixing.ORACLE}
