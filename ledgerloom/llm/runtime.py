@@ -33,6 +33,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     out = df.checkpoint(eager=True)
+    del df  # its plan holds the shuffles
     gc.collect()
     spark._jvm.System.gc()
     return out
