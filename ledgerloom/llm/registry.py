@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import source_mixing
 from .decontamination import op3_decontamination
 from .jaccard_join import op4_ngram_jaccard_join
+from .language_id import op6_language_id
 from .source_mixing import op9_source_mixing
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op7_token_files
+from .toxicity import op8_toxicity
 
-_ALL = (op1_substring_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op7_token_files, op9_source_mixing)
+_ALL = (op1_substring_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op6_language_id, op7_token_files, op8_toxicity, op9_source_mixing)
 
 
 def queries() -> dict:
