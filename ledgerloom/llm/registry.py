@@ -11,8 +11,9 @@ from .substring_dedup import op1_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op7_token_files
 from .toxicity import op8_toxicity
+from .vector_search import op10_vector_search
 
-_ALL = (op1_substring_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op6_language_id, op7_token_files, op8_toxicity, op9_source_mixing)
+_ALL = (op1_substring_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op6_language_id, op7_token_files, op8_toxicity, op9_source_mixing, op10_vector_search)
 
 
 def queries() -> dict:
