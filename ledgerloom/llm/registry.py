@@ -6,6 +6,7 @@ from . import source_mixing
 from .decontamination import op3_decontamination
 from .jaccard_join import op4_ngram_jaccard_join
 from .language_id import op6_language_id
+from .line_dedup import op2_line_dedup
 from .source_mixing import op9_source_mixing
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op5_token_counts
@@ -13,7 +14,7 @@ from .token_files import op7_token_files
 from .toxicity import op8_toxicity
 from .vector_search import op10_vector_search
 
-_ALL = (op1_substring_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op6_language_id, op7_token_files, op8_toxicity, op9_source_mixing, op10_vector_search)
+_ALL = (op1_substring_dedup, op2_line_dedup, op3_decontamination, op4_ngram_jaccard_join, op5_token_counts, op6_language_id, op7_token_files, op8_toxicity, op9_source_mixing, op10_vector_search)
 
 
 def queries() -> dict:
