@@ -214,10 +214,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item."""
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+def _cleaner(index, threshold: float, at: int):
+    def run(batches):
+        items = index.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            done = 0
+            for ids, lens, buf in batch_slices(pa.array(np.arange(batch.num_rows)), batch.column(at)):
+                for d, *_ in items.search(_folded(ids, lens, buf), threshold):
+                    keep[done + d] = False
+                done += len(ids)
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; one narrow pass a block of items, without a join."""
+    out, at = docs.withColumn("text", F.col("text").cast("string")), docs.columns.index("text")
+    for items in item_blocks(benchmark):
+        if any(re.search(r"[^\W_]|[^\x00-\x7f]", t) for _, t in items):
+            index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius, blocks))
+            out = out.mapInArrow(_cleaner(index, threshold, at), out.schema)
+    return out
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -209,6 +209,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     return rowwise.join(least, "component").select(back("doc_id"), F.col("n").cast("long").alias("n_shingles"), back("component_id"), F.coalesce("node", "rid").alias("set_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near duplicates keeps one row: the one with the smallest doc_id.
+
+    Rows with an empty set are in no group and all stay. Rows are told apart by a hash of doc_id and text, so rows that repeat
+    an id are judged by their own text, and whole repeats leave one row.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), words, threshold).where("n_shingles > 0")
+    found = settle(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("c")))
+    ids = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")).distinct()
+    grouped = found.join(ids, "key").groupBy("c").agg(F.min(F.struct("id", "key")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    headed = settle(found.join(grouped.select("c", F.col("head.key").alias("stays")), "c"))
+    gone = headed.where("key <> stays").select(F.col("key").alias("_key")).distinct()
+    twice = settle(headed.where("key = stays").groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")))
+    keyed = docs.withColumn("_own", key)
+    if twice.isEmpty():
+        return keyed.join(gone, F.col("_own") == F.col("_key"), "left_anti").select(*docs.columns)
+    rest = keyed.join(gone.unionByName(twice), F.col("_own") == F.col("_key"), "left_anti")
+    once = keyed.join(twice, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])
+    return rest.unionByName(once).select(*docs.columns)
+
+
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .runtime import read
 
