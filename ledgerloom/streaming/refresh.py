@@ -1,0 +1,62 @@
+"""Incremental upkeep: each micro-batch is appended to the log, and only the view parts it touches are made anew.
+
+Views are stored in parts by a hash of their key. A replaced event may have belonged to another day, subject or session, so the
+parts of its old version are touched too. Late and backdated events are ordinary: there is no watermark on this path.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import day_of
+from ..plans import views as V
+from ..schema import conform
+from ..sources import ledger as L
+
+PARTS = 64
+KEYS: dict[str, tuple[Callable[[], Column], Callable[[DataFrame], DataFrame], str]] = {
+    "days": (lambda: day_of(F.col("ts_ms")), V.days, "day"),
+    "subjects": (lambda: F.col("subject"), lambda rows: V.subjects(V.evidence(rows)), "subject"),
+    "sessions": (lambda: F.col("session"), V.sessions, "session"),
+}
+
+
+def _part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def refresh(spark: SparkSession, root: str, batch: DataFrame | None = None) -> None:
+    """Make the view parts anew that the rows of ``batch`` (or all rows) touch."""
+    log = L.read_log(spark, f"{root}/log")
+    now = L.latest(log)
+    touched = log if batch is None else log.join(batch.select("session", "seq").distinct(), ["session", "seq"], "left_semi")
+    for name, (key, view, column) in KEYS.items():
+        parts = [r[0] for r in touched.where(key().isNotNull()).select(_part(key()).alias("p")).distinct().collect()]  # at most PARTS
+        rows = now.where(key().isNotNull() & _part(key()).isin(parts))
+        made = view(rows).withColumn("part", _part(F.col(column)))
+        # a part may have become empty: replace exactly the touched folders
+        for p in parts:
+            made.where(F.col("part") == p).drop("part").write.mode("overwrite").parquet(f"{root}/views/{name}/part={p}")
+
+
+def write_batch(root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writing a batch again replaces it, so a restarted query changes nothing."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        L.append(conform(rows) if "ord" not in rows.columns else rows, f"{root}/log", batch)
+        refresh(spark, root, spark.read.parquet(f"{root}/log/ingest_batch={batch}"))
+
+    return run
+
+
+def start(events: DataFrame, root: str, checkpoint: str, **trigger):
+    """Keep the log and views below ``root`` up to date with a stream of events."""
+    return events.writeStream.foreachBatch(write_batch(root)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def view(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.option("basePath", f"{root}/views/{name}").parquet(f"{root}/views/{name}/part=*").drop("part")
