@@ -3,14 +3,13 @@
 Lines are normalised to words (A-Z lower-cased, each digit as 0, all other ASCII as a blank) and equal ones are one node, so
 a very common line is a single row with its first place. A node's fingerprint is the 64-bit SimHash of its words. Two
 fingerprints within ``RADIUS`` = 3 bits agree on at least two of five blocks; the nodes meet by each pair of blocks (ten
-tables, keys of 25 or 26 bits) in hash buckets whose number grows with the input. A bucket sorts its keys, compares
-fingerprints under equal keys and emits pairs of different fingerprints within the radius; nodes under one fingerprint are
-not paired there.
-
-Verification is edit similarity over words, 1 - distance / longer length >= ``THRESHOLD``. In the first round the
-nodes of one fingerprint are chained and near fingerprints are joined by their first nodes; in the second, all pairs
-of nodes with equal or near fingerprints that are still in different components are verified, so no link between components is lost
-and pairs inside a component are never listed. Word sequences of candidates only are fetched from the slices.
+tables, keys of 25 or 26 bits) in hash buckets whose number grows with the input, and are compared under equal keys.
+
+Verification is edit similarity over words, 1 - distance / longer length >= ``THRESHOLD``. First the nodes of one
+fingerprint are chained, and under each key leaders (fingerprints not within the radius of an earlier leader) are
+paired with those within the radius: a linear number of pairs. Two more turns with other leaders look only
+at keys whose nodes are in more than one component. Last, all pairs of nodes with equal or near fingerprints that are
+still in different components are verified, so no link between components is lost and pairs inside a component are never listed. Word sequences of candidates only are fetched from the slices.
 Each group keeps its first occurrence (smallest doc_id, then place); every other occurrence goes.
 
 Defined cases: null text has no lines and stays null; lines without a word are never removed; lines end at newline
@@ -92,38 +91,74 @@ def _key(prints: np.ndarray, table: int) -> np.ndarray:
 def _deal(buckets: int):
     def run(batches):
         for batch in batches:
-            p = np.asarray(batch.column(0), np.int64).view(np.uint64)
+            p, lo, hi = (np.asarray(batch.column(i), np.int64) for i in range(3))
+            p = p.view(np.uint64)
             for t in range(len(TABLES)):
                 bucket = (mix(_key(p, t) + np.uint64(t << 40)) % np.uint64(buckets)).astype(np.int32)
                 order, bounds = by_bucket(bucket, buckets)
                 used = np.flatnonzero(np.diff(bounds))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "tab": pa.array(np.full(len(used), t), pa.int32()), "prints": pa.array([p[order[bounds[b] : bounds[b + 1]]].tobytes() for b in used], pa.binary())})
+                cut = lambda v: pa.array([v[order[bounds[b] : bounds[b + 1]]].tobytes() for b in used], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "tab": pa.array(np.full(len(used), t), pa.int32()), "prints": cut(p), "lo": cut(lo), "hi": cut(hi)})
 
     return run
 
 
-def _meet(radius: int):
+def _leaders(p: np.ndarray, key: np.ndarray, radius: int):
+    """Pairs (leader, member): in each run of a key the first one not yet covered leads the uncovered ones within the radius.
+
+    A leader without any is paired with one covered fingerprint within the radius, so whatever has a partner gets a pair.
+    """
+    here, covered = np.arange(len(p)), np.zeros(len(p), bool)
+    while len(here):
+        k = key[here]
+        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(begin, len(here)))
+        lead = np.repeat(np.minimum.reduceat(np.where(covered[here], len(p), here), begin), size)
+        near = (np.bitwise_count(p[here] ^ p[lead]) <= radius) & (here != lead)
+        member = near & ~covered[here]
+        yield lead[member], here[member]
+        alone = np.repeat(np.add.reduceat(member, begin) == 0, size) & near
+        one = np.flatnonzero(alone)
+        one = one[np.unique(lead[one], return_index=True)[1]]
+        yield lead[one], here[one]
+        covered[here[member]] = covered[lead] = True
+        here = here[np.repeat(np.add.reduceat(~covered[here], begin) > 0, size)]
+
+
+def _partners(p: np.ndarray, key: np.ndarray, radius: int):
+    """All pairs within the radius in each run of a key."""
+    for d in range(1, len(p)):
+        same = np.flatnonzero(key[d:] == key[:-d])
+        if not len(same):
+            return
+        near = same[np.bitwise_count(p[same] ^ p[same + d]) <= radius]
+        yield near, near + d
+
+
+def _meet(radius: int, turn: int | None):
+    """Near pairs of fingerprints whose nodes are not all in one component: by leaders in a turn, all of them if there is none."""
+
     def run(table: pa.Table) -> pa.Table:
         u, v = [], []
         tabs = np.asarray(table.column("tab").combine_chunks())
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("prints")]
+        parts = {c: [np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("prints", np.uint64), ("lo", np.int64), ("hi", np.int64))}
         for t in np.unique(tabs):
-            p = np.unique(np.concatenate([parts[i] for i in np.flatnonzero(tabs == t)]))
+            p, lo, hi = (np.concatenate([parts[c][i] for i in np.flatnonzero(tabs == t)]) for c in ("prints", "lo", "hi"))
             key = _key(p, int(t))
-            order = np.argsort(key, kind="stable")
-            p, key = p[order], key[order]
-            # partners at distance 1, 2, ... in the run of a key, until no run is that long
-            d = 1
-            while d < len(p):
-                same = np.flatnonzero(key[d:] == key[:-d])
-                if not len(same):
-                    break
-                near = same[np.bitwise_count(p[same] ^ p[same + d]) <= radius]
-                u.append(p[near])
-                v.append(p[near + d])
-                d += 1
+            order = np.lexsort((p, p if turn is None or turn % 3 == 0 else ~p if turn % 3 == 1 else mix(p), key))
+            p, lo, hi, key = p[order], lo[order], hi[order], key[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(p)))
+            open_ = np.repeat(np.minimum.reduceat(lo, first) != np.maximum.reduceat(hi, first), size)
+            p, lo, hi, key = p[open_], lo[open_], hi[open_], key[open_]
+            for i, j in (_partners if turn is None else _leaders)(p, key, radius):
+                apart = np.minimum(lo[i], lo[j]) != np.maximum(hi[i], hi[j])
+                u.append(p[i[apart]])
+                v.append(p[j[apart]])
         cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64)
-        return pa.table({"p": pa.array(cat(u), pa.int64()), "q": pa.array(cat(v), pa.int64())})
+        u, v = cat(u), cat(v)
+        return pa.table({"p": pa.array(np.minimum(u, v), pa.int64()), "q": pa.array(np.maximum(u, v), pa.int64())})
 
     return run
 
@@ -176,29 +211,45 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return settle(pairs.select("u", "v").distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u long, v long"))
 
 
+def _near_prints(prints: DataFrame, buckets: int, radius: int, turn: int | None) -> DataFrame:
+    """(p, q) of the near fingerprints among ``prints`` (print, lo, hi)."""
+    sent = prints.mapInArrow(_deal(buckets), "bucket int, tab int, prints binary, lo binary, hi binary")
+    return settle(sent.groupBy("bucket").applyInArrow(_meet(radius, turn), "p long, q long").distinct())
+
+
+def _words_of(nodes: DataFrame, slices: DataFrame) -> DataFrame:
+    want = nodes.groupBy("at.sid").agg(F.collect_list(F.struct("at.line", "node")).alias("want"))
+    return settle(slices.join(want, "sid").mapInArrow(_fetch, "node long, words binary"))
+
+
 def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, radius: int, threshold: float) -> DataFrame | None:
     """(node, component) of the nodes that have a link."""
-    prints = nodes.select("print").distinct().mapInArrow(_deal(buckets), "bucket int, tab int, prints binary")
-    near = settle(prints.groupBy("bucket").applyInArrow(_meet(radius), "p long, q long").distinct())
-    size = nodes.groupBy("print").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("head"))
-    size = settle(size.join(near.select(F.col("p").alias("print")).unionByName(near.select(F.col("q").alias("print"))).distinct().withColumn("met", F.lit(True)), "print", "left").where("k > 1 or met"))
-    if size.isEmpty():
+    prints = settle(nodes.groupBy("print").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("head")))
+    own = F.col("print")
+    near = _near_prints(prints.select("print", own.alias("lo"), own.alias("hi")), buckets, radius, 0)
+    some = near.select(F.col("p").alias("print")).unionByName(near.select(F.col("q").alias("print"))).distinct()
+    prints = settle(prints.join(some.withColumn("met", F.lit(True)), "print", "left").where("k > 1 or met").select("print", "head"))
+    if prints.isEmpty():
         return None
-    wanted = settle(nodes.join(size.select("print", "head"), "print"))
-    want = wanted.groupBy("at.sid").agg(F.collect_list(F.struct("at.line", "node")).alias("want"))
-    words = settle(slices.join(want, "sid").mapInArrow(_fetch, "node long, words binary"))
+    wanted = settle(nodes.join(prints, "print").select("node", "print", "at"))  # every node that can have a link: its print is shared, or near another
+    words = _words_of(wanted, slices)
+    wanted = wanted.select("node", "print")
     order = Window.partitionBy("print").orderBy("node")
-    chain = wanted.select("node", F.lag("node").over(order).alias("v")).where("v is not null").select(F.col("node").alias("u"), "v")
-    head = size.select("print", "head")
-    heads = near.join(head.select(F.col("print").alias("p"), F.col("head").alias("u")), "p").join(head.select(F.col("print").alias("q"), F.col("head").alias("v")), "q").select("u", "v")
-    links = _verified(chain.unionByName(heads), words, threshold)
-    part = settle(components(links))
-    placed = settle(wanted.select("node", "print").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    spread = placed.groupBy("print").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    chain = wanted.select(F.col("node").alias("u"), F.lag("node").over(order).alias("v")).where("v is not null")
+    ends = lambda pq: pq.join(prints.select(F.col("print").alias("p"), F.col("head").alias("u")), "p").join(prints.select(F.col("print").alias("q"), F.col("head").alias("v")), "q").select("u", "v")
+    links = _verified(chain.unionByName(ends(near)), words, threshold)
+    for turn in (1, 2, None):
+        part = settle(components(links))
+        placed = settle(wanted.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        spread = settle(placed.groupBy("print").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+        near = _near_prints(spread, buckets, radius, turn)
+        if turn is None:
+            break
+        if near.isEmpty():
+            continue
+        links = settle(links.unionByName(_verified(ends(near), words, threshold)))
     same = spread.where("lo <> hi").select(F.col("print").alias("p"), F.col("print").alias("q"))
-    lo = near.join(spread.select(F.col("print").alias("p"), F.col("lo").alias("a"), F.col("hi").alias("b")), "p").join(spread.select(F.col("print").alias("q"), F.col("lo").alias("c"), F.col("hi").alias("d")), "q")
-    apart = lo.where("least(a, c) <> greatest(b, d)").select("p", "q").unionByName(same)
-    left = apart.join(placed.select(F.col("print").alias("p"), F.col("node").alias("u"), F.col("component").alias("x")), "p")
+    left = near.unionByName(same).join(placed.select(F.col("print").alias("p"), F.col("node").alias("u"), F.col("component").alias("x")), "p")
     right = placed.select(F.col("print").alias("q"), F.col("node").alias("v"), F.col("component").alias("y"))
     pairs = settle(left.join(right, "q").where("x <> y and (p <> q or u < v)").select("u", "v"))
     if pairs.isEmpty():
