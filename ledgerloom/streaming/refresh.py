@@ -37,9 +37,11 @@ def refresh(spark: SparkSession, root: str, batch: DataFrame | None = None) -> N
         parts = [r[0] for r in touched.where(key().isNotNull()).select(_part(key()).alias("p")).distinct().collect()]  # at most PARTS
         rows = now.where(key().isNotNull() & _part(key()).isin(parts))
         made = view(rows).withColumn("part", _part(F.col(column)))
-        # a part may have become empty: replace exactly the touched folders
-        for p in parts:
-            made.where(F.col("part") == p).drop("part").write.mode("overwrite").parquet(f"{root}/views/{name}/part={p}")
+        path = f"{root}/views/{name}"
+        made.write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        emptied = set(parts) - {r[0] for r in made.select("part").distinct().collect()}  # at most PARTS
+        for p in emptied:
+            made.where(F.lit(False)).drop("part").write.mode("overwrite").parquet(f"{path}/part={p}")
 
 
 def write_batch(root: str) -> Callable[[DataFrame, int], None]:
