@@ -2,8 +2,8 @@
 
 Texts are lower-cased and cut into words at everything ASCII that is neither letter nor digit. An item is its weighted
 set of ``shingle``-word shingles (weight: how often it occurs); items with fewer words are one shingle. A window of
-a document is as many words as the item has. Every window that shares a shingle with any item gets a 64-bit SimHash of
-its weighted shingles (windows that share none have similarity 0 and need no fingerprint). Fingerprints are split
+a document is as many words as the item has. Every window that shares a shingle with any item of its size gets a 64-bit
+SimHash of its weighted shingles (windows that share none have similarity 0 and need no fingerprint). Fingerprints are split
 into blocks; two within ``radius`` differ by at most radius // blocks in some block, so probing every block's table
 with all values that near finds all item fingerprints within the radius. Candidates in the radius are then verified by
 the exact cosine of the weighted shingle sets.
@@ -109,6 +109,7 @@ class ItemIndex:
         self.norms = [float(np.sqrt((c.astype(np.float64) ** 2).sum())) for _, c in self.weights]
         self.by_size: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.size) == n) for n in sorted(set(self.size))}
         self.seeds = {k: np.unique(np.concatenate([r for r, n in zip(rows, self.size, strict=True) if min(n, shingle) == k])) for k in sorted({min(n, shingle) for n in self.size})}
+        self.seeds_of = {n: np.unique(np.concatenate([rows[m] for m in members])) for n, members in self.by_size.items()}
         self.filters = {}
         for k, seeds in self.seeds.items():
             table = np.zeros(1 << 20, bool)
@@ -150,8 +151,11 @@ class ItemIndex:
             if not len(hit):
                 continue
             for n in [n for n in self.by_size if min(n, self.shingle) == k]:
+                mine = hit[np.isin(h[hit], self.seeds_of[n])]  # windows that share no shingle with an item of this size have similarity 0
+                if not len(mine):
+                    continue
                 w = n - k + 1  # shingles of a window
-                start = np.unique(hit[:, None] - np.arange(w)[None, :])
+                start = np.unique(mine[:, None] - np.arange(w)[None, :])
                 home = np.searchsorted(s.first, start, "right") - 1
                 ok = (start >= 0) & (home >= 0)
                 start, home = start[ok], home[ok]
