@@ -47,42 +47,46 @@ def _featurise(batches):
 
 
 def training_rows(docs: DataFrame, usable: Column) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of the bounded sample, in a fixed order."""
+    """Packed presence bits and languages of the bounded sample, in a fixed order."""
     narrow = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     langs = [r[0] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = narrow.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
     of = {r.doc_id: r.lang for r in chosen.select("doc_id", "lang").collect()}
     if not of:
-        return np.zeros((0, 1 << BITS), np.float32), []
+        return np.zeros((0, (1 << BITS) // 8), np.uint8), []
     texts = docs.where(F.col("doc_id").isin(list(of)) & usable).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got: dict[int, bytes] = {}
     for r in texts.mapInArrow(_featurise, "doc_id long, bits binary").collect():
         got[r.doc_id] = max(bytes(r.bits), got.get(r.doc_id, b""))
     ids = sorted(got, key=lambda i: (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, i))
-    x = np.unpackbits(np.frombuffer(b"".join(got[i] for i in ids), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
-    return x, [of[i] for i in ids]
+    return np.frombuffer(b"".join(got[i] for i in ids), np.uint8).reshape(len(ids), -1), [of[i] for i in ids]
+
+
+def _unit_rows(bits: np.ndarray) -> np.ndarray:
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    return x
 
 
 class Model:
     """Landmarks (their presence scaled to unit norm), coefficients and languages."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        self.langs = sorted(set(langs))
-        norm = np.sqrt(x.sum(axis=1))
-        x, y = x[norm > 0] / norm[norm > 0, None], np.array(langs)[norm > 0] if len(langs) else np.array([])
+    def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        some = bits.any(axis=1) if len(langs) else np.zeros(0, bool)
+        bits, y = bits[some], np.array(langs, object)[some]
         self.langs = sorted(set(y.tolist()))
         if not self.langs:
             return
         each = max(1, landmarks // len(self.langs))
         pick = np.sort(np.concatenate([np.flatnonzero(y == lang)[:each] for lang in self.langs]))
-        self.landmarks = np.ascontiguousarray(x[pick].T)
-        k = x @ self.landmarks
+        self.landmarks = np.ascontiguousarray(_unit_rows(bits[pick]).T)
+        k = np.concatenate([_unit_rows(bits[i : i + 256]) @ self.landmarks for i in range(0, len(bits), 256)])
         value, vector = np.linalg.eigh(k[pick].astype(np.float64))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
         phi = np.column_stack([k @ root, np.ones(len(k))])
-        target = np.where(y[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
+        target = np.where(y[:, None] == np.array(self.langs, object)[None, :], 1.0, -1.0)
         # each class counts the same
         weight = np.zeros(len(y))
         for lang in self.langs:
