@@ -8,8 +8,15 @@ tables, keys of 25 or 26 bits) in hash buckets whose number grows with the input
 Verification is edit similarity over words, 1 - distance / longer length >= ``THRESHOLD``. First the nodes of one
 fingerprint are chained, and under each key leaders (fingerprints not within the radius of an earlier leader) are
 paired with those within the radius: a linear number of pairs. Two more turns with other leaders look only
-at keys whose nodes are in more than one component. Last, all pairs of nodes with equal or near fingerprints that are
-still in different components are verified, so no link between components is lost and pairs inside a component are never listed. Word sequences of candidates only are fetched from the slices.
+at keys whose nodes are in more than one component. Word sequences of candidates only are fetched from the slices.
+
+Fingerprints only link families early; they miss most pairs of similarity 0.8 to 0.98. No pair is lost by segments: a line of n
+words that may differ by k = 0.2 n edits is cut into k + 1 segments, of which k edits leave one intact, so the first words
+of some segment are in the partner, at a place within k of it. Every line sends the hashes of its word grams
+of the (one to three) segment sizes of lines it can be near to, and which are its own segments; one bit comes back, whether
+another line has such a segment. Only grams that have go on with their node: leaders are paired under each
+gram, then all pairs that are still in different components, and verified by edit similarity. Pairs whose
+lengths, places or word parities (64 bits, an edit flips at most two) need more than k edits are never listed.
 Each group keeps its first occurrence (smallest doc_id, then place); every other occurrence goes.
 
 Defined cases: null text has no lines and stays null; lines without a word are never removed; lines end at newline
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import FIRST, NULL_ID, Slice, by_bucket, mix, pack, rows
+from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, Slice, answer, bucket_of, by_bucket, by_slice, column_parts, messages, mix, pack, replies, rows
 from .runtime import bucket_count, read, settle
 
 RADIUS = 3
@@ -67,6 +74,14 @@ class Lines:
         votes = np.add.reduceat(bits, self.begin[lines], axis=0, dtype=np.int32)
         return np.packbits(2 * votes > (self.stop - self.begin)[lines][:, None], axis=1).view("<u8")[:, 0]
 
+    def parities(self, lines: np.ndarray) -> np.ndarray:
+        """Bit i: whether an odd number of the line's words falls on i. A replaced word flips two bits at most, others one."""
+        some = self.numbers()
+        if not len(some):
+            return np.zeros(0, np.uint64)
+        bits = np.uint64(1) << (mix(self.hash) >> np.uint64(58))
+        return np.bitwise_xor.reduceat(bits, self.begin[some])[np.searchsorted(some, lines)]
+
 
 def _occurrences(batches):
     for row in rows(batches):
@@ -223,7 +238,7 @@ def _words_of(nodes: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, radius: int, threshold: float) -> DataFrame | None:
-    """(node, component) of the nodes that have a link."""
+    """(node, component) of the nodes that have a link by fingerprints."""
     prints = settle(nodes.groupBy("print").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("head")))
     own = F.col("print")
     near = _near_prints(prints.select("print", own.alias("lo"), own.alias("hi")), buckets, radius, 0)
@@ -238,23 +253,188 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, radius: int, thre
     chain = wanted.select(F.col("node").alias("u"), F.lag("node").over(order).alias("v")).where("v is not null")
     ends = lambda pq: pq.join(prints.select(F.col("print").alias("p"), F.col("head").alias("u")), "p").join(prints.select(F.col("print").alias("q"), F.col("head").alias("v")), "q").select("u", "v")
     links = _verified(chain.unionByName(ends(near)), words, threshold)
-    for turn in (1, 2, None):
+    for turn in (1, 2):
         part = settle(components(links))
         placed = settle(wanted.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
         spread = settle(placed.groupBy("print").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
         near = _near_prints(spread, buckets, radius, turn)
-        if turn is None:
-            break
         if near.isEmpty():
-            continue
+            return part
         links = settle(links.unionByName(_verified(ends(near), words, threshold)))
-    same = spread.where("lo <> hi").select(F.col("print").alias("p"), F.col("print").alias("q"))
-    left = near.unionByName(same).join(placed.select(F.col("print").alias("p"), F.col("node").alias("u"), F.col("component").alias("x")), "p")
-    right = placed.select(F.col("print").alias("q"), F.col("node").alias("v"), F.col("component").alias("y"))
-    pairs = settle(left.join(right, "q").where("x <> y and (p <> q or u < v)").select("u", "v"))
-    if pairs.isEmpty():
-        return part
-    return settle(components(settle(links.unionByName(_verified(pairs, words, threshold)))))
+    return settle(components(links))
+
+
+def _edits(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Edits allowed between a line of n words and one that is not longer."""
+    return np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
+
+
+def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 0 .. count - 1) of each row, row by row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _grams(x: Lines, lines: np.ndarray, threshold: float):
+    """(hash, index in lines, first word, own segment?) of the grams by which lines meet."""
+    n = x.stop[lines] - x.begin[lines]
+    longest = int(n.max(initial=0) / threshold) + 2
+    lengths = np.arange(longest + 1)
+    k = _edits(lengths, threshold)
+    gram = np.where(k > 0, lengths // (k + 1), 0)
+    prefix = FIRST.prefix(x.hash)
+    parts = []
+    for q in np.unique(gram[gram > 0]):
+        use = np.flatnonzero(gram == q)  # lengths of lines with segments of this size, met by lengths of use - k to use
+        meets = np.zeros(longest + 2, np.int64)
+        np.add.at(meets, use - k[use], 1)
+        np.add.at(meets, use + 1, -1)
+        mine = np.flatnonzero((np.cumsum(meets)[n] > 0) & (n >= q))
+        row, at = _ragged(n[mine] - q + 1)
+        row = mine[row]
+        own = np.zeros(len(row), bool)
+        own_lines = np.flatnonzero(gram[n[mine]] == q)
+        i, j = _ragged(k[n[mine[own_lines]]] + 1)
+        size = n[mine[own_lines[i]]]
+        begin = np.cumsum(n[mine] - q + 1) - (n[mine] - q + 1)
+        own[begin[own_lines[i]] + j * size // (k[size] + 1)] = True
+        first = x.begin[lines[row]] + at
+        parts.append((mix(FIRST.spans(prefix, first, first + q) + np.uint64(q)), row, at, own))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _wanted(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, nodes and components asked for in a slice, by line."""
+    want = sorted((w["line"], w["node"], w["component"]) for w in row["want"])
+    return tuple(np.array(v, np.int64) for v in zip(*want, strict=True))
+
+
+def _ask(buckets: int, threshold: float):
+    def run(batches):
+        for row in rows(batches):
+            h, _, _, own = _grams(Lines(row), _wanted(row)[0], threshold)
+            yield messages(row["sid"], bucket_of(h, buckets), buckets, gram=h.astype(np.uint32), own=own)
+
+    return run
+
+
+def _bits(table: pa.Table, name: str, parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(table.column(name), parts, strict=True)]).astype(bool)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Whether a gram is somebody's segment and there more than once (a segment is a gram of its own line, too)."""
+    parts = column_parts(table, "gram", np.uint32)
+    all_ = np.concatenate(parts)
+    order = np.argsort(all_, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], all_[order][1:] != all_[order][:-1])))
+    count = np.diff(np.append(new, len(all_)))
+    good = np.empty(len(all_), bool)
+    good[order] = np.repeat((count > 1) & np.logical_or.reduceat(_bits(table, "own", parts)[order], new), count)
+    return answer(table, np.split(good, np.cumsum([len(p) for p in parts])[:-1]))
+
+
+def _tell(buckets: int, threshold: float):
+    def run(batches):
+        for row in rows(batches):
+            x = Lines(row)
+            lines, nodes, component = _wanted(row)
+            h, i, at, own = _grams(x, lines, threshold)
+            hit = np.flatnonzero(replies(bucket_of(h, buckets), buckets, row["answers"], bool))
+            i = i[hit]
+            n = (x.stop - x.begin)[lines]
+            yield messages(
+                row["sid"], bucket_of(h[hit], buckets), buckets, gram=h[hit], node=nodes[i], component=component[i],
+                n=n[i].astype(np.int32), at=at[hit].astype(np.int32), parity=x.parities(lines)[i], own=own[hit],
+            )
+
+    return run
+
+
+class _Entries:
+    """Grams of a bucket in the order of gram, only those of more than one component."""
+
+    def __init__(self, table: pa.Table, threshold: float):
+        kinds = {"gram": np.uint64, "node": np.int64, "component": np.int64, "n": np.int32, "at": np.int32, "parity": np.uint64}
+        parts = {c: column_parts(table, c, kind) for c, kind in kinds.items()}
+        got = {c: np.concatenate(p) for c, p in parts.items()} | {"own": _bits(table, "own", parts["gram"])}
+        order = np.lexsort((got["node"], got["n"], got["gram"]))
+        got = {c: v[order] for c, v in got.items()}
+        first = np.flatnonzero(np.concatenate(([True], got["gram"][1:] != got["gram"][:-1])))
+        size = np.diff(np.append(first, len(order)))
+        part = got["component"]
+        open_ = (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)) & np.logical_or.reduceat(got["own"], first)
+        self.__dict__.update({c: v[np.repeat(open_, size)] for c, v in got.items()})
+        self.edits = _edits(self.n, threshold)
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs under one gram: in different components, and its place, the lengths and the words allow enough similarity."""
+        gap = np.abs(self.n[i] - self.n[j])
+        left, right = self.at[i] - self.at[j], (self.n[i] - self.at[i]) - (self.n[j] - self.at[j])
+        most = np.maximum(self.edits[i], self.edits[j])
+        segment = (self.own[i] & (self.n[i] >= self.n[j])) | (self.own[j] & (self.n[j] >= self.n[i]))
+        ok = segment & (self.component[i] != self.component[j]) & (np.abs(left) + np.abs(right) <= most)
+        return ok & (np.bitwise_count(self.parity[i] ^ self.parity[j]) <= 2 * most - gap)
+
+    def led(self):
+        """Pairs (leader, member) as in ``_leaders``."""
+        here, covered = np.arange(len(self.gram)), np.zeros(len(self.gram), bool)
+        while len(here):
+            g = self.gram[here]
+            begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            size = np.diff(np.append(begin, len(here)))
+            lead = np.repeat(here[begin], size)
+            member = (here != lead) & self.possible(here, lead)
+            yield lead[member], here[member]
+            covered[here[member]] = covered[lead] = True
+            here = here[~covered[here]]
+
+    def all(self):
+        """All possible pairs."""
+        for d in range(1, len(self.gram)):
+            same = np.flatnonzero(self.gram[d:] == self.gram[:-d])
+            if not len(same):
+                return
+            near = same[self.possible(same, same + d)]
+            yield near, near + d
+
+
+def _compare(threshold: float, led: bool):
+    def run(table: pa.Table) -> pa.Table:
+        e, seen = _Entries(table, threshold), []
+        for i, j in e.led() if led else e.all():
+            seen.append(np.stack((np.minimum(e.node[i], e.node[j]), np.maximum(e.node[i], e.node[j]))))
+        u, v = np.unique(np.concatenate(seen, axis=1), axis=1) if seen else np.zeros((2, 0), np.int64)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _segment_groups(nodes: DataFrame, part: DataFrame | None, slices: DataFrame, buckets: int, threshold: float) -> DataFrame | None:
+    """(node, component) of the nodes that have a link, given those of some of the links."""
+    spark = slices.sparkSession
+    links = part if part is None else settle(part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    part = part if part is not None else spark.createDataFrame([], "node long, component long")
+    entry = "sid long, bucket int, gram binary, node binary, component binary, n binary, at binary, parity binary, own binary"
+    answers = None
+    for led in (True, False):
+        placed = nodes.select("node", "at").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        want = placed.groupBy("at.sid").agg(F.collect_list(F.struct("at.line", "node", "component")).alias("want"))
+        asked = slices.join(want, "sid")
+        if answers is None:
+            sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, gram binary, own binary")
+            answers = settle(by_slice(sent.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "answers"))
+        told = asked.join(answers, "sid").mapInArrow(_tell(buckets, threshold), entry)
+        pairs = settle(told.groupBy("bucket").applyInArrow(_compare(threshold, led), "u long, v long").distinct())
+        if pairs.isEmpty():
+            break
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        more = _verified(pairs, _words_of(nodes.select("node", "at").join(ends, "node"), slices), threshold)
+        links = settle(more if links is None else links.unionByName(more))
+        part = settle(components(links))
+    return None if links is None else part
 
 
 def _cut(batches):
@@ -280,11 +460,13 @@ def remove_repeated_lines(docs: DataFrame, radius: int = RADIUS, threshold: floa
     """A row for each row of ``docs``: doc_id, n_lines, n_removed, kept_text (the lines left, joined by newlines)."""
     if not 0 <= radius <= 3:
         raise ValueError("two of five blocks are sure to agree within three bits only")
+    if not 0.5 < threshold <= 1:
+        raise ValueError("segments have words for thresholds above a half only")
     buckets = bucket_count(docs)
     slices = pack(docs)
     found = settle(slices.mapInArrow(_occurrences, "node long, print long, doc_id long, sid long, line int"))
     nodes = settle(found.groupBy("node", "print").agg(F.min(F.struct("doc_id", "sid", "line")).alias("at"), F.count(F.lit(1)).alias("k")))
-    part = _groups(nodes, slices, buckets, radius, threshold)
+    part = _segment_groups(nodes, _groups(nodes, slices, buckets, radius, threshold), slices, buckets, threshold)
     if part is None:
         first = nodes.where("k > 1").select("node", "at")
     else:

@@ -182,6 +182,59 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a.tolist(), b.tolist())
 
 
+def edited(rnd, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        i = rnd.randrange(len(words))
+        kind = rnd.choice("rrid")
+        words[i : i + (kind != "i")] = [] if kind == "d" and len(words) > 1 else [f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}"]
+    return words
+
+
+def kept_lines(texts, threshold):
+    """What is left of texts with lines of words: components of edit similarity alone, by all pairs."""
+    places = [(d, i, tuple(line.split())) for d, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
+    nodes = sorted({w for *_, w in places if w})
+    root = {w: w for w in nodes}
+
+    def find(w):
+        while root[w] != w:
+            w = root[w]
+        return w
+
+    for a, b in itertools.combinations(nodes, 2):
+        n = max(len(a), len(b))
+        if abs(len(a) - len(b)) <= (1 - threshold) * n + 1e-9 and plain(a, b) <= (1 - threshold) * n + 1e-9:
+            root[find(a)] = find(b)
+    seen, out = set(), [[] for _ in texts]
+    for d, _, w in places:
+        if not w or find(w) not in seen:
+            out[d].append(" ".join(w))
+        if w:
+            seen.add(find(w))
+    return ["\n".join(x) for x in out]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.7])
+def test_line_dedup_matches_brute_force_on_edit_similarity(spark, threshold):
+    rnd = random.Random(11)
+    vocabulary = [f"v{chr(97 + i)}" for i in range(26)] + [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    lines = []
+    for n in [*range(1, 41), 60, 120]:
+        base = [rnd.choice(vocabulary) for _ in range(n)]
+        lines.append(base)
+        for share in (0.02, 0.1, 0.19, 0.22):  # on both sides of the threshold
+            lines.append(edited(rnd, base, max(1, int(share * n + 0.5))))
+        lines.append(edited(rnd, lines[-2], n // 5))  # a chain
+    lines += [[rnd.choice("abc") for _ in range(rnd.randint(3, 9))] for _ in range(60)]
+    rnd.shuffle(lines)
+    texts = ["\n".join(" ".join(w) for w in lines[i : i + 9]) for i in range(0, len(lines), 9)]
+    want = kept_lines(texts, threshold)
+    got = {r.doc_id: r.kept_text for r in line_dedup.remove_repeated_lines(table(spark, texts), threshold=threshold).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(t.count("\n") for t in want) < sum(t.count("\n") for t in texts) - 60
+
+
 def test_decontamination_matches_brute_force(spark):
     norm = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
     rnd = random.Random(4)
