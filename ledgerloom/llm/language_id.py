@@ -5,8 +5,9 @@ numbers each has. ``LANDMARKS`` training texts span a Nyström feature space; ke
 against the rest, is a closed-form solve on the driver. Scoring is two matrix products a batch: presence times landmarks,
 then times coefficients. Grams are hashed to 2**BITS columns.
 
-Training reads at most ``PER_LANGUAGE`` rows of each language and ``LANGUAGES`` languages (the most frequent ones), chosen by
-hash of the id; they come to the driver as bit sets of 2**BITS / 8 bytes, so its memory has a fixed bound.
+Every non-null language is learned. Training reads at most ``PER_LANGUAGE`` rows of each, and fewer (one at least) where the
+languages are so many that this would be over ``TRAINING_ROWS`` in all, chosen by hash of the id; they come to the driver
+as bit sets of 2**BITS / 8 bytes.
 Nothing else is bounded: every whole text is scored.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0, as is everything when nothing can be
@@ -29,7 +30,7 @@ SIZES = (1, 2, 3)
 BITS = 14
 LANDMARKS = 96
 PER_LANGUAGE = 500
-LANGUAGES = 64
+TRAINING_ROWS = 64 * PER_LANGUAGE
 RIDGE = 1e-4
 ROW_ID = "_row_of_scoring"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -49,9 +50,9 @@ def _featurise(batches):
 def training_rows(docs: DataFrame, usable: Column) -> tuple[np.ndarray, list[str]]:
     """Packed presence bits and languages of the bounded sample, in a fixed order."""
     narrow = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    langs = [r[0] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    each = max(1, min(PER_LANGUAGE, TRAINING_ROWS // max(1, narrow.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = narrow.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
+    chosen = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
     of = {r.doc_id: r.lang for r in chosen.select("doc_id", "lang").collect()}
     if not of:
         return np.zeros((0, (1 << BITS) // 8), np.uint8), []
@@ -86,13 +87,16 @@ class Model:
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
         phi = np.column_stack([k @ root, np.ones(len(k))])
-        target = np.where(y[:, None] == np.array(self.langs, object)[None, :], 1.0, -1.0)
         # each class counts the same
         weight = np.zeros(len(y))
         for lang in self.langs:
             weight[y == lang] = 1 / (y == lang).sum()
         left = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-        b = np.linalg.solve(left, (phi * weight[:, None]).T @ target)
+        names, right = np.array(self.langs, object), []
+        for i in range(0, len(names), 64):
+            target = np.where(y[:, None] == names[None, i : i + 64], 1.0, -1.0)
+            right.append((phi * weight[:, None]).T @ target)
+        b = np.linalg.solve(left, np.concatenate(right, axis=1))
         self.coefficients, self.bias = (root @ b[:-1]).astype(np.float32), b[-1].astype(np.float32)
 
     def score(self, presence: np.ndarray) -> np.ndarray:

@@ -391,6 +391,20 @@ def test_language_id_learns_and_rejects(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rnd = random.Random(5)
+    texts, langs = [], []
+    for i in range(70):  # each with letters of its own
+        letters = [chr(0x4E00 + 7 * i + j) for j in range(5)]
+        for _ in range(3 if i < 69 else 2):
+            texts.append(" ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(12)))
+            langs.append(f"l{i:02d}")
+    docs = table(spark, texts, langs=langs)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs, F.lit(True))).collect()}
+    assert set(got.values()) == set(langs)
+    assert sum(got[i] == lang for i, lang in enumerate(langs)) >= 0.95 * len(langs)
+
+
 def test_toxicity_learns_stems(spark):
     rnd = random.Random(2)
     words = ["".join(rnd.choice(["ta", "ri", "mo", "ne", "lu", "sh"]) for _ in range(3)) for _ in range(300)]
