@@ -2,7 +2,8 @@
 
 Texts are lower-cased and cut into words at everything ASCII that is neither letter nor digit. An item is its weighted
 set of ``shingle``-word shingles (weight: how often it occurs); items with fewer words are one shingle. A window of
-a document is as many words as the item has. Every window that shares a shingle with any item of its size gets a 64-bit
+a document is as many words as the item has; a document with fewer words that shares a shingle is one window, verified
+by the exact cosine whatever its fingerprint. Every other window that shares a shingle with any item of its size gets a 64-bit
 SimHash of its weighted shingles (windows that share none have similarity 0 and need no fingerprint). Fingerprints are split
 into blocks; two within ``radius`` differ by at most radius // blocks in some block, so probing every block's table
 with all values that near finds all item fingerprints within the radius. Candidates in the radius are then verified by
@@ -156,6 +157,7 @@ class ItemIndex:
                     continue
                 w = n - k + 1  # shingles of a window
                 start = np.unique(mine[:, None] - np.arange(w)[None, :])
+                self.search_short(s, h, mine, n, k, threshold, best)
                 home = np.searchsorted(s.first, start, "right") - 1
                 ok = (start >= 0) & (home >= 0)
                 start, home = start[ok], home[ok]
@@ -174,6 +176,19 @@ class ItemIndex:
                                     best[d, m] = mark
         return [(d, m, x[1], x[2], x[3], x[4]) for (d, m), x in best.items()]
 
+    def search_short(self, s: Slice, h: np.ndarray, hits: np.ndarray, n: int, k: int, threshold: float, best: dict[tuple[int, int], tuple]) -> None:
+        """Documents shorter than items of n words and with a shingle of one: the whole document is the window."""
+        for d in np.unique(np.searchsorted(s.first, hits, "right") - 1).tolist():
+            words = int(s.count[d])
+            if words >= n:
+                continue
+            row = h[int(s.first[d]) : int(s.first[d]) + words - k + 1]
+            p = int(simhash(row[None, :])[0])
+            for m in self.by_size[n].tolist():
+                c = self.cosine(m, row)
+                if c >= threshold - 1e-12:
+                    best[d, m] = (-c, 0, words, (int(self.prints[m]) ^ p).bit_count(), c)
+
 
 def _searcher(index, threshold: float):
     def run(batches):

@@ -266,6 +266,21 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.find_leaks(table(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_shortened_items(spark):
+    rnd = random.Random(8)
+    words = [f"u{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    item = rnd.sample(words, 59)
+    texts = [" ".join(w) for w in (item[:-1], item[3:], item[:30] + item[31:], item[:20], rnd.sample(words, 40))] + ["alone"]
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "gone")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(table(spark, texts), items).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for d, w in enumerate((item[:-1], item[3:], item[:30] + item[31:])):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, item))
+        assert got[d].similarity == pytest.approx(len(a & b) / math.sqrt(len(a) * len(b))) and (got[d].start, got[d].n_words) == (0, len(w))
+    left = decontamination.clean_documents(table(spark, texts), items)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+
+
 def test_multi_index_finds_all_within_radius():
     rnd = np.random.default_rng(2)
     items = [(i, " ".join(f"z{rnd.integers(300)}" for _ in range(20))) for i in range(30)]
