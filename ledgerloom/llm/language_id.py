@@ -135,19 +135,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def _keeper(model):
     def run(batches):
-        m = model.value
         for batch in batches:
             names = batch.schema.names
-            pred = [x.column(1) for x in _scorer(model)(iter([pa.RecordBatch.from_arrays([batch.column(names.index(ROW_ID)), batch.column(names.index("text"))], ["doc_id", "text"])]))]
-            pred = pa.concat_arrays(pred) if pred else pa.array([], pa.string())
-            known = pa.array(np.asarray(pred.to_numpy(zero_copy_only=False) != "und", bool), pa.bool_()) if m.langs else pa.array([True] * len(pred), pa.bool_())
+            one = pa.RecordBatch.from_arrays([batch.column(names.index(ROW_ID)), batch.column(names.index("text"))], ["doc_id", "text"])
+            if model.value.langs:
+                known = [np.asarray(x.column(1).to_numpy(zero_copy_only=False) != "und", bool) for x in _scorer(model)(iter([one]))]
+            else:
+                known = [t.has_letter() & ~t.null for _, t in folded_batches(iter([one]))]
+            known = pa.array(np.concatenate([np.zeros(0, bool), *known]), pa.bool_())
             yield batch.filter(known).drop_columns([ROW_ID])
 
     return run
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language: not null, and with a letter. Without a model all rows stay."""
+    """The rows of ``docs`` whose text is in some language: not null, and with a letter, whether or not a language was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.withColumns({ROW_ID: F.lit(0).cast("long"), "text": F.col("text").cast("string")})
     return kept.mapInArrow(_keeper(shared), docs.schema)

@@ -420,6 +420,14 @@ def test_language_id_learns_every_language(spark):
     assert sum(got[i] == lang for i, lang in enumerate(langs)) >= 0.95 * len(langs)
 
 
+def test_language_stage_rejects_letterless_texts_without_a_model(spark):
+    texts = ["one two", None, "12 34 --", "", "été"]
+    for langs in ([None] * 5, ["en", "en", "en", "en", "fr"]):
+        docs = table(spark, texts, langs=langs)
+        kept = language_id.keep_identified(docs, language_id.fit(docs, F.lit(True)))
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 4]
+
+
 def test_toxicity_learns_stems(spark):
     rnd = random.Random(2)
     words = ["".join(rnd.choice(["ta", "ri", "mo", "ne", "lu", "sh"]) for _ in range(3)) for _ in range(300)]
