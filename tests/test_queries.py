@@ -38,3 +38,22 @@ def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(oracle.ORACLE) == set(PLAIN) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hybrid_recall_has_both_lanes(spark, sf):
+    import numpy as np
+
+    from ledgerloom.operators import search
+    from ledgerloom.plans import views as V
+
+    assert "recall_hybrid" not in catalog.queries()
+    got = [r.seq for r in __spark_entry__.queries()["recall_hybrid"](spark, sf).collect()]
+    texts = V.texts(catalog.claims(spark, sf).unionByName(catalog.spoken(spark, sf)))
+    rows_ = V.embeddable(texts).select("session", "seq", "kind", search.hashed_embedding("text").alias("v")).collect()
+    q = np.array(search.embed_query("urgent order", spark))
+    v = np.array([r.v for r in rows_])
+    cosine = np.round(v @ q / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(q), 1e-12), 9)
+    nearest = [rows_[i] for i in sorted(range(len(rows_)), key=lambda i: (-cosine[i], rows_[i].session, rows_[i].seq))[:3]]
+    spoken_word = {r.seq for r in search.bm25(texts, "urgent order", 24, ["session", "seq"]).collect()}
+    assert 0 < len(got) <= 12 and all(r.seq in got for r in nearest if r.kind == "obs") and any(r.kind == "obs" for r in nearest)
+    assert set(got) & spoken_word
