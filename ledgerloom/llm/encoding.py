@@ -5,7 +5,8 @@ cuts and no normalisation crosses: between two ASCII bytes of different kind (le
 neither of them an apostrophe. Pieces are looked up by hash in a cache of encoded pieces; new ones go to the
 library. Slices that hold the text of a special token's opening are cut at white space only and keep their case.
 
-The cache is bounded (``KEPT`` pieces); when full it starts anew, which changes nothing but time.
+The cache is bounded (``KEPT_BYTES`` of its arrays); when full it starts anew, which changes nothing but time. A batch of new
+pieces beyond the bound is held for as long as its slice needs it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 
 from .packed import LOWER, WORDS, Slice
 
-KEPT = 2_000_000
+KEPT_BYTES = 32 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 _KIND = np.full(256, 4, np.uint8)  # 0 separator, 1 letter, 2 digit, 3 other ASCII, 4 beyond ASCII, 5 apostrophe
@@ -57,8 +58,11 @@ class Encoder:
     def _reset(self):
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _bytes(self) -> int:
+        return self.keys.nbytes + self.at.nbytes + self.size.nbytes + self.flat.nbytes
 
     def _piece(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
@@ -68,19 +72,15 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]):
-        if len(self.keys) + len(keys) > KEPT:
-            self._reset()
         ids = [self._piece(p) for p in pieces]
-        size = np.array([len(x) for x in ids], np.int64)
+        size = np.array([len(x) for x in ids], np.int32)
         flat = np.array([t for x in ids for t in x], np.uint32)
-        if len(flat) and flat.max() > 0xFFFF:
-            raise ValueError("token ids do not fit in 16 bits")
         keys = np.concatenate((self.keys, keys))
         at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
         size = np.concatenate((self.size, size))
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size = keys[order], at[order], size[order]
-        self.flat = np.concatenate((self.flat, flat.astype(np.uint16)))
+        self.flat = np.concatenate((self.flat, flat))
 
     def _cut(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, and starts and ends of pieces."""
@@ -98,21 +98,21 @@ class Encoder:
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids, tokens of each document) of a slice."""
         if not len(s.raw):
-            return np.zeros(0, np.uint16), np.zeros(len(s.ids), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(s.ids), np.int64)
         buf, start, end = self._cut(s)
         h = WORDS.spans(WORDS.prefix(WORDS.bytes[buf]), start, end) + (end - start).astype(np.uint64)
         keys, first, which = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
+            if self._bytes() > KEPT_BYTES:
+                self._reset()
+                new[:] = True  # the known ones are needed too
             data = buf.tobytes()
-            was = len(self.keys)
             self._learn(keys[new], [data[start[i] : end[i]] for i in first[new]])
-            if len(self.keys) != was + new.sum():  # the cache began anew: the known ones are needed too
-                self._learn(keys[~new], [data[start[i] : end[i]] for i in first[~new]])
             at = np.searchsorted(self.keys, keys)
         place, size = self.at[at][which], self.size[at][which]
-        total = np.cumsum(size)
+        total = np.cumsum(size, dtype=np.int64)
         ids = self.flat[np.arange(total[-1] if len(total) else 0) - np.repeat(total - size - place, size)]
         upto = np.concatenate(([0], total))
         return ids, np.diff(upto[np.searchsorted(start, s.byte)])

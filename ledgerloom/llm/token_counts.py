@@ -30,16 +30,18 @@ BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 8 << 20
 
 
-def _writer(folder: str, vocabulary: str, end: int, file_tokens: int):
+def _writer(folder: str, vocabulary: str, end: int, file_tokens: int, width: int):
+    kind = np.dtype("<u2" if width == 2 else "<u4")
+
     def run(batches):
         encoder = Encoder(vocabulary, special=False)
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
             nonlocal n, held, size
-            name = f"{part:06d}-{n:06d}.u16"
-            put(f"{folder}/{name}", b"".join(t.astype("<u2").tobytes() for _, t, _ in held))
-            ids = pa.concat_arrays([i for i, _, _ in held])
+            name = f"{part:06d}-{n:06d}.u{8 * width}"
+            put(f"{folder}/{name}", b"".join(t for _, t in held))
+            ids = pa.concat_arrays([i for i, _ in held])
             n, held, size = n + 1, [], 0
             return pa.RecordBatch.from_pydict({"file": pa.array([name] * len(ids), pa.string()), "ordinal": pa.array(np.arange(len(ids)), pa.int64()), "doc_id": ids})
 
@@ -48,7 +50,9 @@ def _writer(folder: str, vocabulary: str, end: int, file_tokens: int):
             for ids, lens, buf in batch_slices(batch.column(0), batch.column(1)):
                 tokens, sizes = encoder.encode(Slice(ids, lens, buf))
                 out = np.insert(tokens, np.cumsum(sizes), end)
-                held.append((batch.column(0)[done : done + len(ids)], out, None))
+                if len(out) and out.max() > np.iinfo(kind).max:
+                    raise ValueError("ids of this vocabulary need files of four bytes an id")
+                held.append((batch.column(0)[done : done + len(ids)], out.astype(kind).tobytes()))
                 done, size = done + len(ids), size + len(out)
                 if size >= file_tokens:
                     yield flush()
@@ -58,10 +62,10 @@ def _writer(folder: str, vocabulary: str, end: int, file_tokens: int):
     return run
 
 
-def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write flat files; returns which document is which of each file: (file, ordinal, doc_id), written out."""
+def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS, width: int = 2) -> DataFrame:
+    """Write flat files of ``width`` bytes an id; returns which document is which of each file: (file, ordinal, doc_id), written out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return settle(rows.mapInArrow(_writer(folder, vocabulary or vocabulary_path(), end, file_tokens), "file string, ordinal long, doc_id long"))
+    return settle(rows.mapInArrow(_writer(folder, vocabulary or vocabulary_path(), end, file_tokens, width), "file string, ordinal long, doc_id long"))
 
 
 def _scan(folder: str, end: int, width: int):

@@ -9,8 +9,9 @@ File layout (little-endian), one file a shard of documents:
             packed values (BLOCK * width bits, low bits first), exception places u16[], exception values u32[]
 
 A block holds BLOCK = 256 ids (the last one is filled up with its base). The block's minimum is subtracted, the width is the smallest one that
-holds the ``percentile`` share of the differences, and the rest are kept whole in the exception list. All blocks
-with one width are packed and unpacked in one vectorised step; the index makes any block readable alone.
+holds the ``percentile`` share of the differences, and the rest are kept whole in the exception list. Blocks with one
+width are packed and unpacked in one vectorised step, at most ``RUN`` blocks at a time; a writer holds packed bytes and one
+such run of ids. The index makes any block readable alone.
 
 Files are written by the executors to a URI that all of them share, under a name made of the attempt, and moved
 into place when whole, so a repeated task replaces its own file.
@@ -37,6 +38,7 @@ from .runtime import bucket_count, fresh_dir, read, settle
 
 MAGIC = b"LLPFOR1\0"
 BLOCK = 256
+RUN = 1024  # blocks packed or unpacked at a time
 END = 2
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<8sQQQ")
@@ -49,11 +51,9 @@ def _widths(diff: np.ndarray, percentile: float) -> np.ndarray:
     return np.ceil(np.log2(value.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def pack_blocks(ids: np.ndarray, percentile: float = 98.0) -> tuple[np.ndarray, bytes]:
-    """(index, block area) of an array of ids below 2**32."""
+def _pack_run(ids: np.ndarray, percentile: float) -> list[bytes]:
+    """The blocks of at most ``RUN`` blocks' worth of ids."""
     n = -(-len(ids) // BLOCK)
-    if not n:
-        return np.zeros(1, "<u8"), b""
     full = np.empty(n * BLOCK, np.uint32)
     full[: len(ids)] = ids
     full[len(ids) :] = ids[(n - 1) * BLOCK :].min()
@@ -75,40 +75,86 @@ def pack_blocks(ids: np.ndarray, percentile: float = 98.0) -> tuple[np.ndarray,
         for k, r in enumerate(rows):
             i, j = first[k], first[k + 1]
             out[r] = struct.pack("<IBBH", int(base[r]), int(w), 0, int(j - i)) + packed[k].tobytes() + place[i:j].tobytes() + value[i:j].tobytes()
-    index = np.zeros(n + 1, "<u8")
-    np.cumsum([len(b) for b in out], out=index[1:])
-    return index, b"".join(out)
+    return out
 
 
-def unpack_blocks(index: np.ndarray, area: np.ndarray, n_tokens: int) -> np.ndarray:
-    """The ids of consecutive blocks: ``index`` has their starts and the end, ``area`` begins at the first of them."""
+def pack_blocks(ids: np.ndarray, percentile: float = 98.0) -> tuple[np.ndarray, bytes]:
+    """(index, block area) of an array of ids below 2**32."""
+    blocks = [b for i in range(0, len(ids), RUN * BLOCK) for b in _pack_run(ids[i : i + RUN * BLOCK], percentile)]
+    index = np.zeros(len(blocks) + 1, "<u8")
+    np.cumsum([len(b) for b in blocks], out=index[1:])
+    return index, b"".join(blocks)
+
+
+def _unpack_run(index: np.ndarray, area: np.ndarray) -> np.ndarray:
     n = len(index) - 1
-    at = (index - index[0]).astype(np.int64)[:-1] if n else np.zeros(0, np.int64)
+    at = (index - index[0]).astype(np.int64)[:-1]
     word = lambda offset, size, kind: area[at[:, None] + offset + np.arange(size)].view(kind)[:, 0]
     out = np.zeros((n, BLOCK), np.uint32)
-    if n:
-        base, width, many = word(0, 4, "<u4"), area[at + 4], word(6, 2, "<u2").astype(np.int64)
-        for w in np.unique(width):
-            rows = np.flatnonzero(width == w)
-            size = BLOCK * int(w) // 8
-            if w:
-                bits = np.unpackbits(area[at[rows][:, None] + 8 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-                pad = np.zeros((len(rows), BLOCK, 32), np.uint8)
-                pad[:, :, :w] = bits
-                out[rows] = np.packbits(pad, axis=2, bitorder="little").view("<u4")[:, :, 0]
-            if k := many[rows].sum():
-                row = np.repeat(rows, many[rows])
-                nth = np.arange(k) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
-                place = area[(at[row] + 8 + size + 2 * nth)[:, None] + np.arange(2)].view("<u2")[:, 0]
-                value = area[(at[row] + 8 + size + 2 * many[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
-                out[row, place] = value
-        out += base[:, None]
-    return out.reshape(-1)[:n_tokens]
-
-
-def file_bytes(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, percentile: float = 98.0) -> bytes:
-    index, area = pack_blocks(ids, percentile)
-    return _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(index) - 1) + doc_ids.astype("<i8").tobytes() + ends.astype("<u8").tobytes() + index.tobytes() + area
+    base, width, many = word(0, 4, "<u4"), area[at + 4], word(6, 2, "<u2").astype(np.int64)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        size = BLOCK * int(w) // 8
+        if w:
+            bits = np.unpackbits(area[at[rows][:, None] + 8 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+            pad = np.zeros((len(rows), BLOCK, 32), np.uint8)
+            pad[:, :, :w] = bits
+            out[rows] = np.packbits(pad, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        if k := many[rows].sum():
+            row = np.repeat(rows, many[rows])
+            nth = np.arange(k) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
+            place = area[(at[row] + 8 + size + 2 * nth)[:, None] + np.arange(2)].view("<u2")[:, 0]
+            value = area[(at[row] + 8 + size + 2 * many[row] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+            out[row, place] = value
+    out += base[:, None]
+    return out.reshape(-1)
+
+
+def unpack_blocks(index: np.ndarray, area: np.ndarray, n_tokens: int) -> np.ndarray:
+    """The ids of consecutive blocks: ``index`` has their starts and the end, ``area`` begins at the first of them."""
+    out = np.zeros(n_tokens, np.uint32)
+    for i in range(0, len(index) - 1, RUN):
+        part = index[i : i + RUN + 1]
+        lo, hi = (int(x - index[0]) for x in (part[0], part[-1]))
+        begin = i * BLOCK
+        size = min(n_tokens - begin, (len(part) - 1) * BLOCK)
+        out[begin : begin + size] = _unpack_run(part, area[lo:hi])[:size]
+    return out
+
+
+class FileBuilder:
+    """One file in the making: ids are packed as soon as a run of blocks is full, so only packed bytes and a run are held."""
+
+    def __init__(self, percentile: float):
+        self.percentile = percentile
+        self.docs: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.blocks: list[bytes] = []
+        self.tail: list[np.ndarray] = []
+        self.waiting = self.n_tokens = 0
+
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append(doc_ids)
+        self.sizes.append(sizes)
+        self.n_tokens += len(ids)
+        run = RUN * BLOCK
+        while self.waiting + len(ids) >= run:
+            take = run - self.waiting
+            self.blocks += _pack_run(np.concatenate((*self.tail, ids[:take])), self.percentile)
+            self.tail, self.waiting, ids = [], 0, ids[take:]
+        if len(ids):
+            self.tail.append(ids.copy())
+            self.waiting += len(ids)
+
+    def finish(self) -> tuple[bytes, int, int]:
+        """(file, documents, ids)"""
+        if self.waiting:
+            self.blocks += _pack_run(np.concatenate(self.tail), self.percentile)
+        doc_ids, ends = np.concatenate(self.docs), np.cumsum(np.concatenate(self.sizes))
+        index = np.zeros(len(self.blocks) + 1, "<u8")
+        np.cumsum([len(b) for b in self.blocks], out=index[1:])
+        head = _HEAD.pack(MAGIC, len(doc_ids), self.n_tokens, len(self.blocks))
+        return b"".join((head, doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes(), index.tobytes(), *self.blocks)), len(doc_ids), self.n_tokens
 
 
 def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,26 +190,23 @@ def _writer(folder: str, vocabulary: str, end: int, percentile: float, file_toke
     def run(batches):
         encoder = Encoder(vocabulary)
         part, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        made = FileBuilder(percentile)
 
-        def flush():
-            nonlocal n, held
-            ids, sizes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        def flush(made: FileBuilder, n: int):
             name = f"{part:06d}-{n:06d}.tok"
-            put(f"{folder}/{name}", file_bytes(ids, np.cumsum(sizes), tokens, percentile))
-            n, held = n + 1, []
-            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64())})
+            data, n_docs, n_tokens = made.finish()
+            put(f"{folder}/{name}", data)
+            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
         for batch in batches:
             for ids, lens, buf in batch_slices(batch.column(0), batch.column(1)):
                 tokens, sizes = encoder.encode(Slice(ids, lens, buf))
-                at = np.cumsum(sizes)
-                out = np.insert(tokens, at, end)
-                held.append((ids, sizes + 1, out))
-                if sum(len(h[2]) for h in held) >= file_tokens:
-                    yield flush()
-        if held:
-            yield flush()
+                made.add(ids, sizes + 1, np.insert(tokens, np.cumsum(sizes), end))
+                if made.n_tokens >= file_tokens:
+                    yield flush(made, n)
+                    made, n = FileBuilder(percentile), n + 1
+        if made.docs:
+            yield flush(made, n)
 
     return run
 
@@ -182,9 +225,8 @@ def _reader(batches):
     for batch in batches:
         for name, data in zip(batch.column(0), batch.column(1), strict=True):
             doc_ids, ends, index, area = parse_file(data.as_py())
-            ids = unpack_blocks(index, area, int(ends[-1]) if len(ends) else 0)
-            raw, begin = ids.astype("<u4").tobytes(), np.concatenate(([0], ends[:-1])).astype(np.int64)
-            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begin, ends.astype(np.int64), strict=True)]
+            raw, begin = memoryview(unpack_blocks(index, area, int(ends[-1]) if len(ends) else 0).astype("<u4", copy=False)), np.concatenate(([0], ends[:-1])).astype(np.int64)
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip(begin, ends.astype(np.int64), strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID),
                 "name": pa.array([name.as_py()] * len(ends), pa.string()),
