@@ -8,9 +8,10 @@ byte a shingle (a monotone code of the count; 0 marks a shingle of one document,
 1. Equal sets are one class; classes with an identical prefix and size are one group, and only groups have postings.
 2. Star rounds: in each posting list every group is paired with the list's centre (fewest unique shingles), which
    is a linear number of pairs. Links found that way join classes into components.
-3. Last round: what is left are pairs of classes that share a posting, pass the length and positional filters and are
-   still in different components. All of these are verified, so no link between components is lost, while the pairs
-   inside a component are never listed.
+   In each group every class is paired with one of them, too.
+3. Last round: what is left are pairs of classes that share a posting or a group, pass the length and positional filters
+   and are still in different components. All of these are verified, so no link between components is lost, while the
+   pairs inside a component are never listed. Lists and groups of many rows are dealt over salts.
 
 Verification intersects whole sets: the partners of one class travel to it in chunks of at most about ``CHUNK``, so
 neither a large group nor a frequent shingle meets in one task.
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import (ANSWER_SCHEMA, FIRST, LOWER, NULL_ID, SECOND, Slice, answer, bucket_of, by_slice, column_parts, messages, mix, pack, replies, rows)
-from .runtime import bucket_count, settle
+from .runtime import bucket_count, free_name, settle
 
 CHUNK = 256
-STAR_ROUNDS = 3
+SPLIT = 2048
+STAR_ROUNDS = 2
 _SETS = "rid long, doc_id long, n int, f1 long, f2 long, g long, uniq int, toks array<long>, poss array<int>, members binary"
 
 
@@ -143,6 +145,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return settle(left.groupBy("x", "c").cogroup(right.groupBy("a", "chunk")).applyInArrow(_check(num, den), "u long, v long"))
 
 
+def _group_stars(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, c): the classes of each group with its centre, where they are not yet in one component."""
+    centre = members.groupBy("gid").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h") if turn else F.lit(0).alias("h"), "node", "component")).alias("z"))
+    rest = members.join(centre, "gid").where((F.col("node") != F.col("z.node")) & (F.col("component") != F.col("z.component")))
+    return rest.select(F.col("z.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("c"))
+
+
+def _joined(part: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Edges of the components so far and of new links."""
+    return links if part is None else part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+
+
+def _halves(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on ``key``: rows of a key with more than ``SPLIT`` are dealt over salts on the left and repeated for each on the right."""
+    size = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("salts"))
+    rows = rows.join(size, key)
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("salts")
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return left, right.select(key, "salt", *(F.col(c).alias(f"{c}_2") for c in rows.columns if c not in (key, "salts")))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, and set_id, which equal sets share."""
     t = Fraction(str(threshold))
@@ -150,9 +173,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     buckets = bucket_count(docs)
     slices = pack(docs)
     sent = slices.mapInArrow(_send(buckets, words), "sid long, bucket int, prints binary")
-    df = settle(by_slice(sent.groupBy("bucket").applyInArrow(_frequency, ANSWER_SCHEMA), "df"))
+    df = settle(by_slice(sent.groupBy("bucket").applyInArrow(_frequency, ANSWER_SCHEMA), "df"), large=True)
     del sent
-    found = settle(slices.join(df, "sid", "left").mapInArrow(_prefixes(buckets, words, num, den), _SETS))
+    found = settle(slices.join(df, "sid", "left").mapInArrow(_prefixes(buckets, words, num, den), _SETS), large=True)
     del slices, df
 
     same = ("f1", "f2", "n")
@@ -171,36 +194,39 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
 
     long_enough = lambda m, n: F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n)
     alpha = lambda m, n: F.ceil((m + n) * num / F.lit(float(num + den)) - 1e-9)
-    links, part = None, None
+    part = None
+    members = of_group.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS):
         live = entries
         if part is not None:
             live = entries.join(part.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
             open_ = live.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
             live = settle(live.join(open_, "tok", "left_semi"))
-            if live.isEmpty():
-                break
         order = F.struct(F.col("uniq") if turn % 2 == 0 else F.lit(0).alias("uniq"), F.xxhash64(F.lit(turn), "gid"), "gid", "n")
         centre = live.groupBy("tok").agg(F.min(order).alias("c")).select("tok", F.col("c.gid").alias("a"), F.col("c.n").alias("m"))
         pairs = live.join(centre, "tok").where((F.col("a") != F.col("gid")) & long_enough(F.col("m"), F.col("n"))).select("a", F.col("gid").alias("b"), F.lit(1).alias("c"))
-        if turn == 0:  # and the other classes of each group
-            pairs = pairs.unionByName(of_group.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"), F.lit(1).alias("c")))
-        new = _verify(pairs, sets, num, den)
-        links = new if links is None else settle(links.unionByName(new))
-        part = settle(components(links))
+        inner = _group_stars(members, turn)
+        if turn and live.isEmpty() and inner.isEmpty():
+            break
+        part = settle(components(_joined(part, _verify(pairs.unionByName(inner), sets, num, den))), large=True)
+        members = settle(of_group.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
-    members = of_group.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     live = entries.join(spread, "gid")
     open_ = live.groupBy("tok").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y")
-    live = settle(live.join(open_, "tok", "left_semi").join(members, "gid").select("tok", "node", "n", "pos", "component"))
-    if not live.isEmpty():
-        right = live.select("tok", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "component")))
-        n, m = F.col("n"), F.col("n_2")
-        most = 1 + F.least(n - F.col("pos") - 1, m - F.col("pos_2") - 1)
-        pairs = live.join(right, (live["tok"] == right["tok"]) & (F.col("node") > F.col("node_2")) & (F.col("component") != F.col("component_2")) & long_enough(n, m) & (most >= alpha(n, m)))
-        new = _verify(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")), sets, num, den)
-        part = settle(components(settle(links.unionByName(new))))
+    live = live.join(open_, "tok", "left_semi").join(members, "gid").select("tok", "gid", "node", "n", "pos", "component")
+    n, m = F.col("n"), F.col("n_2")
+    most = 1 + F.least(n - F.col("pos") - 1, m - F.col("pos_2") - 1)
+    left, right = _halves(settle(live), "tok")
+    pairs = left.join(right, ["tok", "salt"]).where((F.col("gid") != F.col("gid_2")) & (F.col("node") > F.col("node_2")) & (F.col("component") != F.col("component_2")) & long_enough(n, m) & (most >= alpha(n, m)))
+    # classes of one group share their whole prefix, so no posting list tells them apart
+    inside = members.join(spread.where("lo <> hi").select("gid"), "gid", "left_semi")
+    left, right = _halves(settle(inside), "gid")
+    inner = left.join(right, ["gid", "salt"]).where((F.col("node") > F.col("node_2")) & (F.col("component") != F.col("component_2")))
+    ends = (F.col("node").alias("a"), F.col("node_2").alias("b"))
+    pairs = settle(pairs.select(*ends).unionByName(inner.select(*ends)).distinct())
+    if not pairs.isEmpty():
+        part = settle(components(_joined(part, _verify(pairs, sets, num, den))), large=True)
 
     placed = classes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rowwise = found.select("rid", "doc_id", *same).join(placed, list(same), "left").withColumn("component", F.coalesce("component", "rid"))
@@ -221,14 +247,15 @@ def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     ids = docs.select(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")).distinct()
     grouped = found.join(ids, "key").groupBy("c").agg(F.min(F.struct("id", "key")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
     headed = settle(found.join(grouped.select("c", F.col("head.key").alias("stays")), "c"))
-    gone = headed.where("key <> stays").select(F.col("key").alias("_key")).distinct()
-    twice = settle(headed.where("key = stays").groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")))
-    keyed = docs.withColumn("_own", key)
+    own, other = free_name(docs, "own"), free_name(docs, "other")
+    gone = headed.where("key <> stays").select(F.col("key").alias(other)).distinct()
+    twice = settle(headed.where("key = stays").groupBy("key").count().where("count > 1").select(F.col("key").alias(other)))
+    keyed, met = docs.withColumn(own, key), F.col(own) == F.col(other)
     if twice.isEmpty():
-        return keyed.join(gone, F.col("_own") == F.col("_key"), "left_anti").select(*docs.columns)
-    rest = keyed.join(gone.unionByName(twice), F.col("_own") == F.col("_key"), "left_anti")
-    once = keyed.join(twice, F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])
-    return rest.unionByName(once).select(*docs.columns)
+        return keyed.join(gone, met, "left_anti").drop(own)
+    rest = keyed.join(gone.unionByName(twice), met, "left_anti")
+    once = keyed.join(twice, met, "left_semi").dropDuplicates([own])
+    return rest.unionByName(once).drop(own)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -28,17 +28,27 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, and let go of the shuffle files that led to it."""
+def settle(df: DataFrame, large: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint; after a ``large`` exchange let go of the shuffle files that led to it, too."""
     spark = df.sparkSession
     shared_dir(spark)
     out = df.checkpoint(eager=True)
     del df  # its plan holds the shuffles
-    gc.collect()
-    spark._jvm.System.gc()
+    if large:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

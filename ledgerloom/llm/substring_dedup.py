@@ -167,10 +167,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, block: int = 10) -> Dat
     buckets = bucket_count(docs)
     slices = pack(docs)
     probes = slices.mapInArrow(_send_probes(buckets, block), "sid long, bucket int, prints binary, blocks binary")
-    anchors = settle(by_slice(probes.groupBy("bucket").applyInArrow(_match_anchors, ANSWER_SCHEMA), "anchors"))
+    anchors = settle(by_slice(probes.groupBy("bucket").applyInArrow(_match_anchors, ANSWER_SCHEMA), "anchors"), large=True)
     del probes
     near = slices.join(anchors, "sid").mapInArrow(_send_candidates(buckets, block, min_words), "sid long, bucket int, one binary, two binary, docs binary, runs binary")
-    repeats = settle(by_slice(near.groupBy("bucket").applyInArrow(_later, ANSWER_SCHEMA), "repeats"))
+    repeats = settle(by_slice(near.groupBy("bucket").applyInArrow(_later, ANSWER_SCHEMA), "repeats"), large=True)
     del near
     return slices.join(anchors.join(repeats, "sid"), "sid", "left").mapInArrow(_cut(buckets, block, min_words), RESULT_SCHEMA)
 

@@ -216,7 +216,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = END,
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = bucket_count(docs) // 2
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = settle(ordered.mapInArrow(_writer(folder, vocabulary, end, percentile, file_tokens), "file string, n_docs long, n_tokens long"))
+    files = settle(ordered.mapInArrow(_writer(folder, vocabulary, end, percentile, file_tokens), "file string, n_docs long, n_tokens long"), large=True)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return settle(files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))))
 

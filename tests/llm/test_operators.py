@@ -103,6 +103,41 @@ def test_jaccard_components_match_brute_force(spark, k, t, num, den):
     assert got == joined(texts, k, num, den)
 
 
+def test_jaccard_links_inside_a_group_and_beyond_its_head(spark):
+    head = [f"p{i}" for i in range(20)]
+    tail = lambda c, n=20: [f"{c}{i}" for i in range(n)]
+    texts = [head + tail("x"), head + tail("y"), head + tail("y", 19) + ["v"]]
+    texts += [[f"f{i}"] + tail(c) + (["v"] if c == "y" else []) for i in range(8) for c in "xyz"]
+    texts = [" ".join(t) for t in texts]
+    for k, t, num, den in ((1, 0.9, 9, 10), (1, 0.85, 17, 20), (4, 0.8, 4, 5)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table(spark, texts), k, t).collect()}
+        assert got == joined(texts, k, num, den)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_on_shared_rare_prefixes_and_frequent_tails(spark, seed):
+    rnd = random.Random(seed)
+    tails = [[f"t{j}_{i}" for i in range(24)] for j in range(4)]
+    heads = [[f"h{j}_{i}" for i in range(10)] for j in range(3)]
+    texts = []
+    for _ in range(90):
+        w = rnd.choice(heads) + rnd.choice(tails)
+        for _ in range(rnd.choice((0, 0, 1, 3, 6))):
+            w[rnd.randrange(10, len(w))] = f"t{rnd.randrange(4)}_{rnd.randrange(30)}"
+        texts.append(" ".join(dict.fromkeys(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table(spark, texts), 1, 0.85).collect()}
+    assert got == joined(texts, 1, 17, 20)
+    stays = {r.doc_id for r in jaccard_join.one_of_each(table(spark, texts), 1, 0.85).collect()}
+    assert stays == {c for _, c in joined(texts, 1, 17, 20).values()}
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    t = "a b c d e f g h i j"
+    docs = table(spark, [t, t, "x y"]).selectExpr("*", "'mine' AS _own", "doc_id AS _other", "1 AS _OWN_")
+    got = sorted((r.doc_id, r._own, r._other) for r in jaccard_join.one_of_each(docs).collect())
+    assert got == [(0, "mine", 0), (2, "mine", 2)] and jaccard_join.one_of_each(docs).columns == docs.columns
+
+
 def test_jaccard_null_repeated_and_empty(spark):
     t = "a b c d e f g"
     got = jaccard_join.jaccard_components(table(spark, [t, t, "x", None], ids=[None, 4, 4, 2])).collect()
