@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import (ANSWER_SCHEMA, FIRST, LOWER, NULL_ID, SECOND, Slice, answer, bucket_of, by_slice, column_parts, messages, mix, pack, replies, rows)
+from .packed import (ANSWER_SCHEMA, FIRST, LOWER, NULL_ID, SECOND, Slice, bucket_of, by_slice, frequency, messages, mix, pack, replies, rows)
 from .runtime import bucket_count, free_name, settle
 
 CHUNK = 256
@@ -66,19 +66,6 @@ def _send(buckets: int, k: int):
     return run
 
 
-def _frequency(table: pa.Table) -> pa.Table:
-    """A byte a shingle: 0 for a count of one, else growing with the count."""
-    parts = column_parts(table, "prints", np.uint32)
-    prints = np.concatenate(parts)
-    order = np.argsort(prints, kind="stable")
-    new = np.concatenate(([True], np.diff(prints[order]) != 0))
-    count = np.diff(np.append(np.flatnonzero(new), len(prints)))
-    code = np.where(count == 1, 0, np.minimum(255, np.floor(6 * np.log2(count)))).astype(np.uint8)
-    out = np.empty(len(prints), np.uint8)
-    out[order] = np.repeat(code, count)
-    return answer(table, np.split(out, np.cumsum([len(p) for p in parts])[:-1]))
-
-
 def _segment_hash(roll, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return roll.spans(roll.prefix(values), first, last)
 
@@ -173,7 +160,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8)
     buckets = bucket_count(docs)
     slices = pack(docs)
     sent = slices.mapInArrow(_send(buckets, words), "sid long, bucket int, prints binary")
-    df = settle(by_slice(sent.groupBy("bucket").applyInArrow(_frequency, ANSWER_SCHEMA), "df"), large=True)
+    df = settle(by_slice(sent.groupBy("bucket").applyInArrow(frequency, ANSWER_SCHEMA), "df"), large=True)
     del sent
     found = settle(slices.join(df, "sid", "left").mapInArrow(_prefixes(buckets, words, num, den), _SETS), large=True)
     del slices, df

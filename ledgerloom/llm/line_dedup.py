@@ -1,51 +1,56 @@
-"""Fuzzy line dedup: SimHash of normalised lines, a join on pigeonhole blocks, edit similarity, one occurrence a group.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a connected group.
 
 Lines are normalised to words (A-Z lower-cased, each digit as 0, all other ASCII as a blank) and equal ones are one node, so
-a very common line is a single row with its first place. A node's fingerprint is the 64-bit SimHash of its words. Two
-fingerprints within ``RADIUS`` = 3 bits agree on at least two of five blocks; the nodes meet by each pair of blocks (ten
-tables, keys of 25 or 26 bits) in hash buckets whose number grows with the input, and are compared under equal keys.
-
-Verification is edit similarity over words, 1 - distance / longer length >= ``THRESHOLD``. First the nodes of one
-fingerprint are chained, and under each key leaders (fingerprints not within the radius of an earlier leader) are
-paired with those within the radius: a linear number of pairs. Two more turns with other leaders look only
-at keys whose nodes are in more than one component. Word sequences of candidates only are fetched from the slices.
-
-Fingerprints only link families early; they miss most pairs of similarity 0.8 to 0.98. No pair is lost by segments: a line of n
-words that may differ by k = 0.2 n edits is cut into k + 1 segments, of which k edits leave one intact, so the first words
-of some segment are in the partner, at a place within k of it. Every line sends the hashes of its word grams
-of the (one to three) segment sizes of lines it can be near to, and which are its own segments; one bit comes back, whether
-another line has such a segment. Only grams that have go on with their node: leaders are paired under each
-gram, then all pairs that are still in different components, and verified by edit similarity. Pairs whose
-lengths, places or word parities (64 bits, an edit flips at most two) need more than k edits are never listed.
+a very common line is a single row with its first place. Two lines are near when their edit similarity over words,
+1 - distance / longer length, is at least ``THRESHOLD``: a line of n words differs from a shorter one by at most k = floor((1 - t) n) edits.
+
+At 0.8 fingerprints of related lines differ by about 13 of 64 bits, up to 21; so wide a radius leaves no block of the
+fingerprint that selects anything. The pigeonhole blocks are therefore cut from the line, and none loses a pair:
+
+* k = 1: the line's word sequences with one word left out; one edit leaves one of them, or the shorter line itself, in both.
+* k > 1: q consecutive words (q = 2, from ``LONG`` words 3; numbered where they repeat). k edits spoil at most q k of them, so both lines hold
+  n - q + 1 - q k others, and with blocks ordered by how many lines have them, one of those is among the rarest of each.
+
+How many distinct lines have a block comes from an exchange of packed fingerprints by hash bucket, which answers a byte a block. A block of
+one line needs no posting; most lines without a partner have so many that they post nothing. Postings carry the line's
+64-bit SimHash over words and a histogram of its words (32 counts). A pair is a candidate where fingerprints are
+within ``radius`` (beyond the largest distances of related lines; measured in the README) and lengths and histograms allow
+k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
+
+Round one pairs each list's lines with a few leaders, a linear number of pairs. Round two lists all candidate pairs that are
+still in different components, so that no link between components is lost while pairs inside one are never listed. Lists of more than ``CHUNK``
+lines are cut into chunks, and each pair of chunks is a unit of work by itself.
 Each group keeps its first occurrence (smallest doc_id, then place); every other occurrence goes.
 
 Defined cases: null text has no lines and stays null; lines without a word are never removed; lines end at newline
 bytes only; rows with a null doc_id sort last; repeated rows are documents of their own, in order of the slices; an
-empty table gives an empty result; other columns are ignored. Nodes are known by 64-bit hashes of their word sequences.
+empty table gives an empty result; other columns are ignored. Nodes are known by 64-bit hashes of their word sequences,
+words in the edit distance by 32-bit ones.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, Slice, answer, bucket_of, by_bucket, by_slice, column_parts, messages, mix, pack, replies, rows
-from .runtime import bucket_count, read, settle
+from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, Slice, bucket_of, by_slice, frequency, messages, mix, pack, replies, rows
+from .runtime import bucket_count, read, settle, shuffle_partitions
 
-RADIUS = 3
 THRESHOLD = 0.8
+SLACK = 11  # bits beyond the expected distance at the threshold
+LONG = 20
+LEADERS = 3
+CHUNK = 4096
+BUCKET_ROWS = 1 << 17
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[48:58] = 48
 _FOLD[10] = 10
-_CUTS = (0, 13, 26, 39, 52, 64)
-TABLES = list(itertools.combinations(range(5), 2))
+_ENTRY = "tok long, node long, n int, print long, low long, high long, code int, words binary"
 
 
 class Lines:
@@ -55,134 +60,263 @@ class Lines:
         self.s = Slice.of(row, _FOLD)
         self.newline = np.flatnonzero(self.s.raw == 10)
         self.first = np.searchsorted(self.newline, self.s.byte)
-        self.hash = self.s.word_hash()
         at = np.searchsorted(self.s.start, np.concatenate(([-1], self.newline)))
         self.begin, self.stop = at[:-1], at[1:]
 
+    def hashed(self) -> "Lines":
+        self.hash = self.s.word_hash()
+        self.prefix = FIRST.prefix(self.hash)
+        return self
+
     def numbers(self) -> np.ndarray:
         """Lines with a word."""
         return np.flatnonzero(self.stop > self.begin)
 
     def keys(self, lines: np.ndarray) -> np.ndarray:
         b, e = self.begin[lines], self.stop[lines]
-        return mix(FIRST.spans(FIRST.prefix(self.hash), b, e) + (e - b).astype(np.uint64))
+        return mix(FIRST.spans(self.prefix, b, e) + (e - b).astype(np.uint64))
 
     def prints(self, lines: np.ndarray) -> np.ndarray:
+        """SimHash over the words of each line."""
         if not len(lines):
             return np.zeros(0, np.uint64)
-        bits = np.unpackbits(mix(self.hash).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, self.begin[lines], axis=0, dtype=np.int32)
-        return np.packbits(2 * votes > (self.stop - self.begin)[lines][:, None], axis=1).view("<u8")[:, 0]
-
-    def parities(self, lines: np.ndarray) -> np.ndarray:
-        """Bit i: whether an odd number of the line's words falls on i. A replaced word flips two bits at most, others one."""
-        some = self.numbers()
-        if not len(some):
-            return np.zeros(0, np.uint64)
-        bits = np.uint64(1) << (mix(self.hash) >> np.uint64(58))
-        return np.bitwise_xor.reduceat(bits, self.begin[some])[np.searchsorted(some, lines)]
+        n = (self.stop - self.begin)[lines]
+        row, at = _ragged(n)
+        bits = np.unpackbits(mix(self.hash[self.begin[lines[row]] + at]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        return np.packbits(2 * votes > n[:, None], axis=1).view("<u8")[:, 0]
+
+    def histograms(self, lines: np.ndarray) -> np.ndarray:
+        """Of each line two numbers: 32 counts of its words by hash, 15 for more."""
+        row, at = _ragged((self.stop - self.begin)[lines])
+        bin_ = (mix(self.hash[self.begin[lines[row]] + at]) >> np.uint64(59)).astype(np.int64)
+        count = np.minimum(np.bincount(row * 32 + bin_, minlength=32 * len(lines)), 15).astype(np.uint8).reshape(-1, 16, 2)
+        return (count[:, :, 0] | count[:, :, 1] << 4).reshape(-1, 16).view("<u8")
+
+
+def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 0 .. count - 1) of each row, row by row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def edits(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Edits allowed between a line of n words and one that is not longer."""
+    return np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
+
+
+def _plan(longest: int, threshold: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """By line length: (whether words are left out, whether the whole line is sent, for each q how many of the rarest blocks are posted).
+
+    A line must post enough for every partner that is not shorter, in the blocks of that partner's length.
+    """
+    top = int(longest / threshold) + 2
+    n = np.arange(top + 1)
+    k = edits(n, threshold)
+    out = k == 1
+    whole = out | np.append(out[1:], False)
+    q_of = np.where(k > 1, np.where(n < LONG, 2, 3), 0)
+    for q in (3, 2):  # fewer words a block where edits could spoil all of them
+        q_of = np.where((q_of == q) & (n - q + 1 - q * k < 1), q - 1, q_of)
+    post = {}
+    for q in (1, 2, 3):
+        shared = np.where(q_of == q, n - q + 1 - q * k, top)  # by the longer line
+        rarest = np.zeros(longest + 1, np.int64)
+        for m in range(1, longest + 1):
+            meets = np.flatnonzero((q_of == q) & (n >= m) & (n - k <= m))
+            if len(meets):
+                rarest[m] = m - q + 1 - int(shared[meets].min()) + 1
+        post[q] = rarest
+    return out, whole, post
+
+
+class Blocks:
+    """Pigeonhole blocks of lines, by line: hash, index in ``lines``, and how many of the line's rarest of that kind to post."""
+
+    def __init__(self, x: Lines, lines: np.ndarray, threshold: float):
+        begin, stop = x.begin[lines], x.stop[lines]
+        n = stop - begin
+        out, whole, post = _plan(int(n.max(initial=0)), threshold)
+        value, row, most, kind = [], [], [], []
+
+        def add(h: np.ndarray, r: np.ndarray, rarest: np.ndarray, q: int, numbered: bool):
+            h = mix(h + np.uint64(q))
+            order = np.lexsort((h, r))
+            h, r = h[order], r[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, bool)
+            if numbered:
+                first = np.flatnonzero(new)
+                nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+                h = np.where(nth > 0, mix(h + nth.astype(np.uint64)), h)
+            else:
+                h, r = h[new], r[new]
+            value.append(h)
+            row.append(r)
+            most.append(rarest[r])
+            kind.append(np.full(len(h), q, np.int8))
+
+        for q, rarest in post.items():
+            mine = np.flatnonzero((rarest[n] > 0) & (n >= q))
+            if len(mine):
+                r, at = _ragged(n[mine] - q + 1)
+                first = begin[mine[r]] + at
+                add(FIRST.spans(x.prefix, first, first + q), mine[r], rarest[n], q, True)
+        mine = np.flatnonzero(out[n])
+        r, at = _ragged(n[mine])
+        r = mine[r]
+        full = np.flatnonzero(whole[n])
+        if len(full):
+            b, e, i = begin[r], stop[r], begin[r] + at
+            shift = np.uint64(pow(FIRST.base, -1, 1 << 64))
+            left_out = mix(((x.prefix[i] - x.prefix[b]) + (x.prefix[e] - x.prefix[i + 1]) * shift) * FIRST.powers(len(x.prefix))[1][b])
+            entire = FIRST.spans(x.prefix, begin[full], stop[full])
+            add(np.concatenate((left_out, entire)), np.concatenate((r, full)), np.full(len(n), 1 << 30), 9, False)
+        cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+        self.n = n
+        self.value, self.row, self.most, self.kind = cat(value, np.uint64), cat(row, np.int64), cat(most, np.int64), cat(kind, np.int8)
+
+    def posted(self, code: np.ndarray) -> np.ndarray:
+        """Indexes of the blocks to post, given the codes of their frequencies (0: of one line only)."""
+        order = np.lexsort((self.value, code, self.row, self.kind))
+        r, q = self.row[order], self.kind[order]
+        new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (q[1:] != q[:-1])))) if len(r) else np.zeros(0, np.int64)
+        rank = np.arange(len(r)) - np.repeat(new, np.diff(np.append(new, len(r))))
+        return order[(rank < self.most[order]) & (code[order] > 0)]
 
 
 def _occurrences(batches):
     for row in rows(batches):
-        x = Lines(row)
+        x = Lines(row).hashed()
         at = x.numbers()
         doc = np.searchsorted(x.first, at, "right") - 1
         yield pa.RecordBatch.from_pydict({
-            "node": pa.array(x.keys(at).view(np.int64), pa.int64()), "print": pa.array(x.prints(at).view(np.int64), pa.int64()),
-            "doc_id": pa.array(x.s.ids[doc], pa.int64()), "sid": pa.array(np.full(len(at), row["sid"]), pa.int64()), "line": pa.array(at, pa.int32()),
+            "node": pa.array(x.keys(at).view(np.int64), pa.int64()), "doc_id": pa.array(x.s.ids[doc], pa.int64()), "sid": pa.array(np.full(len(at), row["sid"]), pa.int64()),
+            "line": pa.array(at, pa.int32()), "n": pa.array((x.stop - x.begin)[at], pa.int32()),
         })
 
 
-def _block(prints: np.ndarray, b: int) -> np.ndarray:
-    return (prints >> np.uint64(_CUTS[b])) & np.uint64((1 << (_CUTS[b + 1] - _CUTS[b])) - 1)
+def _ask(buckets: int, threshold: float):
+    def run(batches):
+        for row in rows(batches):
+            h = Blocks(Lines(row).hashed(), np.sort(row["want"]), threshold).value
+            if len(h):
+                yield messages(row["sid"], bucket_of(h, buckets), buckets, prints=h.astype(np.uint32))
 
+    return run
 
-def _key(prints: np.ndarray, table: int) -> np.ndarray:
-    a, b = TABLES[table]
-    return (_block(prints, a) << np.uint64(13)) | _block(prints, b)
 
+def _post(buckets: int, threshold: float):
+    """Postings, and a row with the words of each line that has any."""
 
-def _deal(buckets: int):
     def run(batches):
-        for batch in batches:
-            p, lo, hi = (np.asarray(batch.column(i), np.int64) for i in range(3))
-            p = p.view(np.uint64)
-            for t in range(len(TABLES)):
-                bucket = (mix(_key(p, t) + np.uint64(t << 40)) % np.uint64(buckets)).astype(np.int32)
-                order, bounds = by_bucket(bucket, buckets)
-                used = np.flatnonzero(np.diff(bounds))
-                cut = lambda v: pa.array([v[order[bounds[b] : bounds[b + 1]]].tobytes() for b in used], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "tab": pa.array(np.full(len(used), t), pa.int32()), "prints": cut(p), "lo": cut(lo), "hi": cut(hi)})
+        for row in rows(batches):
+            x, lines = Lines(row).hashed(), np.sort(row["want"])
+            b = Blocks(x, lines, threshold)
+            code = replies(bucket_of(b.value, buckets), buckets, row["df"], np.uint8)
+            at = b.posted(code)
+            used, which = np.unique(b.row[at], return_inverse=True)
+            if not len(used):
+                continue
+            mine = lines[used]
+            node, n, print_, sketch = x.keys(mine).view(np.int64), b.n[used], x.prints(mine).view(np.int64), x.histograms(mine).view(np.int64)
+            small = (x.hash >> np.uint64(32)).astype("<u4")
+            none = lambda kind, size: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_pydict({
+                "tok": pa.array(b.value[at].view(np.int64), pa.int64()), "node": pa.array(node[which], pa.int64()), "n": pa.array(n[which], pa.int32()), "print": pa.array(print_[which], pa.int64()),
+                "low": pa.array(sketch[which, 0], pa.int64()), "high": pa.array(sketch[which, 1], pa.int64()), "code": pa.array(code[at], pa.int32()), "words": none(pa.binary(), len(at)),
+            })
+            yield pa.RecordBatch.from_pydict({
+                "tok": none(pa.int64(), len(used)), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()), "print": none(pa.int64(), len(used)),
+                "low": none(pa.int64(), len(used)), "high": none(pa.int64(), len(used)), "code": none(pa.int32(), len(used)), "words": pa.array([small[i:j].tobytes() for i, j in zip(x.begin[mine], x.stop[mine], strict=True)], pa.binary()),
+            })
 
     return run
 
 
-def _leaders(p: np.ndarray, key: np.ndarray, radius: int):
-    """Pairs (leader, member): in each run of a key the first one not yet covered leads the uncovered ones within the radius.
+class Postings:
+    """Postings of some lists; a list is a run of equal (block, cell). In a cell of two chunks only pairs across them count."""
 
-    A leader without any is paired with one covered fingerprint within the radius, so whatever has a partner gets a pair.
-    """
-    here, covered = np.arange(len(p)), np.zeros(len(p), bool)
-    while len(here):
-        k = key[here]
-        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(begin, len(here)))
-        lead = np.repeat(np.minimum.reduceat(np.where(covered[here], len(p), here), begin), size)
-        near = (np.bitwise_count(p[here] ^ p[lead]) <= radius) & (here != lead)
-        member = near & ~covered[here]
-        yield lead[member], here[member]
-        alone = np.repeat(np.add.reduceat(member, begin) == 0, size) & near
-        one = np.flatnonzero(alone)
-        one = one[np.unique(lead[one], return_index=True)[1]]
-        yield lead[one], here[one]
-        covered[here[member]] = covered[lead] = True
-        here = here[np.repeat(np.add.reduceat(~covered[here], begin) > 0, size)]
-
-
-def _partners(p: np.ndarray, key: np.ndarray, radius: int):
-    """All pairs within the radius in each run of a key."""
-    for d in range(1, len(p)):
-        same = np.flatnonzero(key[d:] == key[:-d])
-        if not len(same):
-            return
-        near = same[np.bitwise_count(p[same] ^ p[same + d]) <= radius]
-        yield near, near + d
-
-
-def _meet(radius: int, turn: int | None):
-    """Near pairs of fingerprints whose nodes are not all in one component: by leaders in a turn, all of them if there is none."""
+    def __init__(self, table: pa.Table, threshold: float, radius: int, split: bool):
+        got = {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names if c not in ("bucket", "words")}
+        got = {c: v.view(np.uint64) if c in ("print", "low", "high") else v for c, v in got.items()}
+        order = np.lexsort((got["node"], got["cell"], got["tok"]))
+        got = {c: v[order] for c, v in got.items()}
+        new = np.concatenate(([True], (got["tok"][1:] != got["tok"][:-1]) | (got["cell"][1:] != got["cell"][:-1])))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        part = got["component"] if split else got["node"]
+        live = np.repeat(np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first), size)
+        self.list = (np.cumsum(new) - 1)[live]
+        self.node, self.component, self.n, self.print, self.chunk, self.across = (v[live] for v in (got["node"], part, got["n"], got["print"], got["chunk"], got["across"]))
+        count = np.stack((got["low"][live], got["high"][live]), axis=1).astype("<u8").view(np.uint8).reshape(-1, 16)
+        self.count = np.concatenate((count & 15, count >> 4), axis=1).astype(np.int8)
+        self.edits, self.radius = edits(self.n, threshold), radius
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are candidates."""
+        gap = np.abs(self.n[i] - self.n[j])
+        most = np.maximum(self.edits[i], self.edits[j])
+        ok = (self.component[i] != self.component[j]) & (gap <= most) & (np.bitwise_count(self.print[i] ^ self.print[j]) <= self.radius) & (~self.across[i] | (self.chunk[i] != self.chunk[j]))
+        at = np.flatnonzero(ok)
+        for a in range(0, len(at), 1 << 16):
+            p = at[a : a + (1 << 16)]
+            apart = np.abs(self.count[i[p]] - self.count[j[p]]).sum(axis=1, dtype=np.int64)
+            ok[p] = apart <= 2 * most[p] - gap[p]
+        return ok
+
+    def led(self):
+        """Pairs (leader, member): in each list the first line not yet led leads all candidates among the others, ``LEADERS`` times."""
+        here = np.arange(len(self.list))
+        for _ in range(LEADERS):
+            if not len(here):
+                return
+            begin = np.flatnonzero(np.concatenate(([True], self.list[here][1:] != self.list[here][:-1])))
+            lead = np.repeat(here[begin], np.diff(np.append(begin, len(here))))
+            member = (here != lead) & self.near(here, lead)
+            yield lead[member], here[member]
+            here = here[~member & (here != lead)]
+
+    def all(self):
+        """All candidate pairs."""
+        here = np.arange(len(self.list))
+        for d in range(1, len(self.list)):
+            here = here[: np.searchsorted(here, len(self.list) - d)]
+            here = here[self.list[here + d] == self.list[here]]
+            if not len(here):
+                return
+            for a in range(0, len(here), 1 << 20):
+                i = here[a : a + (1 << 20)]
+                i = i[self.near(i, i + d)]
+                yield i, i + d
 
+
+def _compare(threshold: float, radius: int, split: bool):
     def run(table: pa.Table) -> pa.Table:
-        u, v = [], []
-        tabs = np.asarray(table.column("tab").combine_chunks())
-        parts = {c: [np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("prints", np.uint64), ("lo", np.int64), ("hi", np.int64))}
-        for t in np.unique(tabs):
-            p, lo, hi = (np.concatenate([parts[c][i] for i in np.flatnonzero(tabs == t)]) for c in ("prints", "lo", "hi"))
-            key = _key(p, int(t))
-            order = np.lexsort((p, p if turn is None or turn % 3 == 0 else ~p if turn % 3 == 1 else mix(p), key))
-            p, lo, hi, key = p[order], lo[order], hi[order], key[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(p)))
-            open_ = np.repeat(np.minimum.reduceat(lo, first) != np.maximum.reduceat(hi, first), size)
-            p, lo, hi, key = p[open_], lo[open_], hi[open_], key[open_]
-            for i, j in (_partners if turn is None else _leaders)(p, key, radius):
-                apart = np.minimum(lo[i], lo[j]) != np.maximum(hi[i], hi[j])
-                u.append(p[i[apart]])
-                v.append(p[j[apart]])
-        cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64)
-        u, v = cat(u), cat(v)
-        return pa.table({"p": pa.array(np.minimum(u, v), pa.int64()), "q": pa.array(np.maximum(u, v), pa.int64())})
+        p, seen = Postings(table, threshold, radius, split), [np.zeros((2, 0), np.int64)]
+        for i, j in p.all() if split else p.led():
+            seen.append(np.stack((np.minimum(p.node[i], p.node[j]), np.maximum(p.node[i], p.node[j]))))
+        u, v = np.concatenate(seen, axis=1)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, bool)
+        return pa.table({"u": pa.array(u[new], pa.int64()), "v": pa.array(v[new], pa.int64())})
 
     return run
 
 
-def _fetch(batches):
-    for row in rows(batches):
-        x = Lines(row)
-        lines, nodes = [w["line"] for w in row["want"]], [w["node"] for w in row["want"]]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "words": pa.array([x.hash[x.begin[i] : x.stop[i]].tobytes() for i in lines], pa.binary())})
+def _pairs(postings: DataFrame, buckets: int, threshold: float, radius: int, split: bool) -> DataFrame:
+    """Distinct candidates (u, v). Long lists are cut into chunks: by leaders each chunk stands alone, else each pair of chunks is a cell."""
+    lines = F.pow(F.lit(2.0), (F.col("code") + 1) / 6.0)  # at most so many have the block
+    chunks = F.when(F.col("code") < 255, F.ceil(lines / CHUNK)).otherwise(F.lit(1 << 12))
+    dealt = postings.withColumn("chunk", F.pmod(F.xxhash64("node", "tok"), chunks))
+    if split:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
+        dealt = dealt.withColumn("cell", F.least("chunk", "other") * (1 << 20) + F.greatest("chunk", "other")).withColumn("across", F.col("chunk") != F.col("other")).drop("other")
+    else:
+        dealt = dealt.withColumn("cell", F.col("chunk")).withColumn("across", F.lit(False))
+    dealt = dealt.drop("code").withColumn("bucket", F.pmod(F.xxhash64("tok", "cell"), F.lit(buckets)))
+    # a bucket travels as one group of whole lists
+    return settle(dealt.groupBy("bucket").applyInArrow(_compare(threshold, radius, split), "u long, v long").distinct(), large=True)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -212,9 +346,12 @@ def _similar(threshold: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                n = max(len(a), len(b))
-                keep.append(abs(len(a) - len(b)) <= (1 - threshold) * n + 1e-9 and edit_distance(a, b) <= (1 - threshold) * n + 1e-9)
+                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                most = int(edits(max(len(a), len(b)), threshold))
+                if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+                    keep.append(True)
+                else:
+                    keep.append(abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -223,218 +360,38 @@ def _similar(threshold: float):
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     left = words.select(F.col("node").alias("u"), F.col("words").alias("a"))
     right = words.select(F.col("node").alias("v"), F.col("words").alias("b"))
-    return settle(pairs.select("u", "v").distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u long, v long"))
-
-
-def _near_prints(prints: DataFrame, buckets: int, radius: int, turn: int | None) -> DataFrame:
-    """(p, q) of the near fingerprints among ``prints`` (print, lo, hi)."""
-    sent = prints.mapInArrow(_deal(buckets), "bucket int, tab int, prints binary, lo binary, hi binary")
-    return settle(sent.groupBy("bucket").applyInArrow(_meet(radius, turn), "p long, q long").distinct())
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u long, v long")
 
 
-def _words_of(nodes: DataFrame, slices: DataFrame) -> DataFrame:
-    want = nodes.groupBy("at.sid").agg(F.collect_list(F.struct("at.line", "node")).alias("want"))
-    return settle(slices.join(want, "sid").mapInArrow(_fetch, "node long, words binary"))
-
-
-def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, radius: int, threshold: float) -> DataFrame | None:
-    """(node, component) of the nodes that have a link by fingerprints."""
-    prints = settle(nodes.groupBy("print").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("head")))
-    own = F.col("print")
-    near = _near_prints(prints.select("print", own.alias("lo"), own.alias("hi")), buckets, radius, 0)
-    some = near.select(F.col("p").alias("print")).unionByName(near.select(F.col("q").alias("print"))).distinct()
-    prints = settle(prints.join(some.withColumn("met", F.lit(True)), "print", "left").where("k > 1 or met").select("print", "head"))
-    if prints.isEmpty():
+def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float, radius: int) -> DataFrame | None:
+    """(node, component) of the nodes that are near another."""
+    least = next(n for n in range(1, 1 << 20) if edits(n, threshold) > 0) - 1 if threshold < 1 else None
+    if least is None:
         return None
-    wanted = settle(nodes.join(prints, "print").select("node", "print", "at"))  # every node that can have a link: its print is shared, or near another
-    words = _words_of(wanted, slices)
-    wanted = wanted.select("node", "print")
-    order = Window.partitionBy("print").orderBy("node")
-    chain = wanted.select(F.col("node").alias("u"), F.lag("node").over(order).alias("v")).where("v is not null")
-    ends = lambda pq: pq.join(prints.select(F.col("print").alias("p"), F.col("head").alias("u")), "p").join(prints.select(F.col("print").alias("q"), F.col("head").alias("v")), "q").select("u", "v")
-    links = _verified(chain.unionByName(ends(near)), words, threshold)
-    for turn in (1, 2):
-        part = settle(components(links))
-        placed = settle(wanted.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        spread = settle(placed.groupBy("print").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
-        near = _near_prints(spread, buckets, radius, turn)
-        if near.isEmpty():
-            return part
-        links = settle(links.unionByName(_verified(ends(near), words, threshold)))
-    return settle(components(links))
-
-
-def _edits(n: np.ndarray, threshold: float) -> np.ndarray:
-    """Edits allowed between a line of n words and one that is not longer."""
-    return np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
-
-
-def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 0 .. count - 1) of each row, row by row."""
-    row = np.repeat(np.arange(len(count)), count)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-
-
-def _grams(x: Lines, lines: np.ndarray, threshold: float):
-    """(hash, index in lines, first word, own segment?) of the grams by which lines meet."""
-    n = x.stop[lines] - x.begin[lines]
-    longest = int(n.max(initial=0) / threshold) + 2
-    lengths = np.arange(longest + 1)
-    k = _edits(lengths, threshold)
-    gram = np.where(k > 0, lengths // (k + 1), 0)
-    prefix = FIRST.prefix(x.hash)
-    parts = []
-    for q in np.unique(gram[gram > 0]):
-        use = np.flatnonzero(gram == q)  # lengths of lines with segments of this size, met by lengths of use - k to use
-        meets = np.zeros(longest + 2, np.int64)
-        np.add.at(meets, use - k[use], 1)
-        np.add.at(meets, use + 1, -1)
-        mine = np.flatnonzero((np.cumsum(meets)[n] > 0) & (n >= q))
-        row, at = _ragged(n[mine] - q + 1)
-        row = mine[row]
-        own = np.zeros(len(row), bool)
-        own_lines = np.flatnonzero(gram[n[mine]] == q)
-        i, j = _ragged(k[n[mine[own_lines]]] + 1)
-        size = n[mine[own_lines[i]]]
-        begin = np.cumsum(n[mine] - q + 1) - (n[mine] - q + 1)
-        own[begin[own_lines[i]] + j * size // (k[size] + 1)] = True
-        first = x.begin[lines[row]] + at
-        parts.append((mix(FIRST.spans(prefix, first, first + q) + np.uint64(q)), row, at, own))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-
-
-def _wanted(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, nodes and components asked for in a slice, by line."""
-    want = sorted((w["line"], w["node"], w["component"]) for w in row["want"])
-    return tuple(np.array(v, np.int64) for v in zip(*want, strict=True))
-
-
-def _ask(buckets: int, threshold: float):
-    def run(batches):
-        for row in rows(batches):
-            h, _, _, own = _grams(Lines(row), _wanted(row)[0], threshold)
-            yield messages(row["sid"], bucket_of(h, buckets), buckets, gram=h.astype(np.uint32), own=own)
-
-    return run
-
-
-def _bits(table: pa.Table, name: str, parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(table.column(name), parts, strict=True)]).astype(bool)
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Whether a gram is somebody's segment and there more than once (a segment is a gram of its own line, too)."""
-    parts = column_parts(table, "gram", np.uint32)
-    all_ = np.concatenate(parts)
-    order = np.argsort(all_, kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], all_[order][1:] != all_[order][:-1])))
-    count = np.diff(np.append(new, len(all_)))
-    good = np.empty(len(all_), bool)
-    good[order] = np.repeat((count > 1) & np.logical_or.reduceat(_bits(table, "own", parts)[order], new), count)
-    return answer(table, np.split(good, np.cumsum([len(p) for p in parts])[:-1]))
-
-
-def _tell(buckets: int, threshold: float):
-    def run(batches):
-        for row in rows(batches):
-            x = Lines(row)
-            lines, nodes, component = _wanted(row)
-            h, i, at, own = _grams(x, lines, threshold)
-            hit = np.flatnonzero(replies(bucket_of(h, buckets), buckets, row["answers"], bool))
-            i = i[hit]
-            n = (x.stop - x.begin)[lines]
-            yield messages(
-                row["sid"], bucket_of(h[hit], buckets), buckets, gram=h[hit], node=nodes[i], component=component[i],
-                n=n[i].astype(np.int32), at=at[hit].astype(np.int32), parity=x.parities(lines)[i], own=own[hit],
-            )
-
-    return run
-
-
-class _Entries:
-    """Grams of a bucket in the order of gram, only those of more than one component."""
-
-    def __init__(self, table: pa.Table, threshold: float):
-        kinds = {"gram": np.uint64, "node": np.int64, "component": np.int64, "n": np.int32, "at": np.int32, "parity": np.uint64}
-        parts = {c: column_parts(table, c, kind) for c, kind in kinds.items()}
-        got = {c: np.concatenate(p) for c, p in parts.items()} | {"own": _bits(table, "own", parts["gram"])}
-        order = np.lexsort((got["node"], got["n"], got["gram"]))
-        got = {c: v[order] for c, v in got.items()}
-        first = np.flatnonzero(np.concatenate(([True], got["gram"][1:] != got["gram"][:-1])))
-        size = np.diff(np.append(first, len(order)))
-        part = got["component"]
-        open_ = (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)) & np.logical_or.reduceat(got["own"], first)
-        self.__dict__.update({c: v[np.repeat(open_, size)] for c, v in got.items()})
-        self.edits = _edits(self.n, threshold)
-
-    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Of pairs under one gram: in different components, and its place, the lengths and the words allow enough similarity."""
-        gap = np.abs(self.n[i] - self.n[j])
-        left, right = self.at[i] - self.at[j], (self.n[i] - self.at[i]) - (self.n[j] - self.at[j])
-        most = np.maximum(self.edits[i], self.edits[j])
-        segment = (self.own[i] & (self.n[i] >= self.n[j])) | (self.own[j] & (self.n[j] >= self.n[i]))
-        ok = segment & (self.component[i] != self.component[j]) & (np.abs(left) + np.abs(right) <= most)
-        return ok & (np.bitwise_count(self.parity[i] ^ self.parity[j]) <= 2 * most - gap)
-
-    def led(self):
-        """Pairs (leader, member) as in ``_leaders``."""
-        here, covered = np.arange(len(self.gram)), np.zeros(len(self.gram), bool)
-        while len(here):
-            g = self.gram[here]
-            begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            size = np.diff(np.append(begin, len(here)))
-            lead = np.repeat(here[begin], size)
-            member = (here != lead) & self.possible(here, lead)
-            yield lead[member], here[member]
-            covered[here[member]] = covered[lead] = True
-            here = here[~covered[here]]
-
-    def all(self):
-        """All possible pairs."""
-        for d in range(1, len(self.gram)):
-            same = np.flatnonzero(self.gram[d:] == self.gram[:-d])
-            if not len(same):
-                return
-            near = same[self.possible(same, same + d)]
-            yield near, near + d
-
-
-def _compare(threshold: float, led: bool):
-    def run(table: pa.Table) -> pa.Table:
-        e, seen = _Entries(table, threshold), []
-        for i, j in e.led() if led else e.all():
-            seen.append(np.stack((np.minimum(e.node[i], e.node[j]), np.maximum(e.node[i], e.node[j]))))
-        u, v = np.unique(np.concatenate(seen, axis=1), axis=1) if seen else np.zeros((2, 0), np.int64)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return run
-
-
-def _segment_groups(nodes: DataFrame, part: DataFrame | None, slices: DataFrame, buckets: int, threshold: float) -> DataFrame | None:
-    """(node, component) of the nodes that have a link, given those of some of the links."""
-    spark = slices.sparkSession
-    links = part if part is None else settle(part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-    part = part if part is not None else spark.createDataFrame([], "node long, component long")
-    entry = "sid long, bucket int, gram binary, node binary, component binary, n binary, at binary, parity binary, own binary"
-    answers = None
-    for led in (True, False):
-        placed = nodes.select("node", "at").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        want = placed.groupBy("at.sid").agg(F.collect_list(F.struct("at.line", "node", "component")).alias("want"))
-        asked = slices.join(want, "sid")
-        if answers is None:
-            sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, gram binary, own binary")
-            answers = settle(by_slice(sent.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "answers"))
-        told = asked.join(answers, "sid").mapInArrow(_tell(buckets, threshold), entry)
-        pairs = settle(told.groupBy("bucket").applyInArrow(_compare(threshold, led), "u long, v long").distinct())
+    want = nodes.where(F.col("n") >= least).groupBy("at.sid").agg(F.collect_list("at.line").alias("want"))
+    asked = slices.join(settle(want), "sid")
+    sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, prints binary")
+    df = settle(by_slice(sent.groupBy("bucket").applyInArrow(frequency, ANSWER_SCHEMA), "df"), large=True)
+    found = settle(asked.join(df, "sid").mapInArrow(_post(buckets, threshold), _ENTRY), large=True)
+    words = found.where("tok is null").select("node", "words")
+    postings = found.where("tok is not null").drop("words")
+    lists = max(2 * shuffle_partitions(slices.sparkSession), -(-postings.count() // BUCKET_ROWS))
+    part = None
+    for split in (False, True):
+        live = postings
+        if part is not None:
+            live = live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            open_ = live.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok")
+            live = live.join(open_, "tok", "left_semi")
+        pairs = _pairs(live, lists, threshold, radius, split)
         if pairs.isEmpty():
             break
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        more = _verified(pairs, _words_of(nodes.select("node", "at").join(ends, "node"), slices), threshold)
-        links = settle(more if links is None else links.unionByName(more))
+        links = settle(_verified(pairs, words, threshold), large=True)
+        old = [] if part is None else [part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))]
+        for o in old:
+            links = links.unionByName(o)
         part = settle(components(links))
-    return None if links is None else part
+    return part
 
 
 def _cut(batches):
@@ -456,17 +413,21 @@ def _cut(batches):
         })
 
 
-def remove_repeated_lines(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+def expected_radius(threshold: float) -> int:
+    """The distance that fingerprints of similarity ``threshold`` are expected to have, and ``SLACK`` bits more."""
+    return int(64 * np.arccos(threshold) / np.pi) + SLACK
+
+
+def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int | None = None) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_lines, n_removed, kept_text (the lines left, joined by newlines)."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two of five blocks are sure to agree within three bits only")
     if not 0.5 < threshold <= 1:
-        raise ValueError("segments have words for thresholds above a half only")
+        raise ValueError("the threshold must be above a half")
+    radius = expected_radius(threshold) if radius is None else radius
     buckets = bucket_count(docs)
     slices = pack(docs)
-    found = settle(slices.mapInArrow(_occurrences, "node long, print long, doc_id long, sid long, line int"))
-    nodes = settle(found.groupBy("node", "print").agg(F.min(F.struct("doc_id", "sid", "line")).alias("at"), F.count(F.lit(1)).alias("k")))
-    part = _segment_groups(nodes, _groups(nodes, slices, buckets, radius, threshold), slices, buckets, threshold)
+    found = settle(slices.mapInArrow(_occurrences, "node long, doc_id long, sid long, line int, n int"))
+    nodes = settle(found.groupBy("node").agg(F.min(F.struct("doc_id", "sid", "line")).alias("at"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n")))
+    part = _groups(nodes, slices, buckets, threshold, radius)
     if part is None:
         first = nodes.where("k > 1").select("node", "at")
     else:
@@ -474,7 +435,7 @@ def remove_repeated_lines(docs: DataFrame, radius: int = RADIUS, threshold: floa
         group = nodes.groupBy("component").agg(F.min("at").alias("least"), F.sum("k").alias("all")).where("all > 1")
         first = nodes.select("node", "component").join(group, "component").select("node", F.col("least").alias("at"))
     gone = found.join(first, "node").where("at.sid <> sid or at.line <> line").groupBy("sid").agg(F.collect_list("line").alias("gone"))
-    return slices.join(settle(gone), "sid", "left").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
+    return slices.join(settle(gone, large=True), "sid", "left").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

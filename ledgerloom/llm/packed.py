@@ -230,6 +230,19 @@ def answer(table: pa.Table, parts: list[np.ndarray]) -> pa.Table:
     return pa.table({"sid": table.column("sid"), "bucket": table.column("bucket"), "reply": pa.array([(np.packbits(p) if p.dtype == bool else p).tobytes() for p in parts], pa.binary())})
 
 
+def frequency(table: pa.Table) -> pa.Table:
+    """A byte a fingerprint: 0 for a count of one, else growing with the count (6 steps a doubling)."""
+    parts = column_parts(table, "prints", np.uint32)
+    prints = np.concatenate(parts)
+    order = np.argsort(prints, kind="stable")
+    new = np.concatenate(([True], np.diff(prints[order]) != 0))
+    count = np.diff(np.append(np.flatnonzero(new), len(prints)))
+    code = np.where(count == 1, 0, np.minimum(255, np.floor(6 * np.log2(count)))).astype(np.uint8)
+    out = np.empty(len(prints), np.uint8)
+    out[order] = np.repeat(code, count)
+    return answer(table, np.split(out, np.cumsum([len(p) for p in parts])[:-1]))
+
+
 ANSWER_SCHEMA = "sid long, bucket int, reply binary"
 
 

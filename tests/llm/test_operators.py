@@ -171,36 +171,6 @@ def test_line_dedup(spark):
     assert line_dedup.remove_repeated_lines(table(spark, texts).limit(0)).count() == 0
 
 
-def test_near_line_pairs_are_linear_and_lose_no_partner():
-    rnd = np.random.default_rng(3)
-    centre = np.uint64(rnd.integers(1 << 62))
-    family = {int(centre)}
-    while len(family) < 79:  # all values with two of the first block's bits changed, and the centre
-        x = int(centre)
-        for b in rnd.choice(13, 2, replace=False):
-            x ^= 1 << int(b)
-        family.add(x)
-    p = np.sort(np.array([*family, *(int(v) for v in rnd.integers(0, 1 << 62, 50))], np.uint64))
-    t = line_dedup.TABLES.index((1, 2))
-    order = np.argsort(line_dedup._key(p, t), kind="stable")
-    p, key = p[order], line_dedup._key(p, t)[order]
-    all_pairs = [(int(a), int(b)) for i, j in line_dedup._partners(p, key, 3) for a, b in zip(p[i], p[j], strict=True)]
-    led = [(int(a), int(b)) for i, j in line_dedup._leaders(p, key, 3) for a, b in zip(p[i], p[j], strict=True)]
-    assert {frozenset(x) for x in led} <= {frozenset(x) for x in all_pairs}
-    assert {v for x in led for v in x} == {v for x in all_pairs for v in x}
-    assert len(led) <= 2 * len(p) < len(all_pairs)
-
-
-def test_line_tables_meet_within_radius():
-    rnd = np.random.default_rng(1)
-    p = rnd.integers(0, 1 << 63, 200).astype(np.uint64)
-    q = p.copy()
-    for i in range(200):
-        for b in rnd.choice(64, 3, replace=False):
-            q[i] ^= np.uint64(1 << int(b))
-    assert np.array([line_dedup._key(p, t) == line_dedup._key(q, t) for t in range(10)]).any(axis=0).all()
-
-
 def plain(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
