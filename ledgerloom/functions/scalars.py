@@ -114,11 +114,16 @@ def subject_handle(subject: Column, command: str) -> Column:
     return F.when(subject.rlike(r"^[A-Za-z0-9._-]*$"), bare).otherwise(quoted)
 
 
+def lint_notes(text: Column) -> Column:
+    """Array of (phrase, reason) of the phrases a claim should not use."""
+    low = F.lower(text)
+    marks = F.array(*(F.when(F.contains(low, F.lit(m)), F.struct(F.lit(m).alias("phrase"), F.lit(why).alias("reason"))) for m, why in LINT.items()))
+    return F.array_compact(marks)
+
+
 def lint_reasons(text: Column) -> Column:
     """Array of the phrases a claim should not use."""
-    low = F.lower(text)
-    marks = F.array(*(F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in LINT))
-    return F.filter(marks, lambda m: m.isNotNull())
+    return lint_notes(text)["phrase"]
 
 
 def is_long_claim(text: Column) -> Column:

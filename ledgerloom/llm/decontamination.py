@@ -7,10 +7,12 @@ by the exact cosine whatever its fingerprint. Every other window that shares a s
 SimHash of its weighted shingles (windows that share none have similarity 0 and need no fingerprint). Fingerprints are split
 into blocks; two within ``radius`` differ by at most radius // blocks in some block, so probing every block's table
 with all values that near finds all item fingerprints within the radius. Candidates in the radius are then verified by
-the exact cosine of the weighted shingle sets.
+the exact cosine of the weighted shingle sets. Fingerprints of similarity 0.8 differ by 13 of 64 bits on average, so the radius
+must be wide and the blocks select little: it is the shared shingle that keeps windows few, and the whole distance that keeps candidates few.
 
 Items go to the executors in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents a block, so no broadcast
-grows with the benchmark. Documents need no shuffle before their (few) hits; work is a rolling hash and a table
+grows with the benchmark. Windows get their fingerprints from running votes, so neither work nor memory grows with windows
+times words of an item. Documents need no shuffle before their (few) hits; work is a rolling hash and a table
 look-up a word.
 
 Defined cases: null and empty texts match nothing; items without words are skipped; null item_ids stay null; repeated
@@ -36,6 +38,7 @@ THRESHOLD = 0.8
 RADIUS = 24
 BLOCKS = 8
 ITEM_BYTES = 4 << 20
+RUN = 1 << 15
 RESULT_SCHEMA = "doc_id long, item_id long, start long, n_words int, distance int, similarity double"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -78,6 +81,16 @@ def simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=-1).view("<u8")[..., 0]
 
 
+def rolling_simhash(h: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
+    """SimHash of the w shingles from each of some ascending places, by differences of running votes."""
+    first = int(start[0])
+    bits = np.unpackbits(mix(h[first : int(start[-1]) + w]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    votes = np.zeros((len(bits) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=votes[1:])
+    at = start - first
+    return np.packbits(2 * (votes[at + w] - votes[at]) > w, axis=1).view("<u8")[:, 0]
+
+
 def _near(width: int, most: int) -> np.ndarray:
     """All values of ``width`` bits with at most ``most`` bits set."""
     return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in itertools.combinations(range(width), n)], np.uint64)
@@ -117,23 +130,23 @@ class ItemIndex:
             table[seeds >> np.uint64(44)] = True
             self.filters[k] = table
         width = 64 // blocks
-        near = _near(width, radius // blocks)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.shifts, self.mask, self.near = np.arange(blocks, dtype=np.uint64) * np.uint64(width), np.uint64((1 << width) - 1), _near(width, radius // blocks)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each size: items by value of each block, and where each value begins
         for n, members in self.by_size.items():
-            tables = []
-            for b in range(blocks):
-                table: dict[int, list[int]] = {}
-                for m in members:
-                    part = int(self.prints[m]) >> (b * width) & (1 << width) - 1
-                    for v in near:
-                        table.setdefault(part ^ int(v), []).append(int(m))
-                tables.append(table)
-            self.tables[n] = tables
+            part = ((self.prints[members][None, :] >> self.shifts[:, None]) & self.mask).astype(np.int64)
+            order = np.argsort(part, axis=1, kind="stable")
+            begin = np.stack([np.searchsorted(np.sort(x), np.arange((1 << width) + 1)) for x in part])
+            self.tables[n] = members[order], begin
 
     def candidates(self, n: int, print_: int) -> list[int]:
-        width = 64 // self.blocks
-        found = {m for b in range(self.blocks) for m in self.tables[n][b].get(print_ >> (b * width) & (1 << width) - 1, ())}
-        return [m for m in found if (int(self.prints[m]) ^ print_).bit_count() <= self.radius]
+        """Items of n words within the radius: those that come near in some block, then the whole distance."""
+        items, begin = self.tables[n]
+        value = ((((np.uint64(print_) >> self.shifts) & self.mask)[:, None]) ^ self.near[None, :]).astype(np.int64)
+        block = np.arange(len(self.shifts))[:, None]
+        lo, size = begin[block, value].ravel(), (begin[block, value + 1] - begin[block, value]).ravel()
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        found = np.unique(items[np.repeat(np.broadcast_to(block, value.shape).ravel(), size), at])
+        return found[np.bitwise_count(self.prints[found] ^ np.uint64(print_)) <= self.radius].tolist()
 
     def cosine(self, m: int, window: np.ndarray) -> float:
         seen, count = np.unique(window, return_counts=True)
@@ -156,24 +169,26 @@ class ItemIndex:
                 if not len(mine):
                     continue
                 w = n - k + 1  # shingles of a window
-                start = np.unique(mine[:, None] - np.arange(w)[None, :])
                 self.search_short(s, h, mine, n, k, threshold, best)
+                turn = np.zeros(len(h) + 1, np.int64)  # windows that hold a hit begin at most w - 1 words before it
+                np.add.at(turn, np.maximum(mine - w + 1, 0), 1)
+                np.add.at(turn, mine + 1, -1)
+                start = np.flatnonzero(np.cumsum(turn[:-1]) > 0)
                 home = np.searchsorted(s.first, start, "right") - 1
-                ok = (start >= 0) & (home >= 0)
-                start, home = start[ok], home[ok]
                 inside = start + n <= s.first[np.minimum(home + 1, len(s.first) - 1)]
                 start, home = start[inside], home[inside]
-                step = max(1, 200_000 // w)
-                for i in range(0, len(start), step):
-                    rows = h[start[i : i + step, None] + np.arange(w)]
-                    for j, p in enumerate(simhash(rows)):
-                        for m in self.candidates(n, int(p)):
-                            c = self.cosine(m, rows[j])
+                i = 0
+                while i < len(start):
+                    j = int(np.searchsorted(start, start[i] + RUN))  # windows within RUN words
+                    for t, p in enumerate(rolling_simhash(h, start[i:j], w).tolist(), i):
+                        for m in self.candidates(n, p):
+                            c = self.cosine(m, h[start[t] : start[t] + w])
                             if c >= threshold - 1e-12:
-                                at, d = int(start[i + j]), int(home[i + j])
-                                mark = (-c, at - int(s.first[d]), n, (int(self.prints[m]) ^ int(p)).bit_count(), c)
+                                at, d = int(start[t]), int(home[t])
+                                mark = (-c, at - int(s.first[d]), n, (int(self.prints[m]) ^ p).bit_count(), c)
                                 if (d, m) not in best or mark < best[d, m]:
                                     best[d, m] = mark
+                    i = j
         return [(d, m, x[1], x[2], x[3], x[4]) for (d, m), x in best.items()]
 
     def search_short(self, s: Slice, h: np.ndarray, hits: np.ndarray, n: int, k: int, threshold: float, best: dict[tuple[int, int], tuple]) -> None:

@@ -1,4 +1,4 @@
-"""Byte n-grams of folded texts: lower case, everything ASCII that is no letter as a blank; documents never share a gram."""
+"""Character n-grams of folded texts: lower case, everything ASCII that is no letter as a blank; documents never share a gram."""
 
 from __future__ import annotations
 
@@ -7,68 +7,72 @@ import pyarrow as pa
 
 from .packed import batch_slices
 
-_FOLD = np.full(256, 32, np.uint8)
-_FOLD[128:] = np.arange(128, 256)
-_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-MATRIX_CELLS = 1 << 23
+_TABLE_BITS = 20
 
 
 class Folded:
-    """Documents of a slice, each with a zero byte after it."""
+    """Documents of a slice as code points, each with a zero after it."""
 
     def __init__(self, lens: np.ndarray, buf: np.ndarray):
-        ends = np.cumsum(np.maximum(lens, 0) + 1) - 1
-        if buf.max(initial=0) > 127:
-            raw = buf.tobytes()
-            low = raw.decode("utf-8", "replace").lower().encode()
-            if len(low) != len(raw):  # a letter whose lower case has another length: by document
-                parts = [raw[e - n : e].decode("utf-8", "replace").lower().encode() + b"\n" for e, n in zip(ends, np.maximum(lens, 0), strict=True)]
-                ends, low = np.cumsum([len(p) for p in parts]) - 1, b"".join(parts)
-            buf = np.frombuffer(low, np.uint8)
-        self.buf = _FOLD[buf]
-        self.buf[ends] = 0
-        self.bounds = np.concatenate(([0], ends + 1))
+        text = buf.tobytes().decode("utf-8", "replace")
+        ends = np.cumsum(np.maximum(lens, 0) + 1) - 1  # of bytes
+        if len(text) != len(buf):
+            ends = np.cumsum((buf & 0xC0) != 0x80)[ends] - 1  # of characters
+        low = text.lower()
+        if len(low) != len(text):  # a letter whose lower case has another length: by document
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            parts = [text[i:j].lower() + "\n" for i, j in zip(begins, ends, strict=True)]
+            ends, low = np.cumsum([len(p) for p in parts]) - 1, "".join(parts)
+        self.points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        other = (self.points < 128) & ~((self.points >= 97) & (self.points < 123))
+        self.points[other] = 32
+        self.points[ends] = 0
+        self.bounds = np.concatenate(([0], ends + 1)).astype(np.int64)
         self.null = lens < 0
 
     def has_letter(self) -> np.ndarray:
         """Of each document: whether any character is a letter."""
-        letters = np.concatenate(([0], np.cumsum((self.buf >= 97) & (self.buf < 123))))
+        letters = np.concatenate(([0], np.cumsum((self.points >= 97) & (self.points < 123))))
         out = np.diff(letters[self.bounds]) > 0
-        beyond = np.concatenate(([0], np.cumsum(self.buf >= 128)))
+        beyond = np.concatenate(([0], np.cumsum(self.points >= 128)))
         for d in np.flatnonzero(~out & (np.diff(beyond[self.bounds]) > 0)):
-            out[d] = any(c.isalpha() for c in self.buf[self.bounds[d] : self.bounds[d + 1]].tobytes().decode("utf-8", "replace"))
+            out[d] = any(chr(c).isalpha() for c in np.unique(self.points[self.bounds[d] : self.bounds[d + 1]]).tolist())
         return out
 
-    def grams(self, sizes: tuple[int, ...], bits: int, first: int, last: int):
-        """For each size, (document from ``first``, hash of ``bits`` bits) of each gram of documents ``first`` to ``last``."""
-        buf = self.buf[self.bounds[first] : self.bounds[last]]
-        doc = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(self.bounds[first : last + 1]))
-        code = np.zeros(len(buf), np.uint64)
-        gap = np.zeros(len(buf), bool)
+    def codes(self, sizes: tuple[int, ...]) -> list[tuple[int, np.ndarray]]:
+        """(n, code of the n-gram at each place). Codes up to n = 3 are the characters themselves, longer ones 64-bit hashes."""
+        out, points = [], self.points.astype(np.uint64)
+        code = np.zeros(len(points), np.uint64)
         for n in range(1, max(sizes) + 1):
-            m = len(buf) - n + 1
-            if m <= 0:
-                return
-            code = (code[:m] << np.uint64(8)) | buf[n - 1 :]
-            gap = gap[:m] | (buf[n - 1 :] == 0)
+            m = max(len(points) - n + 1, 0)
+            code = (code[:m] << np.uint64(21)) | points[n - 1 :] if n <= 3 else code[:m] * _STEP + points[n - 1 :]
             if n in sizes:
-                ok = ~gap
-                yield doc[:m][ok], (((code[ok] + np.uint64(n << 56)) * _STEP) >> np.uint64(64 - bits)).astype(np.int32)
-
-    def presence(self, sizes: tuple[int, ...], bits: int, columns: np.ndarray | None = None):
-        """(first document, 0/1 matrix) of runs of documents; ``columns`` maps hashes to columns, -1 to none."""
-        width = (1 << bits) if columns is None else int(columns.max(initial=0)) + 1
-        step = max(1, MATRIX_CELLS // width)
-        for i in range(0, len(self.null), step):
-            j = min(i + step, len(self.null))
-            out = np.zeros((j - i, width), np.float32)
-            for doc, h in self.grams(sizes, bits, i, j):
-                if columns is not None:
-                    h = columns[h]
-                    doc, h = doc[h >= 0], h[h >= 0]
-                out[doc, h] = 1
-            yield i, out
+                mark = {1: 3 << 62, 2: 1 << 63}.get(n, 0)
+                out.append((n, code | np.uint64(mark) if mark else code if n == 3 else code * _STEP + np.uint64(n)))
+        return out
+
+    def of(self, codes: list[tuple[int, np.ndarray]], d: int) -> np.ndarray:
+        """The codes of document d."""
+        return np.concatenate([c[self.bounds[d] : max(self.bounds[d], self.bounds[d + 1] - n)] for n, c in codes])
+
+
+def slots(codes: np.ndarray, bits: int) -> np.ndarray:
+    return ((codes * _STEP) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Distinct:
+    """Distinct values of an array by a table of last places; values that share a slot with another are told apart by sorting."""
+
+    def __init__(self):
+        self.place = np.zeros(1 << _TABLE_BITS, np.int32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        slot, at = slots(codes, _TABLE_BITS), np.arange(len(codes), dtype=np.int32)
+        self.place[slot] = at
+        won = self.place[slot]
+        lost = codes[won] != codes
+        return np.concatenate((codes[won == at], np.unique(codes[lost]))) if lost.any() else codes[won == at]
 
 
 def folded_batches(batches):

@@ -1,18 +1,19 @@
 """Language identification with blended-spectrum string kernels.
 
-k(x, z) is the number of byte 1-, 2- and 3-grams both texts have (presence, not counts), over the geometric mean of the
-numbers each has. ``LANDMARKS`` training texts span a Nyström feature space; kernel ridge regression in it, one language
-against the rest, is a closed-form solve on the driver. Scoring is two matrix products a batch: presence times landmarks,
-then times coefficients. Grams are hashed to 2**BITS columns.
+k(x, z) is the number of character 1-, 2- and 3-grams both texts have (presence, not counts; exact, nothing is hashed), over the
+geometric mean of the numbers each has. ``LANDMARKS`` training texts span a Nyström feature space; kernel ridge regression in it,
+one language against the rest, is a closed-form solve on the driver. Scoring is two matrix products a batch: presence of the
+landmarks' grams times which landmark has them, then times coefficients.
 
 Every non-null language is learned. Training reads at most ``PER_LANGUAGE`` rows of each, and fewer (one at least) where the
-languages are so many that this would be over ``TRAINING_ROWS`` in all, chosen by hash of the id; they come to the driver
-as bit sets of 2**BITS / 8 bytes.
+languages are so many that this would be over ``TRAINING_ROWS`` in all, chosen by hash of the row; the grams of the landmarks and
+one kernel value a landmark of each training row come to the driver.
 Nothing else is bounded: every whole text is scored.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0, as is everything when nothing can be
-learned from; null languages teach nothing; repeated rows are scored each; an empty table gives an empty result; other
-columns are ignored. Equal scores go to the language first in code point order.
+learned from; null languages teach nothing; rows that repeat an id are rows of their own, in training (each with its own text and
+language) and in scoring; an empty table gives an empty result; other columns are ignored or kept. Equal scores go to the
+language first in code point order.
 """
 
 from __future__ import annotations
@@ -22,17 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grams import folded_batches, id_array
-from .packed import NULL_ID
-from .runtime import read
+from .grams import Distinct, Folded, folded_batches, id_array
+from .packed import NULL_ID, batch_slices
+from .runtime import read, settle
 
 SIZES = (1, 2, 3)
-BITS = 14
 LANDMARKS = 96
 PER_LANGUAGE = 500
 TRAINING_ROWS = 64 * PER_LANGUAGE
 RIDGE = 1e-4
-ROW_ID = "_row_of_scoring"
+MATRIX_CELLS = 1 << 21
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -40,50 +40,80 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def _featurise(batches):
+class Landmarks:
+    """Grams of the landmarks, sorted, and which landmark has them, scaled to unit norm."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.grams = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        self.member = np.zeros((len(self.grams), len(sets)), np.float32)
+        for i, x in enumerate(sets):
+            self.member[np.searchsorted(self.grams, x), i] = 1 / np.sqrt(max(len(x), 1))
+
+    def kernels(self, s: Folded):
+        """(first document, kernel values with each landmark) of runs of documents."""
+        codes, distinct = s.codes(SIZES), Distinct()
+        docs, width = len(s.null), max(len(self.grams), 1)
+        step = max(1, MATRIX_CELLS // width)
+        for i in range(0, docs, step):
+            j = min(i + step, docs)
+            presence, norm = np.zeros((j - i, width), np.float32), np.ones(j - i, np.float32)
+            for d in range(i, j):
+                x = distinct(s.of(codes, d))
+                if len(x) and len(self.grams):
+                    at = np.minimum(np.searchsorted(self.grams, x), width - 1)
+                    presence[d - i, at[self.grams[at] == x]] = 1
+                    norm[d - i] = np.sqrt(len(x))
+            yield i, presence[:, : len(self.grams)] @ self.member / norm[:, None]
+
+
+def _gram_sets(batches):
+    distinct = Distinct()
     for ids, s in folded_batches(batches):
-        for i, m in s.presence(SIZES, BITS):
-            bits = np.packbits(m > 0, axis=1)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + len(m)], pa.int64()), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
-
-
-def training_rows(docs: DataFrame, usable: Column) -> tuple[np.ndarray, list[str]]:
-    """Packed presence bits and languages of the bounded sample, in a fixed order."""
-    narrow = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    each = max(1, min(PER_LANGUAGE, TRAINING_ROWS // max(1, narrow.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
-    of = {r.doc_id: r.lang for r in chosen.select("doc_id", "lang").collect()}
-    if not of:
-        return np.zeros((0, (1 << BITS) // 8), np.uint8), []
-    texts = docs.where(F.col("doc_id").isin(list(of)) & usable).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got: dict[int, bytes] = {}
-    for r in texts.mapInArrow(_featurise, "doc_id long, bits binary").collect():
-        got[r.doc_id] = max(bytes(r.bits), got.get(r.doc_id, b""))
-    ids = sorted(got, key=lambda i: (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, i))
-    return np.frombuffer(b"".join(got[i] for i in ids), np.uint8).reshape(len(ids), -1), [of[i] for i in ids]
+        codes = s.codes(SIZES)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(ids, pa.int64()), "grams": pa.array([distinct(s.of(codes, d)).astype("<u8").tobytes() for d in range(len(ids))], pa.binary())})
+
+
+def _kernel_rows(landmarks):
+    def run(batches):
+        for ids, s in folded_batches(batches):
+            for i, k in landmarks.value.kernels(s):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(ids[i : i + len(k)], pa.int64()), "k": pa.array([r.astype("<f4").tobytes() for r in k], pa.binary())})
+
+    return run
 
 
-def _unit_rows(bits: np.ndarray) -> np.ndarray:
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
-    return x
+def training_rows(docs: DataFrame, usable: Column, count: int = LANDMARKS) -> tuple[Landmarks, np.ndarray, np.ndarray, list[str]]:
+    """Landmarks, kernel values of the bounded sample in a fixed order, which of its rows are landmarks, and its languages."""
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    key = F.xxhash64(F.col("doc_id").cast("string"), "lang", text)  # of a row: equal rows are one
+    narrow = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & text.isNotNull()).select(key.alias("key"), "lang")
+    languages = narrow.select("lang").distinct().count()
+    each = max(1, min(PER_LANGUAGE, TRAINING_ROWS // max(1, languages)))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = narrow.withColumn("r", place).where(F.col("r") <= each).select("key", "lang", "r").distinct().collect()
+    of = {r["key"]: r["lang"] for r in chosen}
+    marks = {r["key"] for r in chosen if r["r"] <= max(1, count // max(1, languages))}
+    if not of:
+        return Landmarks([]), np.zeros((0, 0), np.float32), np.zeros(0, bool), []
+    texts = settle(docs.select(key.alias("key"), text.alias("text")).where(F.col("key").isin(list(of))).dropDuplicates(["key"]))
+    sets = sorted((r["key"], bytes(r["grams"])) for r in texts.where(F.col("key").isin(list(marks))).mapInArrow(_gram_sets, "key long, grams binary").collect())
+    landmarks = Landmarks([np.frombuffer(g, "<u8") for _, g in sets if g])
+    marks = {k for k, g in sets if g}
+    got = sorted((r["key"], bytes(r["k"])) for r in texts.mapInArrow(_kernel_rows(spark.sparkContext.broadcast(landmarks)), "key long, k binary").collect())
+    k = np.frombuffer(b"".join(b for _, b in got), "<f4").reshape(len(got), -1)
+    return landmarks, k, np.array([i in marks for i, _ in got]), [of[i] for i, _ in got]
 
 
 class Model:
-    """Landmarks (their presence scaled to unit norm), coefficients and languages."""
+    """Landmarks, coefficients and languages."""
 
-    def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        some = bits.any(axis=1) if len(langs) else np.zeros(0, bool)
-        bits, y = bits[some], np.array(langs, object)[some]
-        self.langs = sorted(set(y.tolist()))
+    def __init__(self, landmarks: Landmarks, k: np.ndarray, is_mark: np.ndarray, langs: list[str], ridge: float = RIDGE):
+        self.langs = sorted(set(langs)) if landmarks.member.shape[1] else []
         if not self.langs:
             return
-        each = max(1, landmarks // len(self.langs))
-        pick = np.sort(np.concatenate([np.flatnonzero(y == lang)[:each] for lang in self.langs]))
-        self.landmarks = np.ascontiguousarray(_unit_rows(bits[pick]).T)
-        k = np.concatenate([_unit_rows(bits[i : i + 256]) @ self.landmarks for i in range(0, len(bits), 256)])
-        value, vector = np.linalg.eigh(k[pick].astype(np.float64))
+        self.landmarks, y = landmarks, np.array(langs, object)
+        value, vector = np.linalg.eigh(k[is_mark].astype(np.float64))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
         phi = np.column_stack([k @ root, np.ones(len(k))])
@@ -99,24 +129,24 @@ class Model:
         b = np.linalg.solve(left, np.concatenate(right, axis=1))
         self.coefficients, self.bias = (root @ b[:-1]).astype(np.float32), b[-1].astype(np.float32)
 
-    def score(self, presence: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(presence.sum(axis=1), 1))
-        return (presence @ self.landmarks) / norm[:, None] @ self.coefficients + self.bias
+    def predict(self, s: Folded) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each document of a slice."""
+        pred, score = np.full(len(s.null), "und", object), np.zeros(len(s.null))
+        letters = s.has_letter() & ~s.null
+        if self.langs:
+            for i, k in self.landmarks.kernels(s):
+                f = k @ self.coefficients + self.bias
+                best = f.argmax(axis=1)
+                pred[i : i + len(k)] = np.array(self.langs, object)[best]
+                score[i : i + len(k)] = np.clip((f[np.arange(len(k)), best] + 1) / 2, 0, 1)
+        pred[~letters], score[~letters] = "und", 0
+        return pred, score
 
 
 def _scorer(model):
     def run(batches):
-        m = model.value
         for ids, s in folded_batches(batches):
-            letters = s.has_letter() & ~s.null
-            pred, score = np.full(len(ids), "und", object), np.zeros(len(ids))
-            if m.langs:
-                for i, x in s.presence(SIZES, BITS):
-                    f = m.score(x)
-                    best = f.argmax(axis=1)
-                    pred[i : i + len(x)] = np.array(m.langs, object)[best]
-                    score[i : i + len(x)] = np.clip((f[np.arange(len(x)), best] + 1) / 2, 0, 1)
-            pred[~letters], score[~letters] = "und", 0
+            pred, score = model.value.predict(s)
             yield pa.RecordBatch.from_pydict({"doc_id": id_array(ids, NULL_ID), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     return run
@@ -133,17 +163,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(_scorer(shared), SCHEMA)
 
 
-def _keeper(model):
+def _keeper(model, at: int):
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            one = pa.RecordBatch.from_arrays([batch.column(names.index(ROW_ID)), batch.column(names.index("text"))], ["doc_id", "text"])
-            if model.value.langs:
-                known = [np.asarray(x.column(1).to_numpy(zero_copy_only=False) != "und", bool) for x in _scorer(model)(iter([one]))]
-            else:
-                known = [t.has_letter() & ~t.null for _, t in folded_batches(iter([one]))]
-            known = pa.array(np.concatenate([np.zeros(0, bool), *known]), pa.bool_())
-            yield batch.filter(known).drop_columns([ROW_ID])
+            keep = [np.zeros(0, bool)]
+            for _, lens, buf in batch_slices(pa.array(np.arange(batch.num_rows)), batch.column(at)):
+                s = Folded(lens, buf)
+                keep.append(model.value.predict(s)[0] != "und" if model.value.langs else s.has_letter() & ~s.null)
+            yield batch.filter(pa.array(np.concatenate(keep).astype(bool), pa.bool_()))
 
     return run
 
@@ -151,8 +178,8 @@ def _keeper(model):
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is in some language: not null, and with a letter, whether or not a language was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.withColumns({ROW_ID: F.lit(0).cast("long"), "text": F.col("text").cast("string")})
-    return kept.mapInArrow(_keeper(shared), docs.schema)
+    kept = docs.withColumn("text", F.col("text").cast("string"))
+    return kept.mapInArrow(_keeper(shared, docs.columns.index("text")), kept.schema)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

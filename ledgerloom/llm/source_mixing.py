@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import read, settle
+from .runtime import free_name, read, settle
 
 BLOCK = 16
 MOST = 3
@@ -96,10 +96,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix_sources(docs, **options).where("taken > 0")
     plan = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     plan = plan.withColumn("copies", F.round(F.col("taken") / (F.col("rows") * F.col("size"))).cast("int")).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (word_count() == F.col("_n"))
-    out = docs.join(plan, same).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    return out.select(*docs.columns)
+    d, s, n, c = (free_name(docs, x) for x in ("d", "s", "n", "c"))
+    plan = plan.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c))
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)) & (word_count() == F.col(n))
+    out = docs.join(plan, same).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c))))
+    return out.drop(d, s, n, c)
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,146 +1,154 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the presence of byte 3- to 6-grams of the folded text, hashed to 2**BITS. The log-count ratio of a feature is
-log((1 + toxic texts with it) / toxic texts) - log((1 + other texts with it) / other texts), smoothed; the ``FEATURES`` features that
-separate the classes best (chi-square) keep a column, scaled by their ratio, and L2-regularised logistic regression
-is fitted on them.
+Features are the presence of character 3- to 6-grams of the folded text, by hash in 2**BITS columns; none is selected or dropped.
+With p = 1 + the number of toxic training texts that have a feature and q = 1 + that of the others, its log-count ratio is
+log((p / sum of p) / (q / sum of q)). Features are scaled by their ratios, and L2-regularised logistic regression is fitted on them.
 
-Training reads at most ``PER_CLASS`` labelled rows of each class, chosen by hash of the id. Their counts reach the driver as
-compressed sparse vectors and their columns as bit sets of FEATURES / 8 bytes, both bounded by the sample.
-Every whole text is scored.
+Training reads at most ``PER_CLASS`` labelled rows of each class and ``CELLS`` features in them, in order of a hash of the row;
+their feature lists come to the driver. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of a text without features; null labels teach nothing; an id labelled
-both ways counts as toxic; without both classes in the sample the score is 0; repeated rows are scored each; an empty
-table gives an empty result; other columns are ignored.
+both ways counts as toxic; rows that repeat an id are rows of their own, each taught with the id's label; without both classes in the
+sample the score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grams import folded_batches, id_array
+from .grams import Folded, folded_batches, id_array, slots
 from .language_id import remainder
 from .packed import NULL_ID
-from .runtime import read
+from .runtime import read, settle
 
 SIZES = (3, 4, 5, 6)
-BITS = 18
-FEATURES = 2048
-PER_CLASS = 3000
-LEAST_TEXTS = 4
+BITS = 20
+PER_CLASS = 1000
+CELLS = 6_000_000
 RIDGE = 1e-3
+ROUNDS = 60
 CUT = 0.7
 SCHEMA = "doc_id long, score double"
 
 
-def _counts(toxic):
-    """Of each class, in how many texts of the partition each feature is; one row a partition."""
+class Features:
+    """Distinct columns of documents, by a table of last places."""
 
-    def run(batches):
-        marked = toxic.value
-        total = np.zeros((2, 1 << BITS), np.int32)
-        n = np.zeros(2, np.int64)
-        for ids, s in folded_batches(batches):
-            for d in range(len(ids)):
-                seen = np.unique(np.concatenate([np.zeros(0, np.int32), *(h for _, h in s.grams(SIZES, BITS, d, d + 1))]))
-                c = int(marked.get(int(ids[d]), 0))
-                total[c, seen] += 1
-                n[c] += 1
-        if n.any():
-            at = np.flatnonzero(total.sum(axis=0))
-            body = zlib.compress(at.astype("<i4").tobytes() + total[:, at].astype("<i4").tobytes(), 1)
-            yield pa.RecordBatch.from_pydict({"size": pa.array([len(at)], pa.int32()), "n0": pa.array([n[0]], pa.int64()), "n1": pa.array([n[1]], pa.int64()), "body": pa.array([body], pa.binary())})
+    def __init__(self):
+        self.place = np.zeros(1 << BITS, np.int32)
 
-    return run
+    def __call__(self, s: Folded):
+        codes = [(n, slots(c, BITS).astype(np.int32)) for n, c in s.codes(SIZES)]
+        for d in range(len(s.null)):
+            h = s.of(codes, d)
+            at = np.arange(len(h), dtype=np.int32)
+            self.place[h] = at
+            yield h[self.place[h] == at]
 
 
-def _columns(columns):
-    def run(batches):
-        to = columns.value
-        for ids, s in folded_batches(batches):
-            for i, m in s.presence(SIZES, BITS, to):
-                bits = np.packbits(m > 0, axis=1)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + len(m)], pa.int64()), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
+def _features(batches):
+    made = Features()
+    for ids, s in folded_batches(batches):
+        rows = [np.sort(h) for h in made(s)]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(ids, pa.int64()), "n": pa.array([len(h) for h in rows], pa.int64()), "columns": pa.array([h.astype("<i4").tobytes() for h in rows], pa.binary())})
 
-    return run
 
+class Sparse:
+    """A 0/1 matrix by rows, with a scale for each column."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.size, self.width = np.array([len(r) for r in rows], np.int64), width
+        self.column = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.full = np.flatnonzero(self.size)
+        self.first = (np.cumsum(self.size) - self.size)[self.full]
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by accelerated gradient steps; classes weigh the same."""
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size))
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w[self.column], self.first)
+        return out
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=np.repeat(e, self.size), minlength=self.width)
+
+
+def log_count_ratios(x: Sparse, y: np.ndarray) -> np.ndarray:
+    p, q = 1 + x.back(y.astype(float)), 1 + x.back(1.0 - y)
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
+def logistic(x: Sparse, scale: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on ``x * scale`` by accelerated gradient steps; classes weigh the same. Weights are of ``x``."""
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(12):  # largest curvature, by the power method
-        v = x.T @ (weight * (x @ v))
+    times = lambda w: x.times(w * scale)
+    back = lambda e: x.back(e) * scale
+    v = np.ones(x.width) / np.sqrt(x.width)
+    for _ in range(8):  # largest curvature, by the power method
+        v = back(weight * times(v))
         top = float(np.linalg.norm(v))
-        v = (v / max(top, 1e-12)).astype(np.float32)
-    step = 1 / (0.25 * (top + 1) + ridge)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+        v /= max(top, 1e-12)
+    step = 1 / (0.25 * (1.1 * top + 1) + ridge)
+    w, b = np.zeros(x.width), 0.0
     pw, pb = w, b
     for t in range(rounds):
         m = t / (t + 3)
         zw, zb = w + m * (w - pw), b + m * (b - pb)
-        e = weight * (1 / (1 + np.exp(-np.clip(x @ zw + zb, -40, 40))) - y)
+        e = weight * (1 / (1 + np.exp(-np.clip(times(zw) + zb, -40, 40))) - y)
         pw, pb = w, b
-        w = (zw - step * (x.T @ e + ridge * zw)).astype(np.float32)
+        w = zw - step * (back(e) + ridge * zw)
         b = zb - step * float(e.sum())
-    return w, b
+    return w * scale, b
 
 
 class Model:
-    def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float, known: bool):
-        self.columns, self.weights, self.bias, self.known = columns, weights, bias, known
+    """weights: one a column; None where nothing could be learned."""
+
+    def __init__(self, weights: np.ndarray | None, bias: float = 0.0):
+        self.weights, self.bias = weights, bias
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], y: np.ndarray) -> "Model":
+        if not 0 < y.sum() < len(y):
+            return cls(None)
+        x = Sparse(rows, 1 << BITS)
+        w, b = logistic(x, log_count_ratios(x, y), y)
+        return cls(w.astype(np.float32), b)
+
+    def scores(self, s: Folded, features: Features) -> np.ndarray:
+        if self.weights is None:
+            return np.zeros(len(s.null))
+        raw = np.array([self.weights[h].sum(dtype=np.float64) for h in features(s)] + [0.0])[:-1] + self.bias
+        return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
-    spark = docs.sparkSession
-    none = Model(np.full(1 << BITS, -1, np.int32), np.zeros(1, np.float32), 0.0, False)
     marks = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    of: dict[int, int] = {}
-    for c in (0, 1):
-        of |= {r.doc_id: c for r in marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS).collect()}
+    text = F.col("text").cast("string")
+    key = F.xxhash64(F.col("doc_id").cast("long"), text).alias("key")
+    taught = docs.select("doc_id", key).join(marks, "doc_id").select("key", "toxic").groupBy("key").agg(F.max("toxic").alias("toxic"))
+    order = Window.partitionBy("toxic").orderBy("key")
+    chosen = taught.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_CLASS).select("key", "toxic").collect()
+    of = {r["key"]: r["toxic"] for r in chosen}
     if len(set(of.values())) < 2:
-        return none
-    texts = docs.where(F.col("doc_id").isin(list(of))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for r in texts.mapInArrow(_counts(spark.sparkContext.broadcast(of)), "size int, n0 long, n1 long, body binary").toLocalIterator():
-        flat = np.frombuffer(zlib.decompress(r.body), "<i4")
-        total[:, flat[: r.size]] += flat[r.size :].reshape(2, -1)
-        n += (r.n0, r.n1)
-    if not n.all():
-        return none
-    p, q = (total[1] + 1) / (n[1] + 2), (total[0] + 1) / (n[0] + 2)
-    ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    both = total.sum(axis=0)
-    mean = (both + 1) / (n.sum() + 2)
-    chi = np.where(both >= LEAST_TEXTS, (p - q) ** 2 / (mean * (1 - mean)), 0)
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    best = np.sort(best[chi[best] > 0])
-    if not len(best):
-        return none
-    columns = np.full(1 << BITS, -1, np.int32)
-    columns[best] = np.arange(len(best))
-    got = sorted((r.doc_id, bytes(r.bits)) for r in texts.mapInArrow(_columns(spark.sparkContext.broadcast(columns)), "doc_id long, bits binary").toLocalIterator())
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1, count=len(best)).astype(np.float32)
-    y = np.array([of[d] for d, _ in got], np.float32)
-    scale = ratio[best].astype(np.float32)
-    w, b = logistic(x * scale, y, RIDGE)
-    return Model(columns, (w * scale).astype(np.float32), b, True)
+        return Model(None)
+    texts = docs.select(key, text.alias("text")).where(F.col("key").isin(list(of))).dropDuplicates(["key"])
+    rows = settle(texts.mapInArrow(_features, "key long, n long, columns binary"))
+    kinds = docs.sparkSession.createDataFrame(list(of.items()), "key long, toxic int")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = rows.select("key", "n").join(F.broadcast(kinds), "key").withColumn("cells", upto).where(F.col("cells") <= CELLS)  # at most 2 * PER_CLASS rows
+    keep = {r["key"] for r in inside.select("key").collect()}
+    got = sorted((r["key"], bytes(r["columns"])) for r in rows.where(F.col("key").isin(list(keep))).select("key", "columns").collect())
+    return Model.of([np.frombuffer(c, "<i4") for _, c in got], np.array([of[k] for k, _ in got], float))
 
 
 def _scorer(model):
     def run(batches):
-        m = model.value
+        features = Features()
         for ids, s in folded_batches(batches):
-            score = np.zeros(len(ids))
-            if m.known:
-                for i, x in s.presence(SIZES, BITS, m.columns):
-                    score[i : i + len(x)] = 1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -40, 40).astype(np.float64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": id_array(ids, NULL_ID), "score": pa.array(score, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": id_array(ids, NULL_ID), "score": pa.array(model.value.scores(s, features), pa.float64())})
 
     return run
 

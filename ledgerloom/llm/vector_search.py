@@ -5,24 +5,25 @@ sqrt(1 - |x|^2 / M^2), unless all norms are alike; queries are normalised and ge
 signs and a fast Hadamard transform (dimension padded to a power of two) and names the nearest of the 2 * D signed
 axes. The index keeps ``AXES`` such hashes of every row. Tables are made of them singly or in pairs, and a query probes its
 likeliest buckets in each table, in the order of lost squared axis length. How many is measured: for ``SAMPLE`` queries the
-true neighbours among all rows are found by an exact pass, and the cheapest step of ``LADDER`` that finds ``RECALL`` of them
-is taken; the last step probes everything. Every row found in any probed bucket is reranked by the exact inner
-product in double precision.
+true neighbours among all rows are found by an exact pass, and of the steps of ``LADDER`` that find ``RECALL`` of them the one
+that probes the smallest share of ``SHARE_ROWS`` sampled rows is taken (the one of highest recall if none does); ``tune`` reports recall
+and share. Every row found in any probed bucket is reranked by the exact inner product in double precision.
 
-The index is a DataFrame (id, vector, hashes), written once. Queries go over it in blocks, each broadcast with its
-probes (``BLOCK_BYTES`` at most); a task looks up its own rows' buckets and keeps its k best of each query, and a ranked
-window merges those. Buckets have no cap: a bucket of a third of all rows lies in as many tasks as its
+The index is a DataFrame (id, vector, hashes), written once. Probes of queries are made by the executors. Queries go over the
+index in blocks, each broadcast with its probes (``BLOCK_BYTES`` at most; the driver only puts them together); a task looks up its own
+rows' buckets and keeps its k best of each query, and a ranked window merges those. Buckets have no cap: a bucket of a third of all rows lies in as many tasks as its
 rows do, and no pairs are shuffled.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part as query or row; equal scores go to the smaller id; rows that repeat an id are rows of their own
-and none of them is a candidate of a query with that id; fewer candidates than k give all; empty tables give no rows.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part as query or
+row; vectors of different lengths have no inner product, so each length is searched by itself; equal scores go to the smaller id;
+rows that repeat an id are rows and queries of their own, and none of them is a candidate of a query with that id;
+fewer candidates than k give all; empty tables give no rows.
 A query whose probed buckets hold fewer than k rows is completed by an exact pass over all rows.
 """
 
 from __future__ import annotations
 
-import itertools
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,17 @@ from pyspark.sql import functions as F
 from .runtime import read, settle
 
 AXES = 48
-LADDER = ((2, 64), (2, 128), (2, 256), (1, 2), (1, 4), (1, 8), (1, 16), (1, 32), (1, 1 << 16))  # hashes a table, probes a table
-RECALL = 0.95
-SAMPLE = 64
+LADDER = tuple((2, 1 << i) for i in range(4, 10)) + ((2, 96), (2, 192), (2, 384)) + tuple((1, i) for i in (1, 2, 3, 4, 6, 8, 12))  # hashes a table, probes a table
+RECALL = 0.94
+SAMPLE = 96
+SHARE_ROWS = 4096
 WIDE = 32  # likeliest axes of each hash from which pairs are made
 BLOCK_BYTES = 16 << 20
 ROWS = 65536
 SEED = 7
 EVEN = 1e-3  # squared norms this near to each other need no further component
-SCHEMA = "query_id long, vec_id long, score double"
+log = logging.getLogger(__name__)
+SCHEMA = "q int, query_id long, vec_id long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _search(block, made: Hashes, hashes: int, dim: int, k: int, exact: bool):
     def run(batches):
-        q_ids, q, tables = block.value
+        numbers, q_ids, q, tables = block.value
 
         def scored(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
             ids, x, axes = (np.concatenate(c) for c in zip(*rows, strict=True))
@@ -163,10 +166,10 @@ def _search(block, made: Hashes, hashes: int, dim: int, k: int, exact: bool):
                 if len(near):
                     score = np.einsum("ij,j->i", x[near], q[i])
                     best = _best(score, ids[near], k)
-                    out.append((np.full(len(best), q_id), ids[near][best], score[best]))
+                    out.append((np.full(len(best), numbers[i]), np.full(len(best), q_id), ids[near][best], score[best]))
             if out:
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                n, a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict({"q": pa.array(n, pa.int32()), "query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
         held, size = [], 0
         for batch in batches:
@@ -184,14 +187,26 @@ def _search(block, made: Hashes, hashes: int, dim: int, k: int, exact: bool):
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, size: int):
+def _probing(made: Hashes, hashes: int, most: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                x = np.array(part.column(1).to_pylist(), np.float64)
+                probes = made.probes(_lifted(made, x), hashes, most).astype("<i4")
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "v": pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), "probes": pa.array([p.tobytes() for p in probes], pa.binary())})
+
+    return run
+
+
+def _blocks(probed: DataFrame, size: int):
     held = []
-    for row in queries.orderBy("id").toLocalIterator():
-        held.append((row["id"], row["v"]))
+    for row in probed.toLocalIterator(prefetchPartitions=True):
+        held.append((row["id"], bytes(row["v"]), bytes(row["probes"])))
         if len(held) == size:
             yield held
             held = []
@@ -199,58 +214,80 @@ def _blocks(queries: DataFrame, size: int):
         yield held
 
 
-def _chosen(index: DataFrame, made: Hashes, sample: list, dim: int, k: int) -> tuple[int, int, float]:
-    """The step of the ladder to take, with its measured recall."""
+def tune(index: DataFrame, made: Hashes, queries: DataFrame, dim: int, k: int) -> tuple[int, int, float, float] | None:
+    """(hashes a table, probes a table, measured recall, share of rows probed) of the step of the ladder to take; None without queries."""
     spark = index.sparkSession
-    ids, q = np.array([s[0] for s in sample], np.int64), np.array([s[1] for s in sample], np.float64)
-    true = _ranked(index.mapInArrow(_search(spark.sparkContext.broadcast((ids, q, None)), made, 1, dim, k, True), SCHEMA), k)
-    true = true.join(index.select(F.col("id").alias("vec_id"), "axes"), "vec_id").select("query_id", "axes").collect()
+    sample = queries.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
+    if not sample:
+        return None
+    ids, q = np.array([s["id"] for s in sample], np.int64), np.array([s["v"] for s in sample], np.float64)
+    true = _ranked(index.mapInArrow(_search(spark.sparkContext.broadcast((np.arange(len(ids)), ids, q, None)), made, 1, dim, k, True), SCHEMA), k)
+    true = true.join(index.select(F.col("id").alias("vec_id"), "axes"), "vec_id").select("q", "axes").collect()
+    rows = index.orderBy(F.xxhash64("id", "v")).limit(SHARE_ROWS).select("axes").collect()
     if not true:
-        return (*LADDER[-1], 1.0)
-    at = {int(i): n for n, i in enumerate(ids)}
-    of = np.array([at[r[0]] for r in true])
-    axes = np.array([np.frombuffer(r[1], "<u2") for r in true]).astype(np.int32)
+        return (*LADDER[0], 1.0, 0.0)
+    decoded = lambda column: np.array([np.frombuffer(r, "<u2") for r in column]).astype(np.int32)
+    of, axes, others = np.array([r["q"] for r in true]), decoded(r["axes"] for r in true), decoded(r["axes"] for r in rows)
+    found = []
     for hashes, most in LADDER:
-        bucket, probes = made.buckets(axes, hashes), made.probes(_lifted(made, q), hashes, most)
-        recall = float(np.mean([(probes[i] == b[:, None]).any() for i, b in zip(of, bucket, strict=True)]))
-        if recall >= RECALL:
-            break
-    return hashes, most, recall
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", axes: int = AXES, seed: int = SEED) -> DataFrame:
-    """The k nearest found of each query: query_id, rank (from 1), vec_id, score."""
+        if hashes == 2 and most > (2 * made.dim) ** 2 // 4 or hashes == 1 and most > 2 * made.dim // 4:
+            continue  # a quarter of all buckets of each table is no index
+        probes, bucket, other = made.probes(_lifted(made, q), hashes, most), made.buckets(axes, hashes), made.buckets(others, hashes)
+        recall = np.mean([any((probes[i, t] == b[t]).any() for t in range(len(b))) for i, b in zip(of, bucket, strict=True)])
+        hit = np.zeros((len(q), len(other)), bool)
+        for t in range(other.shape[1]):
+            for i in range(len(q)):
+                hit[i] |= np.isin(other[:, t], probes[i, t])
+        found.append((hashes, most, float(recall), float(hit.mean())))
+    good = [f for f in found if f[2] >= RECALL]
+    return min(good, key=lambda f: f[3]) if good else max(found, key=lambda f: f[2])
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, dim: int, top: float, even: bool, many: int, k: int, axes: int, seed: int) -> DataFrame | None:
+    """The search among vectors of one length."""
     spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, queries = usable(rows, id_, vector), usable(queries, id_, vector).groupBy("id").agg(F.min("v").alias("v"))
-    norm = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low")).orderBy(F.desc("n"), "dim").first()
-    if shape is None:
-        return empty
-    dim, top, many = shape["dim"], float(np.sqrt(shape["top"])) * (1 + 1e-12), shape["n"]
-    even = shape["low"] > (1 - EVEN) * shape["top"]  # then inner products rank as angles do
     made = Hashes(dim if even else dim + 1, axes, seed)
-    index = settle(rows.where(F.size("v") == dim).mapInArrow(_index(made, dim, top), "id long, v binary, axes binary"))
-    queries = settle(queries.where(F.size("v") == dim))
-    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not sample:
-        return empty
-    hashes, most, _ = _chosen(index, made, sample, dim, k)
+    index = settle(rows.mapInArrow(_index(made, dim, top), "id long, v binary, axes binary"))
+    step = tune(index, made, queries, dim, k)
+    if step is None:
+        return None
+    hashes, most, recall, share = step
+    log.info("length %d: %d hashes a table, %d probes, recall %.3f, share of rows probed %.3f", dim, hashes, most, recall, share)
     tables = axes // hashes
-    size = max(1, BLOCK_BYTES // (4 * tables * min(most, 2 * made.dim) if hashes == 1 else 4 * tables * most))
-    out = None
-    for block in _blocks(queries, size):
-        ids, q = np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float64)
-        shared = spark.sparkContext.broadcast((ids, q, made.probes(_lifted(made, q), hashes, most)))
+    probed = settle(queries.mapInArrow(_probing(made, hashes, most), "id long, v binary, probes binary"))
+    width = min(most, 2 * made.dim) if hashes == 1 else most
+    size = max(1, BLOCK_BYTES // (4 * tables * width + 8 * dim))
+    out, first = None, 0
+    for block in _blocks(probed, size):
+        ids, q = np.array([b[0] for b in block], np.int64), np.frombuffer(b"".join(b[1] for b in block), "<f8").reshape(len(block), dim)
+        probes = np.frombuffer(b"".join(b[2] for b in block), "<i4").reshape(len(block), tables, -1)
+        number = first + np.arange(len(block))
+        shared = spark.sparkContext.broadcast((number, ids, q, probes))
         part = settle(_ranked(index.mapInArrow(_search(shared, made, hashes, dim, k, False), SCHEMA), k))
-        enough = {r[0] for r in part.groupBy("query_id").count().where(F.col("count") >= min(k, many - 1)).collect()}
-        again = np.flatnonzero([i not in enough for i in ids.tolist()])
+        enough = {r[0] for r in part.groupBy("q").count().where(F.col("count") >= min(k, many - 1)).select("q").collect()}
+        again = np.flatnonzero([n not in enough for n in number.tolist()])
         if len(again):
-            rest = spark.sparkContext.broadcast((ids[again], q[again], None))
+            rest = spark.sparkContext.broadcast((number[again], ids[again], q[again], None))
             whole = _ranked(index.mapInArrow(_search(rest, made, hashes, dim, k, True), SCHEMA), k)
-            part = part.where(~F.col("query_id").isin(ids[again].tolist())).unionByName(whole)
+            part = part.where(~F.col("q").isin(number[again].tolist())).unionByName(whole)
         out = part if out is None else out.unionByName(part)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        first += len(block)
+    return out
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", axes: int = AXES, seed: int = SEED) -> DataFrame:
+    """The k nearest found of each query: query_id, rank (from 1), vec_id, score."""
+    rows, queries = usable(rows, id_, vector), usable(queries, id_, vector)
+    norm = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
+    shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low")).orderBy("dim").collect()  # a row a length
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for s in shapes:
+        of = F.size("v") == s["dim"]
+        even = s["low"] > (1 - EVEN) * s["top"]  # then inner products rank as angles do
+        part = _nearest(rows.where(of), queries.where(of), s["dim"], float(np.sqrt(s["top"])) * (1 + 1e-12), even, s["n"], k, axes, seed)
+        if part is not None:
+            out = out.unionByName(part.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return out
 
 
 def op10_vector_search(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,13 +19,14 @@ def terms(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
     return sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+def _count(low: Column, term: str) -> Column:
+    """How often the term stands in a lower-cased text, as a whole word."""
+    part = r"[\p{L}\p{N}]"
+    found = F.regexp_count(low, F.lit(f"(?<!{part}){re.escape(term)}(?!{part})"))
+    return F.when(F.contains(low, F.lit(term)), found).otherwise(F.lit(0))  # most texts have not, and a plain search tells
 
 
 def bm25(docs: DataFrame, query: str, n: int, keys: list[str], text: str = "text") -> DataFrame:
@@ -32,7 +34,8 @@ def bm25(docs: DataFrame, query: str, n: int, keys: list[str], text: str = "text
     wanted = query_terms(query)
     if not wanted:
         return docs.select(*keys, F.lit(0.0).alias("score")).limit(0)
-    words = docs.select(*keys, terms(F.col(text)).alias("w")).select(*keys, F.size("w").alias("dl"), *(_count("w", t).alias(f"tf{i}") for i, t in enumerate(wanted)))
+    low = F.lower(F.col(text))
+    words = docs.where(F.col(text).isNotNull()).select(*keys, F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *(_count(low, t).alias(f"tf{i}") for i, t in enumerate(wanted)))
     tf = [F.col(f"tf{i}") for i in range(len(wanted))]
     stats = words.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)))
     hits = words.where(reduce(lambda a, b: a | b, [c > 0 for c in tf])).crossJoin(F.broadcast(stats))  # stats is one row
@@ -72,10 +75,19 @@ DIM = 512
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """Offline embedding: signed hashed term counts as an array of ``dim`` doubles; cosine normalises it."""
-    spread = F.transform(terms(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.crc32(t.cast("binary")) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    counts = F.aggregate(spread, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["i"]), F.create_map(x["i"], F.coalesce(F.try_element_at(m, x["i"]), F.lit(0.0)) + x["s"])))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0)))
+    """Offline embedding: signed hashed term counts as an array of ``dim`` doubles; cosine normalises it.
+
+    A term adds one to its place, or to the place ``dim`` further on for the other sign; sorted places are counted run by run.
+    """
+    place = lambda t: (F.pmod(F.xxhash64(t), F.lit(dim)) + F.when(F.crc32(t.cast("binary")) % 2 == 0, 0).otherwise(dim)).cast("int")
+    placed = F.array_sort(F.transform(terms(text), place))
+    ends = F.array_compact(F.transform(placed, lambda x, i: F.when(~F.get(placed, i + 1).eqNullSafe(x), F.struct((i + 1).alias("upto"), x.alias("at")))))
+    before = lambda j, c, none: F.when(j > 0, F.get(ends, j - 1)[c]).otherwise(none)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    runs = F.transform(ends, lambda e, j: F.concat(zeros(e["at"] - before(j, "at", -1) - 1), F.array((e["upto"] - before(j, "upto", 0)).cast("double"))))
+    last = F.coalesce(F.get(ends, F.size(ends) - 1)["at"], F.lit(-1))
+    counts = F.concat(F.flatten(runs), zeros(F.lit(2 * dim - 1) - last))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(counts, i) - F.get(counts, i + dim))
 
 
 def embed_query(text: str, spark, embedder: Embedder = hashed_embedding) -> list[float]:

@@ -6,6 +6,9 @@ The tables stand for a ledger: ``events`` rows are mechanical events (a user is
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from .. import schema as S
 from ..functions import scalars as X
 from ..operators import search
 from ..sources import ledger as L
+from ..sources import transcripts as T
 from . import timeline as C
 from . import reads as R
 from . import views as V
@@ -310,33 +314,96 @@ def short_paths(spark, sf_dir):
 def claim_lint(spark, sf_dir):
     c = claims(spark, sf_dir)
     text = F.when(F.col("seq") % 5 == 0, F.concat("text", F.lit(" Earlier TODAY"))).otherwise(F.col("text"))
-    return c.select("session", "seq", F.array_join(X.lint_reasons(text), ",").alias("lint"), X.is_long_claim(F.repeat(text, 6)).alias("long"))
+    return c.select("session", "seq", F.array_join(F.transform(X.lint_notes(text), lambda x: F.concat(x["phrase"], F.lit(":"), x["reason"])), ",").alias("lint"), X.is_long_claim(F.repeat(text, 6)).alias("long"))
 
 
 def subject_handles(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", X.subject_handle(F.regexp_replace("p_name", " (?=[a-m])", "-"), C.COMMAND).alias("handle"))
 
 
-def ts_carry_forward(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("event_id") % 3 == 0, _millis("ts"))
-    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(known, ignorenulls=True).over(order), F.lit(0).cast("bigint")).alias("ts_ms"))
+def _iso(ms):
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def transcript_lines_a(spark, sf_dir: str) -> DataFrame:
+    """(file, pos, line): the events of each user as a transcript of the first dialect; a third of the lines have a time."""
+    e, k, n = _t(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("bigint"), F.col("event_id")
+    kind, text = F.col("event_type"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    call = lambda name, **given: F.struct(F.lit("tool_use").alias("type"), text("t", n % 4).alias("id"), F.lit(name).alias("name"), F.struct(*(v.alias(c) for c, v in given.items())).alias("input"))
+    block = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    user_id = F.col("user_id")
+    head = lambda who: [text("s", user_id).alias("sessionId"), F.lit(who).alias("type"), F.when(n % 3 == 0, _iso(_millis("ts"))).alias("timestamp")]
+    # content blocks are of several shapes: they are put into the line as text
+    line = lambda who, blocks, **more: F.replace(F.to_json(F.struct(*head(who), *(v.alias(c) for c, v in more.items()), F.struct(F.lit("@").alias("content")).alias("message"))), F.lit('"@"'), F.concat(F.lit("["), F.concat_ws(",", *(F.to_json(b) for b in blocks)), F.lit("]")))
+    plain = F.to_json(F.struct(*head("user"), text("/work/team", user_id % 5).alias("cwd"), F.when(n % 2 == 0, text("topic-", n % 7)).alias("gitBranch"), F.struct(text("hello ", n).alias("content")).alias("message")))
+    failed = F.struct(F.lit("tool_result").alias("type"), text("t", n % 4).alias("tool_use_id"), F.lit(True).alias("is_error"))
+    made = (
+        F.when(kind == "signup", plain)
+        .when(kind == "click", line("assistant", [block(F.repeat(F.lit("w"), (F.lit(70) + k % 20).cast("int"))), call("Grep", pattern=text("p", k))]))
+        .when(kind == "error", line("user", [failed, block(text("again ", n))]))
+        .when(kind == "purchase", line("assistant", [call("Bash", command=text('git commit -m "change ', n, '" && true'))], toolUseResult=F.struct(text("[main ", F.substring(F.md5(n.cast("string").cast("binary")), 1, 7), "] change").alias("stdout"))))
+        .otherwise(line("assistant", [call("Edit", file_path=text("src/file", k, ".rs"))]))
+    )
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return e.select(text("u", user_id).alias("file"), pos.alias("pos"), made.alias("line"))
+
+
+def transcript_lines_b(spark, sf_dir: str) -> DataFrame:
+    """(file, pos, line): conversations as transcripts of the second dialect, a meta line first; every turn is also a call, odd ones a commit."""
+    c = _t(spark, sf_dir, "conversations")
+    id_ = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    at = _iso(F.lit(1_704_067_200_000) + F.col("conv_id") * 3_600_000 + F.col("turn") * 60_000)
+    item = lambda kind, **fields: F.to_json(F.struct(at.alias("timestamp"), F.lit(kind).alias("type"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("payload")))
+    role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
+    said = item("response_item", type=F.lit("message"), role=role, content=F.array(F.struct(F.col("text").alias("text"))))
+    command = F.concat(F.when(F.col("turn") % 2 == 1, "jj describe -m turn").otherwise("ls -l "), F.col("turn").cast("string"))
+    call = item("response_item", type=F.lit("function_call"), name=F.lit("shell"), arguments=F.to_json(F.struct(command.alias("cmd"))))
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = c.withColumn("p", pos).select(id_.alias("file"), F.explode(F.array(F.struct((F.col("p") * 2 - 1).alias("pos"), said.alias("line")), F.struct((F.col("p") * 2).alias("pos"), call.alias("line")))).alias("x")).select("file", "x.*")
+    meta = c.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(id_.alias("file"), F.lit(0).alias("pos"), item("session_meta", session_id=id_, cwd=F.concat(F.lit("/w/"), id_)).alias("line"))
+    return meta.unionByName(turns)
+
+
+def _told(events: DataFrame) -> DataFrame:
+    what = F.concat_ws("|", "cwd", "branch", "text", "tool", "detail", F.col("ok").cast("string"), "path", "hash", "message")
+    return events.select("session", "seq", "ts_ms", "kind", F.md5(what.cast("binary")).alias("what"))
+
+
+def transcript_parse_a(spark, sf_dir):
+    return _told(T.parse(transcript_lines_a(spark, sf_dir)))
+
+
+def transcript_parse_b(spark, sf_dir):
+    return _told(T.parse(transcript_lines_b(spark, sf_dir)))
+
+
+def transcript_resumed(spark, sf_dir):
+    """Files read on from their fifth line."""
+    lines = transcript_lines_a(spark, sf_dir)
+    return _told(T.parse(lines, cursors=lines.select("file").distinct().withColumn("skip", F.lit(5))))
+
+
+def transcript_formats(spark, sf_dir):
+    """Both dialects and files of neither: the lines of every third user are of no known form."""
+    a = transcript_lines_a(spark, sf_dir)
+    odd = F.substring("file", 2, 20).cast("int") % 3 == 0
+    lines = a.withColumn("line", F.when(odd, F.lit('{"kind":"mystery"}')).otherwise(F.col("line"))).unionByName(transcript_lines_b(spark, sf_dir))
+    return T.formats(lines).join(T.rejected(lines).withColumn("refused", F.lit(True)), "file", "left").select("file", F.coalesce("format", F.lit("-")).alias("format"), F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
-def tool_error_join(spark, sf_dir):
-    """Calls and later failures of the same session and tool: the last call before each failure has failed."""
-    e = _t(spark, sf_dir, "events").withColumn("id", F.concat("user_id", F.lit("-"), F.col("event_id") % 4))
-    calls = e.where("event_type = 'click'").select("id", F.col("event_id").alias("at"))
-    errors = e.where("event_type = 'error'").select("id", F.col("event_id").alias("until"))
-    both = calls.withColumn("until", F.lit(None).cast("bigint")).unionByName(errors.withColumn("at", F.lit(None).cast("bigint")))
-    # an as-of join in one sorted pass a key
-    order = Window.partitionBy("id").orderBy(F.coalesce("at", "until")).rowsBetween(Window.unboundedPreceding, 0)
-    failed = both.withColumn("hit", F.last("at", ignorenulls=True).over(order)).where("until is not null and hit is not null").select("id", F.col("hit").alias("at")).distinct()
-    return calls.join(failed.withColumn("bad", F.lit(True)), ["id", "at"], "left").select("id", "at", F.col("bad").isNull().alias("ok"))
+def transcript_final_override(spark, sf_dir):
+    return _told(T.with_final_message(T.parse(transcript_lines_a(spark, sf_dir).where("file = 'u7'")), "s7", "the work is done"))
 
 
-def final_msg_swap(spark, sf_dir):
-    return spoken(spark, sf_dir).groupBy("session").agg(F.count_if(F.col("kind") == "said").alias("said"), F.count_if(F.col("kind") == "final").alias("final"), F.max(F.when(F.col("kind") == "final", F.col("seq"))).alias("final_seq"))
+def capture_resumed(spark, sf_dir):
+    """The first lines of all transcripts are captured, then all of them from the saved cursors on, twice, and the log is compacted: the ledger is that of one parse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    root, lines = f"{shared.rstrip('/')}/capture-{uuid.uuid4().hex}", transcript_lines_a(spark, sf_dir)
+    L.capture_lines(spark, lines.where("pos < 9"), root, 1, margin=3)
+    for batch in (2, 2, 3):
+        L.capture_lines(spark, lines, root, batch, margin=3)
+    L.compact(spark, f"{root}/log", 2)
+    return _told(L.latest(L.read_log(spark, f"{root}/log")))
 
 
 def upsert_latest(spark, sf_dir):
@@ -350,7 +417,7 @@ QUERIES = [
     day_digest, days_view, day_files_top4, file_sessions, sessions_summary, active_sessions, last_session, top_files, subjects_newest_wins, evidence_trail, subject_trail, commits_since, subjects_report,
     citers, obs_per_day, texts_searchable, texts_embeddable, bm25_topk, vector_topk, rrf_fused, recall_filtered, diversity_cap, ladder_bands, window_digest, window_children, zoom_sessions, zoom_said,
     zoom_observations, events_filtered, event_summaries, asof_days, asof_subjects, near_subjects, session_prefix, byte_cap, text_clip, labels, calendar_parts, short_paths, claim_lint, subject_handles,
-    ts_carry_forward, tool_error_join, final_msg_swap, upsert_latest,
+    transcript_parse_a, transcript_parse_b, transcript_resumed, transcript_formats, transcript_final_override, capture_resumed, upsert_latest,
 ]
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.scalars import LINT
-
 WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
 
@@ -247,13 +245,6 @@ listed AS (SELECT CAST(row_number() OVER (ORDER BY g, a) - 1 AS INTEGER) AS band
     "subject_handles": r"""
       SELECT p_partkey, CASE WHEN regexp_full_match(s, '[A-Za-z0-9._-]*') THEN 'ledger ' || s ELSE 'ledger recall --subject "' || s || '"' END AS handle
       FROM (SELECT p_partkey, regexp_replace(p_name, ' ([a-m])', '-\1', 'g') AS s FROM part)""",
-    "ts_carry_forward": """
-      SELECT event_id, coalesce(last_value(CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ts_ms FROM events""",
-    "tool_error_join": """
-      WITH e AS (SELECT event_id, event_type, user_id || '-' || (event_id % 4) AS id FROM events),
-      failed AS (SELECT DISTINCT x.id, (SELECT max(c.event_id) FROM e c WHERE c.event_type = 'click' AND c.id = x.id AND c.event_id < x.event_id) AS at FROM e x WHERE x.event_type = 'error')
-      SELECT e.id, e.event_id AS at, f.at IS NULL AS ok FROM e LEFT JOIN failed f ON e.id = f.id AND e.event_id = f.at WHERE e.event_type = 'click'""",
-    "final_msg_swap": _with(SPOKEN, body="SELECT session, count(*) FILTER (kind = 'said') AS said, count(*) FILTER (kind = 'final') AS final, max(seq) FILTER (kind = 'final') AS final_seq FROM spoken GROUP BY session"),
     "upsert_latest": _with(MECH, body="SELECT session, seq, kind, CASE WHEN kind = 'tool' THEN detail ELSE '' END || CASE WHEN seq % 48 = 0 THEN ' again' ELSE '' END AS detail FROM mech"),
 }
 ORACLE["bm25_topk"] = f"SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, score AS s FROM {_bm25('documents', 'doc_id', ['erand', 'of', 'the', 'worthless'])}) ORDER BY s DESC, doc_id LIMIT 12"
@@ -262,6 +253,59 @@ ORACLE["rrf_fused"] = f"""
       vec AS (SELECT vec_id AS doc_id, round(s, 9) AS s FROM (SELECT vec_id, {COS} AS s FROM embeddings) v ORDER BY v.s DESC, vec_id LIMIT 24),
       lanes AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM kw UNION ALL SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) FROM vec)
       SELECT doc_id, round(sum(1 / (60.0 + r)), 9) AS score FROM lanes GROUP BY doc_id"""
+# Phrases that tie a claim to the moment it was made, with the reason.
+_PHRASES = [
+    ("tonight", "time-deictic"), ("today", "time-deictic"), ("yesterday", "time-deictic"), ("this session", "session-deictic"),
+    ("this evening", "time-deictic"), ("this morning", "time-deictic"), ("just now", "time-deictic"), ("earlier", "time-deictic"),
+    ("the reviewer", "person-deictic"), ("this change", "change-deictic"), ("this fix", "change-deictic"), ("in flight", "status-log"),
+    ("now live", "status-log"), ("mirrors ", "status-log"), ("mirrored to", "status-log"), ("shipped", "status-log"), ("landed", "status-log"),
+]
 ORACLE["claim_lint"] = _with(CLAIMS, body=f"""
-      SELECT session, seq, coalesce(array_to_string(list_filter([{", ".join(f"CASE WHEN contains(lower({_LINTED}), '{m}') THEN '{m}' END" for m in LINT)}], lambda x: x IS NOT NULL), ','), '') AS lint,
+      SELECT session, seq, coalesce(array_to_string(list_filter([{", ".join(f"CASE WHEN contains(lower({_LINTED}), '{m}') THEN '{m}:{why}' END" for m, why in _PHRASES)}], lambda x: x IS NOT NULL), ','), '') AS lint,
         length({_LINTED}) * 6 > 240 AS long FROM claims""")
+
+
+def _dialect_a(skip: int) -> str:
+    """Events of the transcripts made of ``events``, from line ``skip`` on."""
+    return f"""
+      WITH e AS (
+        SELECT 'u' || user_id AS file, 's' || user_id AS session, user_id, event_id AS n, event_type AS et, CAST(props ->> '$.k' AS BIGINT) AS k,
+          row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,
+          coalesce(last_value(CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ts_ms,
+          CASE WHEN event_type <> 'signup' THEN coalesce(lead(event_type) OVER (PARTITION BY user_id, event_type = 'signup', event_id % 4 ORDER BY event_id), '') <> 'error' END AS ok
+        FROM events),
+      f AS (SELECT *, min(pos) FILTER (et = 'signup') OVER (PARTITION BY file) AS meta, max(pos) FILTER (et = 'click') OVER (PARTITION BY file) AS closing FROM e),
+      told AS (
+        SELECT *, 0 AS slot, 'meta' AS kind, concat_ws('|', '/work/team' || (user_id % 5), CASE WHEN n % 2 = 0 THEN 'topic-' || (n % 7) END) AS what FROM f WHERE et = 'signup' AND pos = meta AND meta >= {skip}
+        UNION ALL SELECT *, 2, 'user', 'hello ' || n FROM f WHERE et = 'signup'
+        UNION ALL SELECT *, 2, CASE WHEN pos = closing THEN 'final' ELSE 'said' END, repeat('w', 70 + k % 20) FROM f WHERE et = 'click' AND (pos = closing OR k % 20 >= 10)
+        UNION ALL SELECT *, 3, 'tool', concat_ws('|', 'Grep', '{{"pattern":"p' || k || '"}}', ok) FROM f WHERE et = 'click'
+        UNION ALL SELECT *, 3, 'user', 'again ' || n FROM f WHERE et = 'error'
+        UNION ALL SELECT *, 2, 'tool', concat_ws('|', 'Bash', 'git commit -m "change ' || n || '" && true', ok) FROM f WHERE et = 'purchase'
+        UNION ALL SELECT *, 14, 'commit', concat_ws('|', substr(md5(CAST(n AS VARCHAR)), 1, 7), 'change ' || n) FROM f WHERE et = 'purchase'
+        UNION ALL SELECT *, 2, 'tool', concat_ws('|', 'Edit', 'src/file' || k || '.rs', ok) FROM f WHERE et NOT IN ('signup', 'click', 'error', 'purchase')
+        UNION ALL SELECT *, 15, 'file', 'src/file' || k || '.rs' FROM f WHERE et NOT IN ('signup', 'click', 'error', 'purchase'))
+      SELECT session, pos * 16 + slot AS seq, ts_ms, kind, md5(what) AS what FROM told WHERE pos >= {skip}"""
+
+
+_DIALECT_B = f"""
+      WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, 1704067200000 + conv_id * 3600000 + turn * 60000 AS ts_ms FROM conversations),
+      u AS (SELECT *, max(p) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS closing, min(turn) OVER (PARTITION BY conv_id) AS first,
+              CASE WHEN turn % 2 = 1 THEN 'jj describe -m turn' ELSE 'ls -l ' END || turn AS cmd FROM t),
+      told AS (
+        SELECT conv_id, 2 AS seq, 1704067200000 + conv_id * 3600000 + first * 60000 AS ts_ms, 'meta' AS kind, '/w/c' || conv_id AS what FROM u WHERE p = 1
+        UNION ALL SELECT conv_id, (2 * p - 1) * 16 + 2, ts_ms, 'user', {_cap("text", 2048)} FROM u WHERE role = 'user'
+        UNION ALL SELECT conv_id, (2 * p - 1) * 16 + 2, ts_ms, 'said', {_cap("text", 1200)} FROM u WHERE role = 'assistant' AND strlen(text) >= 80 AND p <> closing
+        UNION ALL SELECT conv_id, (2 * p - 1) * 16 + 2, ts_ms, 'final', {_cap("text", 8192)} FROM u WHERE p = closing
+        UNION ALL SELECT conv_id, 2 * p * 16 + 2, ts_ms, 'tool', concat_ws('|', 'shell', cmd, 'true') FROM u
+        UNION ALL SELECT conv_id, 2 * p * 16 + 3, ts_ms, 'commit', concat_ws('|', '', 'turn' || turn) FROM u WHERE turn % 2 = 1)
+      SELECT 'c' || conv_id AS session, seq, ts_ms, kind, md5(what) AS what FROM told"""
+ORACLE["transcript_parse_a"] = ORACLE["capture_resumed"] = _dialect_a(0)
+ORACLE["transcript_resumed"] = _dialect_a(5)
+ORACLE["transcript_parse_b"] = _DIALECT_B
+ORACLE["transcript_formats"] = """
+      SELECT DISTINCT 'u' || user_id AS file, CASE WHEN user_id % 3 = 0 THEN '-' ELSE 'A' END AS format, user_id % 3 = 0 AS refused FROM events
+      UNION ALL SELECT DISTINCT 'c' || conv_id, 'B', FALSE FROM conversations"""
+ORACLE["transcript_final_override"] = f"""
+      WITH p AS ({_dialect_a(0)}) SELECT * FROM p WHERE session = 's7' AND kind <> 'final'
+      UNION ALL SELECT 's7', 2147483647, max(ts_ms), 'final', md5('the work is done') FROM p WHERE session = 's7'"""

@@ -1,14 +1,13 @@
 """Session transcripts in JSON lines, in two dialects, to ledger events. Malformed lines give nothing; unknown files are reported.
 
-Everything is Column expressions over VARIANT values: one row a line, one row a content block. The sequence number of an
-event is 16 * line + slot, so parsing again, or from a later line, yields the same keys. Where two events of a file
-share a key, the one emitted last stays.
+Everything is Column expressions over VARIANT values in one pass: lines are gathered by file, windows over the file find its
+dialect, session, times and closing message, each line and each content block becomes a row with an array of its events, and
+those are exploded. A dialect is one pass with one exchange, by file. The sequence number of an event is 16 * line + slot, so parsing
+again, or from a later line, yields the same keys. Where two events of a file share a key, the one emitted last stays.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,37 +40,50 @@ def _true(v: Column, path: str) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(x) == "BOOLEAN", _get(v, path, "boolean")), F.lit(False))
 
 
+def _file(ordered: bool = False) -> Window:
+    by = Window.partitionBy("file")
+    return by.orderBy("pos") if ordered else by
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """``lines`` with v (the line parsed) and format: 'A', 'B' or null, by positive signs in the first non-blank lines of the file only."""
+    upto = _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = ~is_blank(F.col("line"))
+    rows = lines.withColumn("v", F.try_parse_json("line")).withColumn("head", filled & (F.count_if(filled).over(upto) <= HEAD_LINES))
+    rows = rows.withColumn("m", F.count_if(F.col("head") & F.col("v").isNotNull()).over(upto))
+    meta = F.col("head") & (F.col("m") <= HEAD_METAS) & F.coalesce(_text(F.col("v"), "$.type") == "session_meta", F.lit(False))
+    known = F.col("head") & _text(F.col("v"), "$.sessionId").isNotNull()
+    rows = rows.withColumns({"b": F.max(meta).over(_file()), "a": F.max(known).over(_file())})
+    return rows.withColumn("format", F.when(F.col("b"), "B").when(F.col("a"), "A")).drop("head", "m", "a", "b")
+
+
 def formats(lines: DataFrame) -> DataFrame:
-    """file, format: 'A', 'B' or null; by positive signs in the first non-blank lines only."""
-    filled = lines.where(~is_blank(F.col("line"))).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
-    head = filled.where(F.col("n") <= HEAD_LINES).withColumn("v", F.try_parse_json("line"))
-    head = head.withColumn("m", F.count("v").over(Window.partitionBy("file").orderBy("pos")))
-    meta = F.max((F.col("m") <= HEAD_METAS) & F.coalesce(_text(F.col("v"), "$.type") == "session_meta", F.lit(False)))
-    known = F.max(_text(F.col("v"), "$.sessionId").isNotNull())
-    found = head.groupBy("file").agg(F.when(meta, "B").when(known, "A").alias("format"))
-    return lines.select("file").distinct().join(found, "file", "left")
-
-
-def _prepared(lines: DataFrame, cursors: DataFrame | None) -> DataFrame:
-    """Parsed lines of known files: file, pos, v, ts, format, skip, seen (the skipped part has a working folder)."""
-    order = Window.partitionBy("file").orderBy("pos")
+    """file, format of each file."""
+    return _marked(lines).groupBy("file").agg(F.max("format").alias("format"))
+
+
+def _prepared(lines: DataFrame, cursors: DataFrame | None, fallback: str | None) -> DataFrame:
+    """Parsed lines of known files: file, pos, v, ts_ms, format, session, skip, seen (the skipped part has a working folder)."""
+    upto = _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if cursors is not None:
         lines = lines.join(cursors, "file", "left")
-    skip = F.coalesce("skip", F.lit(0)) if cursors is not None else F.lit(0)
-    rows = lines.withColumn("skip", skip).join(formats(lines.select("file", "pos", "line")), "file").where("format is not null")
-    rows = rows.withColumn("seen", F.max((F.col("pos") < F.col("skip")) & F.contains("line", F.lit('"cwd"'))).over(Window.partitionBy("file")))
-    rows = rows.withColumn("v", F.try_parse_json("line")).where("v is not null").drop("line")
-    own = iso_to_ms(_text(F.col("v"), "$.timestamp"))
-    return rows.withColumn("ts_ms", F.coalesce(F.last(own, ignorenulls=True).over(order), F.lit(0).cast("bigint")))
+    rows = _marked(lines.withColumn("skip", F.coalesce("skip", F.lit(0)) if cursors is not None else F.lit(0)))
+    rows = rows.withColumn("seen", F.max((F.col("pos") < F.col("skip")) & F.contains("line", F.lit('"cwd"'))).over(_file())).drop("line")
+    rows = rows.where("format is not null and v is not null")
+    v = F.col("v")
+    rows = rows.withColumn("ts_ms", F.coalesce(F.last(iso_to_ms(_text(v, "$.timestamp")), ignorenulls=True).over(upto), F.lit(0).cast("bigint")))
+    named = F.when(F.col("format") == "A", _text(v, "$.sessionId")).when(_text(v, "$.type") == "session_meta", _text(v, "$.payload.session_id"))
+    return rows.withColumn("session", F.coalesce(F.first(named, ignorenulls=True).over(whole), F.lit(fallback))).where("session is not null")
 
 
-def _event(rows: DataFrame, kind: str, slot: Column | int, rank: Column | int, **payload: Column) -> DataFrame:
-    """An event of each row; slot and rank are relative to the line."""
+def _event(when: Column, kind: str, slot: Column | int, rank: Column | int, **payload: Column) -> Column:
+    """The event of a row for which ``when`` is true, else null; slot and rank are relative to the line."""
     lit = lambda x: F.lit(x) if isinstance(x, int) else x
-    seq = F.col("pos").cast("bigint") * S.STRIDE + lit(slot)
-    ord_ = F.col("pos").cast("bigint") * _RANK + lit(rank)
+    seq = F.col("pos").cast("bigint") * S.STRIDE + lit(slot).cast("bigint")
+    ord_ = F.col("pos").cast("bigint") * _RANK + lit(rank).cast("bigint")
     fields = [(payload[n] if n in payload else F.lit(None)).cast(t).alias(n) for n, t in S.PAYLOAD.items()]
-    return rows.select("file", "pos", "session", seq.alias("seq"), F.lit(S.EVENT_VERSION).alias("v"), "ts_ms", F.lit(kind).alias("kind"), *fields, ord_.alias("ord"))
+    return F.when(when, F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), *fields, ord_.alias("ord")))
 
 
 def _commit_command(cmd: Column) -> Column:
@@ -94,88 +106,98 @@ def commit_hash(out: Column) -> Column:
     return F.coalesce(F.when(F.locate("[", out) > 0, F.regexp_replace(word, "[^A-Za-z0-9]", "")), F.lit(""))
 
 
-def _sessions(rows: DataFrame, path: str, fallback: str | None, only: Column | None = None) -> DataFrame:
-    value = _text(F.col("v"), path)
-    value = F.when(only, value) if only is not None else value
-    name = F.coalesce(F.min_by(value, F.when(value.isNotNull(), F.col("pos"))), F.lit(fallback))
-    return rows.join(rows.groupBy("file").agg(name.alias("session")), "file").where("session is not null")
+def _no(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
-def _first(rows: DataFrame, has: Column) -> DataFrame:
-    """The first line of each file, from the cursor on, for which ``has`` is true, unless the part before had it."""
-    at = rows.where(has & (F.col("pos") >= F.col("skip")) & ~F.col("seen")).groupBy("file").agg(F.min("pos").alias("pos"))
-    return rows.join(at, ["file", "pos"], "left_semi")
+def _first_line(rows: DataFrame, has: Column) -> DataFrame:
+    """``rows`` with first: the file's first line, from the cursor on, for which ``has`` is true, unless the part before had it."""
+    fits = _no(has) & (F.col("pos") >= F.col("skip")) & ~F.col("seen")
+    return rows.withColumn("first", _no(F.min(F.when(fits, F.col("pos"))).over(_file()) == F.col("pos")))
 
 
-def _dialect_a(rows: DataFrame, fallback: str | None) -> list[DataFrame]:
-    v = F.col("v")
-    rows = _sessions(rows, "$.sessionId", fallback)
-    cwd = _text(v, "$.cwd")
-    meta = _event(_first(rows, cwd.isNotNull()), "meta", 0, 0, cwd=cwd, branch=_text(v, "$.gitBranch"), embed_version=F.lit(EMBED_VERSION))
-    compacted = rows.where(_true(v, "$.isCompactSummary"))
-    body = _text(v, "$.message.content")
-    out = [meta, _event(compacted, "compacted", 1, 1), _event(compacted.where(body.isNotNull()), "compact", 2, 2, text=byte_cap(body, S.FINAL_BYTES))]
-    said = rows.where(~_true(v, "$.isCompactSummary")).withColumn("type", _text(v, "$.type")).where("type in ('user', 'assistant')")
-    out.append(_event(said.where((F.col("type") == "user") & body.isNotNull()), "user", 2, 2, text=byte_cap(body, S.USER_BYTES)))
-    blocks = said.select("file", "pos", "skip", "session", "ts_ms", "type", F.coalesce(_text(v, "$.toolUseResult.stdout"), F.lit("")).alias("stdout"), _true(v, "$.toolUseResult.is_error").alias("line_error"), F.posexplode(_get(v, "$.message.content", "array<variant>")).alias("bi", "b"))
-    b, bi = F.col("b"), F.col("bi")
-    blocks = blocks.where(bi < BLOCKS).withColumn("bt", _text(b, "$.type"))
-    text = _text(b, "$.text")
-    spoken = blocks.where("bt = 'text'").withColumn("t", text).where("t is not null")
+def _closing(rows: DataFrame, has: Column, slot: Column) -> DataFrame:
+    """``rows`` with closing: the last of the file's rows, from the cursor on, for which ``has`` is true."""
+    at = F.struct("pos", slot.alias("slot"))
+    return rows.withColumn("closing", _no(F.max(F.when(_no(has) & (F.col("pos") >= F.col("skip")), at)).over(_file()) == at) & _no(has))
+
+
+def _exploded(rows: DataFrame, events: list[Column]) -> DataFrame:
+    names = ["seq", "kind", *S.PAYLOAD, "ord"]
+    out = rows.where(F.col("pos") >= F.col("skip")).select("file", "session", "ts_ms", F.explode(F.array_compact(F.array(*events))).alias("e"))
+    return out.select("file", "session", "ts_ms", *(F.col(f"e.{n}").alias(n) for n in names), F.lit(S.EVENT_VERSION).alias("v"))
+
+
+def _dialect_a(rows: DataFrame) -> DataFrame:
+    v, b = F.col("v"), F.col("block")
+    rows = _first_line(rows, _text(v, "$.cwd").isNotNull())
+    rows = rows.withColumns({
+        "type": _text(v, "$.type"), "compact": _true(v, "$.isCompactSummary"), "body": _text(v, "$.message.content"),
+        "stdout": F.coalesce(_text(v, "$.toolUseResult.stdout"), F.lit("")), "line_error": _true(v, "$.toolUseResult.is_error"),
+    })
+    spoken = ~F.col("compact") & F.col("type").isin("user", "assistant")
+    blocks = F.when(spoken, F.slice(_get(v, "$.message.content", "array<variant>"), 1, BLOCKS))
+    # the line itself (n = 0), then each block of it
+    rows = rows.withColumn("blocks", blocks).withColumn("n", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(F.size("blocks"), F.lit(0)), F.lit(0)))))
+    rows = rows.withColumn("block", F.when(F.col("n") > 0, F.try_element_at("blocks", F.greatest("n", F.lit(1))))).drop("blocks")
+    line, bi = F.col("n") == 0, F.col("n") - 1
     slot, rank = bi + 2, bi * 4 + 4
-    t = F.col("t")
-    out.append(_event(spoken.where("type = 'user'"), "user", slot, rank, text=byte_cap(t, S.USER_BYTES)))
-    out.append(_event(spoken.where((F.col("type") == "assistant") & (F.octet_length("t") >= S.SAID_LEAST)), "said", slot, rank, text=byte_cap(t, S.SAID_BYTES)))
-    out.append(_closing(spoken.where("type = 'assistant'").select("file", "pos", "skip", "session", "ts_ms", (bi + 2).alias("slot"), "t")))
-
-    calls = blocks.where("bt = 'tool_use'").withColumns({"tool": F.coalesce(_text(b, "$.name"), F.lit("unknown")), "id": _text(b, "$.id"), "at": F.col("pos").cast("bigint") * _RANK + bi})
-    errors = blocks.where((F.col("bt") == "tool_result") & (_true(b, "$.is_error") | F.col("line_error")))
-    errors = errors.select("file", _text(b, "$.tool_use_id").alias("id"), (F.col("pos").cast("bigint") * _RANK + bi).alias("until"))
-    # the last call with that id before the result
-    failed = errors.join(calls.select("file", "id", "at"), ["file", "id"]).where("at < until").groupBy("file", "id", "until").agg(F.max("at").alias("at")).select("file", "at").distinct()
-    calls = calls.join(failed.withColumn("bad", F.lit(True)), ["file", "at"], "left")
-    cmd, path = _text(b, "$.input.command"), _text(b, "$.input.file_path")
-    whole = F.coalesce(F.to_json(_get(b, "$.input", "variant")), F.lit(""))
-    detail = F.when(F.col("tool") == "Bash", F.coalesce(cmd, F.lit(""))).when(F.col("tool").isin("Read", "Edit", "Write", "NotebookEdit"), F.coalesce(path, F.lit(""))).otherwise(F.when(whole == "null", "").otherwise(whole))
-    out.append(_event(calls, "tool", slot, rank, tool=F.col("tool"), detail=byte_cap(detail, S.DETAIL_BYTES), ok=F.col("bad").isNull()))
-    out.append(_event(calls.where(F.col("tool").isin("Edit", "Write", "NotebookEdit") & path.isNotNull()), "file", S.STRIDE - 1, rank + 1, path=path))
-    commits = calls.where(F.col("tool") == "Bash").withColumn("cmd", cmd).where(_commit_command(F.col("cmd")))
-    out.append(_event(commits, "commit", S.STRIDE - 2, rank + 2, hash=commit_hash(F.col("stdout")), message=commit_message(F.col("cmd"))))
-    return out
-
-
-def _closing(spoken: DataFrame) -> DataFrame:
-    """The last assistant text of each file's parsed part; it is emitted after everything else."""
-    last = spoken.where("pos >= skip").groupBy("file").agg(F.max_by(F.struct("pos", "skip", "session", "ts_ms", "slot", "t"), F.struct("pos", "slot")).alias("x")).select("file", "x.*")
-    return _event(last, "final", F.col("slot"), F.lit(1 << 50), text=byte_cap(F.col("t"), S.FINAL_BYTES))
-
-
-def _dialect_b(rows: DataFrame, fallback: str | None) -> list[DataFrame]:
-    v = F.col("v")
-    is_meta = _text(v, "$.type") == "session_meta"
-    rows = _sessions(rows, "$.payload.session_id", fallback, is_meta)
+    rows = rows.withColumns({"bt": F.coalesce(_text(b, "$.type"), F.lit("")), "t": _text(b, "$.text")})
+    said = (F.col("bt") == "text") & F.col("t").isNotNull()
+    rows = _closing(rows, said & (F.col("type") == "assistant"), slot)
+
+    call = F.col("bt") == "tool_use"
+    error = (F.col("bt") == "tool_result") & (_true(b, "$.is_error") | F.col("line_error"))
+    rows = rows.withColumn("id", F.when(call, _text(b, "$.id")).when(error, _text(b, "$.tool_use_id")))
+    # an error marks the last call with its id before it: the row after such a call is an error
+    rows = rows.withColumn("error", error & F.col("id").isNotNull())
+    after = F.lead("error").over(Window.partitionBy("file", "id").orderBy("pos", "n"))
+    rows = rows.withColumn("ok", ~(F.col("id").isNotNull() & _no(after)))
+    rows = rows.withColumns({"tool": F.coalesce(_text(b, "$.name"), F.lit("unknown")), "cmd": _text(b, "$.input.command"), "path": _text(b, "$.input.file_path")})
+    tool, cmd, path, t, body = (F.col(c) for c in ("tool", "cmd", "path", "t", "body"))
+    given = F.coalesce(F.to_json(_get(b, "$.input", "variant")), F.lit(""))
+    on_file = tool.isin("Edit", "Write", "NotebookEdit")
+    detail = F.when(tool == "Bash", F.coalesce(cmd, F.lit(""))).when(on_file | (tool == "Read"), F.coalesce(path, F.lit(""))).otherwise(F.when(given == "null", "").otherwise(given))
+    user, assistant = F.col("type") == "user", F.col("type") == "assistant"
+    return _exploded(rows, [
+        _event(line & F.col("first"), "meta", 0, 0, cwd=_text(v, "$.cwd"), branch=_text(v, "$.gitBranch"), embed_version=F.lit(EMBED_VERSION)),
+        _event(line & F.col("compact"), "compacted", 1, 1),
+        _event(line & F.col("compact") & body.isNotNull(), "compact", 2, 2, text=byte_cap(body, S.FINAL_BYTES)),
+        _event(line & ~F.col("compact") & user & body.isNotNull(), "user", 2, 2, text=byte_cap(body, S.USER_BYTES)),
+        _event(said & user, "user", slot, rank, text=byte_cap(t, S.USER_BYTES)),
+        _event(said & assistant & (F.octet_length("t") >= S.SAID_LEAST), "said", slot, rank, text=byte_cap(t, S.SAID_BYTES)),
+        _event(F.col("closing"), "final", slot, F.lit(1 << 50), text=byte_cap(t, S.FINAL_BYTES)),
+        _event(call, "tool", slot, rank, tool=tool, detail=byte_cap(detail, S.DETAIL_BYTES), ok=F.col("ok")),
+        _event(call & on_file & path.isNotNull(), "file", S.STRIDE - 1, rank + 1, path=path),
+        _event(call & (tool == "Bash") & _no(_commit_command(cmd)), "commit", S.STRIDE - 2, rank + 2, hash=commit_hash(F.col("stdout")), message=commit_message(cmd)),
+    ])
+
+
+def _dialect_b(rows: DataFrame) -> DataFrame:
+    v, p = F.col("v"), F.col("p")
     rows = rows.withColumns({"type": _text(v, "$.type"), "p": _get(v, "$.payload", "variant")}).where("p is not null")
-    p = F.col("p")
-    out = [_event(_first(rows, F.col("type") == "session_meta"), "meta", 2, 0, cwd=F.coalesce(_text(p, "$.cwd"), F.lit("")), embed_version=F.lit(EMBED_VERSION))]
-    compacted = rows.where("type = 'compacted'")
+    rows = _first_line(rows, F.col("type") == "session_meta")
+    as_text = lambda x: F.when(F.schema_of_variant(F.try_variant_get(x, "$.text", "variant")) == "STRING", F.try_variant_get(x, "$.text", "string"))
+    parts = F.filter(F.transform(_get(p, "$.content", "array<variant>"), as_text), lambda x: x.isNotNull())
+    rows = rows.withColumns({"it": F.when(F.col("type") == "response_item", _text(p, "$.type")), "role": _text(p, "$.role"), "t": F.array_join(parts, " "), "opening": _text(p, "$.content[0].text"), "args": _text(p, "$.arguments")})
+    a, t = F.try_parse_json("args"), F.col("t")
+    named = _get(a, "$.cmd", "variant")
+    rows = rows.withColumn("cmd", F.when(named.isNotNull(), _text(a, "$.cmd")).otherwise(_text(a, "$.command")))
+    spoken = (F.col("it") == "message") & ~is_blank(t)
+    rows = _closing(rows, spoken & (F.col("role") == "assistant") & F.col("opening").isNotNull(), F.lit(2))
     message = _text(p, "$.message")
     words = F.coalesce(F.when(~is_blank(message), message), _text(p, "$.replacement_history[0].content[0].text"))
-    out += [_event(compacted, "compacted", 2, 1), _event(compacted.where(~is_blank(words)), "compact", 3, 2, text=byte_cap(words, S.FINAL_BYTES))]
-    items = rows.where("type = 'response_item'").withColumn("it", _text(p, "$.type"))
-    parts = F.filter(F.transform(_get(p, "$.content", "array<variant>"), lambda x: F.when(F.schema_of_variant(F.try_variant_get(x, "$.text", "variant")) == "STRING", F.try_variant_get(x, "$.text", "string"))), lambda x: x.isNotNull())
-    spoken = items.where("it = 'message'").withColumns({"role": _text(p, "$.role"), "t": F.array_join(parts, " ")}).where(~is_blank(F.col("t")))
-    t = F.col("t")
-    out.append(_event(spoken.where("role = 'user'"), "user", 2, 1, text=byte_cap(t, S.USER_BYTES)))
-    out.append(_event(spoken.where((F.col("role") == "assistant") & (F.octet_length("t") >= S.SAID_LEAST)), "said", 2, 1, text=byte_cap(t, S.SAID_BYTES)))
-    first = _text(p, "$.content[0].text")
-    out.append(_closing(spoken.where("role = 'assistant'").withColumn("t", first).where("t is not null").select("file", "pos", "skip", "session", "ts_ms", F.lit(2).alias("slot"), "t")))
-    calls = items.where("it in ('function_call', 'custom_tool_call')").withColumn("args", _text(p, "$.arguments"))
-    a = F.try_parse_json("args")
-    named = _get(a, "$.cmd", "variant")
-    calls = calls.withColumn("cmd", F.when(named.isNotNull(), _text(a, "$.cmd")).otherwise(_text(a, "$.command")))
-    out.append(_event(calls, "tool", 2, 1, tool=F.coalesce(_text(p, "$.name"), F.lit("unknown")), detail=byte_cap(F.coalesce("cmd", "args", F.lit("")), S.DETAIL_BYTES), ok=F.lit(True)))
-    out.append(_event(calls.where(_commit_command(F.col("cmd"))), "commit", 3, 2, hash=F.lit(""), message=commit_message(F.col("cmd"))))
-    return out
+    compacted, call = F.col("type") == "compacted", F.col("it").isin("function_call", "custom_tool_call")
+    return _exploded(rows, [
+        _event(F.col("first"), "meta", 2, 0, cwd=F.coalesce(_text(p, "$.cwd"), F.lit("")), embed_version=F.lit(EMBED_VERSION)),
+        _event(compacted, "compacted", 2, 1),
+        _event(compacted & ~is_blank(words), "compact", 3, 2, text=byte_cap(words, S.FINAL_BYTES)),
+        _event(spoken & (F.col("role") == "user"), "user", 2, 1, text=byte_cap(t, S.USER_BYTES)),
+        _event(spoken & (F.col("role") == "assistant") & (F.octet_length("t") >= S.SAID_LEAST), "said", 2, 1, text=byte_cap(t, S.SAID_BYTES)),
+        _event(F.col("closing"), "final", 2, F.lit(1 << 50), text=byte_cap(F.col("opening"), S.FINAL_BYTES)),
+        _event(call, "tool", 2, 1, tool=F.coalesce(_text(p, "$.name"), F.lit("unknown")), detail=byte_cap(F.coalesce("cmd", "args", F.lit("")), S.DETAIL_BYTES), ok=F.lit(True)),
+        _event(call & _no(_commit_command(F.col("cmd"))), "commit", 3, 2, hash=F.lit(""), message=commit_message(F.col("cmd"))),
+    ])
 
 
 def parse(lines: DataFrame, fallback: str | None = None, cursors: DataFrame | None = None) -> DataFrame:
@@ -183,10 +205,8 @@ def parse(lines: DataFrame, fallback: str | None = None, cursors: DataFrame | No
 
     ``cursors`` (file, skip) keeps events of lines from ``skip`` on; times and failures still come from the whole file.
     """
-    rows = _prepared(lines, cursors)
-    parts = _dialect_a(rows.where("format = 'A'"), fallback) + _dialect_b(rows.where("format = 'B'"), fallback)
-    found = reduce(DataFrame.unionByName, parts)
-    found = found.join(rows.select("file", "skip").distinct(), "file").where("pos >= skip")
+    rows = _prepared(lines, cursors, fallback)
+    found = _dialect_a(rows.where("format = 'A'")).unionByName(_dialect_b(rows.where("format = 'B'")))
     names = [*S.COLUMNS, "ord"]
     last = found.groupBy("file", "session", "seq").agg(F.max_by(F.struct(*names), "ord").alias("e"))
     return last.select("file", "e.*")

@@ -221,6 +221,42 @@ def kept_lines(texts, threshold):
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.7])
+def test_near_lines_of_each_length_are_found(spark):
+    """Recall against edit similarity alone, for lines that differ by as much as is allowed, among unrelated ones of the same words."""
+    rnd = random.Random(5)
+    vocabulary = ["the", "of", "and", "to", "in"] * 12 + [f"q{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    pairs, lines = {}, []
+    for n in (5, 7, 10, 15, 20, 30, 50, 100):
+        for _ in range(25):
+            base = [rnd.choice(vocabulary) for _ in range(n)]
+            near = edited(rnd, base, max(1, n // 5))
+            if plain(base, near) <= int(0.2 * max(len(base), len(near)) + 1e-9):
+                pairs.setdefault(n, []).append((len(lines), len(lines) + 1))
+                lines += [base, near]
+            lines.append([rnd.choice(vocabulary) for _ in range(n)])
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_repeated_lines(table(spark, [" ".join(w) for w in lines])).collect()}
+    for n, some in pairs.items():
+        assert len(some) > 10 and sum(got[b] for _, b in some) >= 0.98 * len(some), n
+    partners = {b for some in pairs.values() for _, b in some}
+    assert sum(g for d, g in got.items() if d not in partners) <= 2
+
+
+def test_line_dedup_null_and_repeated_ids_and_long_lines(spark):
+    a, long = "one two three four five six", " ".join(f"z{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(12000))
+    other = long.replace("zaab ", "", 1) + " end"
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, len(r.kept_text)) for r in line_dedup.remove_repeated_lines(table(spark, [a, a, a, long, other], ids=[None, 4, 4, 8, 9])).collect())
+    assert got == [(False, 4, 0, len(a)), (False, 4, 1, 0), (False, 8, 0, len(long)), (False, 9, 1, 0), (True, 0, 1, 0)]
+
+
+def test_large_families_of_lines_give_few_pairs():
+    import pyarrow as pa
+
+    rnd, n = np.random.default_rng(0), 600
+    t = pa.table({c: pa.array(v) for c, v in {"tok": np.zeros(n, np.int64), "node": rnd.permutation(n), "n": np.full(n, 40, np.int32), "print": np.zeros(n, np.int64), "low": np.zeros(n, np.int64), "high": np.zeros(n, np.int64), "chunk": np.zeros(n, np.int64), "cell": np.zeros(n, np.int64), "across": np.zeros(n, bool), "component": rnd.permutation(n) % 3}.items()})
+    assert line_dedup._compare(0.8, 24, False)(t).num_rows == n - 1
+    assert line_dedup._compare(0.8, 24, True)(t).num_rows == 3 * (n // 3) ** 2  # across components only
+
+
 def test_line_dedup_matches_brute_force_on_edit_similarity(spark, threshold):
     rnd = random.Random(11)
     vocabulary = [f"v{chr(97 + i)}" for i in range(26)] + [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
@@ -286,6 +322,33 @@ def test_decontamination_finds_shortened_items(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
 
 
+def test_decontamination_repeats_nulls_and_long_items(spark):
+    import resource
+
+    rnd = random.Random(3)
+    item, huge = [f"t{rnd.randrange(900)}" for _ in range(25)], [f"h{i}" for i in range(20000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (None, "alone here"), (5, " ".join(huge))], "item_id long, text string")
+    docs = table(spark, [" ".join(item), " ".join(item), "alone here", " ".join(["x"] * 30 + huge)], ids=[None, 3, 3, 4])
+    got = Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect())
+    assert got == {(None, 1): 2, (3, 1): 2, (3, None): 1, (4, 5): 1}
+    assert decontamination.find_leaks(docs.limit(0), bench).count() == 0 and decontamination.clean_documents(docs, bench).count() == 0
+    index = decontamination.ItemIndex([(5, " ".join(huge))], 5, 24, 8)
+    import pyarrow as pa
+
+    from ledgerloom.llm.packed import batch_slices
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for ids, lens, buf in batch_slices(pa.array([0]), pa.array([" ".join(["x"] * 20000 + huge + ["x"] * 20000)])):
+        assert [(x[2], x[3]) for x in index.search(decontamination._folded(ids, lens, buf), 0.8)] == [(20000, 20000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+
+
+def test_rolling_simhash_equals_simhash():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64)
+    start = np.array([0, 1, 5, 6, 200, 390])
+    assert (decontamination.rolling_simhash(h, start, 9) == decontamination.simhash(h[start[:, None] + np.arange(9)])).all()
+
+
 def test_multi_index_finds_all_within_radius():
     rnd = np.random.default_rng(2)
     items = [(i, " ".join(f"z{rnd.integers(300)}" for _ in range(20))) for i in range(30)]
@@ -411,6 +474,56 @@ def test_language_id_learns_and_rejects(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def grams_of(text, sizes):
+    """Distinct character n-grams of a text, in plain Python."""
+    t = "".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in (text or "").lower())
+    return {t[i : i + n] for n in sizes for i in range(len(t) - n + 1)}
+
+
+def test_kernels_and_ridge_match_brute_force(spark):
+    texts, langs = languages()
+    texts[5], texts[6] = "Größe ПРИВЕТ мир", "中文 字 İstanbul " * 3
+    docs = table(spark, texts, langs=langs)
+    landmarks, k, is_mark, y = language_id.training_rows(docs, F.lit(True), count=30)
+    assert is_mark.sum() == 30 and sorted(y) == sorted(langs)
+    mark_sets = [set(np.flatnonzero(landmarks.member[:, i])) for i in range(30)]
+    assert landmarks.member.shape[1] == 30 and all(mark_sets)
+    # kernel values: by sets of characters
+    import pyarrow as pa
+
+    from ledgerloom.llm.grams import Folded
+    from ledgerloom.llm.packed import batch_slices
+
+    plain_sets = [grams_of(t, (1, 2, 3)) for t in texts]
+    want = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in plain_sets] for a in plain_sets])
+    (piece,) = batch_slices(pa.array(range(len(texts))), pa.array(texts))
+    s = Folded(piece[1], piece[2])
+    codes = s.codes((1, 2, 3))
+    sets = [np.unique(s.of(codes, d)) for d in range(len(texts))]
+    assert [len(x) for x in sets] == [len(x) for x in plain_sets]
+    got = np.concatenate([x for _, x in language_id.Landmarks(sets).kernels(s)])
+    assert np.allclose(got, want, atol=1e-5)
+    # ridge: the regularised least squares in the Nyström space, solved anew
+    marks = np.arange(0, 120, 4)
+    model = language_id.Model(language_id.Landmarks([sets[i] for i in marks]), want[:, marks].astype(np.float32), np.isin(np.arange(120), marks), langs, ridge=1e-2)
+    value, vector = np.linalg.eigh(want[np.ix_(marks, marks)])
+    phi = np.column_stack([want[:, marks] @ vector / np.sqrt(value), np.ones(120)])
+    w = np.array([1 / langs.count(x) for x in langs])
+    f = phi @ np.linalg.lstsq(np.vstack([phi * np.sqrt(w)[:, None], 0.1 * np.eye(phi.shape[1])]), np.vstack([np.where([[x == y for y in sorted(set(langs))] for x in langs], 1.0, -1.0) * np.sqrt(w)[:, None], np.zeros((phi.shape[1], 3))]), rcond=None)[0]
+    pred, score = model.predict(s)
+    assert np.allclose(score, np.clip((f.max(axis=1) + 1) / 2, 0, 1), atol=2e-3) and pred.tolist() == [sorted(set(langs))[i] for i in f.argmax(axis=1)]
+
+
+def test_language_id_repeated_ids_and_clashing_columns(spark):
+    texts, langs = languages()
+    docs = table(spark, texts[:60] + ["x" * 5000], langs=langs[:60] + [None], ids=[i // 2 for i in range(60)] + [0]).selectExpr("*", "1 AS _row_of_scoring", "2 AS key")
+    model = language_id.fit(docs, F.lit(True))
+    got = Counter((r.doc_id, r.lang_pred) for r in language_id.identify(docs, model).collect())
+    assert sum(got.values()) == 61 and sum(got[i // 2, lang] > 0 for i, lang in enumerate(langs[:60])) >= 57
+    kept = language_id.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 61
+
+
 def test_language_id_learns_every_language(spark):
     rnd = random.Random(5)
     texts, langs = [], []
@@ -453,6 +566,45 @@ def test_toxicity_learns_stems(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True))).collect()} == {0.0}
 
 
+def test_toxicity_matches_brute_force(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["ab", "cde", "Fgh", "ñu", "zz", "qe"]) for _ in range(12)) + (" vile" if i % 3 == 0 else "") for i in range(40)]
+    y = np.array([float(i % 3 == 0) for i in range(40)])
+    sets = [grams_of(t, toxicity.SIZES) for t in texts]
+    names = sorted(set().union(*sets))
+    x = np.array([[float(g in s) for g in names] for s in sets])
+    p, q = 1 + x[y == 1].sum(axis=0), 1 + x[y == 0].sum(axis=0)
+    # columns that no text has count one in each class, too
+    p_all, q_all = p.sum() + (1 << toxicity.BITS) - len(names), q.sum() + (1 << toxicity.BITS) - len(names)
+    ratio = np.log((p / p_all) / (q / q_all))
+    z, weight = x * ratio, np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    step, w, b = 1 / (0.25 * (1.1 * np.linalg.eigvalsh((z * weight[:, None]).T @ z).max() + 1) + toxicity.RIDGE), np.zeros(len(names)), 0.0
+    pw, pb = w, b
+    for t in range(3000):
+        m = t / (t + 3)
+        zw, zb = w + m * (w - pw), b + m * (b - pb)
+        e = weight * (1 / (1 + np.exp(-(z @ zw + zb))) - y)
+        pw, pb, w, b = w, b, zw - step * (z.T @ e + toxicity.RIDGE * zw), zb - step * e.sum()
+    want = 1 / (1 + np.exp(-(z @ w + b)))
+    docs, labels = table(spark, texts), spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels, F.lit(True))).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(40)) < 0.05 and all((got[i] > 0.5) == (want[i] > 0.5) for i in range(40))
+
+
+def test_toxicity_repeated_ids_and_empty_tables(spark):
+    docs = table(spark, ["vile words", "fair words", "vile thing", "fine thing", "vile"], ids=[1, 2, 1, 2, 7])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert toxicity.score_toxicity(docs, model).count() == 5 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
+    assert toxicity.fit(docs.limit(0), labels, F.lit(True)).weights is None and toxicity.fit(docs, labels.limit(0), F.lit(True)).weights is None
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = table(spark, ["a b c", "d e", None, "f"], sources=["s", "t", "t", None]).selectExpr("*", "1 AS _c", "2 AS _d", "3 AS _s", "4 AS _n")
+    got = source_mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {(r._c, r._d, r._s, r._n) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_mixing_targets_and_apportionment(spark):
     rnd = random.Random(6)
     texts = [None if i % 50 == 0 else " ".join(["w"] * rnd.randint(0, 80)) for i in range(400)]
@@ -520,6 +672,19 @@ def test_vector_search_recall_and_awkward_vectors(spark):
     assert vector_search.nearest(frame.limit(0), frame).count() == 0
 
 
+def test_vector_search_repeated_ids_and_several_lengths(spark):
+    rnd = np.random.default_rng(7)
+    x, y = rnd.normal(size=(60, 8)), rnd.normal(size=(7, 3))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(20, [float(v) for v in -x[20]])] + [(100 + 20 * i, [float(v) for v in r]) for i, r in enumerate(y)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = vector_search.nearest(frame, frame.where("vec_id % 20 = 0"), k=20).collect()
+    count = Counter(r.query_id for r in got)
+    assert count == {0: 20, 20: 40, 40: 20} | {100 + 20 * i: 6 for i in range(7)}
+    assert {r.vec_id for r in got if r.query_id == 100} == {120 + 20 * i for i in range(6)}
+    tops = [(r.query_id, r.vec_id) for r in got if r.rank == 1]
+    assert sum(q == 20 for q, _ in tops) == 2 and all(r.vec_id != r.query_id for r in got)
+
+
 def test_kept_hash_of_op1(spark, sf):
     rows = substring_dedup.op1_substring_dedup(spark, sf).where("n_removed = 0").limit(3).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

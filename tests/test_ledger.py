@@ -1,6 +1,8 @@
 """Transcripts, the change log, views, reads and streaming on small ledgers."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,30 +126,63 @@ def rows(spark, events):
     return S.conform(spark.createDataFrame([tuple(e.get(c) for c in S.COLUMNS if c != "v") for e in events], ", ".join(f"{n} {t}" for n, t in S.COLUMNS.items() if n != "v")))
 
 
-def synthetic():
-    out = []
-    for s in range(3):
-        out += [event(f"s{s}", n, s * 12 * HOUR + n * HOUR, "tool", tool="t", detail="", ok=n % 5 != 0) for n in range(20)]
-        out += [event(f"s{s}", S.FIRST_OBS_SEQ + n, s * 12 * HOUR + n * 2 * HOUR, "obs", subject="gate" if n % 2 else "staging", text=f"claim {s}-{n}", derived_from=[]) for n in range(4)]
+TOPICS = ["harbour", "orchard", "kiln", "lantern"]
+
+
+def working_days(seed=20, sessions=5):
+    """Sessions of random length over some days: calls that mostly succeed, files, and claims on a few topics."""
+    rnd, out = random.Random(seed), []
+    for name in (f"{0xFA0000 + i:x}" for i in range(sessions)):
+        at, claims = rnd.randrange(5 * 24 * 60) * 60_000, 0
+        for n in range(rnd.randint(9, 31)):
+            at += rnd.randrange(1, 200) * 60_000
+            kind = rnd.choice(("tool", "tool", "tool", "file", "obs", "user"))
+            if kind == "tool":
+                out.append(event(name, 16 * n, at, "tool", tool=rnd.choice(("Look", "Run")), detail=f"step {n}", ok=rnd.random() < 0.7))
+            elif kind == "file":
+                out.append(event(name, 16 * n, at, "file", path=f"pkg/part{rnd.randrange(3)}/unit{rnd.randrange(4)}.py"))
+            elif kind == "user":
+                out.append(event(name, 16 * n, at, "user", text=f"request {n} of {name}"))
+            else:
+                topic = rnd.choice(TOPICS)
+                out.append(event(name, S.FIRST_OBS_SEQ + claims, at, "obs", subject=topic, text=f"{topic} holds since step {n}", derived_from=[16 * rnd.randrange(n + 1)]))
+                claims += 1
     return out
 
 
-def test_views_of_a_synthetic_ledger(spark):
-    ledger = rows(spark, synthetic())
-    assert {r.day: (r.tools, r.fails) for r in V.days(ledger).collect()} == {0: (32, 7), 1: (28, 5)}
-    assert {r.subject: (r.support, r.text) for r in V.subjects(V.evidence(ledger)).collect()} == {"staging": (6, "claim 2-2"), "gate": (6, "claim 2-3")}
-    assert V.sessions(ledger).where("session = 's0'").first().end_ms == 19 * HOUR
+def expected(events):
+    """Days, newest claim and support of each subject, and end of each session, in plain Python."""
+    days, newest, support, end = {}, {}, Counter(), {}
+    for e in events:
+        if e["kind"] in ("meta", "tool", "commit", "final"):
+            end[e["session"]] = max(end.get(e["session"], 0), e["ts_ms"])
+        if e["kind"] == "tool":
+            calls, fails = days.get(e["ts_ms"] // S.DAY_MS, (0, 0))
+            days[e["ts_ms"] // S.DAY_MS] = (calls + 1, fails + (not e["ok"]))
+        if e["kind"] == "obs":
+            support[e["subject"]] += 1
+            newest[e["subject"]] = max(newest.get(e["subject"], ()), (e["ts_ms"], e["seq"], e["session"], e["text"]))
+    return days, {k: (support[k], v[3]) for k, v in newest.items()}, end
 
 
-@pytest.mark.parametrize("cut", [0, 7, 24, 72])
-def test_a_prefix_equals_a_scan(spark, cut):
-    part = sorted(synthetic(), key=lambda e: (e["ts_ms"], e["session"], e["seq"]))[:cut]
-    best = {}
-    for e in part:
-        if e["kind"] == "obs":
-            best[e["subject"]] = max(best.get(e["subject"], ()), (e["ts_ms"], e["seq"], e["session"], e["text"]))
-    got = {r.subject: r.text for r in V.subjects(V.evidence(rows(spark, part))).collect()}
-    assert got == {k: v[3] for k, v in best.items()}
+@pytest.mark.parametrize("seed", range(3))
+def test_views_equal_plain_python(spark, seed):
+    events = working_days(seed)
+    for part in (events, random.Random(seed).sample(events, len(events) // 3), []):
+        days, subjects, end = expected(part)
+        ledger = rows(spark, part)
+        assert {r.day: (r.tools, r.fails) for r in V.days(ledger).where("tools > 0").collect()} == days
+        assert {r.subject: (r.support, r.text) for r in V.subjects(V.evidence(ledger)).collect()} == subjects
+        assert {r.session: r.end_ms for r in V.sessions(ledger).collect()} == end
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.8, 1.0])
+def test_asof_equals_views_of_what_was_known(spark, share):
+    events = working_days(4)
+    at = int(share * max(e["ts_ms"] for e in events))
+    known = [e for e in events if e["ts_ms"] <= at]
+    got = {r.subject: r.text for r in V.subjects(V.evidence(rows(spark, events).where(F.col("ts_ms") <= at))).collect()}
+    assert got == {k: text for k, (_, text) in expected(known)[1].items()}
 
 
 def test_revision_hides_the_old_text(spark, tmp_path):
@@ -178,46 +213,81 @@ def test_ties_anchors_and_drift(spark):
 
 
 def test_brief_zoom_recall_and_dispatch(spark):
-    ledger = rows(spark, synthetic() + [event("s0", 30, HOUR, "meta", cwd="/w/app", branch="main"), event("s0", 31, 2 * HOUR, "file", path="a/b/c.rs"), event("s2", 40, 40 * HOUR, "final", text="the closing words")])
-    now = 43 * HOUR
+    events = working_days(6)
+    late = max(e["ts_ms"] for e in events) + HOUR
+    events += [event("fa0000", 7001, late - 3 * HOUR, "meta", cwd="/w/app", branch="main"), event("fa0001", 7002, late, "final", text="the closing words")]
+    ledger, now = rows(spark, events), late + HOUR // 2
+    days, subjects, end = expected(events)
     got = R.brief(ledger, now, "closing words")
-    assert [r.label for r in got["days"].collect()] == ["today", "yesterday"] and got["today"].first()[0] == "1970-01-02"
-    assert [r.session for r in got["active"].collect()] == ["s2"] and got["last_session"].first().final_msg == "the closing words"
-    assert got["relevant"].first().text == "the closing words" and got["subjects"].count() == 2 and got["further"].count() == 0
-    assert got["files"].first().path == "…/b/c.rs" and got["files"].first().sessions == ["s0"]
-    hits = R.recall(ledger, "claim", now, limit=3, kind="obs").collect()
-    assert len(hits) == 3 and all(h.kind == "obs" for h in hits)
+    assert got["days"].count() == 3 and got["days"].first().label in ("today", "yesterday")
+    assert [r.session for r in got["active"].collect()] == ["fa0001"]
+    assert got["last_session"].first().final_msg == "the closing words" and got["relevant"].first().text == "the closing words"
+    assert {r.subject for r in got["subjects"].collect()} <= set(subjects)
+    hits = R.recall(ledger, "harbour holds", now, limit=3, kind="obs").collect()
+    assert len(hits) == 3 and all(h.kind == "obs" for h in hits) and "harbour" in hits[0].text
     with pytest.raises(ValueError):
         R.recall(ledger, "  ", now)
-    zoom = R.zoom(ledger, C.Span(0, 1))
-    assert zoom["digest"].first().tools == 60 and zoom["children"].count() == 2 and zoom["observations"].count() == 12 and zoom["sessions"].count() == 3
-    names = [R.dispatch(ledger, w, now)[0] for w in ([], ["1970-01-02"], ["facade"], ["staging"], ["closing", "words"])]
+    zoom = R.zoom(ledger, C.Span(0, late // S.DAY_MS))
+    claims = sum(e["kind"] == "obs" for e in events)
+    assert zoom["digest"].first().tools == sum(t for t, _ in days.values()) and zoom["observations"].count() == claims and zoom["sessions"].count() == len(end)
+    names = [R.dispatch(ledger, w, now)[0] for w in ([], ["1970-01-02"], ["fa0000"], ["orchard"], ["closing", "words"])]
     assert names == ["brief", "zoom", "show", "trail", "recall"]
-    assert R.show_session(ledger, "s0")["observations"].count() == 4
+    assert R.show_session(ledger, "fa0000")["observations"].count() == sum(e["kind"] == "obs" and e["session"] == "fa0000" for e in events)
 
 
 def test_claim_takes_the_next_number(spark):
-    ledger = rows(spark, synthetic())
-    row = L.claim(ledger, "s1", "gate", "it landed today", 5, [1, 2], ("abc", False)).first()
-    assert (row.seq, row.lint, row.derived_from, row.basis.commit) == (S.FIRST_OBS_SEQ + 4, ["today", "landed"], [1, 2], "abc")
-    assert L.claim(ledger, "new", "gate", "x", 5).first().seq == S.FIRST_OBS_SEQ
-    assert [r.subject for r in L.near_subjects(V.evidence(ledger), "gates").collect()] == ["gate"]
+    events = working_days(7)
+    made = sum(e["kind"] == "obs" and e["session"] == "fa0001" for e in events)
+    ledger = rows(spark, events)
+    row = L.claim(ledger, "fa0001", "kiln", "it landed today", 5, [1, 2], ("abc", False)).first()
+    assert (row.seq, row.lint, row.derived_from, row.basis.commit) == (S.FIRST_OBS_SEQ + made, ["today", "landed"], [1, 2], "abc")
+    assert L.claim(ledger, "new", "kiln", "x", 5).first().seq == S.FIRST_OBS_SEQ
+    assert [r.subject for r in L.near_subjects(V.evidence(ledger), "kilns").collect()] == ["kiln"]
+
+
+def test_observe_appends_with_support_and_near_subjects(spark, tmp_path):
+    root = (tmp_path / "root").as_uri()
+    L.append(rows(spark, [event("fa0000", S.FIRST_OBS_SEQ, 5, "obs", subject="kilns", text="two of them"), event("fa0001", S.FIRST_OBS_SEQ, 6, "obs", subject="kiln", text="warm")]), f"{root}/log", 1)
+    got = L.observe(spark, root, 2, "fa0000", "kiln", "it landed earlier", 9, [16]).first()
+    assert (got.seq, got.support, got.near, got.lint) == (S.FIRST_OBS_SEQ + 1, 2, ["kilns"], ["earlier", "landed"])
+    assert [tuple(n) for n in got.notes] == [("earlier", "time-deictic"), ("landed", "status-log")]
+    assert L.latest(L.read_log(spark, f"{root}/log")).where("kind = 'obs'").count() == 3
+
+
+def test_compaction_keeps_the_ledger_and_cursors(spark, tmp_path):
+    root, path = (tmp_path / "root").as_uri(), write(tmp_path, "a", dialect_a())
+    for batch in (1, 2, 3):
+        L.capture(spark, path, root, batch)
+    L.append(rows(spark, [event("sess-a", 2, 7, "user", text="said otherwise")]), f"{root}/log", 4)
+    state = lambda: (sorted(map(str, L.latest(L.read_log(spark, f"{root}/log")).collect())), L.cursors(spark, f"{root}/log", 0).collect())
+    was = state()
+    L.compact(spark, f"{root}/log", 3)
+    assert state() == was and sorted(p.name for p in (tmp_path / "root/log").glob("ingest_batch=*")) == ["ingest_batch=3", "ingest_batch=4"]
+
+
+def test_capture_takes_a_final_message(spark, tmp_path):
+    root = (tmp_path / "root").as_uri()
+    assert L.capture(spark, write(tmp_path, "a", dialect_a()), root, 1, final=("sess-a", "closing")).count() == 0
+    got = L.latest(L.read_log(spark, f"{root}/log")).where("kind = 'final'").collect()
+    assert [(r.seq, r.text) for r in got] == [(S.HOOK_FINAL_SEQ, "closing")]
 
 
 def test_json_export(spark):
-    got = json.loads(L.event_lines(rows(spark, synthetic()[:1])).first().value)
+    first = next(e for e in working_days() if e["kind"] == "tool")
+    got = json.loads(L.event_lines(rows(spark, [first])).first().value)
     assert set(got) == {"session", "seq", "ts_ms", "v", "event"} and got["event"]["kind"] == "tool"
 
 
 def test_stream_keeps_views_current(spark, tmp_path):
     inbox, root = tmp_path / "in", (tmp_path / "root").as_uri()
-    first = synthetic()
-    rows(spark, first[:50]).write.parquet(f"{inbox}/1")
+    events = working_days(8)
+    half = len(events) // 2
+    rows(spark, events[:half]).write.parquet(f"{inbox}/1")
     stream = lambda: spark.readStream.schema(S.EVENT_DDL).parquet(f"{inbox}/*")
     run = lambda: refresh.start(stream(), root, (tmp_path / "ck").as_uri()).awaitTermination()
     run()
-    moved = event("s0", S.FIRST_OBS_SEQ + 3, 6 * HOUR, "obs", subject="elsewhere", text="moved")
-    rows(spark, first[50:] + [moved]).write.parquet(f"{inbox}/2")
+    old = next(e for e in events[:half] if e["kind"] == "obs")
+    rows(spark, events[half:] + [old | {"subject": "elsewhere", "text": "moved"}]).write.parquet(f"{inbox}/2")
     run()
     ledger = L.latest(L.read_log(spark, f"{root}/log"))
     for name, want in (("days", V.days(ledger)), ("subjects", V.subjects(V.evidence(ledger))), ("sessions", V.sessions(ledger))):
