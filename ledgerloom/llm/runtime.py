@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +56,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for file scans this is the size of the files, whatever store they are in."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def file_bytes(df: DataFrame) -> int | None:
+    """The size of the files that ``df`` is read from, whatever store they are in, by Catalyst's statistics; None if some input is no file scan.
+
+    Leaves are added up: the estimate of a whole plan multiplies the sides of its joins.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if not all(leaf.nodeName() == "LogicalRelation" for leaf in leaves):
+        return None
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves)
 
 
 def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
-    """Message buckets for hash exchanges: grows with the input so that a bucket stays of one size."""
-    size = plan_bytes(df)
-    size = 0 if size > 1 << 60 else size
+    """Message buckets for hash exchanges: grows with the input so that a bucket stays of one size. Texts that come from no file are measured."""
+    size = file_bytes(df)
+    if size is None:
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     return max(2 * shuffle_partitions(df.sparkSession), -(-size // per_bucket))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back; file statistics tell the next step its size."""
+    path = fresh_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

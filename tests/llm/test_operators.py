@@ -220,7 +220,6 @@ def kept_lines(texts, threshold):
     return ["\n".join(x) for x in out]
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.7])
 def test_near_lines_of_each_length_are_found(spark):
     """Recall against edit similarity alone, for lines that differ by as much as is allowed, among unrelated ones of the same words."""
     rnd = random.Random(5)
@@ -257,6 +256,7 @@ def test_large_families_of_lines_give_few_pairs():
     assert line_dedup._compare(0.8, 24, True)(t).num_rows == 3 * (n // 3) ** 2  # across components only
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.7])
 def test_line_dedup_matches_brute_force_on_edit_similarity(spark, threshold):
     rnd = random.Random(11)
     vocabulary = [f"v{chr(97 + i)}" for i in range(26)] + [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
@@ -507,7 +507,8 @@ def test_kernels_and_ridge_match_brute_force(spark):
     marks = np.arange(0, 120, 4)
     model = language_id.Model(language_id.Landmarks([sets[i] for i in marks]), want[:, marks].astype(np.float32), np.isin(np.arange(120), marks), langs, ridge=1e-2)
     value, vector = np.linalg.eigh(want[np.ix_(marks, marks)])
-    phi = np.column_stack([want[:, marks] @ vector / np.sqrt(value), np.ones(120)])
+    good = value > 1e-6 * value.max()  # equal texts make the landmarks' kernel singular
+    phi = np.column_stack([want[:, marks] @ vector[:, good] / np.sqrt(value[good]), np.ones(120)])
     w = np.array([1 / langs.count(x) for x in langs])
     f = phi @ np.linalg.lstsq(np.vstack([phi * np.sqrt(w)[:, None], 0.1 * np.eye(phi.shape[1])]), np.vstack([np.where([[x == y for y in sorted(set(langs))] for x in langs], 1.0, -1.0) * np.sqrt(w)[:, None], np.zeros((phi.shape[1], 3))]), rcond=None)[0]
     pred, score = model.predict(s)
