@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, jaccard_join, language_id, source_mixing, token_files
-from ledgerloom.llm.runtime import read, settle
+from ledgerloom.llm.runtime import read, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminate), ("source_mixing", mix), ("token_files", tokens)]
 
-#: Language models, similarity components and token ids are not expressible in SQL; tests check each stage for its columns and share of rows, and its operator by itself; no test holds run() against brute force yet.
+#: Language models, similarity components and token ids are not expressible in SQL; tests/llm/test_pipeline.py holds run() against plain Python of the five stages.
 ORACLE_SQL = None
 
 
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = settle(docs)  # stages read their input more than once
+            docs = written(docs)  # stages read their input more than once
     return docs
