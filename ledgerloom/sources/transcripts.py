@@ -16,6 +16,7 @@ from ..functions.scalars import byte_cap, is_blank, iso_to_ms, squeeze
 
 HEAD_LINES, HEAD_METAS, BLOCKS = 8, 5, 14
 EMBED_VERSION = "hashed-terms-1 dim=512"
+GONE = "gone"  # takes back an event captured before: its key says nothing any more
 _RANK = 64  # emission ranks a line: 4 a block and some before
 
 
@@ -63,12 +64,13 @@ def formats(lines: DataFrame) -> DataFrame:
 
 
 def _prepared(lines: DataFrame, cursors: DataFrame | None, fallback: str | None) -> DataFrame:
-    """Parsed lines of known files: file, pos, v, ts_ms, format, session, skip, seen (the skipped part has a working folder)."""
+    """Parsed lines of known files: file, pos, v, ts_ms, format, session, skip, saved, seen (the skipped part has a working folder)."""
     upto = _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if cursors is not None:
         lines = lines.join(cursors, "file", "left")
-    rows = _marked(lines.withColumn("skip", F.coalesce("skip", F.lit(0)) if cursors is not None else F.lit(0)))
+    given = lambda name: F.coalesce(name, F.lit(0)) if cursors is not None and name in cursors.columns else F.lit(0)
+    rows = _marked(lines.withColumns({"skip": given("skip"), "saved": given("saved")}))
     rows = rows.withColumn("seen", F.max((F.col("pos") < F.col("skip")) & F.contains("line", F.lit('"cwd"'))).over(_file())).drop("line")
     rows = rows.where("format is not null and v is not null")
     v = F.col("v")
@@ -117,14 +119,19 @@ def _first_line(rows: DataFrame, has: Column) -> DataFrame:
 
 
 def _closing(rows: DataFrame, has: Column, slot: Column) -> DataFrame:
-    """``rows`` with closing: the last of the file's rows, from the cursor on, for which ``has`` is true."""
+    """``rows`` with closing: the last of the file's rows, from the cursor on, for which ``has`` is true; stale: the one that was last when only
+    the ``saved`` lines were read, if it isn't now."""
     at = F.struct("pos", slot.alias("slot"))
-    return rows.withColumn("closing", _no(F.max(F.when(_no(has) & (F.col("pos") >= F.col("skip")), at)).over(_file()) == at) & _no(has))
+    last = lambda part: _no(F.max(F.when(_no(has) & part, at)).over(_file()) == at) & _no(has)
+    rows = rows.withColumns({"closing": last(F.col("pos") >= F.col("skip")), "was": last(F.col("pos") < F.col("saved"))})
+    return rows.withColumn("stale", F.col("was") & ~F.col("closing") & F.max("closing").over(_file()))
 
 
-def _exploded(rows: DataFrame, events: list[Column]) -> DataFrame:
+def _exploded(rows: DataFrame, events: list[Column], changed: Column) -> DataFrame:
+    """The events of lines from the cursor on, and of earlier lines in which a row is ``changed`` by what follows."""
     names = ["seq", "kind", *S.PAYLOAD, "ord"]
-    out = rows.where(F.col("pos") >= F.col("skip")).select("file", "session", "ts_ms", F.explode(F.array_compact(F.array(*events))).alias("e"))
+    rows = rows.withColumn("again", F.max(changed).over(Window.partitionBy("file", "pos")))
+    out = rows.where((F.col("pos") >= F.col("skip")) | F.col("again")).select("file", "session", "ts_ms", F.explode(F.array_compact(F.array(*events))).alias("e"))
     return out.select("file", "session", "ts_ms", *(F.col(f"e.{n}").alias(n) for n in names), F.lit(S.EVENT_VERSION).alias("v"))
 
 
@@ -151,8 +158,9 @@ def _dialect_a(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("id", F.when(call, _text(b, "$.id")).when(error, _text(b, "$.tool_use_id")))
     # an error marks the last call with its id before it: the row after such a call is an error
     rows = rows.withColumn("error", error & F.col("id").isNotNull())
-    after = F.lead("error").over(Window.partitionBy("file", "id").orderBy("pos", "n"))
-    rows = rows.withColumn("ok", ~(F.col("id").isNotNull() & _no(after)))
+    by_id = Window.partitionBy("file", "id").orderBy("pos", "n")
+    rows = rows.withColumns({"failed": F.col("id").isNotNull() & _no(F.lead("error").over(by_id)), "next": F.lead("pos").over(by_id)})
+    rows = rows.withColumns({"ok": ~F.col("failed"), "late": call & F.col("failed") & (F.col("saved") > F.col("pos")) & (F.col("next") >= F.col("saved"))})
     rows = rows.withColumns({"tool": F.coalesce(_text(b, "$.name"), F.lit("unknown")), "cmd": _text(b, "$.input.command"), "path": _text(b, "$.input.file_path")})
     tool, cmd, path, t, body = (F.col(c) for c in ("tool", "cmd", "path", "t", "body"))
     given = F.coalesce(F.to_json(_get(b, "$.input", "variant")), F.lit(""))
@@ -167,10 +175,11 @@ def _dialect_a(rows: DataFrame) -> DataFrame:
         _event(said & user, "user", slot, rank, text=byte_cap(t, S.USER_BYTES)),
         _event(said & assistant & (F.octet_length("t") >= S.SAID_LEAST), "said", slot, rank, text=byte_cap(t, S.SAID_BYTES)),
         _event(F.col("closing"), "final", slot, F.lit(1 << 50), text=byte_cap(t, S.FINAL_BYTES)),
+        _event(F.col("stale"), GONE, slot, -1),
         _event(call, "tool", slot, rank, tool=tool, detail=byte_cap(detail, S.DETAIL_BYTES), ok=F.col("ok")),
         _event(call & on_file & path.isNotNull(), "file", S.STRIDE - 1, rank + 1, path=path),
         _event(call & (tool == "Bash") & _no(_commit_command(cmd)), "commit", S.STRIDE - 2, rank + 2, hash=commit_hash(F.col("stdout")), message=commit_message(cmd)),
-    ])
+    ], F.col("stale") | F.col("late"))
 
 
 def _dialect_b(rows: DataFrame) -> DataFrame:
@@ -195,15 +204,18 @@ def _dialect_b(rows: DataFrame) -> DataFrame:
         _event(spoken & (F.col("role") == "user"), "user", 2, 1, text=byte_cap(t, S.USER_BYTES)),
         _event(spoken & (F.col("role") == "assistant") & (F.octet_length("t") >= S.SAID_LEAST), "said", 2, 1, text=byte_cap(t, S.SAID_BYTES)),
         _event(F.col("closing"), "final", 2, F.lit(1 << 50), text=byte_cap(F.col("opening"), S.FINAL_BYTES)),
+        _event(F.col("stale"), GONE, 2, -1),
         _event(call, "tool", 2, 1, tool=F.coalesce(_text(p, "$.name"), F.lit("unknown")), detail=byte_cap(F.coalesce("cmd", "args", F.lit("")), S.DETAIL_BYTES), ok=F.lit(True)),
         _event(call & _no(_commit_command(F.col("cmd"))), "commit", 3, 2, hash=F.lit(""), message=commit_message(F.col("cmd"))),
-    ])
+    ], F.col("stale"))
 
 
 def parse(lines: DataFrame, fallback: str | None = None, cursors: DataFrame | None = None) -> DataFrame:
     """Events of transcripts (file, pos, line): the ledger's columns, file and ord (order of emission). Keys are distinct.
 
-    ``cursors`` (file, skip) keeps events of lines from ``skip`` on; times and failures still come from the whole file.
+    ``cursors`` (file, skip) keeps events of lines from ``skip`` on; times and failures still come from the whole file. With ``saved`` (lines
+    read before) earlier lines come again if what follows changes them: a call that failed later, a message that no longer closes (its old
+    key is taken back by a ``GONE`` row, unless another event has it).
     """
     rows = _prepared(lines, cursors, fallback)
     found = _dialect_a(rows.where("format = 'A'")).unionByName(_dialect_b(rows.where("format = 'B'")))
