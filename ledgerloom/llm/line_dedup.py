@@ -105,83 +105,100 @@ def edits(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
 
 
-def _plan(longest: int, threshold: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """By line length: (whether words are left out, whether the whole line is sent, for each q how many of the rarest blocks are posted).
+def _plan(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """For lines of ``n`` words: (whether words are left out, whether the whole line is sent, for each q how many of the rarest blocks are posted).
 
     A line must post enough for every partner that is not shorter, in the blocks of that partner's length.
     """
-    top = int(longest / threshold) + 2
-    n = np.arange(top + 1)
-    k = edits(n, threshold)
+    top = int(n.max(initial=0) / threshold) + 2
+    every = np.arange(top + 1)
+    k = edits(every, threshold)
     out = k == 1
-    whole = out | np.append(out[1:], False)
-    q_of = np.where(k > 1, np.where(n < LONG, 2, 3), 0)
+    q_of = np.where(k > 1, np.where(every < LONG, 2, 3), 0)
     for q in (3, 2):  # fewer words a block where edits could spoil all of them
-        q_of = np.where((q_of == q) & (n - q + 1 - q * k < 1), q - 1, q_of)
+        q_of = np.where((q_of == q) & (every - q + 1 - q * k < 1), q - 1, q_of)
+    lengths, which = np.unique(n, return_inverse=True)
+    partners = np.stack((lengths, np.searchsorted(every - k, lengths, "right")), axis=1).ravel()  # lengths from .. below ..
     post = {}
     for q in (1, 2, 3):
-        shared = np.where(q_of == q, n - q + 1 - q * k, top)  # by the longer line
-        rarest = np.zeros(longest + 1, np.int64)
-        for m in range(1, longest + 1):
-            meets = np.flatnonzero((q_of == q) & (n >= m) & (n - k <= m))
-            if len(meets):
-                rarest[m] = m - q + 1 - int(shared[meets].min()) + 1
-        post[q] = rarest
-    return out, whole, post
+        shared = np.where(q_of == q, every - q + 1 - q * k, top)  # by the longer line
+        least = np.minimum.reduceat(np.append(shared, top), partners)[::2] if len(partners) else partners
+        post[q] = np.where(least < top, lengths - q + 2 - least, 0)[which]
+    return out[n], (out | np.append(out[1:], False))[n], post
 
 
 class Blocks:
     """Pigeonhole blocks of lines, by line: hash, index in ``lines``, and how many of the line's rarest of that kind to post."""
 
     def __init__(self, x: Lines, lines: np.ndarray, threshold: float):
-        begin, stop = x.begin[lines], x.stop[lines]
-        n = stop - begin
-        out, whole, post = _plan(int(n.max(initial=0)), threshold)
-        value, row, most, kind = [], [], [], []
-
-        def add(h: np.ndarray, r: np.ndarray, rarest: np.ndarray, q: int, numbered: bool):
-            h = mix(h + np.uint64(q))
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else np.zeros(0, bool)
-            if numbered:
-                first = np.flatnonzero(new)
-                nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-                h = np.where(nth > 0, mix(h + nth.astype(np.uint64)), h)
-            else:
-                h, r = h[new], r[new]
-            value.append(h)
-            row.append(r)
-            most.append(rarest[r])
-            kind.append(np.full(len(h), q, np.int8))
-
+        self.begin, self.stop = x.begin[lines], x.stop[lines]
+        self.n = self.stop - self.begin
+        out, whole, post = _plan(self.n, threshold)
+        parts = []
         for q, rarest in post.items():
-            mine = np.flatnonzero((rarest[n] > 0) & (n >= q))
+            mine = np.flatnonzero((rarest > 0) & (self.n >= q))
             if len(mine):
-                r, at = _ragged(n[mine] - q + 1)
-                first = begin[mine[r]] + at
-                add(FIRST.spans(x.prefix, first, first + q), mine[r], rarest[n], q, True)
-        mine = np.flatnonzero(out[n])
-        r, at = _ragged(n[mine])
-        r = mine[r]
-        full = np.flatnonzero(whole[n])
+                r, at = _ragged(self.n[mine] - q + 1)
+                first = self.begin[mine[r]] + at
+                parts.append((*_distinct(FIRST.spans(x.prefix, first, first + q), mine[r], q, True), rarest))
+        mine, full = np.flatnonzero(out), np.flatnonzero(whole)
         if len(full):
-            b, e, i = begin[r], stop[r], begin[r] + at
+            r, at = _ragged(self.n[mine])
+            r = mine[r]
+            b, e, i = self.begin[r], self.stop[r], self.begin[r] + at
             shift = np.uint64(pow(FIRST.base, -1, 1 << 64))
             left_out = mix(((x.prefix[i] - x.prefix[b]) + (x.prefix[e] - x.prefix[i + 1]) * shift) * FIRST.powers(len(x.prefix))[1][b])
-            entire = FIRST.spans(x.prefix, begin[full], stop[full])
-            add(np.concatenate((left_out, entire)), np.concatenate((r, full)), np.full(len(n), 1 << 30), 9, False)
-        cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        self.n = n
-        self.value, self.row, self.most, self.kind = cat(value, np.uint64), cat(row, np.int64), cat(most, np.int64), cat(kind, np.int8)
+            entire = FIRST.spans(x.prefix, self.begin[full], self.stop[full])
+            parts.append((*_distinct(np.concatenate((left_out, entire)), np.concatenate((r, full)), 9, False), np.full(len(lines), 1 << 30)))
+        self.parts = [(row, rarest) for _, row, rarest in parts]
+        self.value = np.concatenate([value for value, _, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.row = np.concatenate([row for row, _ in self.parts]) if parts else np.zeros(0, np.int64)
 
     def posted(self, code: np.ndarray) -> np.ndarray:
-        """Indexes of the blocks to post, given the codes of their frequencies (0: of one line only)."""
-        order = np.lexsort((self.value, code, self.row, self.kind))
-        r, q = self.row[order], self.kind[order]
-        new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (q[1:] != q[:-1])))) if len(r) else np.zeros(0, np.int64)
-        rank = np.arange(len(r)) - np.repeat(new, np.diff(np.append(new, len(r))))
-        return order[(rank < self.most[order]) & (code[order] > 0)]
+        """Indexes of the blocks to post, given the codes of their frequencies (0: of one line only, which need no posting)."""
+        chosen, begin = [np.zeros(0, np.int64)], 0
+        for row, rarest in self.parts:
+            mine, value = code[begin : begin + len(row)], self.value[begin : begin + len(row)]
+            more = rarest - np.bincount(row[mine == 0], minlength=len(rarest))
+            at = np.flatnonzero((mine > 0) & (more[row] > 0))
+            at = at[np.lexsort(((mine[at].astype(np.uint64) << np.uint64(56)) | (value[at] >> np.uint64(8)), row[at]))]
+            r = row[at]
+            new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
+            rank = np.arange(len(r)) - np.repeat(new, np.diff(np.append(new, len(r))))
+            chosen.append(begin + at[rank < more[r]])
+            begin += len(row)
+        return np.concatenate(chosen)
+
+
+_BITS = 48  # of a block's hash
+
+
+def _distinct(h: np.ndarray, row: np.ndarray, kind: int, numbered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the distinct blocks of each row, by row; if ``numbered``, repeats are blocks of their own."""
+    values, rows_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    order = None if len(row) == 0 or (row[1:] >= row[:-1]).all() else np.argsort(row, kind="stable")
+    if order is not None:
+        h, row = h[order], row[order]
+    bits = np.uint64(_BITS)
+    step = 1 << (64 - _BITS)
+    for low in range(0, int(row[-1]) + 1 if len(row) else 0, step):  # row and hash in one number
+        i, j = np.searchsorted(row, (low, low + step))
+        key = np.sort((row[i:j] - low).astype(np.uint64) << bits | h[i:j] >> np.uint64(64 - _BITS))
+        if not len(key):
+            continue
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        value = (key & np.uint64((1 << _BITS) - 1)) + (np.uint64(kind) << bits)
+        if numbered:
+            first = np.flatnonzero(new)
+            value = mix(value)
+            if len(first) < len(key):
+                nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+                value = np.where(nth > 0, mix(value + nth.astype(np.uint64)), value)
+        else:
+            key, value = key[new], mix(value[new])
+        values.append(value)
+        rows_.append((key >> bits).astype(np.int64) + low)
+    return np.concatenate(values), np.concatenate(rows_)
 
 
 def _occurrences(batches):

@@ -193,7 +193,8 @@ def rows(batches):
 
 def by_bucket(bucket: np.ndarray, buckets: int):
     """(order, bounds): order[bounds[b]:bounds[b + 1]] are the entries of bucket b, first to last."""
-    return np.argsort(bucket, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+    small = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket  # sorted by radix
+    return np.argsort(small, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
