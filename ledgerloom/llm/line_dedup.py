@@ -18,7 +18,7 @@ within ``radius`` (beyond the largest distances of related lines; measured in th
 k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
 
 Round one pairs each list's lines with a few leaders, a linear number of pairs. Round two lists all candidate pairs that are
-still in different components, so that no link between components is lost while pairs inside one are never listed. Lists of more than ``CHUNK``
+still in different components, once for each run of posted blocks that they share, so that no link between components is lost while pairs inside one are never listed. Lists of more than ``CHUNK``
 lines are cut into chunks, and each pair of chunks is a unit of work by itself.
 Each group keeps its first occurrence (smallest doc_id, then place); every other occurrence goes.
 
@@ -50,7 +50,7 @@ _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[48:58] = 48
 _FOLD[10] = 10
-_ENTRY = "tok long, node long, n int, print long, low long, high long, code int, words binary"
+_ENTRY = "tok long, prev long, node long, n int, print long, low long, high long, code int, words binary"
 
 
 class Lines:
@@ -154,9 +154,10 @@ class Blocks:
         self.value = np.concatenate([value for value, _, _ in parts]) if parts else np.zeros(0, np.uint64)
         self.row = np.concatenate([row for row, _ in self.parts]) if parts else np.zeros(0, np.int64)
 
-    def posted(self, code: np.ndarray) -> np.ndarray:
-        """Indexes of the blocks to post, given the codes of their frequencies (0: of one line only, which need no posting)."""
-        chosen, begin = [np.zeros(0, np.int64)], 0
+    def posted(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the blocks to post, given the codes of their frequencies (0: of one line only, which need no posting), and the hash of the
+        block that the same line posts before each of them (0: none)."""
+        chosen, before, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
         for row, rarest in self.parts:
             mine, value = code[begin : begin + len(row)], self.value[begin : begin + len(row)]
             more = rarest - np.bincount(row[mine == 0], minlength=len(rarest))
@@ -165,9 +166,13 @@ class Blocks:
             r = row[at]
             new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
             rank = np.arange(len(r)) - np.repeat(new, np.diff(np.append(new, len(r))))
-            chosen.append(begin + at[rank < more[r]])
+            at = at[rank < more[r]]
+            last = np.zeros(len(at), np.uint64)
+            last[1:] = np.where(row[at[1:]] == row[at[:-1]], value[at[:-1]], np.uint64(0))
+            chosen.append(begin + at)
+            before.append(last)
             begin += len(row)
-        return np.concatenate(chosen)
+        return np.concatenate(chosen), np.concatenate(before)
 
 
 _BITS = 48  # of a block's hash
@@ -230,7 +235,7 @@ def _post(buckets: int, threshold: float):
             x, lines = Lines(row).hashed(), np.sort(row["want"])
             b = Blocks(x, lines, threshold)
             code = replies(bucket_of(b.value, buckets), buckets, row["df"], np.uint8)
-            at = b.posted(code)
+            at, prev = b.posted(code)
             used, which = np.unique(b.row[at], return_inverse=True)
             if not len(used):
                 continue
@@ -239,11 +244,11 @@ def _post(buckets: int, threshold: float):
             small = (x.hash >> np.uint64(32)).astype("<u4")
             none = lambda kind, size: pa.nulls(size, kind)
             yield pa.RecordBatch.from_pydict({
-                "tok": pa.array(b.value[at].view(np.int64), pa.int64()), "node": pa.array(node[which], pa.int64()), "n": pa.array(n[which], pa.int32()), "print": pa.array(print_[which], pa.int64()),
+                "tok": pa.array(b.value[at].view(np.int64), pa.int64()), "prev": pa.array(prev.view(np.int64), pa.int64()), "node": pa.array(node[which], pa.int64()), "n": pa.array(n[which], pa.int32()), "print": pa.array(print_[which], pa.int64()),
                 "low": pa.array(sketch[which, 0], pa.int64()), "high": pa.array(sketch[which, 1], pa.int64()), "code": pa.array(code[at], pa.int32()), "words": none(pa.binary(), len(at)),
             })
             yield pa.RecordBatch.from_pydict({
-                "tok": none(pa.int64(), len(used)), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()), "print": none(pa.int64(), len(used)),
+                "tok": none(pa.int64(), len(used)), "prev": none(pa.int64(), len(used)), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()), "print": none(pa.int64(), len(used)),
                 "low": none(pa.int64(), len(used)), "high": none(pa.int64(), len(used)), "code": none(pa.int32(), len(used)), "words": pa.array([small[i:j].tobytes() for i, j in zip(x.begin[mine], x.stop[mine], strict=True)], pa.binary()),
             })
 
@@ -253,7 +258,7 @@ def _post(buckets: int, threshold: float):
 class Postings:
     """Postings of some lists; a list is a run of equal (block, cell). In a cell of two chunks only pairs across them count."""
 
-    def __init__(self, table: pa.Table, threshold: float, radius: int, split: bool):
+    def __init__(self, table: pa.Table, threshold: float, radius: int):
         got = {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names if c not in ("bucket", "words")}
         got = {c: v.view(np.uint64) if c in ("print", "low", "high") else v for c, v in got.items()}
         order = np.lexsort((got["node"], got["cell"], got["tok"]))
@@ -261,10 +266,10 @@ class Postings:
         new = np.concatenate(([True], (got["tok"][1:] != got["tok"][:-1]) | (got["cell"][1:] != got["cell"][:-1])))
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(order)))
-        part = got["component"] if split else got["node"]
+        part = got["component"] if "component" in got else got["node"]
         live = np.repeat(np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first), size)
         self.list = (np.cumsum(new) - 1)[live]
-        self.node, self.component, self.n, self.print, self.chunk, self.across = (v[live] for v in (got["node"], part, got["n"], got["print"], got["chunk"], got["across"]))
+        self.node, self.prev, self.component, self.n, self.print, self.chunk, self.across = (v[live] for v in (got["node"], got["prev"], part, got["n"], got["print"], got["chunk"], got["across"]))
         count = np.stack((got["low"][live], got["high"][live]), axis=1).astype("<u8").view(np.uint8).reshape(-1, 16)
         self.count = np.concatenate((count & 15, count >> 4), axis=1).astype(np.int8)
         self.edits, self.radius = edits(self.n, threshold), radius
@@ -294,7 +299,7 @@ class Postings:
             here = here[~member & (here != lead)]
 
     def all(self):
-        """All candidate pairs."""
+        """All candidate pairs. Two lines that have the same block before this one meet in that block's list, too, and need not meet here."""
         here = np.arange(len(self.list))
         for d in range(1, len(self.list)):
             here = here[: np.searchsorted(here, len(self.list) - d)]
@@ -303,13 +308,14 @@ class Postings:
                 return
             for a in range(0, len(here), 1 << 20):
                 i = here[a : a + (1 << 20)]
+                i = i[(self.prev[i] != self.prev[i + d]) | (self.prev[i] == 0)]
                 i = i[self.near(i, i + d)]
                 yield i, i + d
 
 
 def _compare(threshold: float, radius: int, split: bool):
     def run(table: pa.Table) -> pa.Table:
-        p, seen = Postings(table, threshold, radius, split), [np.zeros((2, 0), np.int64)]
+        p, seen = Postings(table, threshold, radius), [np.zeros((2, 0), np.int64)]
         for i, j in p.all() if split else p.led():
             seen.append(np.stack((np.minimum(p.node[i], p.node[j]), np.maximum(p.node[i], p.node[j]))))
         u, v = np.concatenate(seen, axis=1)
@@ -402,7 +408,7 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
             live = live.join(open_, "tok", "left_semi")
         pairs = _pairs(live, lists, threshold, radius, split)
         if pairs.isEmpty():
-            break
+            continue  # no leader's pair, but others may be there
         links = settle(_verified(pairs, words, threshold), large=True)
         old = [] if part is None else [part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))]
         for o in old:
