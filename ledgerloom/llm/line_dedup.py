@@ -261,6 +261,7 @@ class Postings:
     def __init__(self, table: pa.Table, threshold: float, radius: int):
         got = {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names if c not in ("bucket", "words")}
         got = {c: v.view(np.uint64) if c in ("print", "low", "high") else v for c, v in got.items()}
+        got.setdefault("prev", np.zeros(table.num_rows, np.int64))  # unknown: each list gives its pairs
         order = np.lexsort((got["node"], got["cell"], got["tok"]))
         got = {c: v[order] for c, v in got.items()}
         new = np.concatenate(([True], (got["tok"][1:] != got["tok"][:-1]) | (got["cell"][1:] != got["cell"][:-1])))
