@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD), lambda t: t != "")
 
 
+def query_words(query: str) -> list[str]:
+    return [t for t in re.split(r"[^\w]+|_", query.lower()) if t]
+
+
 def query_terms(query: str) -> list[str]:
-    return sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
+    return sorted(set(query_words(query)))
 
 
 def _count(low: Column, term: str) -> Column:
@@ -71,26 +79,44 @@ def diversity_cap(fused: DataFrame, keys: list[str], per: str = "session", each:
 
 
 Embedder = Callable[[Column], Column]
-DIM = 512
+DIM = 256
+
+
+def term_place(term: str, dim: int = DIM) -> tuple[int, float]:
+    """Where a term counts in a hashed vector, and with which sign."""
+    h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+    return h % dim, 1.0 - 2.0 * (h // 1_048_576 % 2)
+
+
+def _hashed(words: pa.ListArray, dim: int) -> np.ndarray:
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    coded = words.flatten().dictionary_encode()
+    where = [term_place(t, dim) for t in coded.dictionary.to_pylist()]  # once for each distinct term of the batch
+    place, sign = np.array([w[0] for w in where], np.int64), np.array([w[1] for w in where])
+    code = np.asarray(coded.indices, np.int64)
+    row = np.repeat(np.arange(len(words)), np.asarray(pc.fill_null(pc.list_value_length(words), 0), np.int64))
+    if not len(code):
+        return np.zeros((len(words), dim))
+    return np.bincount(row * dim + place[code], weights=sign[code], minlength=len(words) * dim).reshape(len(words), dim)
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """Offline embedding: signed hashed term counts as an array of ``dim`` doubles; cosine normalises it.
+    """Offline embedding: signed hashed term counts as an array of ``dim`` floats; cosine normalises it. Null and wordless texts are zeros.
 
-    A term adds one to its place, or to the place ``dim`` further on for the other sign; sorted places are counted run by run.
+    Terms are cut by Spark; one Arrow function adds up the places of a whole batch, so the work is linear in the words.
     """
-    place = lambda t: (F.pmod(F.xxhash64(t), F.lit(dim)) + F.when(F.crc32(t.cast("binary")) % 2 == 0, 0).otherwise(dim)).cast("int")
-    placed = F.array_sort(F.transform(terms(text), place))
-    ends = F.array_compact(F.transform(placed, lambda x, i: F.when(~F.get(placed, i + 1).eqNullSafe(x), F.struct((i + 1).alias("upto"), x.alias("at")))))
-    before = lambda j, c, none: F.when(j > 0, F.get(ends, j - 1)[c]).otherwise(none)
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    runs = F.transform(ends, lambda e, j: F.concat(zeros(e["at"] - before(j, "at", -1) - 1), F.array((e["upto"] - before(j, "upto", 0)).cast("double"))))
-    last = F.coalesce(F.get(ends, F.size(ends) - 1)["at"], F.lit(-1))
-    counts = F.concat(F.flatten(runs), zeros(F.lit(2 * dim - 1) - last))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(counts, i) - F.get(counts, i + dim))
+
+    @F.arrow_udf("array<float>")
+    def embed(words: pa.Array) -> pa.Array:
+        dense = _hashed(words, dim)
+        return pa.FixedSizeListArray.from_arrays(pa.array(dense.reshape(-1), pa.float32()), dim).cast(pa.list_(pa.float32()))
+
+    return embed(F.coalesce(terms(text), F.array().cast("array<string>")))
 
 
 def embed_query(text: str, spark, embedder: Embedder = hashed_embedding) -> list[float]:
+    if embedder is hashed_embedding:
+        return _hashed(pa.array([query_words(text)], pa.list_(pa.string())), DIM)[0].tolist()
     return list(spark.range(1).select(embedder(F.lit(text))).first()[0])
 
 
