@@ -25,7 +25,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import file_bytes, read, settle, shuffle_partitions
+from .runtime import bounded, file_bytes, read, settle, shuffle_partitions
 
 RARE, COMMON = 200, 5
 SHORT = 32
@@ -53,10 +53,6 @@ def subset_of(word: Column, subsets: int) -> Column:
     return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 6), 16, 10).cast("int") % subsets).cast("int")
 
 
-def _bounded(words: DataFrame) -> DataFrame:
-    return F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
-
-
 def entries(sides: DataFrame, keys: list[str], words: DataFrame, short: int = SHORT, subsets: int = SUBSETS) -> DataFrame:
     """keys, digest (sha256) and fingerprint entries of each row's ``text`` (not null). Keys name one row each."""
     found = sides.select(*keys, F.col("text"), terms(F.col("text")).alias("found"))
@@ -64,7 +60,7 @@ def entries(sides: DataFrame, keys: list[str], words: DataFrame, short: int = SH
     marked = F.array_append("found", F.concat(F.lit(" "), F.sha2(F.col("text").cast("binary"), 256)))
     spread = found.select(*keys, (F.size("found") <= short).alias("all"), F.explode(marked).alias("term"))
     mark = F.col("term").startswith(" ")
-    kept = spread.join(_bounded(words), F.col("term") == F.col("word"), "left").where(mark | F.col("all") | F.col("word").isNotNull())
+    kept = spread.join(bounded(words, BROADCAST_TERMS), F.col("term") == F.col("word"), "left").where(mark | F.col("all") | F.col("word").isNotNull())
     part = F.when(mark, -1).otherwise(F.coalesce("subset", subset_of(F.col("term"), subsets)))
     lists = kept.select(*keys, part.alias("part"), "term").groupBy(*keys, "part").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("line"))
     entry = F.when(F.col("part") < 0, F.col("line")).otherwise(F.concat(F.lpad(F.hex(F.col("part").cast("long")), 2, "0"), F.substring(F.md5(F.col("line").cast("binary")), 1, 8)))

@@ -81,3 +81,8 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_dir(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(table: DataFrame, most: int) -> DataFrame:
+    """``table``, to be broadcast if it has no more than ``most`` rows; else Spark joins it by shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
