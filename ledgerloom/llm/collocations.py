@@ -2,8 +2,8 @@
 
 Texts are cut into slices of one language (about ``SLICE_BYTES``) of coded words. Word counts of all slices give the
 dictionary of frequent words, an id each; rarer words break a piece, as no frequent phrase holds one. Phrases are ids
-packed into keys of fixed width (two 64-bit numbers of two ids each). A slice sorts its keys by radix and counts runs; the
-slices' counts are partitioned by ranges of the key, sorted by Spark and counted in runs again, whatever their number. Words
+packed into keys of fixed width (two 64-bit numbers of two ids each). A task sorts the keys of its slices by radix, about
+``HELD_KEYS`` at a time, and counts runs; these are partitioned by ranges of the key, sorted by Spark and counted in runs again. Words
 of three and four follow pairs: a longer phrase is looked at only where all its pairs may be frequent, which a bitmap of
 the frequent pairs' hashes tells (it has no misses; its false hits cost time only). Above ``BITMAP_BITS`` / 16 frequent
 pairs there is no bitmap and all longer phrases are counted.
@@ -30,6 +30,7 @@ from .runtime import bounded, read, settle, shuffle_partitions
 
 SLICE_BYTES = 4 << 20
 HELD_BYTES = 32 << 20  # of all languages of a task that wait for a full slice
+HELD_KEYS = 2 << 20  # keys a task merges before it sends them
 LEAST, SHARE, MOST = 30, 80, 2000
 BROADCAST_ROWS = 500_000
 BITMAP_BITS = 1 << 27
@@ -164,21 +165,37 @@ def _bit(key: np.ndarray) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BITMAP_BITS.bit_length() - 1))).astype(np.int64)
 
 
+def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """hi, lo, c of all parts, sorted by radix, equal keys as one run."""
+    hi, lo, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = radix_order([hi, lo])
+    hi, lo, c = hi[order], lo[order], c[order]
+    first = _starts(hi, lo)
+    return [hi[first], lo[first], np.add.reduceat(c, first) if len(first) else c]
+
+
 def _phrases(sizes: list[int], likely):
+    def emit(hi, lo, c):
+        for i in range(0, len(hi), 1 << 16):
+            yield _counted(hi[i : i + (1 << 16)].view(np.int64), lo[i : i + (1 << 16)].view(np.int64), c[i : i + (1 << 16)].astype(np.int64), "c")
+
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         bits = None if likely is None else np.frombuffer(unzip.decompress(likely.value), np.uint8)
+        runs, new = [], 0  # the first part is merged already
         for row in rows(batches):
             ids = np.frombuffer(unzip.decompress(row["ids"]), np.uint32)
             for n in sizes:
                 hi, lo = _packed(ids, n, bits)
-                order = radix_order([hi, lo])
-                hi, lo = hi[order], lo[order]
-                first = _starts(hi, lo)
-                count = np.diff(np.append(first, len(hi)))
-                for i in range(0, len(first), 1 << 16):
-                    part = first[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(hi[part].view(np.int64)), pa.array(lo[part].view(np.int64)), pa.array(count[i : i + (1 << 16)].astype(np.int64))], ["hi", "lo", "c"])
+                runs.append([hi, lo, np.ones(len(hi), np.int32)])
+                new += len(hi)
+            if new >= HELD_KEYS:
+                runs, new = [_merged(runs)], 0
+                if len(runs[0][0]) >= HELD_KEYS:
+                    yield from emit(*runs[0])
+                    runs = []
+        if runs:
+            yield from emit(*_merged(runs))
 
     return run
 
@@ -200,15 +217,15 @@ def _runs(least: int):
             total = np.add.reduceat(c, first)
             held = [hi[first[-1:]], lo[first[-1:]], total[-1:]]
             keep = np.flatnonzero(total[:-1] >= least)
-            yield _counted(hi[first[keep]], lo[first[keep]], total[keep])
+            yield _counted(hi[first[keep]], lo[first[keep]], total[keep], "f")
         if len(held[0]) and held[2][0] >= least:
-            yield _counted(*held)
+            yield _counted(*held, "f")
 
     return run
 
 
-def _counted(hi, lo, f):
-    return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(f)], ["hi", "lo", "f"])
+def _counted(hi, lo, n, name: str):
+    return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(n)], ["hi", "lo", name])
 
 
 def frequent(ids: DataFrame, sizes: list[int], least: int, likely=None) -> DataFrame:
