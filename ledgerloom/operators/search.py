@@ -53,6 +53,68 @@ def bm25(docs: DataFrame, query: str, n: int, keys: list[str], text: str = "text
     return hits.select(*keys, score.alias("score")).orderBy(F.desc("score"), *keys).limit(n)
 
 
+def bm25_postings(postings: DataFrame, n_texts: int, mean_words: float, n: int, keys: list[str]) -> DataFrame:
+    """``bm25`` from the postings (term, keys, tf, dl) of the query's terms and the corpus's two numbers."""
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
+    rows = postings.join(F.broadcast(df), "term")
+    idf = F.log(1 + (n_texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_words)))
+    return rows.groupBy(*keys).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), *keys).limit(n)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-12)
+
+
+def learn_centroids(sample: np.ndarray, lists: int, rounds: int) -> np.ndarray:
+    """Unit centroids of a sample by rounds of nearest assignment and mean; about 40 vectors a list at least."""
+    sample = _unit(sample.astype(np.float32)) if len(sample) else np.zeros((1, 1), np.float32)
+    k = max(1, min(lists, len(sample) // 40))
+    held = sample[np.random.default_rng(5).choice(len(sample), k, replace=False)]
+    for _ in range(rounds):
+        near = (sample @ held.T).argmax(1)
+        sums = np.zeros_like(held)
+        np.add.at(sums, near, sample)
+        empty = np.bincount(near, minlength=k) == 0
+        held = np.where(empty[:, None], held, _unit(sums))
+    return held
+
+
+def measured_probes(sample: np.ndarray, centroids: np.ndarray, target: float, nearest: int = 10, queries: int = 200) -> tuple[int, float]:
+    """The fewest lists that hold ``target`` of the true nearest of evenly spaced rows of the sample, by brute force within it, and the share of rows in them."""
+    sample = _unit(sample.astype(np.float32))
+    if len(sample) < 2:
+        return 1, 1.0
+    mine, size = (sample @ centroids.T).argmax(1), np.bincount((sample @ centroids.T).argmax(1), minlength=len(centroids))
+    asked = np.unique(np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int))
+    found, share = np.zeros(len(centroids)), np.zeros(len(centroids))
+    for q in asked:
+        near = sample @ sample[q]
+        near[q] = -2
+        best = np.argpartition(-near, min(nearest, len(near) - 1) - 1)[:nearest]
+        order = np.argsort(-(centroids @ sample[q]), kind="stable")
+        place = np.argsort(order)
+        found += np.cumsum(np.bincount(place[mine[best]], minlength=len(centroids))) / len(best)
+        share += np.cumsum(size[order]) / len(sample)
+    enough = int(np.argmax(found / len(asked) >= target))
+    return enough + 1, float(share[enough] / len(asked))
+
+
+def list_of(vector: Column, centroids: np.ndarray) -> Column:
+    """The list of the nearest centroid (an array of bounded size: lists times dimensions)."""
+
+    @F.arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        flat = np.asarray(v.flatten(), np.float32).reshape(len(v), -1)
+        return pa.array((flat @ centroids.T).argmax(1) if len(v) else [], pa.int32())
+
+    return nearest(vector)
+
+
+def nearest_lists(centroids: np.ndarray, query: list[float], probes: int) -> list[int]:
+    return np.argsort(-(centroids @ np.asarray(query)), kind="stable")[:probes].tolist() if len(centroids) else []
+
+
 def cosine(vector: Column, query: list[float]) -> Column:
     q = F.array(*(F.lit(float(x)) for x in query))
     dot = F.aggregate(F.zip_with(vector.cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -17,6 +17,7 @@ from ..functions import scalars as X
 from ..operators import search
 from ..sources import ledger as L
 from ..sources import transcripts as T
+from ..streaming.store import Store
 from . import timeline as C
 from . import reads as R
 from . import views as V
@@ -395,15 +396,22 @@ def transcript_final_override(spark, sf_dir):
     return _told(T.with_final_message(T.parse(transcript_lines_a(spark, sf_dir).where("file = 'u7'")), "s7", "the work is done"))
 
 
+def _fresh_root(spark) -> str:
+    """A folder of its own for a store, below the folder that the cluster shares."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='ledgerloom-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def capture_resumed(spark, sf_dir):
     """The first lines of all transcripts are captured, then all of them from the saved cursors on, twice, and the log is compacted: the ledger is that of one parse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    root, lines = f"{shared.rstrip('/')}/capture-{uuid.uuid4().hex}", transcript_lines_a(spark, sf_dir)
-    L.capture_lines(spark, lines.where("pos < 9"), root, 1, margin=3)
+    store, lines = Store(spark, _fresh_root(spark), parts=8, views=False), transcript_lines_a(spark, sf_dir)
+    L.capture_lines(store, lines.where("pos < 9"), 1, margin=3)
     for batch in (2, 2, 3):
-        L.capture_lines(spark, lines, root, batch, margin=3)
-    L.compact(spark, f"{root}/log", 2)
-    return _told(L.latest(L.read_log(spark, f"{root}/log")))
+        L.capture_lines(store, lines, batch, margin=3)
+    store.compact()
+    return _told(store.snapshot().view("log"))
 
 
 def upsert_latest(spark, sf_dir):

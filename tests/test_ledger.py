@@ -14,7 +14,7 @@ from ledgerloom.plans import timeline as C
 from ledgerloom.plans import views as V
 from ledgerloom.sources import ledger as L
 from ledgerloom.sources import transcripts as T
-from ledgerloom.streaming import refresh
+from ledgerloom.streaming.store import Store
 
 HOUR = 3_600_000
 
@@ -108,14 +108,17 @@ def test_final_message_from_outside(spark, tmp_path):
     assert T.with_final_message(events, "sess-a", "  ").count() == events.count()
 
 
+def logged(store):
+    return sorted(map(str, store.snapshot().view("log").collect()))
+
+
 def test_capture_is_idempotent(spark, tmp_path):
-    path, root = write(tmp_path, "a", dialect_a()), (tmp_path / "root").as_uri()
-    L.capture(spark, path, root, 1)
-    once = L.latest(L.read_log(spark, f"{root}/log"))
-    first = sorted(map(str, once.collect()))
-    L.capture(spark, path, root, 2)
-    L.capture(spark, path, root, 2)
-    assert sorted(map(str, L.latest(L.read_log(spark, f"{root}/log")).collect())) == first
+    path, store = write(tmp_path, "a", dialect_a()), Store(spark, (tmp_path / "root").as_uri(), parts=4, views=False)
+    L.capture(store, path, 1)
+    first = logged(store)
+    L.capture(store, path, 2)
+    L.capture(store, path, 2)
+    assert logged(store) == first and store.snapshot().version == 2
 
 
 def event(session, seq, ts, kind, **p):
@@ -186,17 +189,18 @@ def test_asof_equals_views_of_what_was_known(spark, share):
 
 
 def test_revision_hides_the_old_text(spark, tmp_path):
-    root = (tmp_path / "log").as_uri()
-    L.append(rows(spark, [event("s", 1, 5, "obs", subject="x", text="the zebra rule"), event("s", 2, 5, "obs", subject="y", text="a zebra too")]), root, 1)
-    L.append(rows(spark, [event("s", 1, 9, "obs", subject="x", text="the heron rule")]), root, 2)
-    ledger = L.latest(L.read_log(spark, root))
-    texts = V.texts(ledger)
-    assert [r.seq for r in search.bm25(texts, "zebra", 5, ["session", "seq"]).collect()] == [2]
-    vectors = texts.select("session", "seq", search.hashed_embedding(F.col("text")).alias("vector"))
-    near = search.vector_topk(vectors, search.embed_query("the zebra rule", spark), 1, ["session", "seq"], "vector").first()
-    assert near.seq in (1, 2) and V.subjects(V.evidence(ledger)).where("subject = 'x'").first().text == "the heron rule"
-    then = R.asof(ledger, 6)["subjects"].collect()
-    assert [r.subject for r in then] == ["y"]
+    store = Store(spark, (tmp_path / "log").as_uri(), parts=4)
+    store.commit(rows(spark, [event("s", 1, 5, "obs", subject="x", text="the zebra rule"), event("s", 2, 5, "obs", subject="y", text="a zebra too"), event("t", 3, 5, "obs", subject="z", text="the zebra rule")]))
+    store.commit(rows(spark, [event("s", 1, 9, "obs", subject="x", text="some heron habit"), event("t", 3, 5, "gone")]))
+    now = store.snapshot()
+    ledger, vector = now.view("log"), search.embed_query("the zebra rule", spark)
+    assert [r.seq for r in now.keyword("zebra", 5).collect()] == [2]
+    near = {r.seq: r.score for r in now.nearest(vector, 9).collect()}
+    assert set(near) == {1, 2} and near[2] > 0.3 > near[1]  # the control keeps a word of the old text, the revised one doesn't
+    before = {r.seq: round(r.score, 6) for r in store.snapshot(1).nearest(vector, 9).collect()}
+    assert before[1] == before[3] == 1.0  # a reader of the version before still finds both
+    assert V.subjects(V.evidence(ledger)).where("subject = 'x'").first().text == "some heron habit"
+    assert [r.subject for r in R.asof(ledger, 6)["subjects"].collect()] == ["y"]
 
 
 def test_ties_anchors_and_drift(spark):
@@ -246,29 +250,32 @@ def test_claim_takes_the_next_number(spark):
 
 
 def test_observe_appends_with_support_and_near_subjects(spark, tmp_path):
-    root = (tmp_path / "root").as_uri()
-    L.append(rows(spark, [event("fa0000", S.FIRST_OBS_SEQ, 5, "obs", subject="kilns", text="two of them"), event("fa0001", S.FIRST_OBS_SEQ, 6, "obs", subject="kiln", text="warm")]), f"{root}/log", 1)
-    got = L.observe(spark, root, 2, "fa0000", "kiln", "it landed earlier", 9, [16]).first()
+    store = Store(spark, (tmp_path / "root").as_uri(), parts=4)
+    store.commit(rows(spark, [event("fa0000", S.FIRST_OBS_SEQ, 5, "obs", subject="kilns", text="two of them"), event("fa0001", S.FIRST_OBS_SEQ, 6, "obs", subject="kiln", text="warm")]))
+    got = L.observe(store, "fa0000", "kiln", "it landed earlier", 9, [16]).first()
     assert (got.seq, got.support, got.near, got.lint) == (S.FIRST_OBS_SEQ + 1, 2, ["kilns"], ["earlier", "landed"])
     assert [tuple(n) for n in got.notes] == [("earlier", "time-deictic"), ("landed", "status-log")]
-    assert L.latest(L.read_log(spark, f"{root}/log")).where("kind = 'obs'").count() == 3
+    L.observe(store, "fa0000", "kiln", "another", 9)  # claims don't share a number
+    ledger = store.snapshot().view("log")
+    assert ledger.where("kind = 'obs'").count() == 4
+    assert L.contains(ledger, "fa0000", S.FIRST_OBS_SEQ + 2) and not L.contains(ledger, "fa0000", S.FIRST_OBS_SEQ + 3)
 
 
 def test_compaction_keeps_the_ledger_and_cursors(spark, tmp_path):
-    root, path = (tmp_path / "root").as_uri(), write(tmp_path, "a", dialect_a())
+    store, path = Store(spark, (tmp_path / "root").as_uri(), parts=4, views=False), write(tmp_path, "a", dialect_a())
     for batch in (1, 2, 3):
-        L.capture(spark, path, root, batch)
-    L.append(rows(spark, [event("sess-a", 2, 7, "user", text="said otherwise")]), f"{root}/log", 4)
-    state = lambda: (sorted(map(str, L.latest(L.read_log(spark, f"{root}/log")).collect())), L.cursors(spark, f"{root}/log", 0).collect())
+        L.capture(store, path, batch)
+    store.commit(rows(spark, [event("sess-a", 2, 7, "user", text="said otherwise")]))
+    state = lambda: (logged(store), L.cursors(store.snapshot(), 0).collect())
     was = state()
-    L.compact(spark, f"{root}/log", 3)
-    assert state() == was and sorted(p.name for p in (tmp_path / "root/log").glob("ingest_batch=*")) == ["ingest_batch=3", "ingest_batch=4"]
+    store.compact()
+    assert state() == was and all(len(f) == 1 for t in store.snapshot().manifest["tables"].values() for f in t.values())
 
 
 def test_capture_takes_a_final_message(spark, tmp_path):
-    root = (tmp_path / "root").as_uri()
-    assert L.capture(spark, write(tmp_path, "a", dialect_a()), root, 1, final=("sess-a", "closing")).count() == 0
-    got = L.latest(L.read_log(spark, f"{root}/log")).where("kind = 'final'").collect()
+    store = Store(spark, (tmp_path / "root").as_uri(), parts=4, views=False)
+    assert L.capture(store, write(tmp_path, "a", dialect_a()), 1, final=("sess-a", "closing")).count() == 0
+    got = store.snapshot().view("log").where("kind = 'final'").collect()
     assert [(r.seq, r.text) for r in got] == [(S.HOOK_FINAL_SEQ, "closing")]
 
 
@@ -279,18 +286,18 @@ def test_json_export(spark):
 
 
 def test_stream_keeps_views_current(spark, tmp_path):
-    inbox, root = tmp_path / "in", (tmp_path / "root").as_uri()
+    inbox, store = tmp_path / "in", Store(spark, (tmp_path / "root").as_uri(), parts=4)
     events = working_days(8)
     half = len(events) // 2
     rows(spark, events[:half]).write.parquet(f"{inbox}/1")
     stream = lambda: spark.readStream.schema(S.EVENT_DDL).parquet(f"{inbox}/*")
-    run = lambda: refresh.start(stream(), root, (tmp_path / "ck").as_uri()).awaitTermination()
+    run = lambda: store.start(stream(), (tmp_path / "ck").as_uri()).awaitTermination()
     run()
     old = next(e for e in events[:half] if e["kind"] == "obs")
     rows(spark, events[half:] + [old | {"subject": "elsewhere", "text": "moved"}]).write.parquet(f"{inbox}/2")
     run()
-    ledger = L.latest(L.read_log(spark, f"{root}/log"))
+    now = store.snapshot()
+    ledger = now.view("log")
     for name, want in (("days", V.days(ledger)), ("subjects", V.subjects(V.evidence(ledger))), ("sessions", V.sessions(ledger))):
-        got = refresh.view(spark, root, name).select(want.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    assert refresh.view(spark, root, "subjects").where("subject = 'elsewhere'").count() == 1
+        assert sorted(map(str, now.view(name).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert now.view("subjects").where("subject = 'elsewhere'").count() == 1
