@@ -119,7 +119,8 @@ def cosine(vector: Column, query: list[float]) -> Column:
     q = F.array(*(F.lit(float(x)) for x in query))
     dot = F.aggregate(F.zip_with(vector.cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     norm = F.sqrt(F.aggregate(vector.cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    return dot / (norm * float(sum(x * x for x in query) ** 0.5))
+    scale = norm * float(sum(x * x for x in query) ** 0.5)
+    return F.when(scale > 0, dot / F.when(scale > 0, scale)).otherwise(F.lit(0.0))  # a zero vector is near to nothing
 
 
 def vector_topk(vectors: DataFrame, query: list[float], n: int, keys: list[str], vector: str = "embedding") -> DataFrame:

@@ -209,9 +209,7 @@ def recall_filtered(spark, sf_dir):
 
 def recall_hybrid(spark, sf_dir):
     """Keyword and vector lanes over all texts, fused, filtered and with drift from the commits of the orders."""
-    done = _t(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
-    commits = S.conform(done.select(F.col("o_custkey").cast("string").alias("session"), F.col("o_orderkey").alias("seq"), _millis("o_orderdate").alias("ts_ms"), F.lit("commit").alias("kind")))
-    return R.recall(claims(spark, sf_dir).unionByName(spoken(spark, sf_dir)).unionByName(commits), "urgent order", 1_000_000_000_000, 12, kind="obs")
+    return R.recall(claims(spark, sf_dir).unionByName(spoken(spark, sf_dir)).unionByName(_commits(spark, sf_dir)), "urgent order", 1_000_000_000_000, 12, kind="obs")
 
 
 def diversity_cap(spark, sf_dir):
@@ -421,16 +419,165 @@ def upsert_latest(spark, sf_dir):
     return L.latest(log).select("session", "seq", "kind", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
+def _commits(spark, sf_dir):
+    """Finished orders as commit events."""
+    done = _t(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return S.conform(done.select(F.col("o_custkey").cast("string").alias("session"), F.col("o_orderkey").alias("seq"), _millis("o_orderdate").alias("ts_ms"), F.lit("commit").alias("kind")))
+
+
+def brief_json(spark, sf_dir):
+    """The whole brief of events and claims as the contract's objects (bands without their names)."""
+    sections = R.brief(mechanical(spark, sf_dir).unionByName(claims(spark, sf_dir)), now_of(spark, sf_dir))
+    sections["further"] = sections["further"].drop("label", "span", "handle")
+    return R.json_lines(sections)
+
+
+def further(spark, sf_dir):
+    last = _frontier(spark, sf_dir)[1]
+    out = R.further(spark, _order_days(spark, sf_dir), _order_files(spark, sf_dir), V.obs_per_day(V.evidence(claims(spark, sf_dir))), last * S.DAY_MS)
+    return _flat(out).select("band", "start", "end", "tools", "fails", "commits", "sessions", "obs", "files")
+
+
+def span_labels(spark, sf_dir):
+    """What bands of a week, a month and a quarter around the first and last order are called."""
+    first, last = _frontier(spark, sf_dir)
+    spans = [(a, b) for day in (first, last) for a, b in ((day, day), (day - 6, day), (day - 30, day), (day - 400, day))]
+    rows = [(a, b, C.span_label(C.civil(a), C.civil(b))) for a, b in spans]
+    return spark.createDataFrame(rows, "start bigint, end bigint, span string").distinct()
+
+
+def relevant(spark, sf_dir):
+    texts, hits = _keyword_hits(spark, sf_dir, 60)
+    return R.relevant(texts, hits, 1_000_000_000_000).select("session", "seq", F.round("score", 9).alias("score"), "tag", "text")
+
+
+def show_session(spark, sf_dir):
+    """A session by the start of its name, with each of its claims."""
+    shown = R.show_session(mechanical(spark, sf_dir).unionByName(claims(spark, sf_dir)), "14")
+    head = shown["session"].select("session", "place", "shown_branch", "commits", "start_ms", "end_ms")
+    return head.join(shown["observations"].select("session", "subject", "seq", "text"), "session", "left")
+
+
+def show_event(spark, sf_dir):
+    """The cited event of the least number in a session, and who cites it."""
+    ledger = mechanical(spark, sf_dir).unionByName(claims(spark, sf_dir))
+    seq = R.all_citations(ledger).where("session = '14'").agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+    shown = R.show_event(ledger, "14", seq)
+    return shown["event"].select("session", "seq", "kind", "ts_ms").join(shown["citers"].select("session", F.col("seq").alias("citer"), "subject"), "session", "left")
+
+
+def dispatch_trail(spark, sf_dir):
+    name, out = R.dispatch(claims(spark, sf_dir).unionByName(_commits(spark, sf_dir)), ["group 7"], 1_000_000_000_000)
+    return out.select(F.lit(name).alias("read"), "session", "seq", "age", "cited", F.coalesce("commits_since", F.lit(-1)).alias("commits_since"), "text")
+
+
+def dispatch_zoom(spark, sf_dir):
+    name, out = R.dispatch(claims(spark, sf_dir), ["1997-W20"], 1_000_000_000_000)
+    return out["observations"].withColumn("read", F.lit(name))
+
+
+def ledger_export(spark, sf_dir):
+    """Claims as the lines of the JSON export."""
+    return L.event_lines(claims(spark, sf_dir))
+
+
+def local_days(spark, sf_dir):
+    """The end of each order's day in a zone half an hour off the others."""
+    day = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    return _t(spark, sf_dir, "orders").select(day.alias("day")).distinct().withColumn("ms", X.local_day_ms(F.col("day"), "23:59:59", "Asia/Kolkata"))
+
+
+def transcript_compactions(spark, sf_dir):
+    """Turns as summaries that compact what was before, in both dialects."""
+    at = _iso(F.lit(1_704_067_200_000) + F.col("conv_id") * 3_600_000 + F.col("turn") * 60_000)
+    c = _t(spark, sf_dir, "conversations").withColumn("p", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    name = lambda x: F.concat(F.lit(x), F.col("conv_id").cast("string"))
+    a = c.select(name("a").alias("file"), F.col("p").alias("pos"), F.to_json(F.struct(name("a").alias("sessionId"), F.lit("user").alias("type"), F.lit(True).alias("isCompactSummary"), at.alias("timestamp"), F.struct(F.col("text").alias("content")).alias("message"))).alias("line"))
+    b = c.select(name("b").alias("file"), F.col("p").alias("pos"), F.to_json(F.struct(at.alias("timestamp"), F.lit("compacted").alias("type"), F.struct(F.col("text").alias("message")).alias("payload"))).alias("line"))
+    meta = c.where("p = 1").select(name("b").alias("file"), F.lit(0).alias("pos"), F.to_json(F.struct(at.alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(name("b").alias("session_id"), F.lit("/w").alias("cwd")).alias("payload"))).alias("line"))
+    return _told(T.parse(a.unionByName(b).unionByName(meta)))
+
+
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def revised(spark, sf_dir) -> Store:
+    """All events in a store, every seventh then moved to the next day (claims to another subject and text), every eleventh taken out. Made once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = Store(spark, _fresh_root(spark), parts=8)
+        events = mechanical(spark, sf_dir).unionByName(spoken(spark, sf_dir)).unionByName(claims(spark, sf_dir))
+        obs = F.col("kind") == "obs"
+        moved = events.where("seq % 7 = 0").withColumns({
+            "ts_ms": F.col("ts_ms") + S.DAY_MS, "subject": F.when(obs & (F.col("seq") % 2 == 0), F.concat("subject", F.lit(" b"))).otherwise(F.col("subject")), "text": F.when(obs, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")),
+        })
+        for batch in (events, moved, events.where("seq % 11 = 0").withColumn("kind", F.lit(T.GONE))):
+            store.commit(batch)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def store_days(spark, sf_dir):
+    return revised(spark, sf_dir).snapshot().view("days")
+
+
+def store_sessions(spark, sf_dir):
+    return revised(spark, sf_dir).snapshot().view("sessions")
+
+
+def store_subjects(spark, sf_dir):
+    now = revised(spark, sf_dir).snapshot()
+    return now.view("subjects").select("subject", "support", "last_ms", "text", "cited", F.coalesce(X.basis_label(F.col("basis")), F.lit("")).alias("basis"))
+
+
+def store_files(spark, sf_dir):
+    now = revised(spark, sf_dir).snapshot()
+    who = now.view("file_sessions").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("session")), ",").alias("sessions"))
+    return now.view("day_files").join(who, "path")
+
+
+def store_obs_per_day(spark, sf_dir):
+    return revised(spark, sf_dir).snapshot().view("obs_per_day")
+
+
+def store_keyword(spark, sf_dir):
+    """BM25 from the postings of the query's terms."""
+    return revised(spark, sf_dir).snapshot().keyword("revised urgent order", 12).withColumn("score", F.round("score", 6))
+
+
+def store_asof(spark, sf_dir):
+    """A reader of the first version after the others were committed."""
+    return revised(spark, sf_dir).snapshot(1).view("obs_per_day")
+
+
+def store_recall(spark, sf_dir):
+    """Both lanes from the indexes, texts from the parts of the hits, drift from the stored days."""
+    now = revised(spark, sf_dir).snapshot()
+    hits, texts = now.search("urgent order", 24)
+    return R.hydrated(texts, hits, now.view("days"), 1_000_000_000_000, 12)
+
+
+def observe_claim(spark, sf_dir):
+    """A new claim in a store of all claims: its number, its lint, the support of its subject and subjects named like it."""
+    store = Store(spark, _fresh_root(spark), parts=8)
+    store.commit(claims(spark, sf_dir))
+    L.observe(store, "7", "group 1", "the first of two", 852_076_800_000)
+    out = L.observe(store, "7", "group 1", "it landed earlier", 852_076_800_001, [16], ("abcdef0123", True))
+    return out.select("session", "seq", "subject", "text", "support", F.array_join("lint", ",").alias("lint"), F.array_join("near", ",").alias("near"), X.basis_label(F.col("basis")).alias("basis"))
+
+
 QUERIES = [
     day_digest, days_view, day_files_top4, file_sessions, sessions_summary, active_sessions, last_session, top_files, subjects_newest_wins, evidence_trail, subject_trail, commits_since, subjects_report,
     citers, obs_per_day, texts_searchable, texts_embeddable, bm25_topk, vector_topk, rrf_fused, recall_filtered, diversity_cap, ladder_bands, window_digest, window_children, zoom_sessions, zoom_said,
     zoom_observations, events_filtered, event_summaries, asof_days, asof_subjects, near_subjects, session_prefix, byte_cap, text_clip, labels, calendar_parts, short_paths, claim_lint, subject_handles,
     transcript_parse_a, transcript_parse_b, transcript_resumed, transcript_formats, transcript_final_override, capture_resumed, upsert_latest,
+    recall_hybrid, brief_json, further, span_labels, relevant, show_session, show_event, dispatch_trail, dispatch_zoom, ledger_export, local_days, transcript_compactions,
+    store_days, store_sessions, store_subjects, store_files, store_obs_per_day, store_keyword, store_asof, observe_claim,
 ]
 
 
-#: Embeddings by hashed terms have no SQL; a test holds the vector lane against brute force.
-WITHOUT_SQL = [recall_hybrid]
+#: The lists of the vector index have no SQL; tests hold them against brute force.
+WITHOUT_SQL = [store_recall]
 
 
 def queries() -> dict:

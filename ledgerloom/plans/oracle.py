@@ -309,3 +309,106 @@ ORACLE["transcript_formats"] = """
 ORACLE["transcript_final_override"] = f"""
       WITH p AS ({_dialect_a(0)}) SELECT * FROM p WHERE session = 's7' AND kind <> 'final'
       UNION ALL SELECT 's7', 2147483647, max(ts_ms), 'final', md5('the work is done') FROM p WHERE session = 's7'"""
+
+
+def _place(word: str) -> str:
+    return f"CAST('0x' || substr(md5({word}), 1, 8) AS BIGINT)"
+
+
+def _vector_lane(rel: str, query: list[str], n: int) -> str:
+    """(session, seq, score) of the ``n`` texts of a relation nearest to a query by hashed vectors of 256 places."""
+    sign = "1 - 2 * (h // 1048576 % 2)"
+    return f"""(WITH w AS (SELECT session, seq, unnest({WORDS.format("text")}) AS x FROM {rel} WHERE kind <> 'said' AND (kind <> 'user' OR strlen(text) <= 400)),
+      v AS (SELECT session, seq, h % 256 AS place, sum({sign}) AS v FROM (SELECT session, seq, {_place("x")} AS h FROM w) GROUP BY ALL),
+      q AS (SELECT h % 256 AS place, sum({sign}) AS q FROM (SELECT {_place("x")} AS h FROM (SELECT unnest({query}) AS x)) GROUP BY ALL),
+      norm AS (SELECT session, seq, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL),
+      dot AS (SELECT session, seq, sum(v * q) AS dot FROM v JOIN q USING (place) GROUP BY ALL)
+      SELECT session, seq, coalesce(dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)), 0) AS score FROM norm LEFT JOIN dot USING (session, seq) WHERE norm > 0 ORDER BY score DESC, session, seq LIMIT {n})"""
+
+
+def _lane(rows: str, n: int) -> str:
+    return f"SELECT session, seq, 1 / (60.0 + row_number() OVER (ORDER BY score DESC, session, seq)) AS part FROM {rows} ORDER BY part DESC LIMIT {n}"
+
+
+ORACLE["recall_hybrid"] = _with(CLAIMS, SPOKEN, TEXTS, body=f"""
+      SELECT round(score, 3) AS score, kind, cited, {_age("1000000000000", "ts_ms")} AS age, substr(session, 1, 8) AS session, seq,
+        CASE WHEN kind = 'obs' THEN {BASIS} || CASE WHEN {_since(_day("ts_ms"))} > 0 THEN ' · ~' || {_since(_day("ts_ms"))} || ' commits since' ELSE '' END END AS basis, text
+      FROM (SELECT session, seq, sum(part) AS score FROM (({_lane(_bm25("texts", "session, seq", ["order", "urgent"]), 24)}) UNION ALL ({_lane(_vector_lane("texts", ["urgent", "order"], 10), 10)})) GROUP BY ALL)
+      JOIN texts USING (session, seq) WHERE kind = 'obs' ORDER BY score DESC, texts.session, seq LIMIT 12""")
+ORACLE["further"] = _with(CLAIMS, _bands(8, "(SELECT min(day) FROM (SELECT day FROM odays ORDER BY day DESC LIMIT 3))"),
+                          body=_digest("SELECT band, '' AS label, start, \"end\" FROM walk", 'CAST(band AS INTEGER) AS band, start, "end", tools, fails, commits, sessions, obs, files'), recursive=True)
+_NAMED = "lower(strftime({0}, '%b')) || ' ' || day({0})"
+ORACLE["span_labels"] = _with(CLAIMS, body=f"""
+      SELECT DISTINCT day - back AS start, day AS "end", CASE WHEN back = 0 THEN '' WHEN date_trunc('month', a) = date_trunc('month', b) THEN {_NAMED.format("a")} || '–' || day(b)
+        WHEN year(a) = year(b) THEN {_NAMED.format("a")} || ' – ' || {_NAMED.format("b")} ELSE {_NAMED.format("a")} || ' ' || year(a) || ' – ' || {_NAMED.format("b")} || ' ' || year(b) END AS span
+      FROM (SELECT day, back, {_DAYS1970.format("(day - back)")} AS a, {_DAYS1970.format("day")} AS b FROM (SELECT min(day) AS day FROM odays UNION ALL SELECT max(day) FROM odays), (SELECT unnest([0, 6, 30, 400]) AS back))""")
+ORACLE["relevant"] = _with(CLAIMS, SPOKEN, TEXTS, body=f"""
+      SELECT session, seq, round(score, 9) AS score, kind || CASE WHEN kind = 'obs' AND cited THEN '·cited' ELSE '' END || ' · ' || {_age("1000000000000", "ts_ms")} AS tag, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, seq) AS nth FROM ({_lane(_bm25("texts", "session, seq", ["of", "order", "the", "urgent"]), 60).replace("AS part", "AS score").replace("BY part", "BY score")}))
+      JOIN texts USING (session, seq) WHERE nth <= 2 ORDER BY score DESC, session, seq LIMIT 6""")
+_BOTH = _session_rows(M_ROWS + " UNION ALL SELECT session, seq, ts_ms, 'obs', NULL, NULL, text FROM claims")
+ORACLE["show_session"] = _with(MECH, CLAIMS, _BOTH, _sessions("allrows"), body="""
+      SELECT s.session, place, CASE WHEN NOT (ends_with(branch, place) OR ends_with(place, branch)) THEN branch END AS shown_branch, commits, start_ms, end_ms, subject, c.seq, c.text
+      FROM (SELECT *, string_split(cwd, '/')[-1] AS place FROM sess WHERE starts_with(session, '14') ORDER BY session LIMIT 1) s LEFT JOIN claims c ON c.session = s.session""")
+ORACLE["show_event"] = _with(MECH, CLAIMS, _BOTH, _sessions("allrows"), body="""
+      , cites AS (SELECT session, seq AS citer, subject, unnest(derived) AS seq FROM claims),
+      pick AS (SELECT coalesce(min(c.seq), 0) AS seq FROM cites c JOIN allrows a ON a.session = c.session AND a.seq = c.seq WHERE c.session = '14'),
+      found AS (SELECT session FROM sess WHERE starts_with(session, '14') ORDER BY session LIMIT 1)
+      SELECT a.session, a.seq, a.kind, a.ts_ms, c.citer, c.subject FROM allrows a JOIN found USING (session) JOIN pick ON a.seq = pick.seq LEFT JOIN cites c ON c.session = a.session AND c.seq = a.seq""")
+ORACLE["dispatch_trail"] = "SELECT 'trail' AS read, * FROM (" + ORACLE["subject_trail"] + ")"
+ORACLE["dispatch_zoom"] = "SELECT 'zoom' AS read, * FROM (" + ORACLE["zoom_observations"] + ")"
+ORACLE["ledger_export"] = _with(CLAIMS, body="""
+      SELECT '{"session":"' || session || '","seq":' || seq || ',"ts_ms":' || ts_ms || ',"v":3,"event":{"kind":"obs","text":"' || text || '","subject":"' || subject || '","derived_from":[' || array_to_string(derived, ',') || ']'
+        || CASE WHEN commit IS NULL THEN '' ELSE ',"basis":{"commit":"' || commit || '","dirty":' || dirty || '}' END || '}}' AS value FROM claims""")
+ORACLE["local_days"] = "SELECT strftime(d, '%Y-%m-%d') AS day, epoch_ms(CAST(d AS TIMESTAMP)) + 86399000 - 19800000 AS ms FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"
+ORACLE["transcript_compactions"] = f"""
+      WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, 1704067200000 + conv_id * 3600000 + turn * 60000 AS ts_ms FROM conversations),
+      told AS (
+        SELECT 'a' || conv_id AS session, p * 16 + 1 AS seq, ts_ms, 'compacted' AS kind, '' AS what FROM t
+        UNION ALL SELECT 'a' || conv_id, p * 16 + 2, ts_ms, 'compact', {_cap("text", 8192)} FROM t
+        UNION ALL SELECT 'b' || conv_id, 2, ts_ms, 'meta', '/w' FROM t WHERE p = 1
+        UNION ALL SELECT 'b' || conv_id, p * 16 + 2, ts_ms, 'compacted', '' FROM t
+        UNION ALL SELECT 'b' || conv_id, p * 16 + 3, ts_ms, 'compact', {_cap("text", 8192)} FROM t WHERE {_squeeze("text")} <> '')
+      SELECT session, seq, ts_ms, kind, md5(what) AS what FROM told"""
+# Views of events after every seventh was moved and every eleventh taken out.
+_MOVED = "CASE WHEN seq % 7 = 0 THEN ts_ms + 86400000 ELSE ts_ms END AS ts_ms"
+REVISED = f"""
+rmech AS (SELECT * REPLACE ({_MOVED}) FROM mech WHERE seq % 11 <> 0),
+rspoken AS (SELECT * REPLACE ({_MOVED}) FROM spoken WHERE seq % 11 <> 0),
+rclaims AS (SELECT * REPLACE ({_MOVED}, CASE WHEN seq % 14 = 0 THEN subject || ' b' ELSE subject END AS subject, CASE WHEN seq % 7 = 0 THEN text || ' revised' ELSE text END AS text) FROM claims WHERE seq % 11 <> 0)"""
+_ALL = [MECH, SPOKEN, CLAIMS, REVISED]
+_RDAY = _day("ts_ms")
+ORACLE["store_days"] = _with(*_ALL, body=f"""
+      SELECT {_RDAY} AS day, count(*) FILTER (kind = 'tool') AS tools, count(*) FILTER (kind = 'tool' AND NOT ok) AS fails, count(*) FILTER (kind = 'commit') AS commits,
+        count(*) FILTER (kind = 'meta') AS sessions, count(*) FILTER (kind = 'file') AS touches FROM rmech GROUP BY 1""")
+ORACLE["store_sessions"] = _with(*_ALL, _session_rows(M_ROWS.replace("FROM mech", "FROM rmech") + " UNION ALL " + S_ROWS.replace("FROM spoken", "FROM rspoken")), _sessions("allrows"), body="SELECT * FROM sess")
+ORACLE["store_subjects"] = _with(*_ALL, SUBJ.replace("FROM claims", "FROM rclaims"), body="SELECT * FROM subj")
+ORACLE["store_files"] = _with(*_ALL, body=f"""
+      SELECT path, {_RDAY} AS day, count(*) AS n, (SELECT string_agg(DISTINCT session, ',' ORDER BY session) FROM rmech r WHERE r.path = m.path) AS sessions FROM rmech m WHERE kind = 'file' GROUP BY path, day""")
+ORACLE["store_obs_per_day"] = _with(*_ALL, body=f"SELECT {_RDAY} AS day, count(*) AS obs FROM rclaims GROUP BY 1")
+ORACLE["store_asof"] = ORACLE["obs_per_day"]
+ORACLE["store_keyword"] = _with(*_ALL, TEXTS.replace("FROM claims", "FROM rclaims").replace("FROM spoken", "FROM rspoken"), body=f"""
+      SELECT session, seq, round(s, 6) AS score FROM (SELECT session, seq, score AS s FROM {_bm25("texts", "session, seq", ["order", "revised", "urgent"])}) ORDER BY s DESC, session, seq LIMIT 12""")
+ORACLE["observe_claim"] = _with(CLAIMS, body="""
+      SELECT '7' AS session, coalesce(max(seq) FILTER (session = '7'), 2147483647) + 2 AS seq, 'group 1' AS subject, 'it landed earlier' AS text, count(*) FILTER (subject = 'group 1') + 2 AS support, 'earlier,landed' AS lint,
+        (SELECT string_agg(subject, ',' ORDER BY subject) FROM (SELECT DISTINCT subject FROM claims WHERE subject <> 'group 1' AND (contains(subject, 'group 1') OR contains('group 1', subject)) ORDER BY subject LIMIT 4)) AS near, '@abcdef01+' AS basis FROM claims""")
+# The brief's bands and drift come from the days of the events.
+_ONLY = CLAIMS.split("odays AS")[0].rstrip().rstrip(",")
+_BRIEF_DAYS = f"""
+odays AS (SELECT day, tools, fails, commits, sessions FROM days), ofiles AS (SELECT day, path, n FROM day_files), operday AS (SELECT {_day("ts_ms")} AS day, count(*) AS obs FROM claims GROUP BY 1)"""
+_JSON = lambda name, fields, rows: f"SELECT '{name}' AS section, CAST(to_json(struct_pack({fields})) AS VARCHAR) AS json FROM ({rows})"
+ORACLE["brief_json"] = _with(MECH, _ONLY, _BRIEF_DAYS, _bands(8, "(SELECT min(day) FROM (SELECT day FROM odays ORDER BY day DESC LIMIT 3))"), _session_rows(M_ROWS), _sessions("allrows"), SUBJ, body=" " + " UNION ALL ".join([
+    _JSON("today", "today := today", "SELECT strftime(epoch_ms(now), '%Y-%m-%d') AS today FROM now"),
+    _JSON("active", '"where" := "where", session := session, age := age, commits := commits', f"""SELECT session, string_split(cwd, '/')[-1] AS "where", {_age("now", "end_ms")} AS age, commits FROM sess, now WHERE greatest(now - end_ms, 0) < 3600000 ORDER BY end_ms DESC, session LIMIT 6"""),
+    _JSON("days", "day := label, tools := tools, fails := fails, commits := commits, sessions := sessions, files := files", f"""
+      SELECT CASE t - day WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE (t - day) || 'd ago' END AS label, tools, fails, commits, sessions,
+        coalesce((SELECT list({_short_path("path")} ORDER BY n DESC, path) FROM (SELECT * FROM day_files f WHERE f.day = days.day ORDER BY n DESC, path LIMIT 4)), []) AS files FROM days, (SELECT {_day("now")} AS t FROM now) ORDER BY day DESC LIMIT 3"""),
+    _JSON("further", '"start" := start, "end" := "end", tools := tools, fails := fails, commits := commits, sessions := sessions, obs := obs, files := CASE WHEN files = \'\' THEN [] ELSE string_split(files, \'|\') END', _digest("SELECT band, '' AS label, start, \"end\" FROM walk", 'start, "end", tools, fails, commits, sessions, obs, files')),
+    _JSON("last_session", "age := '', branch := branch, final_msg := final_msg", "SELECT * FROM sess WHERE final_msg <> ''"),
+    _JSON("files", "path := path, sessions := sessions", f"""
+      SELECT {_short_path("path")} AS path, (SELECT list(DISTINCT substr(session, 1, 8) ORDER BY substr(session, 1, 8)) FROM mech m WHERE m.path = b.path) AS sessions
+      FROM (SELECT path, CAST(sum(n) AS BIGINT) AS touches FROM day_files WHERE day IN (SELECT day FROM days ORDER BY day DESC LIMIT 3) GROUP BY path ORDER BY touches DESC, path LIMIT 5) b"""),
+    _JSON("subjects", "subject := subject, \"count\" := support, cited := cited, age := age, basis := basis, text := text, handle := handle", f"""
+      SELECT subject, support, cited, {_age("now", "last_ms")} AS age, text, CASE WHEN basis = '' THEN NULL WHEN since > 0 THEN basis || ' · ~' || since || ' commits since' ELSE basis END AS basis, 'ledger recall --subject "' || subject || '"' AS handle
+      FROM (SELECT *, {_since(_day("last_ms"))} AS since FROM subj ORDER BY last_ms DESC, subject LIMIT 5), now"""),
+]), recursive=True)

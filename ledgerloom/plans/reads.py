@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,24 @@ def brief(ledger: DataFrame, now: int, task: str = "", budget: int = BUDGET) ->
     return out
 
 
+#: Names of the sections' fields as other programs read them, by ours.
+CONTRACT = {
+    "active": {"where": "where", "session": "session", "age": "age", "commits": "commits"},
+    "days": {"label": "day", "tools": "tools", "fails": "fails", "commits": "commits", "sessions": "sessions", "files": "files"},
+    "last_session": {"age": "age", "branch": "branch", "final_msg": "final_msg"},
+    "files": {"path": "path", "sessions": "sessions"},
+    "relevant": {"tag": "tag", "text": "text"},
+    "subjects": {"subject": "subject", "support": "count", "cited": "cited", "age": "age", "basis": "basis", "text": "text", "handle": "handle"},
+}
+
+
+def json_lines(sections: dict[str, DataFrame], contract: dict[str, dict[str, str]] = CONTRACT) -> DataFrame:
+    """section and json, a row a row: the sections of a brief or a zoom as objects with the contract's fields, nulls included and whole texts."""
+    fields = lambda n, df: contract.get(n) or {c: c for c in df.columns if c != "band"}
+    rows = [df.select(F.lit(n).alias("section"), F.to_json(F.struct(*(F.col(c).alias(to) for c, to in fields(n, df).items())), {"ignoreNullFields": "false"}).alias("json")) for n, df in sections.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def asof(ledger: DataFrame, cutoff: int, task: str = "", budget: int = BUDGET) -> dict[str, DataFrame]:
     """The brief of what was true by ``cutoff``: events whose own time is not later."""
     return brief(ledger.where(F.col("ts_ms") <= cutoff), cutoff, task, budget)

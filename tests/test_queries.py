@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerloom.plans import catalog, oracle
@@ -46,7 +47,6 @@ def test_hybrid_recall_has_both_lanes(spark, sf):
     from ledgerloom.operators import search
     from ledgerloom.plans import views as V
 
-    assert "recall_hybrid" not in catalog.queries()
     got = [r.seq for r in __spark_entry__.queries()["recall_hybrid"](spark, sf).collect()]
     texts = V.texts(catalog.claims(spark, sf).unionByName(catalog.spoken(spark, sf)))
     rows_ = V.embeddable(texts).select("session", "seq", "kind", search.hashed_embedding("text").alias("v")).collect()
@@ -57,3 +57,33 @@ def test_hybrid_recall_has_both_lanes(spark, sf):
     spoken_word = {r.seq for r in search.bm25(texts, "urgent order", 24, ["session", "seq"]).collect()}
     assert 0 < len(got) <= 12 and all(r.seq in got for r in nearest if r.kind == "obs") and any(r.kind == "obs" for r in nearest)
     assert set(got) & spoken_word
+
+
+def test_indexed_recall_finds_what_a_scan_finds(spark, sf):
+    from ledgerloom.operators import search
+    from ledgerloom.plans import views as V
+
+    now = catalog.revised(spark, sf).snapshot()
+    texts = V.texts(now.view("log"))
+    got = [(r.kind, r.seq) for r in catalog.store_recall(spark, sf).collect()]
+    vectors = V.embeddable(texts).select("session", "seq", search.hashed_embedding("text").alias("vector"))
+    hits = search.hybrid(texts, vectors, "urgent order", search.embed_query("urgent order", spark), 24)
+    want = {r.seq for r in hits.orderBy(F.desc("score"), "session", "seq").limit(12).collect()}
+    assert len(got) == 12 and len(want & {s for _, s in got}) >= 10
+
+
+def test_places_and_sessions(tmp_path, monkeypatch):
+    from ledgerloom.sources import ledger as L
+
+    desk, anchor = tmp_path / "desk/deep", tmp_path / "anchor/.ledger"
+    desk.mkdir(parents=True), anchor.mkdir(parents=True), (tmp_path / "desk/.git").mkdir(), (tmp_path / "desk/.ledger").mkdir()
+    monkeypatch.delenv("LEDGER_STORE", raising=False)
+    assert L.folder(str(desk)) == tmp_path / "desk/.ledger" and L.location(str(desk)) == str(tmp_path / "desk/.ledger/store")
+    assert L.current_session(None, str(desk)) is None and L.current_session(" s1 ", str(desk)) == "s1"
+    (tmp_path / "desk/.ledger/redirect").write_text("../anchor/.ledger\n")
+    (anchor / "current-session").write_text("s2\n")
+    assert L.location(str(desk)).endswith("desk/../anchor/.ledger/store") and L.current_session(None, str(desk)) == "s2"
+    (tmp_path / "desk/.ledger/current-session").write_text("s3")
+    assert L.current_session(None, str(desk)) == "s3"
+    monkeypatch.setenv("LEDGER_STORE", "hdfs://x/y")
+    assert L.location(str(desk)) == "hdfs://x/y"
