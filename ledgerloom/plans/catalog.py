@@ -513,6 +513,7 @@ def revised(spark, sf_dir) -> Store:
         })
         for batch in (events, moved, events.where("seq % 11 = 0").withColumn("kind", F.lit(T.GONE))):
             store.commit(batch)
+        store.compact()
         _STORES[key] = store
     return _STORES[key]
 

@@ -8,6 +8,8 @@ again, or from a later line, yields the same keys. Where two events of a file sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,21 @@ from .. import schema as S
 from ..functions.scalars import byte_cap, is_blank, iso_to_ms, squeeze
 
 HEAD_LINES, HEAD_METAS, BLOCKS = 8, 5, 14
-EMBED_VERSION = "hashed-terms-1 dim=512"
+EMBED_VERSION = "hashed-terms-2 dim=256"
 GONE = "gone"  # takes back an event captured before: its key says nothing any more
 _RANK = 64  # emission ranks a line: 4 a block and some before
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, pos (from 0, of all lines), line. A file is one task's work; files are many."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """file, pos (from 0, of all lines), line. Large files are read by byte ranges, each by a task of its own."""
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(paths, lineSep="\n").select(*split, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    # lines of one split are numbered without gaps; a prefix sum over a file's splits tells where each begins
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "block", "low", F.coalesce(before, F.lit(0)).alias("first"))
     name = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("file")
-    return whole.select(name, F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return rows.join(splits, ["path", "block"]).select(name, (F.col("first") + F.col("at") - F.col("low")).cast("int").alias("pos"), "line")
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -224,6 +231,30 @@ def parse(lines: DataFrame, fallback: str | None = None, cursors: DataFrame | No
     return last.select("file", "e.*")
 
 
+def kept(lines: DataFrame, margin: int, closing: DataFrame) -> DataFrame:
+    """The lines of a transcript that parsing it from its end on still needs, with their positions: its head, the first to name the session
+    and the working folder, the last closing message, the last call of each id that no result has answered, the last ``margin`` lines,
+    and for each of these the last line with a time up to it. ``closing`` (file, pos): the lines of closing messages.
+
+    These and what follows parse like the whole file, but for an error to a call that was answered more than ``margin`` lines ago.
+    """
+    by, upto = _file(), _file(ordered=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains("line", F.lit(f'"{w}"')) for w in words])
+    first = lambda c: F.coalesce(F.min(F.when(c, F.col("pos"))).over(by) == F.col("pos"), F.lit(False))
+    filled = ~is_blank(F.col("line"))
+    ids = lambda key: F.regexp_extract_all("line", F.lit(f'"{key}"\\s*:\\s*"([^"]*)"'), F.lit(1))
+    calls = lines.where(has("tool_use")).select("file", "pos", F.explode(ids("id")).alias("id")).groupBy("file", "id").agg(F.max("pos").alias("pos"))
+    answers = lines.where(has("tool_use_id")).select("file", F.explode(ids("tool_use_id")).alias("id"), F.col("pos").alias("answer")).groupBy("file", "id").agg(F.max("answer").alias("answer"))
+    open_ = calls.join(answers, ["file", "id"], "left").where("answer is null or answer < pos").select("file", "pos")
+    wanted = open_.withColumn("closing", F.lit(False)).unionByName(closing.select("file", "pos", F.lit(True).alias("closing"))).groupBy("file", "pos").agg(F.max("closing").alias("closing"), F.lit(True).alias("wanted"))
+    rows = lines.join(wanted, ["file", "pos"], "left").withColumn("timed", F.get_json_object("line", "$.timestamp").isNotNull())
+    head = filled & (F.count_if(filled).over(upto) <= HEAD_LINES)
+    keep = head | first(has("sessionId", "session_id")) | first(has("cwd")) | F.coalesce("wanted", F.lit(False)) | (F.col("pos") >= F.max("pos").over(by) + 1 - margin)
+    rows = rows.withColumns({"keep": keep, "at": F.max(F.when(F.col("timed"), F.col("pos"))).over(upto)})
+    times = F.collect_set(F.when(F.col("keep"), F.col("at"))).over(by)  # no more than there are kept lines
+    return rows.withColumn("keep", F.col("keep") | F.array_contains(times, F.col("pos"))).where("keep").select("file", "pos", "line", F.coalesce("closing", F.lit(False)).alias("closing"))
+
+
 def rejected(lines: DataFrame) -> DataFrame:
     """Files with content that are of no known format."""
     filled = lines.where(~is_blank(F.col("line"))).select("file").distinct()

@@ -101,6 +101,38 @@ def test_dialect_b_and_rejection(spark, tmp_path):
     assert T.parse(T.read_lines(spark, bad), fallback="x").count() == 0
 
 
+def test_large_files_are_read_by_splits(spark, tmp_path):
+    lines = [f'{{"n": {i}, "pad": "{"x" * (i % 70)}é"}}' for i in range(3000)] + ["", "last, without an end"]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        got = T.read_lines(spark, str(tmp_path / "*.jsonl"))
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+        rows_ = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert rows_ == [(name, i, x) for name in ("a", "b") for i, x in enumerate(lines)]
+
+
+@pytest.mark.parametrize("margin", [0])
+def test_resumed_captures_need_few_lines(spark, tmp_path, sf, margin):
+    """Three captures of growing transcripts leave the ledger of one parse; what is kept for the next doesn't grow with the lines."""
+    from ledgerloom.plans import catalog
+
+    lines = catalog.transcript_lines_a(spark, sf).unionByName(catalog.transcript_lines_b(spark, sf)).where("file in ('u3', 'u7', 'c1', 'c4')")
+    lines = spark.createDataFrame(lines.collect(), "file string, pos int, line string")
+    store = Store(spark, (tmp_path / "s").as_uri(), parts=2, views=False)
+    for upto in (4, 12, 10_000):
+        L.capture_lines(store, lines.where(F.col("pos") < upto), margin=margin)
+    whole = T.parse(lines)
+    want = sorted(map(str, whole.select(*S.COLUMNS).collect()))
+    assert sorted(map(str, store.snapshot().view("log").select(*S.COLUMNS).collect())) == want
+    kept = {r.file: r["count"] for r in store.snapshot().view("kept").groupBy("file").count().collect()}
+    assert max(kept.values()) <= 8 + margin + 12 and sum(kept.values()) < lines.count()
+
+
 def test_final_message_from_outside(spark, tmp_path):
     events = T.parse(T.read_lines(spark, write(tmp_path, "a", dialect_a())))
     got = T.with_final_message(events, "sess-a", "closing").where("kind = 'final'").collect()
