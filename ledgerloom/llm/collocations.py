@@ -30,9 +30,10 @@ from .runtime import bounded, read, settle, shuffle_partitions
 
 SLICE_BYTES = 4 << 20
 HELD_BYTES = 32 << 20  # of all languages of a task that wait for a full slice
-HELD_KEYS = 2 << 20  # keys a task merges before it sends them
+HELD_KEYS = 3 << 20  # keys a task merges before it sends them
 LEAST, SHARE, MOST = 30, 80, 2000
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 BITMAP_BITS = 1 << 27
 SALTS = 32
 
@@ -112,23 +113,49 @@ def word_counts(made: DataFrame) -> DataFrame:
     return spread.groupBy("lang", "word").agg(F.sum("c").alias("f"))
 
 
+def _ids_of(codes: bytes, id_: np.ndarray, zip_, unzip) -> pa.RecordBatch:
+    """Codes as ids; the last entry of ``id_`` is the break's, and one break is enough between two words."""
+    ids = id_[np.frombuffer(unzip.decompress(codes), np.int32)]
+    keep = np.ones(len(ids), bool)
+    keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)
+    return pa.RecordBatch.from_pydict({"ids": pa.array([zip_.compress(ids[keep].tobytes())], pa.binary())})
+
+
 def _encode(batches):
     zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     for row in rows(batches):
-        codes = np.frombuffer(unzip.decompress(row["codes"]), np.int32)
-        id_ = np.zeros(row["size"] + 1, np.uint32)  # the last one is the break
+        id_ = np.zeros(row["size"] + 1, np.uint32)
         for x in row["given"] or ():
             id_[x["i"]] = x["id"]
-        ids = id_[codes]
-        keep = np.ones(len(ids), bool)
-        keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)  # one break is enough
-        yield pa.RecordBatch.from_pydict({"ids": pa.array([zip_.compress(ids[keep].tobytes())], pa.binary())})
+        yield _ids_of(row["codes"], id_, zip_, unzip)
+
+
+def _encode_with(dictionary):
+    def run(batches):
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        langs, words, ids = dictionary.value
+        held: dict[str, dict[str, int]] = {}
+        for lang, word, id_ in zip(langs.to_pylist(), words.to_pylist(), ids.to_pylist(), strict=True):
+            held.setdefault(lang, {})[word] = id_
+        for row in rows(batches):
+            get = held.get(row["lang"], {}).get
+            yield _ids_of(row["codes"], np.array([get(w, 0) for w in row["words"]] + [0], np.uint32), zip_, unzip)
+
+    return run
 
 
 def encoded(made: DataFrame, words: DataFrame) -> DataFrame:
-    """Slices as ids of frequent words (lang, word, id), 0 at breaks, written once."""
+    """Slices as ids of frequent words (lang, word, id), 0 at breaks, written once.
+
+    A dictionary of at most ``BROADCAST_ROWS`` words and ``BROADCAST_BYTES`` goes to every task; of a larger one, each slice gets its own words' ids by a join.
+    """
+    n, size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word") + F.octet_length("lang")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        table = words.select("lang", "word", "id").toArrow()
+        dictionary = made.sparkSession.sparkContext.broadcast([table.column(c).combine_chunks() for c in ("lang", "word", "id")])
+        return settle(made.select("lang", "words", "codes").mapInArrow(_encode_with(dictionary), "ids binary"))
     spread = made.select("sid", "lang", F.posexplode("words").alias("i", "word"))
-    given = spread.join(bounded(words.select("lang", "word", "id"), BROADCAST_ROWS), ["lang", "word"]).groupBy("sid").agg(F.collect_list(F.struct("i", "id")).alias("given"))
+    given = spread.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("sid").agg(F.collect_list(F.struct("i", "id")).alias("given"))
     ready = made.select("sid", "codes", F.size("words").alias("size")).join(given, "sid", "left").select("codes", "size", "given")
     return settle(ready.mapInArrow(_encode, "ids binary"))
 
