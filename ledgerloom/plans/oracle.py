@@ -331,10 +331,10 @@ def _lane(rows: str, n: int) -> str:
 
 
 ORACLE["recall_hybrid"] = _with(CLAIMS, SPOKEN, TEXTS, body=f"""
-      SELECT round(score, 3) AS score, kind, cited, {_age("1000000000000", "ts_ms")} AS age, substr(session, 1, 8) AS session, seq,
+      SELECT round(fused, 3) AS score, kind, cited, {_age("1000000000000", "ts_ms")} AS age, substr(session, 1, 8) AS session, seq,
         CASE WHEN kind = 'obs' THEN {BASIS} || CASE WHEN {_since(_day("ts_ms"))} > 0 THEN ' · ~' || {_since(_day("ts_ms"))} || ' commits since' ELSE '' END END AS basis, text
-      FROM (SELECT session, seq, sum(part) AS score FROM (({_lane(_bm25("texts", "session, seq", ["order", "urgent"]), 24)}) UNION ALL ({_lane(_vector_lane("texts", ["urgent", "order"], 10), 10)})) GROUP BY ALL)
-      JOIN texts USING (session, seq) WHERE kind = 'obs' ORDER BY score DESC, texts.session, seq LIMIT 12""")
+      FROM (SELECT session, seq, sum(part) AS fused FROM (({_lane(_bm25("texts", "session, seq", ["order", "urgent"]), 24)}) UNION ALL ({_lane(_vector_lane("texts", ["urgent", "order"], 10), 10)})) GROUP BY ALL)
+      JOIN texts USING (session, seq) WHERE kind = 'obs' ORDER BY fused DESC, texts.session, seq LIMIT 12""")
 ORACLE["further"] = _with(CLAIMS, _bands(8, "(SELECT min(day) FROM (SELECT day FROM odays ORDER BY day DESC LIMIT 3))"),
                           body=_digest("SELECT band, '' AS label, start, \"end\" FROM walk", 'CAST(band AS INTEGER) AS band, start, "end", tools, fails, commits, sessions, obs, files'), recursive=True)
 _NAMED = "lower(strftime({0}, '%b')) || ' ' || day({0})"
