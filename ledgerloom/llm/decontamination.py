@@ -3,12 +3,14 @@
 Texts are lower-cased and cut into words at everything ASCII that is neither letter nor digit. An item is its weighted
 set of ``shingle``-word shingles (weight: how often it occurs); items with fewer words are one shingle. A window of
 a document is as many words as the item has; a document with fewer words that shares a shingle is one window, verified
-by the exact cosine whatever its fingerprint. Every other window that shares a shingle with any item of its size gets a 64-bit
-SimHash of its weighted shingles (windows that share none have similarity 0 and need no fingerprint). Fingerprints are split
-into blocks; two within ``radius`` differ by at most radius // blocks in some block, so probing every block's table
-with all values that near finds all item fingerprints within the radius. Candidates in the radius are then verified by
-the exact cosine of the weighted shingle sets. Fingerprints of similarity 0.8 differ by 13 of 64 bits on average, so the radius
-must be wide and the blocks select little: it is the shared shingle that keeps windows few, and the whole distance that keeps candidates few.
+by the exact cosine whatever its fingerprint (of few shingles a fingerprint says little). Every other window that shares a shingle
+with any item of its size gets a 512-bit SimHash of its weighted shingles (windows that share none have similarity 0 and need no fingerprint).
+
+Fingerprints are split into 64 blocks of a byte. Each table, one a block, is probed with the 37 values within ``flips`` = 2 bits of the
+window's, and an item met in a block has a vote of it. A block without a vote has at least 3 bits that differ, so an item within ``radius`` = 131
+bits lacks at most 131 // 3 = 43 votes: all items within the radius have 21 votes or more. An unrelated fingerprint has about 9, and 21 or more
+in less than 1 % of cases for items of 14 words or more (tested); of windows with similarity 0.8, which differ by 105 bits on average (standard deviation 9), 99.8 % lie in the radius
+(tested for 0.99). Items with enough votes are held against the radius, then verified by the exact cosine of the weighted shingle sets.
 
 Items go to the executors in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents a block, so no broadcast
 grows with the benchmark. Windows get their fingerprints from running votes, so neither work nor memory grows with windows
@@ -35,12 +37,14 @@ from .runtime import read
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 24
-BLOCKS = 8
+RADIUS = 131
+FLIPS = 2
 ITEM_BYTES = 4 << 20
 RUN = 1 << 15
+VOTES = 1 << 18
 RESULT_SCHEMA = "doc_id long, item_id long, start long, n_words int, distance int, similarity double"
 
+_SALTS = [np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for j in range(8)]  # one for each 64 bits of a fingerprint
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[48:58] = np.arange(48, 58)
@@ -74,33 +78,41 @@ def _shingles(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
+def _bits(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return np.unpackbits(mix(hashes ^ salt).astype("<u8").view(np.uint8).reshape(*hashes.shape, 8), axis=-1)
+
+
 def simhash(hashes: np.ndarray) -> np.ndarray:
-    """Of each row of shingle hashes: bit i is set where the weighted sum of +1 and -1 by bit i of the hashes is positive."""
-    bits = np.unpackbits(mix(hashes).astype("<u8").view(np.uint8).reshape(*hashes.shape, 8), axis=-1)
-    votes = bits.sum(axis=-2, dtype=np.int32) * 2 - hashes.shape[-1]
-    return np.packbits(votes > 0, axis=-1).view("<u8")[..., 0]
+    """Eight words of 64 bits of each row of shingle hashes: a bit is set where the weighted sum of +1 and -1 by that bit of the salted hashes is positive."""
+    votes = (_bits(hashes, salt).sum(axis=-2, dtype=np.int32) * 2 - hashes.shape[-1] for salt in _SALTS)
+    return np.stack([np.packbits(v > 0, axis=-1).view("<u8")[..., 0] for v in votes], axis=-1)
 
 
 def rolling_simhash(h: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     """SimHash of the w shingles from each of some ascending places, by differences of running votes."""
     first = int(start[0])
-    bits = np.unpackbits(mix(h[first : int(start[-1]) + w]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=votes[1:])
-    at = start - first
-    return np.packbits(2 * (votes[at + w] - votes[at]) > w, axis=1).view("<u8")[:, 0]
+    at, out = start - first, np.zeros((len(start), len(_SALTS)), "<u8")
+    for j, salt in enumerate(_SALTS):
+        bits = _bits(h[first : int(start[-1]) + w], salt)
+        votes = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=votes[1:])
+        out[:, j] = np.packbits(2 * (votes[at + w] - votes[at]) > w, axis=1).view("<u8")[:, 0]
+    return out
 
 
 def _near(width: int, most: int) -> np.ndarray:
     """All values of ``width`` bits with at most ``most`` bits set."""
-    return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in itertools.combinations(range(width), n)], np.uint64)
+    return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in itertools.combinations(range(width), n)], np.uint8)
 
 
 class ItemIndex:
-    """Items by word count, each with shingles and SimHash, and a table of near block values."""
+    """Items by word count, each with shingles and SimHash, with a table of items by value for each block of the fingerprints."""
 
-    def __init__(self, items: list[tuple[int | None, str]], shingle: int, radius: int, blocks: int):
-        self.shingle, self.radius, self.blocks = shingle, radius, blocks
+    def __init__(self, items: list[tuple[int | None, str]], shingle: int = SHINGLE, radius: int = RADIUS, flips: int = FLIPS):
+        self.blocks = 8 * len(_SALTS)
+        self.shingle, self.radius, self.need = shingle, radius, self.blocks - radius // (flips + 1)
+        if self.need < 1:
+            raise ValueError(f"blocks of 8 bits within {flips} tell nothing of a radius of {radius}")
         texts = pa.array([t for _, t in items], pa.string())
         self.ids: list[int | None] = []
         rows: list[np.ndarray] = []
@@ -118,7 +130,7 @@ class ItemIndex:
                     rows.append(h[begins])
             done += len(ids)
         self.rows = rows
-        self.prints = np.array([int(simhash(r[None, :])[0]) for r in rows], np.uint64)
+        self.prints = np.array([simhash(r) for r in rows], "<u8").reshape(-1, len(_SALTS))
         self.weights = [np.unique(r, return_counts=True) for r in rows]
         self.norms = [float(np.sqrt((c.astype(np.float64) ** 2).sum())) for _, c in self.weights]
         self.by_size: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.size) == n) for n in sorted(set(self.size))}
@@ -129,24 +141,45 @@ class ItemIndex:
             table = np.zeros(1 << 20, bool)
             table[seeds >> np.uint64(44)] = True
             self.filters[k] = table
-        width = 64 // blocks
-        self.shifts, self.mask, self.near = np.arange(blocks, dtype=np.uint64) * np.uint64(width), np.uint64((1 << width) - 1), _near(width, radius // blocks)
+        self.near = _near(8, flips)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each size: items by value of each block, and where each value begins
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each size: shingles in order, the item and the weight of each
         for n, members in self.by_size.items():
-            part = ((self.prints[members][None, :] >> self.shifts[:, None]) & self.mask).astype(np.int64)
-            order = np.argsort(part, axis=1, kind="stable")
-            begin = np.stack([np.searchsorted(np.sort(x), np.arange((1 << width) + 1)) for x in part])
-            self.tables[n] = members[order], begin
-
-    def candidates(self, n: int, print_: int) -> list[int]:
-        """Items of n words within the radius: those that come near in some block, then the whole distance."""
-        items, begin = self.tables[n]
-        value = ((((np.uint64(print_) >> self.shifts) & self.mask)[:, None]) ^ self.near[None, :]).astype(np.int64)
-        block = np.arange(len(self.shifts))[:, None]
-        lo, size = begin[block, value].ravel(), (begin[block, value + 1] - begin[block, value]).ravel()
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        found = np.unique(items[np.repeat(np.broadcast_to(block, value.shape).ravel(), size), at])
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(print_)) <= self.radius].tolist()
+            part = np.ascontiguousarray(self.prints[members].view(np.uint8).T)
+            order = np.argsort(part, axis=1, kind="stable").astype(np.int32)
+            begin = np.stack([np.searchsorted(np.sort(x), np.arange(257)) for x in part]).astype(np.min_scalar_type(len(members)))
+            self.tables[n] = order, begin
+            held = np.concatenate([self.weights[m][0] for m in members])
+            at = np.argsort(held, kind="stable")
+            owner = np.repeat(np.arange(len(members), dtype=np.int32), [len(self.weights[m][0]) for m in members])
+            self.holders[n] = held[at], owner[at], np.concatenate([self.weights[m][1] for m in members])[at]
+
+    def voted(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item of n words) with as many votes of blocks as any pair within the radius has, by place in ``prints`` and in ``by_size``."""
+        order, begin = self.tables[n]
+        many, base = order.shape[1], np.arange(self.blocks)[None, :, None] * 257
+        begin, step, found = begin.ravel(), max(1, min(256, VOTES // many)), []
+        for i in range(0, len(prints), step):
+            value = np.ascontiguousarray(prints[i : i + step]).view(np.uint8)
+            place = (base + (value[:, :, None] ^ self.near)).ravel()
+            lo, hi = begin[place], begin[place + 1]
+            hit = np.flatnonzero(hi > lo)
+            lo, size = lo[hit].astype(np.int64), (hi[hit] - lo[hit]).astype(np.int64)
+            block = hit // len(self.near)
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            item = order[np.repeat(block % self.blocks, size), at]
+            votes = np.bincount(np.repeat(block // self.blocks * many, size) + item, minlength=len(value) * many)
+            pair = np.flatnonzero(votes >= self.need)
+            found.append((pair // many + i, pair % many))
+        return np.concatenate([t for t, _ in found]), np.concatenate([m for _, m in found])
+
+    def candidates(self, n: int, prints: np.ndarray) -> list[tuple[int, int, int]]:
+        """(fingerprint, item of n words, distance) of all pairs within the radius: those with enough votes, then the whole distance."""
+        t, m = self.voted(n, prints)
+        m = self.by_size[n][m]
+        distance = np.bitwise_count(prints[t] ^ self.prints[m]).sum(axis=1, dtype=np.int64)
+        near = distance <= self.radius
+        return list(zip(t[near].tolist(), m[near].tolist(), distance[near].tolist(), strict=True))
 
     def cosine(self, m: int, window: np.ndarray) -> float:
         seen, count = np.unique(window, return_counts=True)
@@ -180,29 +213,36 @@ class ItemIndex:
                 i = 0
                 while i < len(start):
                     j = int(np.searchsorted(start, start[i] + RUN))  # windows within RUN words
-                    for t, p in enumerate(rolling_simhash(h, start[i:j], w).tolist(), i):
-                        for m in self.candidates(n, p):
-                            c = self.cosine(m, h[start[t] : start[t] + w])
-                            if c >= threshold - 1e-12:
-                                at, d = int(start[t]), int(home[t])
-                                mark = (-c, at - int(s.first[d]), n, (int(self.prints[m]) ^ p).bit_count(), c)
-                                if (d, m) not in best or mark < best[d, m]:
-                                    best[d, m] = mark
+                    for t, m, apart in self.candidates(n, rolling_simhash(h, start[i:j], w)):
+                        at, d = int(start[i + t]), int(home[i + t])
+                        c = self.cosine(m, h[at : at + w])
+                        if c >= threshold - 1e-12:
+                            mark = (-c, at - int(s.first[d]), n, apart, c)
+                            if (d, m) not in best or mark < best[d, m]:
+                                best[d, m] = mark
                     i = j
         return [(d, m, x[1], x[2], x[3], x[4]) for (d, m), x in best.items()]
 
     def search_short(self, s: Slice, h: np.ndarray, hits: np.ndarray, n: int, k: int, threshold: float, best: dict[tuple[int, int], tuple]) -> None:
-        """Documents shorter than items of n words and with a shingle of one: the whole document is the window."""
+        """Documents shorter than items of n words and with a shingle of one: the whole document is the window, its products with all items summed over their shared shingles."""
+        members, (held, owner, weight) = self.by_size[n], self.holders[n]
+        norms = np.array([self.norms[m] for m in members])
         for d in np.unique(np.searchsorted(s.first, hits, "right") - 1).tolist():
             words = int(s.count[d])
             if words >= n:
                 continue
             row = h[int(s.first[d]) : int(s.first[d]) + words - k + 1]
-            p = int(simhash(row[None, :])[0])
-            for m in self.by_size[n].tolist():
-                c = self.cosine(m, row)
-                if c >= threshold - 1e-12:
-                    best[d, m] = (-c, 0, words, (int(self.prints[m]) ^ p).bit_count(), c)
+            seen, count = np.unique(row, return_counts=True)
+            lo, size = np.searchsorted(held, seen), np.searchsorted(held, seen, "right")
+            size -= lo
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            product = np.bincount(owner[at], np.repeat(count, size) * weight[at], minlength=len(members))
+            c = product / (norms * np.sqrt((count.astype(np.float64) ** 2).sum()))
+            near = np.flatnonzero(c >= threshold - 1e-12)
+            if len(near):
+                apart = np.bitwise_count(self.prints[members[near]] ^ simhash(row)).sum(axis=1, dtype=np.int64)
+                for m, x, y in zip(members[near].tolist(), apart.tolist(), c[near].tolist(), strict=True):
+                    best[d, m] = (-y, 0, words, x, y)
 
 
 def _searcher(index, threshold: float):
@@ -235,7 +275,7 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES):
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, flips: int = FLIPS) -> DataFrame:
     """A row for each document row and item of which it holds a window of at least ``threshold``: doc_id, item_id, start (word), n_words, distance, similarity."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -243,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     for items in item_blocks(benchmark):
         if not any(re.search(r"[^\W_]|[^\x00-\x7f]", t) for _, t in items):
             continue
-        index = spark.sparkContext.broadcast(ItemIndex(items, shingle, radius, blocks))
+        index = spark.sparkContext.broadcast(ItemIndex(items, shingle, radius, flips))
         out = out.unionByName(texts.mapInArrow(_searcher(index, threshold), RESULT_SCHEMA))
     return out
 
@@ -263,12 +303,12 @@ def _cleaner(index, threshold: float, at: int):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, flips: int = FLIPS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; one narrow pass a block of items, without a join."""
     out, at = docs.withColumn("text", F.col("text").cast("string")), docs.columns.index("text")
     for items in item_blocks(benchmark):
         if any(re.search(r"[^\W_]|[^\x00-\x7f]", t) for _, t in items):
-            index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius, blocks))
+            index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius, flips))
             out = out.mapInArrow(_cleaner(index, threshold, at), out.schema)
     return out
 

@@ -332,7 +332,7 @@ def test_decontamination_repeats_nulls_and_long_items(spark):
     got = Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect())
     assert got == {(None, 1): 2, (3, 1): 2, (3, None): 1, (4, 5): 1}
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0 and decontamination.clean_documents(docs, bench).count() == 0
-    index = decontamination.ItemIndex([(5, " ".join(huge))], 5, 24, 8)
+    index = decontamination.ItemIndex([(5, " ".join(huge))])
     import pyarrow as pa
 
     from ledgerloom.llm.packed import batch_slices
@@ -352,14 +352,57 @@ def test_rolling_simhash_equals_simhash():
 def test_multi_index_finds_all_within_radius():
     rnd = np.random.default_rng(2)
     items = [(i, " ".join(f"z{rnd.integers(300)}" for _ in range(20))) for i in range(30)]
-    index = decontamination.ItemIndex(items, 5, 24, 8)
-    for _ in range(200):
-        m = int(rnd.integers(30))
-        p = int(index.prints[m])
-        for b in rnd.choice(64, int(rnd.integers(0, 25)), replace=False):
-            p ^= 1 << int(b)
-        want = {i for i in range(30) if (int(index.prints[i]) ^ p).bit_count() <= 24}
-        assert set(index.candidates(20, p)) == want and m in want
+    index = decontamination.ItemIndex(items)
+    near = rnd.integers(0, 30, 400)
+    prints = index.prints[near].copy()
+    for t in range(400):
+        for b in rnd.choice(512, int(rnd.integers(100, 150)) if t % 2 else 131, replace=False):
+            prints[t, b // 64] ^= np.uint64(1 << int(b % 64))
+    apart = np.bitwise_count(prints[:, None, :] ^ index.prints[None, :, :]).sum(axis=2)
+    want = {(t, i, int(apart[t, i])) for t, i in zip(*np.nonzero(apart <= 131), strict=True)}
+    assert set(index.candidates(20, prints)) == want and {(t, near[t]) for t in range(0, 400, 2)} <= {(t, i) for t, i, _ in want}
+    with pytest.raises(ValueError):
+        decontamination.ItemIndex(items, radius=300)
+
+
+@pytest.mark.parametrize("n", [14, 20, 59, 300])
+def test_multi_index_selects(n):
+    """The blocks alone leave under 1 % of items to an unrelated window, and nearly all windows of similarity 0.8 to their item."""
+    rnd = np.random.default_rng(n)
+    shingles = rnd.integers(0, 1 << 63, (400, n - 4)).astype(np.uint64)
+    items = [(i, " ".join(f"y{i}x{j}" for j in range(n))) for i in range(400)]
+    index = decontamination.ItemIndex(items)
+    t, _ = index.voted(n, decontamination.simhash(shingles))
+    assert len(t) < 0.01 * 400 * 400
+    w = n - 4
+    shared = -(-w * 4 // 5)
+    windows = shingles.copy()
+    for m in range(400):
+        row = index.rows[m]
+        windows[m, :shared] = rnd.choice(row, shared, replace=False)
+    found = {(t, m) for t, m, _ in index.candidates(n, decontamination.simhash(windows))}
+    similar = [m for m in range(400) if index.cosine(m, windows[m]) >= 0.8 - 1e-12]
+    assert len(similar) == 400 and sum((m, m) in found for m in similar) >= 0.99 * 400
+
+
+def test_short_documents_meet_items_by_their_shingles(spark):
+    """Documents shorter than an item, against the exact cosine of all pairs: repeated shingles, many items of a size."""
+    rnd = random.Random(12)
+    words = lambda n: [f"s{rnd.randrange(40)}" for _ in range(n)]
+    items = [words(24) for _ in range(40)] + [["a", "b"] * 12]
+    texts = [" ".join(x[rnd.randrange(3) : 24 - rnd.randrange(4)]) for x in items] + [" ".join(["a", "b"] * n) for n in (3, 8, 11)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(table(spark, texts), bench).collect()}
+    bag = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+    norm = lambda c: math.sqrt(sum(v * v for v in c.values()))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            a, b = bag(t.split()), bag(x)
+            c = sum(v * b[g] for g, v in a.items()) / (norm(a) * norm(b))
+            if c >= 0.8 - 1e-12:
+                want[d, i] = c
+    assert got == pytest.approx(want) and {(len(items) + 1, 40), (len(items) + 2, 40)} <= set(want)
 
 
 @pytest.fixture(scope="module")
