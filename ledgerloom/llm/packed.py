@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settle
+from .runtime import release, settle
 
 SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1 << 20
@@ -154,6 +154,7 @@ def batch_slices(ids: pa.Array, texts: pa.Array):
     for i, j in cuts(lens):
         buf = joined(at, data, lens, i, j)
         yield key[i:j], np.where(null[i:j], -1, lens[i:j]).astype(np.int32), buf
+    release()
 
 
 def _pack(batches):
