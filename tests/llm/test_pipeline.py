@@ -33,7 +33,7 @@ def test_stages(spark, sf, tmp_path):
 
 def test_every_operator_has_a_query():
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert __spark_entry__.oracle_sql()["op9_source_mixing"] == source_mixing.ORACLE
 
 
