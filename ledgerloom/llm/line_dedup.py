@@ -147,7 +147,7 @@ class Blocks:
             r = mine[r]
             b, e, i = self.begin[r], self.stop[r], self.begin[r] + at
             shift = np.uint64(pow(FIRST.base, -1, 1 << 64))
-            left_out = mix(((x.prefix[i] - x.prefix[b]) + (x.prefix[e] - x.prefix[i + 1]) * shift) * FIRST.powers(len(x.prefix))[1][b])
+            left_out = mix(((x.prefix[i] - x.prefix[b]) + (x.prefix[e] - x.prefix[i + 1]) * shift) * FIRST.powers(len(x.prefix), FIRST.inverse)[b])
             entire = FIRST.spans(x.prefix, self.begin[full], self.stop[full])
             parts.append((*_distinct(np.concatenate((left_out, entire)), np.concatenate((r, full)), 9, False), np.full(len(lines), 1 << 30)))
         self.parts = [(row, rarest) for _, row, rarest in parts]

@@ -19,6 +19,7 @@ from .runtime import release, settle
 
 SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1 << 20
+KEPT_POWERS = 3 * SLICE_BYTES // 2
 NULL_ID = (1 << 63) - 1
 SLICE_SCHEMA = "sid long, ids binary, lens binary, body binary"
 
@@ -45,30 +46,30 @@ class Rolling:
         rng = np.random.default_rng(seed)
         self.base = int(rng.integers(1 << 62, (1 << 63) - 1)) * 8 + 5 & (1 << 64) - 1
         self.bytes = rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = pow(self.base, -1, 1 << 64)
-            made = []
-            for b in (self.base, inverse):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                made.append(np.cumprod(p, dtype=np.uint64))
-            self.up, self.down = made
-        return self.up[:n], self.down[:n]
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.kept: dict[int, np.ndarray] = {}
+
+    def powers(self, n: int, base: int) -> np.ndarray:
+        """base ** 0 to base ** (n - 1). Tables are kept for later slices up to ``KEPT_POWERS`` entries; a longer text makes its own."""
+        table = self.kept.get(base)
+        if table is None or len(table) < n:
+            table = np.full(n if n > KEPT_POWERS else min(1 << (n - 1).bit_length(), KEPT_POWERS), base, np.uint64)
+            table[0] = 1
+            np.cumprod(table, out=table)
+            if len(table) <= KEPT_POWERS:
+                self.kept[base] = table
+        return table[:n]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(values) + 1, np.uint64)
         if len(values):
-            np.cumsum(values * self.powers(len(values))[0], out=out[1:])
+            np.cumsum(values * self.powers(len(values), self.base), out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(start):
             return np.zeros(0, np.uint64)
-        return mix((prefix[end] - prefix[start]) * self.powers(len(prefix))[1][start])
+        return mix((prefix[end] - prefix[start]) * self.powers(len(prefix), self.inverse)[start])
 
 
 WORDS, FIRST, SECOND = Rolling(11), Rolling(23), Rolling(37)

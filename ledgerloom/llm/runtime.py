@@ -12,12 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batch_by_bytes(spark: SparkSession) -> None:
+    """Arrow batches of about ``ARROW_BYTES`` (one row at least), unless the session sets a bound of its own.
+
+    By number of rows alone, 10,000 long texts or slices are one batch, held by the executor and by the worker.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, ARROW_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batch_by_bytes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode (tests)."""
+    batch_by_bytes(spark)
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:

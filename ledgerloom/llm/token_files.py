@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .encoding import Encoder, vocabulary_path
 from .packed import Slice, batch_slices
-from .runtime import bucket_count, fresh_dir, read, settle
+from .runtime import bucket_count, fresh_dir, read, release, settle
 
 MAGIC = b"LLPFOR1\0"
 BLOCK = 256
@@ -207,6 +207,8 @@ def _writer(folder: str, vocabulary: str, end: int, percentile: float, file_toke
                     made, n = FileBuilder(percentile), n + 1
         if made.docs:
             yield flush(made, n)
+        del encoder, made
+        release()
 
     return run
 
