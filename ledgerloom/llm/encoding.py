@@ -65,6 +65,8 @@ class Encoder:
         return self.keys.nbytes + self.at.nbytes + self.size.nbytes + self.flat.nbytes
 
     def _piece(self, piece: bytes) -> list[int]:
+        if piece.isalpha() and piece.islower():  # ASCII letters stand for themselves
+            return [t.id for t in self.model.tokenize(piece.decode("ascii"))]
         text = piece.decode("utf-8", "replace")
         # one run of lower-case Latin letters is one pre-token: the model can take it as it is
         if text.isalpha() and max(text) < "ɐ" and text == text.lower() and unicodedata.is_normalized("NFC", text):
