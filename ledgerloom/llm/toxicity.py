@@ -4,8 +4,9 @@ Features are the presence of character 3- to 6-grams of the folded text, by hash
 With p = 1 + the number of toxic training texts that have a feature and q = 1 + that of the others, its log-count ratio is
 log((p / sum of p) / (q / sum of q)). Features are scaled by their ratios, and L2-regularised logistic regression is fitted on them.
 
-Training reads at most ``PER_CLASS`` labelled rows of each class and ``CELLS`` features in them, in order of a hash of the row;
-their feature lists come to the driver. Every whole text is scored.
+Training reads at most ``PER_CLASS`` labelled rows of each class and ``CELLS`` features in those of a class, in order of a hash of the row;
+their feature lists come to the driver, a partition at a time, into one array of 4 bytes a feature, and the fit goes through
+it ``BLOCK_CELLS`` features at a time. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of a text without features; null labels teach nothing; an id labelled
 both ways counts as toxic; rows that repeat an id are rows of their own, each taught with the id's label; without both classes in the
@@ -28,6 +29,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 PER_CLASS = 1000
 CELLS = 6_000_000
+BLOCK_CELLS = 1 << 18
 RIDGE = 1e-3
 ROUNDS = 60
 CUT = 0.7
@@ -57,22 +59,33 @@ def _features(batches):
 
 
 class Sparse:
-    """A 0/1 matrix by rows, with a scale for each column."""
+    """A 0/1 matrix: the columns of its rows one after another, and how many each row has. Products make temporaries for ``BLOCK_CELLS`` columns (or one row) at a time."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.size, self.width = np.array([len(r) for r in rows], np.int64), width
-        self.column = np.concatenate([np.zeros(0, np.int32), *rows])
-        self.full = np.flatnonzero(self.size)
-        self.first = (np.cumsum(self.size) - self.size)[self.full]
+    def __init__(self, column: np.ndarray, size: np.ndarray, width: int):
+        self.column, self.size, self.width = column, size, width
+        self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+
+    def blocks(self):
+        """(rows i to j, their columns)."""
+        i = 0
+        while i < len(self.size):
+            j = max(i + 1, int(np.searchsorted(self.first, self.first[i] + BLOCK_CELLS, "right")) - 1)
+            yield i, j, self.column[self.first[i] : self.first[j]]
+            i = j
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.size))
-        if len(self.full):
-            out[self.full] = np.add.reduceat(w[self.column], self.first)
+        for i, j, column in self.blocks():
+            full = i + np.flatnonzero(self.size[i:j])
+            if len(full):
+                out[full] = np.add.reduceat(w[column], self.first[full] - self.first[i])
         return out
 
     def back(self, e: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, weights=np.repeat(e, self.size), minlength=self.width)
+        out = np.zeros(self.width)
+        for i, j, column in self.blocks():
+            np.add.at(out, column.astype(np.intp), np.repeat(e[i:j], self.size[i:j]))
+        return out
 
 
 def log_count_ratios(x: Sparse, y: np.ndarray) -> np.ndarray:
@@ -110,10 +123,9 @@ class Model:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def of(cls, rows: list[np.ndarray], y: np.ndarray) -> "Model":
+    def of(cls, x: Sparse, y: np.ndarray) -> "Model":
         if not 0 < y.sum() < len(y):
             return cls(None)
-        x = Sparse(rows, 1 << BITS)
         w, b = logistic(x, log_count_ratios(x, y), y)
         return cls(w.astype(np.float32), b)
 
@@ -139,9 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     kinds = docs.sparkSession.createDataFrame(list(of.items()), "key long, toxic int")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = rows.select("key", "n").join(F.broadcast(kinds), "key").withColumn("cells", upto).where(F.col("cells") <= CELLS)  # at most 2 * PER_CLASS rows
-    keep = {r["key"] for r in inside.select("key").collect()}
-    got = sorted((r["key"], bytes(r["columns"])) for r in rows.where(F.col("key").isin(list(keep))).select("key", "columns").collect())
-    return Model.of([np.frombuffer(c, "<i4") for _, c in got], np.array([of[k] for k, _ in got], float))
+    size_of = {r["key"]: r["n"] for r in inside.select("key", "n").collect()}
+    keys = sorted(size_of)
+    size = np.array([size_of[k] for k in keys], np.int64)
+    first = dict(zip(keys, (np.cumsum(size) - size).tolist(), strict=True))
+    column = np.zeros(int(size.sum()), np.int32)
+    for r in rows.where(F.col("key").isin(keys)).select("key", "columns").toLocalIterator():  # the driver holds one partition
+        column[first[r["key"]] : first[r["key"]] + size_of[r["key"]]] = np.frombuffer(r["columns"], "<i4")
+    return Model.of(Sparse(column, size, 1 << BITS), np.array([of[k] for k in keys], float))
 
 
 def _scorer(model):

@@ -1,10 +1,12 @@
 """Memory held by workers and executors is bounded, whatever the length of texts."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packed, runtime
+from ledgerloom.llm import packed, runtime, toxicity
 
 
 def test_powers_of_a_text_beyond_the_kept_tables():
@@ -32,3 +34,19 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(runtime._BATCH) == "1000000"
     finally:
         spark.conf.set(runtime._BATCH, before or str(runtime.ARROW_BYTES))
+
+
+def test_toxicity_products_hold_a_block_of_features():
+    rng, width = np.random.default_rng(4), 1 << 10
+    size = np.concatenate(([0, 700], rng.integers(0, 800, 6000), [0]))
+    column = rng.integers(0, width, size.sum()).astype(np.int32)
+    x = toxicity.Sparse(column, size, width)
+    w, e, row = rng.random(width), rng.random(len(size)), np.repeat(np.arange(len(size)), size)
+    tracemalloc.start()
+    times, back = x.times(w), x.back(e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(times, np.bincount(row, w[column], len(size))) and np.allclose(back, np.bincount(column, e[row], width))
+    assert len(column) > 8 * toxicity.BLOCK_CELLS and peak < 8 * len(column)  # not a double a feature
+    none = toxicity.Sparse(column[:0], size[:0], width)
+    assert len(none.times(w)) == 0 and not none.back(e[:0]).any()
