@@ -397,6 +397,7 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
     sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, prints binary")
     df = settle(by_slice(sent.groupBy("bucket").applyInArrow(frequency, ANSWER_SCHEMA), "df"), large=True)
     found = settle(asked.join(df, "sid").mapInArrow(_post(buckets, threshold), _ENTRY), large=True)
+    del asked, sent, df  # their checkpoints go
     words = found.where("tok is null").select("node", "words")
     postings = found.where("tok is not null").drop("words")
     lists = max(2 * shuffle_partitions(slices.sparkSession), -(-postings.count() // BUCKET_ROWS))
@@ -404,9 +405,10 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
     for split in (False, True):
         live = postings
         if part is not None:
-            live = live.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = live.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok")
-            live = live.join(open_, "tok", "left_semi")
+            # lists that hold more than one component, by narrow rows; only their postings travel further
+            in_ = lambda df: df.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: B023, E731
+            open_ = settle(in_(postings.select("tok", "node")).groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok"), large=True)
+            live = in_(settle(postings.join(open_, "tok", "left_semi"), large=True))
         pairs = _pairs(live, lists, threshold, radius, split)
         if pairs.isEmpty():
             continue  # no leader's pair, but others may be there
@@ -448,7 +450,7 @@ def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius:
         raise ValueError("the threshold must be above a half")
     radius = expected_radius(threshold) if radius is None else radius
     buckets = bucket_count(docs)
-    slices = pack(docs)
+    slices = pack(docs, -(-buckets // 2))  # by sid, as three joins need them
     found = settle(slices.mapInArrow(_occurrences, "node long, doc_id long, sid long, line int, n int"))
     nodes = settle(found.groupBy("node").agg(F.min(F.struct("doc_id", "sid", "line")).alias("at"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n")))
     part = _groups(nodes, slices, buckets, threshold, radius)

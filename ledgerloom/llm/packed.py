@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import release, settle
+from .runtime import dealt, release, settle
 
 SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1 << 20
@@ -180,9 +180,10 @@ def _pack(batches):
         yield row()
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Slices of ``docs`` (doc_id, text), written to the shared folder."""
-    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, SLICE_SCHEMA))
+def pack(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Slices of ``docs`` (doc_id, text), written to the shared folder; with ``parts``, dealt to so many partitions by ``sid``."""
+    slices = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, SLICE_SCHEMA)
+    return settle(slices) if parts is None else dealt(slices, "sid", parts)
 
 
 def rows(batches):

@@ -50,3 +50,17 @@ def test_toxicity_products_hold_a_block_of_features():
     assert len(column) > 8 * toxicity.BLOCK_CELLS and peak < 8 * len(column)  # not a double a feature
     none = toxicity.Sparse(column[:0], size[:0], width)
     assert len(none.times(w)) == 0 and not none.back(e[:0]).any()
+
+
+def test_slices_dealt_by_sid_are_not_moved_by_joins(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(7)
+    before, limit = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    slices = packed.pack(docs, 9)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before and sum(len(r.ids) // 8 for r in slices.collect()) == 50
+    other = slices.select("sid").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = slices.join(runtime.settle(other), "sid", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 1 and slices.rdd.getNumPartitions() == 9
