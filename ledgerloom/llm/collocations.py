@@ -3,7 +3,7 @@
 Texts are cut into slices of one language (about ``SLICE_BYTES``) of coded words. Word counts of all slices give the
 dictionary of frequent words, an id each; rarer words break a piece, as no frequent phrase holds one. Phrases are ids
 packed into keys of fixed width (two 64-bit numbers of two ids each). A task sorts the keys of its slices by radix, about
-``HELD_KEYS`` at a time, and counts runs; these are partitioned by ranges of the key, sorted by Spark and counted in runs again. Words
+``HELD_KEYS`` at a time, and counts runs; these are dealt into buckets by a hash of the key, packed as differences of sorted keys, and added up by bucket. Words
 of three and four follow pairs: a longer phrase is looked at only where all its pairs may be frequent, which a bitmap of
 the frequent pairs' hashes tells (it has no misses; its false hits cost time only). Above ``BITMAP_BITS`` / 16 frequent
 pairs there is no bitmap and all longer phrases are counted.
@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packed import LOWER, joined, rows, text_column
-from .runtime import bounded, read, settle, shuffle_partitions
+from .packed import LOWER, by_bucket, joined, mix, rows, text_column
+from .runtime import bounded, bucket_count, read, settle
 
 SLICE_BYTES = 4 << 20
 HELD_BYTES = 32 << 20  # of all languages of a task that wait for a full slice
 HELD_KEYS = 3 << 20  # keys a task merges before it sends them
 LEAST, SHARE, MOST = 30, 80, 2000
+KEY_BYTES = 4 << 20  # of input a bucket of keys
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 BITMAP_BITS = 1 << 27
@@ -201,10 +202,30 @@ def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [hi[first], lo[first], np.add.reduceat(c, first) if len(first) else c]
 
 
-def _phrases(sizes: list[int], likely):
+def _bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(hi ^ mix(lo)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Differences of neighbours, the first bytes of all numbers before the second ones: most are small, so most bytes are zero."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _unstepped(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind)[:, 0], dtype=kind)
+
+
+def _phrases(sizes: list[int], likely, buckets: int):
     def emit(hi, lo, c):
-        for i in range(0, len(hi), 1 << 16):
-            yield _counted(hi[i : i + (1 << 16)].view(np.int64), lo[i : i + (1 << 16)].view(np.int64), c[i : i + (1 << 16)].astype(np.int64), "c")
+        """A row a bucket that has keys: its part of a sorted run, packed."""
+        zip_ = zstandard.ZstdCompressor(level=1)
+        order, bounds = by_bucket(_bucket(hi, lo, buckets), buckets)
+        hi, lo, c = hi[order], lo[order], c[order]
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            i, j = bounds[b], bounds[b + 1]
+            parts = [zip_.compress(x) for x in (_steps(hi[i:j]), lo[i:j].view(np.uint8).reshape(-1, 8).T.tobytes(), c[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in zip(("hi", "lo", "c"), parts, strict=True)})
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -231,35 +252,27 @@ def _starts(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(len(hi), 1), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
 
 
-def _runs(least: int):
-    """Sums of runs of equal keys in a sorted stream, those of at least ``least``."""
+def _counts(least: int):
+    """hi, lo, f of a bucket's keys that add up to at least ``least``."""
 
-    def run(batches):
-        held = [np.zeros(0, np.int64)] * 3  # the last run so far
-        for batch in batches:
-            hi, lo, c = (np.concatenate((h, np.asarray(batch.column(i)))) for i, h in enumerate(held))
-            if not len(hi):
-                continue
-            first = _starts(hi, lo)
-            total = np.add.reduceat(c, first)
-            held = [hi[first[-1:]], lo[first[-1:]], total[-1:]]
-            keep = np.flatnonzero(total[:-1] >= least)
-            yield _counted(hi[first[keep]], lo[first[keep]], total[keep], "f")
-        if len(held[0]) and held[2][0] >= least:
-            yield _counted(*held, "f")
+    def run(table: pa.Table) -> pa.Table:
+        unzip = zstandard.ZstdDecompressor()
+        flat = lambda b, kind: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+        parts = []
+        for r in zip(*(table.column(k) for k in ("hi", "lo", "c")), strict=True):
+            hi, lo, c = (unzip.decompress(x.as_py()) for x in r)
+            parts.append([_unstepped(hi, np.uint64), flat(lo, np.uint64), flat(c, np.uint32).astype(np.int64)])
+        hi, lo, f = _merged(parts)
+        keep = f >= least
+        return pa.table({"hi": pa.array(hi[keep].view(np.int64)), "lo": pa.array(lo[keep].view(np.int64)), "f": pa.array(f[keep], pa.int64())})
 
     return run
 
 
-def _counted(hi, lo, n, name: str):
-    return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(n)], ["hi", "lo", name])
-
-
-def frequent(ids: DataFrame, sizes: list[int], least: int, likely=None) -> DataFrame:
+def frequent(ids: DataFrame, sizes: list[int], least: int, buckets: int, likely=None) -> DataFrame:
     """hi, lo, f of the phrases of ``sizes`` words with at least ``least`` occurrences."""
-    local = ids.mapInArrow(_phrases(sizes, likely), "hi long, lo long, c long")
-    dealt = local.repartitionByRange(2 * shuffle_partitions(ids.sparkSession), "hi", "lo").sortWithinPartitions("hi", "lo")
-    return settle(dealt.mapInArrow(_runs(least), "hi long, lo long, f long"))
+    local = ids.mapInArrow(_phrases(sizes, likely, buckets), "bucket int, hi binary, lo binary, c binary")
+    return settle(local.groupBy("bucket").applyInArrow(_counts(least), "hi long, lo long, f long"))
 
 
 def _likely(pairs: DataFrame):
@@ -324,8 +337,9 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, most:
     total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = settle(_numbered(counts.where(F.col("f") >= least)))
     ids = encoded(made, words)
-    pairs = frequent(ids, [2], least)
-    phrases = pairs.unionByName(frequent(ids, [3, 4], least, _likely(pairs)))
+    buckets = bucket_count(docs, KEY_BYTES)
+    pairs = frequent(ids, [2], least, buckets)
+    phrases = pairs.unionByName(frequent(ids, [3, 4], least, buckets, _likely(pairs)))
     cand = undominated(scored(phrases, words), phrases, share)
     spread = cand.select("hi", "lo", "a", "l", "r", "score", F.posexplode("ids").alias("i", "id"))
     named = spread.join(bounded(words.select("id", "lang", "word"), BROADCAST_ROWS), "id").groupBy("hi", "lo", "a", "l", "r", "score")

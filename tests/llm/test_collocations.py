@@ -76,3 +76,29 @@ def test_radix_order():
     hi, lo = rng.integers(0, 5, 400).astype(np.uint64) << np.uint64(40), rng.integers(0, 1 << 63, 400).astype(np.uint64)
     assert (collocations.radix_order([hi, lo]) == np.lexsort((lo, hi))).all()
     assert len(collocations.radix_order([hi[:0], lo[:0]])) == 0
+
+
+def test_keys_travel_packed_and_add_up():
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    import zstandard
+
+    rnd = np.random.default_rng(8)
+    ids = rnd.integers(0, 60_000, 1_200_000).astype(np.uint32)
+    ids[: len(ids) // 2] = rnd.integers(1, 40, len(ids) // 2)
+    ids = [ids, ids[:50_000]]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([zstandard.compress(x.tobytes()) for x in ids], pa.binary())})
+    for sizes in ([2], [3, 4]):
+        want = Counter()
+        for x in ids:
+            for n in sizes:
+                want.update(zip(*(k.tolist() for k in collocations._packed(x, n, None)), strict=True))
+        sent = pa.Table.from_batches(list(collocations._phrases(sizes, None, 5)(iter([batch]))))
+        assert set(sent.column("bucket").to_pylist()) == set(range(5))
+        if sizes == [2]:
+            assert sum(len(v) for k in ("hi", "lo", "c") for v in sent.column(k).to_pylist()) < 5.5 * len(want)
+        got = {}
+        for b in range(5):
+            t = collocations._counts(2)(sent.filter(pa.compute.equal(sent.column("bucket"), b)))
+            got |= {(h & (1 << 64) - 1, low & (1 << 64) - 1): f for h, low, f in zip(*(t.column(k).to_pylist() for k in ("hi", "lo", "f")), strict=True)}
+        assert got == {k: f for k, f in want.items() if f >= 2} and got
