@@ -13,11 +13,11 @@ fingerprint that selects anything. The pigeonhole blocks are therefore cut from
 
 How many distinct lines have a block comes from an exchange of packed fingerprints by hash bucket, which answers a byte a block. A block of
 one line needs no posting; most lines without a partner have so many that they post nothing. Postings carry the line's
-64-bit SimHash over words and a histogram of its words (32 counts). A pair is a candidate where fingerprints are
+64-bit SimHash over words and a histogram of its words (256 counts; with fewer, lines of many words that are no longer near pass too often). A pair is a candidate where fingerprints are
 within ``radius`` (beyond the largest distances of related lines; measured in the README) and lengths and histograms allow
 k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
 
-Round one pairs each list's lines with a few leaders, a linear number of pairs. Round two lists all candidate pairs that are
+Round one pairs the lines of lists with a few leaders, a linear number of pairs, in the lists of at most ``FEW`` of each line's posted blocks. Round two lists all candidate pairs that are
 still in different components, once for each run of posted blocks that they share, so that no link between components is lost while pairs inside one are never listed. Lists of more than ``CHUNK``
 lines are cut into chunks, and each pair of chunks is a unit of work by itself.
 Each group keeps its first occurrence (smallest doc_id, then place); every other occurrence goes.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ THRESHOLD = 0.8
 SLACK = 11  # bits beyond the expected distance at the threshold
 LONG = 20
 LEADERS = 3
+FEW = 6  # posted blocks of a line by which it looks for leaders
+BINS = 256  # of a histogram of words
 CHUNK = 4096
 BUCKET_ROWS = 1 << 17
 _FOLD = np.full(256, 32, np.uint8)
@@ -50,7 +53,18 @@ _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[48:58] = 48
 _FOLD[10] = 10
-_ENTRY = "tok long, prev long, node long, n int, print long, low long, high long, code int, words binary"
+_ENTRY = "node long, n int, print long, bag binary, posts array<struct<tok:long,prev:long,code:int,few:boolean>>, words binary"
+
+
+class Texts:
+    """The bytes of a slice by document and line, without its words."""
+
+    def __init__(self, row: dict):
+        self.ids, self.lens = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lens"], "<i4")
+        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
+        self.byte = np.concatenate(([0], np.cumsum(np.maximum(self.lens, 0) + 1)))
+        self.newline = np.flatnonzero(self.raw == 10)
+        self.first = np.searchsorted(self.newline, self.byte)
 
 
 class Lines:
@@ -86,12 +100,17 @@ class Lines:
         votes = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
         return np.packbits(2 * votes > n[:, None], axis=1).view("<u8")[:, 0]
 
-    def histograms(self, lines: np.ndarray) -> np.ndarray:
-        """Of each line two numbers: 32 counts of its words by hash, 15 for more."""
+    def histograms(self, lines: np.ndarray) -> list[bytes]:
+        """Of each line ``BINS`` counts of its words by hash, two a byte, 15 for more."""
         row, at = _ragged((self.stop - self.begin)[lines])
-        bin_ = (mix(self.hash[self.begin[lines[row]] + at]) >> np.uint64(59)).astype(np.int64)
-        count = np.minimum(np.bincount(row * 32 + bin_, minlength=32 * len(lines)), 15).astype(np.uint8).reshape(-1, 16, 2)
-        return (count[:, :, 0] | count[:, :, 1] << 4).reshape(-1, 16).view("<u8")
+        bin_ = (mix(self.hash[self.begin[lines[row]] + at]) >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
+        out = []
+        for low in range(0, len(lines), 1 << 12):
+            i, j = np.searchsorted(row, (low, low + (1 << 12)))
+            size = min(len(lines) - low, 1 << 12)
+            count = np.minimum(np.bincount((row[i:j] - low) * BINS + bin_[i:j], minlength=BINS * size), 15).astype(np.uint8).reshape(size, BINS // 2, 2)
+            out += [x.tobytes() for x in count[:, :, 0] | count[:, :, 1] << 4]
+        return out
 
 
 def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +247,7 @@ def _ask(buckets: int, threshold: float):
 
 
 def _post(buckets: int, threshold: float):
-    """Postings, and a row with the words of each line that has any."""
+    """A row for each line that has postings: them, the line's words and what the filters need. ``FEW`` of its postings, the same for equal ones, are marked."""
 
     def run(batches):
         for row in rows(batches):
@@ -240,16 +259,18 @@ def _post(buckets: int, threshold: float):
             if not len(used):
                 continue
             mine = lines[used]
-            node, n, print_, sketch = x.keys(mine).view(np.int64), b.n[used], x.prints(mine).view(np.int64), x.histograms(mine).view(np.int64)
+            order = np.argsort(which, kind="stable")
+            at, prev, which = at[order], prev[order], which[order]
+            count = np.bincount(which)
+            first = np.cumsum(count) - count
+            few = np.zeros(len(at), bool)
+            few[np.lexsort((b.value[at], which))] = np.arange(len(at)) - np.repeat(first, count) < FEW
+            parts = [pa.array(b.value[at].view(np.int64)), pa.array(prev.view(np.int64)), pa.array(code[at], pa.int32()), pa.array(few)]
             small = (x.hash >> np.uint64(32)).astype("<u4")
-            none = lambda kind, size: pa.nulls(size, kind)
-            yield pa.RecordBatch.from_pydict({
-                "tok": pa.array(b.value[at].view(np.int64), pa.int64()), "prev": pa.array(prev.view(np.int64), pa.int64()), "node": pa.array(node[which], pa.int64()), "n": pa.array(n[which], pa.int32()), "print": pa.array(print_[which], pa.int64()),
-                "low": pa.array(sketch[which, 0], pa.int64()), "high": pa.array(sketch[which, 1], pa.int64()), "code": pa.array(code[at], pa.int32()), "words": none(pa.binary(), len(at)),
-            })
             yield pa.RecordBatch.from_pydict({
-                "tok": none(pa.int64(), len(used)), "prev": none(pa.int64(), len(used)), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()), "print": none(pa.int64(), len(used)),
-                "low": none(pa.int64(), len(used)), "high": none(pa.int64(), len(used)), "code": none(pa.int32(), len(used)), "words": pa.array([small[i:j].tobytes() for i, j in zip(x.begin[mine], x.stop[mine], strict=True)], pa.binary()),
+                "node": pa.array(x.keys(mine).view(np.int64)), "n": pa.array(b.n[used], pa.int32()), "print": pa.array(x.prints(mine).view(np.int64)), "bag": pa.array(x.histograms(mine), pa.binary()),
+                "posts": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.StructArray.from_arrays(parts, ["tok", "prev", "code", "few"])),
+                "words": pa.array([small[i:j].tobytes() for i, j in zip(x.begin[mine], x.stop[mine], strict=True)], pa.binary()),
             })
 
     return run
@@ -259,8 +280,8 @@ class Postings:
     """Postings of some lists; a list is a run of equal (block, cell). In a cell of two chunks only pairs across them count."""
 
     def __init__(self, table: pa.Table, threshold: float, radius: int, split: bool):
-        got = {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names if c not in ("bucket", "words")}
-        got = {c: v.view(np.uint64) if c in ("print", "low", "high") else v for c, v in got.items()}
+        got = {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names if c not in ("bucket", "bag")}
+        got = {c: v.view(np.uint64) if c == "print" else v for c, v in got.items()}
         got.setdefault("prev", np.zeros(table.num_rows, np.int64))  # unknown: each list gives its pairs
         order = np.lexsort((got["node"], got["cell"], got["tok"]))
         got = {c: v[order] for c, v in got.items()}
@@ -271,8 +292,12 @@ class Postings:
         live = np.repeat(np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first), size)
         self.list = (np.cumsum(new) - 1)[live]
         self.node, self.prev, self.component, self.n, self.print, self.chunk, self.across = (v[live] for v in (got["node"], got["prev"], part, got["n"], got["print"], got["chunk"], got["across"]))
-        count = np.stack((got["low"][live], got["high"][live]), axis=1).astype("<u8").view(np.uint8).reshape(-1, 16)
-        self.count = np.concatenate((count & 15, count >> 4), axis=1).astype(np.int8)
+        # a line's histogram (``bag``, else the 32 counts of ``low`` and ``high``) is kept once, however many lists it is in
+        _, at, self.bag = np.unique(self.node, return_index=True, return_inverse=True)
+        if "bag" in table.column_names:
+            self.count = np.frombuffer(b"".join(table.column("bag").take(pa.array(order[live][at])).to_pylist()), np.uint8).reshape(len(at), BINS // 2)
+        else:
+            self.count = np.stack((got["low"][live][at], got["high"][live][at]), axis=1).astype("<i8").view(np.uint8).reshape(len(at), 16)
         self.edits, self.radius = edits(self.n, threshold), radius
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -281,10 +306,11 @@ class Postings:
         most = np.maximum(self.edits[i], self.edits[j])
         ok = (self.component[i] != self.component[j]) & (gap <= most) & (np.bitwise_count(self.print[i] ^ self.print[j]) <= self.radius) & (~self.across[i] | (self.chunk[i] != self.chunk[j]))
         at = np.flatnonzero(ok)
-        for a in range(0, len(at), 1 << 16):
-            p = at[a : a + (1 << 16)]
-            apart = np.abs(self.count[i[p]] - self.count[j[p]]).sum(axis=1, dtype=np.int64)
-            ok[p] = apart <= 2 * most[p] - gap[p]
+        for a in range(0, len(at), 1 << 13):
+            p = at[a : a + (1 << 13)]
+            x, y = self.count[self.bag[i[p]]], self.count[self.bag[j[p]]]
+            apart = sum(np.abs((f(x) - f(y)).view(np.int8)).sum(axis=1, dtype=np.int16) for f in (lambda c: c & 15, lambda c: c >> 4))
+            ok[p] = apart.astype(np.int64) <= 2 * most[p] - gap[p]
         return ok
 
     def led(self):
@@ -347,6 +373,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Levenshtein distance of two sequences, by bit-parallel columns."""
     if len(a) < len(b):
         a, b = b, a
+    for _ in range(2):  # equal words at the end, then at the beginning
+        a, b = a[::-1], b[::-1]
+        apart = np.flatnonzero(a[: len(b)] != b)
+        same = apart[0] if len(apart) else len(b)
+        a, b = a[same:], b[same:]
     m = len(b)
     if not m:
         return len(a)
@@ -387,28 +418,39 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u long, v long")
 
 
+def _across(found: DataFrame, line: DataFrame, part: DataFrame | None) -> DataFrame:
+    """Postings, with their lines' ``component``, of the lists that hold more than one.
+
+    Not of a list whose lines all post the same block before this one: all of its pairs meet in that block's list, too.
+    """
+    in_ = lambda df: df.withColumn("component", F.col("node")) if part is None else df.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = in_(found.select("node", "posts")).select("component", F.inline("posts"))
+    of = spread.groupBy("tok").agg(*(f(c).alias(f"{k}_{c}") for c in ("component", "prev") for k, f in (("min", F.min), ("max", F.max))))
+    open_ = settle(of.where("min_component <> max_component and (min_prev <> max_prev or min_prev = 0)").select("tok"), large=True)
+    live = found.select("node", F.inline("posts")).drop("few").join(open_, "tok", "left_semi")
+    return settle(live, large=True).join(in_(line), "node")
+
+
 def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float, radius: int) -> DataFrame | None:
     """(node, component) of the nodes that are near another."""
     least = next(n for n in range(1, 1 << 20) if edits(n, threshold) > 0) - 1 if threshold < 1 else None
     if least is None:
         return None
     want = nodes.where(F.col("n") >= least).groupBy("at.sid").agg(F.collect_list("at.line").alias("want"))
-    asked = slices.join(settle(want), "sid")
+    asked = slices.join(settle(want, large=True), "sid")
     sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, prints binary")
     df = settle(by_slice(sent.groupBy("bucket").applyInArrow(frequency, ANSWER_SCHEMA), "df"), large=True)
     found = settle(asked.join(df, "sid").mapInArrow(_post(buckets, threshold), _ENTRY), large=True)
     del asked, sent, df  # their checkpoints go
-    words = found.where("tok is null").select("node", "words")
-    postings = found.where("tok is not null").drop("words")
-    lists = max(2 * shuffle_partitions(slices.sparkSession), -(-postings.count() // BUCKET_ROWS))
+    words, line = found.select("node", "words"), found.select("node", "n", "print", "bag")
+    size, few = found.select(F.coalesce(F.sum(F.size("posts")), F.lit(0)), F.coalesce(F.sum(F.least(F.size("posts"), F.lit(FEW))), F.lit(0))).first()
     part = None
     for split in (False, True):
-        live = postings
-        if part is not None:
-            # lists that hold more than one component, by narrow rows; only their postings travel further
-            in_ = lambda df: df.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: B023, E731
-            open_ = settle(in_(postings.select("tok", "node")).groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok"), large=True)
-            live = in_(settle(postings.join(open_, "tok", "left_semi"), large=True))
+        if split:
+            live = _across(found, line, part)
+        else:
+            live = found.select("node", "n", "print", "bag", F.inline("posts")).where("few").drop("few")
+        lists = max(2 * shuffle_partitions(slices.sparkSession), -(-(size if split else few) // BUCKET_ROWS))
         pairs = _pairs(live, lists, threshold, radius, split)
         if pairs.isEmpty():
             continue  # no leader's pair, but others may be there
@@ -422,19 +464,19 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
 
 def _cut(batches):
     for row in rows(batches):
-        x = Lines(row)
+        x = Texts(row)
         drop = np.zeros(len(x.newline), bool)
         drop[row["gone"] or []] = True
-        count = np.where(x.s.lens < 0, 0, np.diff(x.first))
+        count = np.where(x.lens < 0, 0, np.diff(x.first))
         lost = np.concatenate(([0], np.cumsum(drop)))[x.first]
-        raw = x.s.raw
+        raw = x.raw
         begin = np.concatenate(([0], x.newline[:-1] + 1))
         keep = np.repeat(~drop, x.newline + 1 - begin)
         kept = raw[keep]
-        upto = np.concatenate(([0], np.cumsum(keep)))[x.s.byte]
-        texts = [None if n < 0 else kept[i : max(i, j - 1)].tobytes() for i, j, n in zip(upto[:-1], upto[1:], x.s.lens, strict=True)]
+        upto = np.concatenate(([0], np.cumsum(keep)))[x.byte]
+        texts = [None if n < 0 else kept[i : max(i, j - 1)].tobytes() for i, j, n in zip(upto[:-1], upto[1:], x.lens, strict=True)]
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(x.s.ids, pa.int64(), mask=x.s.ids == NULL_ID), "n_lines": pa.array(count, pa.int64()),
+            "doc_id": pa.array(x.ids, pa.int64(), mask=x.ids == NULL_ID), "n_lines": pa.array(count, pa.int64()),
             "n_removed": pa.array(np.diff(lost), pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
         })
 
@@ -457,9 +499,10 @@ def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius:
     if part is None:
         first = nodes.where("k > 1").select("node", "at")
     else:
-        nodes = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        group = nodes.groupBy("component").agg(F.min("at").alias("least"), F.sum("k").alias("all")).where("all > 1")
-        first = nodes.select("node", "component").join(group, "component").select("node", F.col("least").alias("at"))
+        nodes = settle(nodes.join(part, "node", "left").where("k > 1 or component is not null").select("node", "at", "component"), large=True)
+        linked = nodes.where("component is not null")
+        group = linked.groupBy("component").agg(F.min("at").alias("least"))
+        first = linked.select("node", "component").join(group, "component").select("node", F.col("least").alias("at")).unionByName(nodes.where("component is null").select("node", "at"))
     gone = found.join(first, "node").where("at.sid <> sid or at.line <> line").groupBy("sid").agg(F.collect_list("line").alias("gone"))
     return slices.join(settle(gone, large=True), "sid", "left").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
 

@@ -24,6 +24,18 @@ def table(spark, texts, ids=None, sources=None, langs=None):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def pa_batch(row):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pylist([row])
+
+
+def pa_table(columns, bag):
+    import pyarrow as pa
+
+    return pa.table({c: pa.array(v) for c, v in columns.items()} | {"bag": bag})
+
+
 def corpus():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(400)] + ["é", "Ü", "x,", "1.5"]
@@ -256,6 +268,45 @@ def test_large_families_of_lines_give_few_pairs():
     assert line_dedup._compare(0.8, 24, True)(t).num_rows == 3 * (n // 3) ** 2  # across components only
 
 
+def test_line_histograms_tell_long_lines_apart():
+    """Lines of 80 words that differ in 20 pass a filter of few counts; those that differ in 16 are near."""
+    import zstandard
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(80)]
+    lines = [base, [w if i % 5 else word() for i, w in enumerate(base)]] + [[w if i % 4 else word() for i, w in enumerate(base)] for _ in range(30)]
+    buf = ("\n".join(" ".join(w) for w in lines) + "\n").encode()
+    row = {"sid": 0, "ids": np.zeros(1, np.int64).tobytes(), "lens": np.array([len(buf) - 1], np.int32).tobytes(), "body": zstandard.compress(buf), "want": list(range(len(lines))), "df": None}
+    found = next(line_dedup._post(1, 0.8)(iter([pa_batch(row | {"df": [{"bucket": 0, "reply": bytes([6]) * 78 * len(lines)}]})])))
+    n = len(lines)
+    bags = {b.as_py(): i for i, b in enumerate(found.column("bag"))}
+    assert len(bags) == n and {len(b) for b in bags} == {line_dedup.BINS // 2}
+    t = {c: np.zeros(n, np.int64) for c in ("tok", "prev", "print", "chunk", "cell")} | {"node": np.arange(n), "component": np.arange(n), "n": np.full(n, 80, np.int32), "across": np.zeros(n, bool)}
+    pairs = line_dedup._compare(0.8, 64, True)(pa_table(t, found.column("bag")))
+    first = [(u, v) for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist()) if u == 0]
+    assert (0, 1) in first and len(first) <= 10  # with 32 counts all 31 pass
+
+
+def test_lists_within_others_are_not_read_again(spark):
+    """Round two reads a list whose lines all post the same block before it only through that block's list."""
+    rows = [(node, node * 10, [(1, 0, 6, True), (2, 1, 6, True), (3, 2 + node % 2, 6, True)]) for node in range(4)]
+    found = spark.createDataFrame(rows, "node long, n int, posts array<struct<tok:long,prev:long,code:int,few:boolean>>")
+    for part, toks in ((None, [1, 3]), ([(1, 0), (2, 0), (3, 0)], [])):
+        part = None if part is None else spark.createDataFrame(part, "node long, component long")
+        got = line_dedup._across(found, found.select("node", "n"), part).collect()
+        assert sorted((r.tok, r.node) for r in got) == [(t, node) for t in toks for node in range(4)]
+
+
+def test_line_dedup_without_leaders_pairs(spark, monkeypatch):
+    """Links that no leader finds are found across components."""
+    monkeypatch.setattr(line_dedup, "LEADERS", 0)
+    base = [f"w{chr(97 + i)}" for i in range(12)]
+    texts = [" ".join(base), " ".join([*base[:5], "x", *base[6:]])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_repeated_lines(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1}
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.7])
 def test_line_dedup_matches_brute_force_on_edit_similarity(spark, threshold):
     rnd = random.Random(11)
