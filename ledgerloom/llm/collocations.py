@@ -3,7 +3,8 @@
 Texts are cut into slices of one language (about ``SLICE_BYTES``) of coded words. Word counts of all slices give the
 dictionary of frequent words, an id each; rarer words break a piece, as no frequent phrase holds one. Phrases are ids
 packed into keys of fixed width (two 64-bit numbers of two ids each). A task sorts the keys of its slices by radix, about
-``HELD_KEYS`` at a time, and counts runs; these are dealt into buckets by a hash of the key, packed as differences of sorted keys, and added up by bucket. Words
+``HELD_KEYS`` at a time, and counts runs; these are dealt into buckets by a hash of the key, packed as differences of sorted keys, and added up by bucket. Each
+step's files go as soon as the next step has what it needs of them. Words
 of three and four follow pairs: a longer phrase is looked at only where all its pairs may be frequent, which a bitmap of
 the frequent pairs' hashes tells (it has no misses; its false hits cost time only). Above ``BITMAP_BITS`` / 16 frequent
 pairs there is no bitmap and all longer phrases are counted.
@@ -272,7 +273,7 @@ def _counts(least: int):
 def frequent(ids: DataFrame, sizes: list[int], least: int, buckets: int, likely=None) -> DataFrame:
     """hi, lo, f of the phrases of ``sizes`` words with at least ``least`` occurrences."""
     local = ids.mapInArrow(_phrases(sizes, likely, buckets), "bucket int, hi binary, lo binary, c binary")
-    return settle(local.groupBy("bucket").applyInArrow(_counts(least), "hi long, lo long, f long"))
+    return settle(local.groupBy("bucket").applyInArrow(_counts(least), "hi long, lo long, f long"), large=True)
 
 
 def _likely(pairs: DataFrame):
@@ -334,9 +335,12 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, most:
     """lang, rank, phrase, a, l, r, n, score of the first ``most`` phrases of each language (all with None)."""
     made = slices(docs)
     counts = settle(word_counts(made))
-    total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = settle(_numbered(counts.where(F.col("f") >= least)))
+    words = settle(_numbered(counts.where(F.col("f") >= least)), large=True)
     ids = encoded(made, words)
+    del made
+    # after the ids, as what the last query has read stays until the next one has run: the slices go with this one
+    total = settle(counts.groupBy("lang").agg(F.sum("f").alias("n")), large=True)
+    del counts
     buckets = bucket_count(docs, KEY_BYTES)
     pairs = frequent(ids, [2], least, buckets)
     phrases = pairs.unionByName(frequent(ids, [3, 4], least, buckets, _likely(pairs)))

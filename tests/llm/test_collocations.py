@@ -2,6 +2,7 @@
 
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,28 @@ def test_collocations_match_a_plain_version(spark, monkeypatch, least, most, bit
     assert sorted(tuple(r) for r in got.collect()) == want and want
 
 
+def test_slices_and_word_counts_are_let_go_before_phrases(spark, monkeypatch):
+    held, seen = [], []
+
+    def kept(f):
+        def run(*args):
+            out = f(*args)
+            held.append(weakref.ref(out))
+            return out
+
+        return run
+
+    def frequent(*args, f=collocations.frequent):
+        seen.append([x() is None for x in held])
+        return f(*args)
+
+    for name in ("slices", "word_counts"):
+        monkeypatch.setattr(collocations, name, kept(getattr(collocations, name)))
+    monkeypatch.setattr(collocations, "frequent", frequent)
+    assert collocations.collocations(spark.createDataFrame(corpus(), SCHEMA), 3).count()
+    assert seen == [[True, True]] * 2
+
+
 def test_empty_tables(spark):
     assert collocations.collocations(spark.createDataFrame(corpus(), SCHEMA).limit(0)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None, "", 1)], SCHEMA)).count() == 0
