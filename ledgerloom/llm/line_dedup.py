@@ -1,7 +1,8 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a connected group.
 
 Lines are normalised to words (A-Z lower-cased, each digit as 0, all other ASCII as a blank) and equal ones are one node, so
-a very common line is a single row with its first place. Two lines are near when their edit similarity over words,
+a very common line is a single node with its first place: slices send the hashes of their distinct lines to buckets, which
+answer which of them come first. Two lines are near when their edit similarity over words,
 1 - distance / longer length, is at least ``THRESHOLD``: a line of n words differs from a shorter one by at most k = floor((1 - t) n) edits.
 
 At 0.8 fingerprints of related lines differ by about 13 of 64 bits, up to 21; so wide a radius leaves no block of the
@@ -12,7 +13,7 @@ fingerprint that selects anything. The pigeonhole blocks are therefore cut from
   n - q + 1 - q k others, and with blocks ordered by how many lines have them, one of those is among the rarest of each.
 
 How many distinct lines have a block comes from an exchange of packed fingerprints by hash bucket, which answers a byte a block. A block of
-one line needs no posting; most lines without a partner have so many that they post nothing. Postings carry the line's
+one line needs no posting; most lines without a partner have so many that they post nothing. Round two asks the buckets in the same packed way which lists are still open. Postings carry the line's
 64-bit SimHash over words and a histogram of its words (256 counts; with fewer, lines of many words that are no longer near pass too often). A pair is a candidate where fingerprints are
 within ``radius`` (beyond the largest distances of related lines; measured in the README) and lengths and histograms allow
 k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
@@ -33,15 +34,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, Slice, bucket_of, by_slice, frequency, messages, mix, pack, replies, rows
+from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, WORDS, Slice, answer, bucket_of, by_slice, column_parts, frequency, messages, mix, pack, replies, rows
 from .runtime import bucket_count, read, settle, shuffle_partitions
 
 THRESHOLD = 0.8
-SLACK = 11  # bits beyond the expected distance at the threshold
+SLACK = 19  # bits beyond the expected distance at the threshold
 LONG = 20
 LEADERS = 3
 FEW = 6  # posted blocks of a line by which it looks for leaders
@@ -53,7 +55,10 @@ _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[48:58] = 48
 _FOLD[10] = 10
-_ENTRY = "node long, n int, print long, bag binary, posts array<struct<tok:long,prev:long,code:int,few:boolean>>, words binary"
+LONG_WORD = 64  # bytes; longer words are hashed by prefix sums over the slice
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of k bytes
+_ODD, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_ENTRY = "node long, doc_id long, sid long, line int, n int, print long, bag binary, posts array<struct<tok:long,prev:long,code:int,few:boolean>>, words binary"
 
 
 class Texts:
@@ -78,7 +83,7 @@ class Lines:
         self.begin, self.stop = at[:-1], at[1:]
 
     def hashed(self) -> "Lines":
-        self.hash = self.s.word_hash()
+        self.hash = word_hash(self.s)
         self.prefix = FIRST.prefix(self.hash)
         return self
 
@@ -113,6 +118,31 @@ class Lines:
         return out
 
 
+def word_hash(s: Slice) -> np.ndarray:
+    """64-bit hashes of the words of a slice, eight bytes at a time."""
+    n = s.end - s.start
+    whole = np.zeros(len(s.buf) // 8 + 2, np.uint64)
+    whole.view(np.uint8)[: len(s.buf)] = s.buf
+    one, bits = np.uint64(1), np.uint64(63)
+
+    def eight(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from ``at``."""
+        i, off = at >> 3, (at.astype(np.uint64) << np.uint64(3)) & bits
+        return (whole[i] >> off | (whole[i + 1] << one) << (bits - off)) & _BELOW[np.minimum(size, 8)]
+
+    h = mix(eight(s.start, n) + n.astype(np.uint64) * _LENGTH)
+    long = n > LONG_WORD
+    at = np.flatnonzero((n > 8) & ~long)
+    for done in range(8, LONG_WORD, 8):
+        at = at[n[at] > done]
+        if not len(at):
+            break
+        h[at] = mix(h[at] * _ODD + eight(s.start[at] + done, n[at] - done))
+    if long.any():
+        h[long] = WORDS.spans(WORDS.prefix(WORDS.bytes[s.buf]), s.start[long], s.end[long])
+    return h
+
+
 def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, 0 .. count - 1) of each row, row by row."""
     row = np.repeat(np.arange(len(count)), count)
@@ -225,20 +255,51 @@ def _distinct(h: np.ndarray, row: np.ndarray, kind: int, numbered: bool) -> tupl
     return np.concatenate(values), np.concatenate(rows_)
 
 
-def _occurrences(batches):
-    for row in rows(batches):
-        x = Lines(row).hashed()
-        at = x.numbers()
-        doc = np.searchsorted(x.first, at, "right") - 1
-        yield pa.RecordBatch.from_pydict({
-            "node": pa.array(x.keys(at).view(np.int64), pa.int64()), "doc_id": pa.array(x.s.ids[doc], pa.int64()), "sid": pa.array(np.full(len(at), row["sid"]), pa.int64()),
-            "line": pa.array(at, pa.int32()), "n": pa.array((x.stop - x.begin)[at], pa.int32()),
-        })
+def _occurrences(buckets: int, least: int):
+    """The first occurrence in the slice of each distinct line, to the line's bucket; ``~line`` where it has fewer than ``least`` words. Others of the slice are ``spare``."""
+
+    def run(batches):
+        for row in rows(batches):
+            x = Lines(row).hashed()
+            at = x.numbers()
+            if not len(at):
+                continue
+            key, doc = x.keys(at), x.s.ids[np.searchsorted(x.first, at, "right") - 1]
+            order = np.lexsort((doc, key))  # stable: by line within a document
+            new = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+            first, spare = order[new], at[order[~new]].astype(np.int32)
+            line = np.where((x.stop - x.begin)[at[first]] < least, ~at[first], at[first]).astype(np.int32)
+            sent = messages(row["sid"], bucket_of(key[first], buckets), buckets, key=key[first], doc=doc[first], line=line)
+            yield sent.append_column("spare", pa.array([spare.tobytes()] + [b""] * (sent.num_rows - 1), pa.binary()))
+
+    return run
+
+
+_SAME = "sid long, want array<int>, later array<int>"
+
+
+def _firsts(table: pa.Table) -> pa.Table:
+    """By slice: the lines of enough words that come before all equal ones (smallest doc_id, then place), and the lines that don't."""
+    sid, lines, spare = np.asarray(table.column("sid")), column_parts(table, "line", np.int32), column_parts(table, "spare", np.int32)
+    message = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    line = np.concatenate(lines)
+    key, doc = np.concatenate(column_parts(table, "key", np.uint64)), np.concatenate(column_parts(table, "doc", np.int64))
+    order = np.lexsort((sid[message], doc, key))
+    first = np.zeros(len(key), bool)
+    first[order[np.concatenate(([True], key[order[1:]] != key[order[:-1]]))]] = True
+
+    def lists(value: np.ndarray, of: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(lines))))), pa.int32()), pa.array(value, pa.int32()))
+
+    of = np.repeat(np.arange(len(lines)), [len(x) for x in spare])
+    later, of = np.concatenate((np.where(line < 0, ~line, line)[~first], *spare)), np.concatenate((message[~first], of))
+    want = first & (line >= 0)
+    return pa.table({"sid": table.column("sid"), "want": lists(line[want], message[want]), "later": lists(later[np.argsort(of, kind="stable")], of)})
 
 
 def _ask(buckets: int, threshold: float):
     def run(batches):
-        for row in rows(batches):
+        for row in rows(batches, ("want",)):
             h = Blocks(Lines(row).hashed(), np.sort(row["want"]), threshold).value
             if len(h):
                 yield messages(row["sid"], bucket_of(h, buckets), buckets, prints=h.astype(np.uint32))
@@ -250,7 +311,7 @@ def _post(buckets: int, threshold: float):
     """A row for each line that has postings: them, the line's words and what the filters need. ``FEW`` of its postings, the same for equal ones, are marked."""
 
     def run(batches):
-        for row in rows(batches):
+        for row in rows(batches, ("want",)):
             x, lines = Lines(row).hashed(), np.sort(row["want"])
             b = Blocks(x, lines, threshold)
             code = replies(bucket_of(b.value, buckets), buckets, row["df"], np.uint8)
@@ -268,7 +329,8 @@ def _post(buckets: int, threshold: float):
             parts = [pa.array(b.value[at].view(np.int64)), pa.array(prev.view(np.int64)), pa.array(code[at], pa.int32()), pa.array(few)]
             small = (x.hash >> np.uint64(32)).astype("<u4")
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array(x.keys(mine).view(np.int64)), "n": pa.array(b.n[used], pa.int32()), "print": pa.array(x.prints(mine).view(np.int64)), "bag": pa.array(x.histograms(mine), pa.binary()),
+                "node": pa.array(x.keys(mine).view(np.int64)), "doc_id": pa.array(x.s.ids[np.searchsorted(x.first, mine, "right") - 1], pa.int64()), "sid": pa.array(np.full(len(mine), row["sid"]), pa.int64()), "line": pa.array(mine, pa.int32()),
+                "n": pa.array(b.n[used], pa.int32()), "print": pa.array(x.prints(mine).view(np.int64)), "bag": pa.array(x.histograms(mine), pa.binary()),
                 "posts": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.StructArray.from_arrays(parts, ["tok", "prev", "code", "few"])),
                 "words": pa.array([small[i:j].tobytes() for i, j in zip(x.begin[mine], x.stop[mine], strict=True)], pa.binary()),
             })
@@ -369,8 +431,8 @@ def _pairs(postings: DataFrame, buckets: int, threshold: float, radius: int, spl
     return settle(dealt.groupBy("bucket").applyInArrow(_compare(threshold, radius, split), "u long, v long").distinct(), large=True)
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Levenshtein distance of two sequences, by bit-parallel columns."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
+    """Levenshtein distance of two sequences, by bit-parallel columns. Beyond ``most`` it may be any number that is, too."""
     if len(a) < len(b):
         a, b = b, a
     for _ in range(2):  # equal words at the end, then at the beginning
@@ -386,7 +448,10 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
         places[w] = places.get(w, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    for w in a.tolist():
+    last = len(a) + (most if most is not None else len(a))  # each column lowers the score by one at most
+    for i, w in enumerate(a.tolist()):
+        if score > last - i:
+            return score - len(a) + i
         eq = places.get(w, 0)
         d = (((eq & up) + up) ^ up) | eq | down
         more, less = down | ~(d | up) & full, up & d
@@ -396,18 +461,47 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return score
 
 
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds) of a column of sequences of 32-bit words."""
+    column = column.cast(pa.large_binary())
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    words = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return words.view("<u4"), (bounds - bounds[0]) // 4
+
+
+def similar(a: pa.Array, b: pa.Array, threshold: float) -> np.ndarray:
+    """Which pairs of sequences have the edit similarity.
+
+    Sequences of one length that differ in few places do; those of which one has too many words that the other lacks don't. The distance is for the rest.
+    """
+    (x, p), (y, q) = _sequences(a), _sequences(b)
+    n, m = np.diff(p), np.diff(q)
+    most = edits(np.maximum(n, m), threshold)
+    keep = np.zeros(len(n), bool)
+    same = np.flatnonzero(n == m)
+    row, at = _ragged(n[same])
+    apart = np.bincount(row, x[p[same[row]] + at] != y[q[same[row]] + at], len(same))
+    keep[same] = apart <= most[same]
+    rest = np.flatnonzero(~keep & (np.abs(n - m) <= most))
+    (i, u), (j, v) = _ragged(n[rest]), _ragged(m[rest])
+    one, two, three = np.uint64(1), np.uint64(32), np.uint64(33)
+    key = np.sort(np.concatenate(((i.astype(np.uint64) << two | x[p[rest[i]] + u]) << one, (j.astype(np.uint64) << three) | y[q[rest[j]] + v].astype(np.uint64) << one | one)))
+    if not len(key):
+        return keep
+    first = np.flatnonzero(np.concatenate(([True], key[1:] >> one != key[:-1] >> one)))
+    more = np.add.reduceat(1 - 2 * (key & one).astype(np.int64), first)  # of each word in the first than in the second
+    of = (key[first] >> three).astype(np.int64)
+    lack = np.maximum(np.bincount(of, np.maximum(more, 0), len(rest)), np.bincount(of, np.maximum(-more, 0), len(rest)))
+    for k in rest[lack <= most[rest]].tolist():
+        keep[k] = edit_distance(x[p[k] : p[k + 1]], y[q[k] : q[k + 1]], int(most[k])) <= most[k]
+    return keep
+
+
 def _similar(threshold: float):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                most = int(edits(max(len(a), len(b)), threshold))
-                if len(a) == len(b) and np.count_nonzero(a != b) <= most:
-                    keep.append(True)
-                else:
-                    keep.append(abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(similar(batch.column(2), batch.column(3), threshold), pa.bool_()))
 
     return run
 
@@ -418,26 +512,103 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u long, v long")
 
 
-def _across(found: DataFrame, line: DataFrame, part: DataFrame | None) -> DataFrame:
-    """Postings, with their lines' ``component``, of the lists that hold more than one.
+_HELD = "sid long, lines binary, count binary, posts binary"
 
-    Not of a list whose lines all post the same block before this one: all of its pairs meet in that block's list, too.
-    """
-    in_ = lambda df: df.withColumn("component", F.col("node")) if part is None else df.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = in_(found.select("node", "posts")).select("component", F.inline("posts"))
-    of = spread.groupBy("tok").agg(*(f(c).alias(f"{k}_{c}") for c in ("component", "prev") for k, f in (("min", F.min), ("max", F.max))))
-    open_ = settle(of.where("min_component <> max_component and (min_prev <> max_prev or min_prev = 0)").select("tok"), large=True)
-    live = found.select("node", F.inline("posts")).drop("few").join(open_, "tok", "left_semi")
-    return settle(live, large=True).join(in_(line), "node")
 
+def _hold(batches):
+    """Lines of a batch and their postings in one row; a row's number is its own."""
+    n, part, zip_ = 0, TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        posts, lines, out = batch.column("posts"), batch.drop_columns(["posts"]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, lines.schema) as to:
+            to.write_batch(lines)
+        flat = posts.flatten()
+        tok, prev, code = (np.asarray(flat.field(c)) for c in ("tok", "prev", "code"))
+        held = {"lines": zip_.compress(out.getvalue()), "count": np.diff(np.asarray(posts.offsets)).astype(np.int32).tobytes()}
+        held["posts"] = zip_.compress(tok.tobytes() + prev.tobytes() + code.astype(np.uint8).tobytes())  # most of prev repeats tok
+        yield pa.RecordBatch.from_pydict({"sid": pa.array([(part << 32) + n], pa.int64())} | {c: pa.array([v], pa.binary()) for c, v in held.items()})
+        n += 1
 
-def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float, radius: int) -> DataFrame | None:
-    """(node, component) of the nodes that are near another."""
-    least = next(n for n in range(1, 1 << 20) if edits(n, threshold) > 0) - 1 if threshold < 1 else None
-    if least is None:
-        return None
-    want = nodes.where(F.col("n") >= least).groupBy("at.sid").agg(F.collect_list("at.line").alias("want"))
-    asked = slices.join(settle(want, large=True), "sid")
+
+class Held:
+    """Postings of a row of ``_hold``. Of each distinct list, ``entry`` has one (block, component, block before), or two where the lines here differ: the least and the greatest."""
+
+    def __init__(self, row: dict):
+        unzip = zstandard.ZstdDecompressor()
+        self.lines = pa.ipc.open_stream(unzip.decompress(row["lines"])).read_next_batch()
+        count = np.frombuffer(row["count"], np.int32)
+        n = int(count.sum())
+        whole = unzip.decompress(row["posts"])
+        self.tok, self.prev, self.code = np.frombuffer(whole, np.int64, n), np.frombuffer(whole, np.int64, n, 8 * n), np.frombuffer(whole, np.uint8, n, 16 * n)
+        self.line = np.repeat(np.arange(len(count)), count)
+        order = np.argsort(self.tok, kind="stable")
+        tok, component, prev = self.tok[order], np.asarray(self.lines.column("component"))[self.line[order]], self.prev[order]
+        new = np.concatenate(([True], tok[1:] != tok[:-1]))[:n]
+        first = np.flatnonzero(new)
+        self.lists = len(first)
+        self.which = np.empty(n, np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        low, high = ([f.reduceat(v, first) if n else v for v in (component, prev)] for f in (np.minimum, np.maximum))
+        apart = (low[0] != high[0]) | (low[1] != high[1])
+        self.entry = [np.concatenate((v, w[apart])) for v, w in ((tok[first], tok[first]), *zip(low, high, strict=True))]
+        self.hash = self.entry[0].view(np.uint64)
+
+
+def _spread(buckets: int):
+    def run(batches):
+        for row in rows(batches):
+            h = Held(row)
+            if len(h.hash):
+                yield messages(row["sid"], bucket_of(h.hash, buckets), buckets, tok=h.entry[0], component=h.entry[1], prev=h.entry[2])
+
+    return run
+
+
+def _open(table: pa.Table) -> pa.Table:
+    """A bit an entry: whether its list has lines of several components that don't all post the same block before."""
+    parts = column_parts(table, "tok", np.int64)
+    tok, component, prev = (np.concatenate(column_parts(table, c, np.int64)) for c in ("tok", "component", "prev"))
+    order = np.argsort(tok)
+    tok, component, prev = tok[order], component[order], prev[order]
+    first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+    least, most = np.minimum.reduceat(prev, first), np.maximum.reduceat(prev, first)
+    found = (np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)) & ((least != most) | (least == 0))
+    out = np.empty(len(tok), bool)
+    out[order] = np.repeat(found, np.diff(np.append(first, len(tok))))
+    return answer(table, np.split(out, np.cumsum([len(p) for p in parts])[:-1]))
+
+
+def _opened(buckets: int):
+    def run(batches):
+        for row in rows(batches):
+            h = Held(row)
+            at = np.flatnonzero(replies(bucket_of(h.hash, buckets), buckets, row["open"], bool)[: h.lists][h.which])
+            posts = {"tok": pa.array(h.tok[at], pa.int64()), "prev": pa.array(h.prev[at], pa.int64()), "code": pa.array(h.code[at], pa.int32())}
+            lines = h.lines.take(pa.array(h.line[at]))
+            yield pa.RecordBatch.from_pydict(dict(zip(lines.schema.names, lines.columns, strict=True)) | posts)
+
+    return run
+
+
+def _across(found: DataFrame, line: DataFrame, part: DataFrame | None, buckets: int | None = None) -> DataFrame:
+    """Postings, with the columns of ``line`` and their lines' ``component``, of the lists that hold more than one.
+
+    Not of a list whose lines all post the same block before this one: all of its pairs meet in that block's list, too.
+    Batches of lines ask about their lists in packed buckets; a list is in a batch's message twice at most, however many lines have it.
+    """
+    buckets = buckets or 2 * shuffle_partitions(found.sparkSession)
+    lines = found.select(*line.columns, "posts")
+    lines = lines.withColumn("component", F.col("node")) if part is None else lines.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = settle(lines.mapInArrow(_hold, _HELD), large=True)
+    sent = held.mapInArrow(_spread(buckets), "sid long, bucket int, tok binary, component binary, prev binary")
+    open_ = settle(by_slice(sent.groupBy("bucket").applyInArrow(_open, ANSWER_SCHEMA), "open"), large=True)
+    columns = ", ".join(f"{c} {kind}" for c, kind in lines.drop("posts").dtypes)
+    return held.join(open_, "sid").mapInArrow(_opened(buckets), columns + ", tok long, prev long, code int")
+
+
+def _groups(same: DataFrame, slices: DataFrame, buckets: int, threshold: float, radius: int) -> DataFrame | None:
+    """(sid, linked): lines that are the first of their kind but near another that comes before, or linked with one; None if none is."""
+    asked = slices.join(same.where(F.size("want") > 0).select("sid", "want"), "sid")
     sent = asked.mapInArrow(_ask(buckets, threshold), "sid long, bucket int, prints binary")
     df = settle(by_slice(sent.groupBy("bucket").applyInArrow(frequency, ANSWER_SCHEMA), "df"), large=True)
     found = settle(asked.join(df, "sid").mapInArrow(_post(buckets, threshold), _ENTRY), large=True)
@@ -447,7 +618,7 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
     part = None
     for split in (False, True):
         if split:
-            live = _across(found, line, part)
+            live = _across(found, line, part, buckets)
         else:
             live = found.select("node", "n", "print", "bag", F.inline("posts")).where("few").drop("few")
         lists = max(2 * shuffle_partitions(slices.sparkSession), -(-(size if split else few) // BUCKET_ROWS))
@@ -459,7 +630,11 @@ def _groups(nodes: DataFrame, slices: DataFrame, buckets: int, threshold: float,
         for o in old:
             links = links.unionByName(o)
         part = settle(components(links))
-    return part
+    if part is None:
+        return None
+    linked = settle(part.join(found.select("node", F.struct("doc_id", "sid", "line").alias("at")), "node").select("component", "at"), large=True)
+    group = linked.groupBy("component").agg(F.min("at").alias("least"))
+    return linked.join(group, "component").where("at <> least").groupBy("at.sid").agg(F.collect_list("at.line").alias("linked"))
 
 
 def _cut(batches):
@@ -493,17 +668,15 @@ def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius:
     radius = expected_radius(threshold) if radius is None else radius
     buckets = bucket_count(docs)
     slices = pack(docs, -(-buckets // 2))  # by sid, as three joins need them
-    found = settle(slices.mapInArrow(_occurrences, "node long, doc_id long, sid long, line int, n int"))
-    nodes = settle(found.groupBy("node").agg(F.min(F.struct("doc_id", "sid", "line")).alias("at"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n")))
-    part = _groups(nodes, slices, buckets, threshold, radius)
-    if part is None:
-        first = nodes.where("k > 1").select("node", "at")
+    least = next(n for n in range(1, 1 << 20) if edits(n, threshold) > 0) - 1 if threshold < 1 else None
+    sent = slices.mapInArrow(_occurrences(buckets, least or 0), "sid long, bucket int, key binary, doc binary, line binary, spare binary")
+    same = sent.groupBy("bucket").applyInArrow(_firsts, _SAME).groupBy("sid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("want", "later")))
+    same = settle(same, large=True)
+    gone, linked = same.select("sid", "later"), None if least is None else _groups(same, slices, buckets, threshold, radius)
+    if linked is None:
+        gone = gone.withColumnRenamed("later", "gone")
     else:
-        nodes = settle(nodes.join(part, "node", "left").where("k > 1 or component is not null").select("node", "at", "component"), large=True)
-        linked = nodes.where("component is not null")
-        group = linked.groupBy("component").agg(F.min("at").alias("least"))
-        first = linked.select("node", "component").join(group, "component").select("node", F.col("least").alias("at")).unionByName(nodes.where("component is null").select("node", "at"))
-    gone = found.join(first, "node").where("at.sid <> sid or at.line <> line").groupBy("sid").agg(F.collect_list("line").alias("gone"))
+        gone = gone.join(linked, "sid", "left").select("sid", F.concat("later", F.coalesce("linked", F.array().cast("array<int>"))).alias("gone"))
     return slices.join(settle(gone, large=True), "sid", "left").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_text string")
 
 

@@ -81,10 +81,10 @@ class Slice:
     def __init__(self, ids: np.ndarray, lens: np.ndarray, buf: np.ndarray, fold: np.ndarray | None = None):
         self.ids, self.lens = ids, lens
         self.raw = buf
-        self.buf = buf if fold is None else fold[buf]
+        self.buf = buf if fold is None else np.frombuffer(buf.tobytes().translate(fold.tobytes()), np.uint8)
         self.byte = np.zeros(len(lens) + 1, np.int64)
         np.cumsum(np.maximum(lens, 0) + 1, out=self.byte[1:])
-        word = np.concatenate(([False], ~_SEP[self.buf]))
+        word = np.concatenate(([False], (self.buf != 0x20) & (self.buf - np.uint8(0x09) > np.uint8(0x0D - 0x09))))  # below 0x09 it wraps round
         edge = np.flatnonzero(word[1:] != word[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.byte)
@@ -186,12 +186,12 @@ def pack(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return settle(slices) if parts is None else dealt(slices, "sid", parts)
 
 
-def rows(batches):
-    """Rows of Arrow batches as dicts, one batch row at a time."""
+def rows(batches, arrays: tuple[str, ...] = ()):
+    """Rows of Arrow batches as dicts, one batch row at a time; the lists of ``arrays`` as arrays."""
     for batch in batches:
         names = batch.schema.names
         for i in range(batch.num_rows):
-            yield {n: batch.column(c)[i].as_py() for c, n in enumerate(names)}
+            yield {n: batch.column(c)[i].values.to_numpy(zero_copy_only=False) if n in arrays else batch.column(c)[i].as_py() for c, n in enumerate(names)}
 
 
 def by_bucket(bucket: np.ndarray, buckets: int):

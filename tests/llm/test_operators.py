@@ -307,6 +307,81 @@ def test_line_dedup_without_leaders_pairs(spark, monkeypatch):
     assert got == {0: 0, 1: 1}
 
 
+def slice_row(lines, **more):
+    import zstandard
+
+    buf = ("\n".join(lines) + "\n").encode()
+    return {"sid": 0, "ids": np.zeros(1, np.int64).tobytes(), "lens": np.array([len(buf) - 1], np.int32).tobytes(), "body": zstandard.compress(buf)} | more
+
+
+def test_near_lines_with_distant_fingerprints_are_found(spark):
+    """A word that stands twenty times in a hundred is another, so that about half of the fingerprints' bits may differ."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    lines = []
+    for _ in range(60):
+        base, x, y = [word() for _ in range(80)], word(), word()
+        lines += [" ".join(w for i in range(20) for w in (*base[4 * i : 4 * i + 4], z)) for z in (x, y)]
+    x = line_dedup.Lines(slice_row(lines)).hashed()
+    bits = x.prints(x.numbers())
+    apart = np.bitwise_count(bits[::2] ^ bits[1::2])
+    far = np.flatnonzero((apart > 24) & (apart <= line_dedup.expected_radius(0.8))).tolist()
+    assert len(far) > 3
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_repeated_lines(table(spark, [lines[2 * i + j] for i in far for j in (0, 1)])).collect()}
+    assert [got[i] for i in range(2 * len(far))] == [0, 1] * len(far)
+
+
+def test_word_hashes_of_every_length():
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("ab") for _ in range(n)) for n in range(1, 200) for _ in range(2)]
+    hashes = [dict(zip(order, line_dedup.Lines(slice_row([" " * k + " ".join(order)])).hashed().hash.tolist(), strict=True)) for k in range(8) for order in [rnd.sample(list(dict.fromkeys(words)), len(set(words)))]]
+    assert all(h == hashes[0] for h in hashes) and len(set(hashes[0].values())) == len(set(words))
+
+
+def test_similar_pairs_match_the_edit_distance():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    pairs = []
+    for _ in range(600):
+        a = rnd.integers(0, 30, rnd.integers(0, 25)).tolist()
+        b = list(a)
+        for _ in range(rnd.integers(0, 7)):
+            i = rnd.integers(0, len(b) + 1)
+            b[i : i + rnd.integers(0, 2)] = rnd.integers(0, 30, rnd.integers(0, 2)).tolist()
+        pairs.append((a, b))
+    pairs += [(a, b[::-1]) for a, b in pairs[:50]]
+    column = lambda k: pa.array([np.array(p[k], np.uint32).tobytes() for p in pairs], pa.binary())
+    want = [plain(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    assert line_dedup.similar(column(0), column(1), 0.8).tolist() == want and 100 < sum(want) < 500
+    assert line_dedup.similar(column(0).slice(7), column(1).slice(7), 0.8).tolist() == want[7:]
+    assert line_dedup.similar(column(0)[:0], column(1)[:0], 0.8).tolist() == []
+
+
+def test_equal_lines_and_lists_travel_packed():
+    """A slice sends a line once, however often it has it, and a batch of lines a list twice at most."""
+    import pyarrow as pa
+
+    lines = ["a b c d e"] * 500 + ["x y"] * 3 + [""]
+    (sent,) = line_dedup._occurrences(1, 4)(iter([pa_batch(slice_row(lines))]))
+    assert sum(len(x.as_py()) for x in sent.column("key")) == 2 * 8
+    got = line_dedup._firsts(pa.Table.from_batches([sent])).to_pylist()
+    assert [(r["want"], sorted(r["later"])) for r in got] == [([0], [*range(1, 500), 501, 502])]
+    part = {"lines": line_dedup.zstandard.compress(ipc(pa.RecordBatch.from_pydict({"node": np.arange(300), "component": np.arange(300) % 7})))}
+    posts = np.concatenate((np.full(300, 5), np.zeros(300, np.int64))).astype(np.int64).tobytes() + bytes(300)
+    held = line_dedup.Held(part | {"count": np.ones(300, np.int32).tobytes(), "posts": line_dedup.zstandard.compress(posts)})
+    assert [v.tolist() for v in held.entry] == [[5, 5], [0, 6], [0, 0]]
+
+
+def ipc(batch):
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as to:
+        to.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.7])
 def test_line_dedup_matches_brute_force_on_edit_similarity(spark, threshold):
     rnd = random.Random(11)
