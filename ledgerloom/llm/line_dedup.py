@@ -15,8 +15,8 @@ fingerprint that selects anything. The pigeonhole blocks are therefore cut from
 How many distinct lines have a block comes from an exchange of packed fingerprints by hash bucket, which answers a byte a block. A block of
 one line needs no posting; most lines without a partner have so many that they post nothing. Round two asks the buckets in the same packed way which lists are still open. Postings carry the line's
 64-bit SimHash over words and a histogram of its words (256 counts; with fewer, lines of many words that are no longer near pass too often). A pair is a candidate where fingerprints are
-within ``radius`` (beyond the largest distances of related lines; measured in the README) and lengths and histograms allow
-k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
+within ``radius`` (all are, unless a caller gives less than 64: near lines that repeat one word often may differ in half of the bits) and lengths and
+histograms allow k edits (which never excludes a near pair). Candidates are verified by exact edit distance.
 
 Round one pairs the lines of lists with a few leaders, a linear number of pairs, in the lists of at most ``FEW`` of each line's posted blocks. Round two lists all candidate pairs that are
 still in different components, once for each run of posted blocks that they share, so that no link between components is lost while pairs inside one are never listed. Lists of more than ``CHUNK``
@@ -43,7 +43,6 @@ from .packed import ANSWER_SCHEMA, FIRST, NULL_ID, WORDS, Slice, answer, bucket_
 from .runtime import bucket_count, read, settle, shuffle_partitions
 
 THRESHOLD = 0.8
-SLACK = 19  # bits beyond the expected distance at the threshold
 LONG = 20
 LEADERS = 3
 FEW = 6  # posted blocks of a line by which it looks for leaders
@@ -656,16 +655,10 @@ def _cut(batches):
         })
 
 
-def expected_radius(threshold: float) -> int:
-    """The distance that fingerprints of similarity ``threshold`` are expected to have, and ``SLACK`` bits more."""
-    return int(64 * np.arccos(threshold) / np.pi) + SLACK
-
-
-def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int | None = None) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = 64) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_lines, n_removed, kept_text (the lines left, joined by newlines)."""
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above a half")
-    radius = expected_radius(threshold) if radius is None else radius
     buckets = bucket_count(docs)
     slices = pack(docs, -(-buckets // 2))  # by sid, as three joins need them
     least = next(n for n in range(1, 1 << 20) if edits(n, threshold) > 0) - 1 if threshold < 1 else None

@@ -325,8 +325,8 @@ def test_near_lines_with_distant_fingerprints_are_found(spark):
     x = line_dedup.Lines(slice_row(lines)).hashed()
     bits = x.prints(x.numbers())
     apart = np.bitwise_count(bits[::2] ^ bits[1::2])
-    far = np.flatnonzero((apart > 24) & (apart <= line_dedup.expected_radius(0.8))).tolist()
-    assert len(far) > 3
+    far = np.flatnonzero(apart > 24).tolist()
+    assert len(far) > 3 and apart.max() > 32
     got = {r.doc_id: r.n_removed for r in line_dedup.remove_repeated_lines(table(spark, [lines[2 * i + j] for i in far for j in (0, 1)])).collect()}
     assert [got[i] for i in range(2 * len(far))] == [0, 1] * len(far)
 
